@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, simhash, tokens
+from . import decontaminate, langid, mixing, pii, simhash, tokens, warc
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), tokenizer_path())
 
