@@ -153,7 +153,7 @@ def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
     before, state = None, tally(now)
     while state != before and state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         kept = star(large)
         small = kept.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.union(kept.select("u", F.col("m").alias("v"))).where("u != v").distinct(), label)

@@ -19,6 +19,7 @@ A document longer than a shard makes its shard longer; it is never cut.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import scratch_path, small_batches
 
 MAGIC, CLOSE, BLOCK = b"WMX1", "\n=WMX1 END=\n", 512
-#: Pieces that a worker remembers (about 200 bytes each) before it starts anew.
-REMEMBERED = 1_000_000
+#: Pieces (about 200 bytes each) of each of the two generations that a worker remembers.
+REMEMBERED = 250_000
+#: A space with other white space beside it, or at either end.
+_ODD = re.compile(r"\s | \s|\A | \Z")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -161,10 +164,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         first, *rest = text.split(" ")
+        if not _ODD.search(text):
+            return [first, *(f" {w}" for w in rest)]
         out = [first]
         for w in rest:
             if not w or w[0].isspace() or not out[-1] or out[-1][-1].isspace():
@@ -178,8 +184,14 @@ class Encoder:
         cut = [self.pieces(t) for t in texts]
         wanted = set().union(*cut)
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in wanted if w not in self.known]
+            self.known, self.older = {}, self.known
+        new = []
+        for w in wanted:
+            if w not in self.known:
+                if (ids := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
         for at in range(0, len(new), 4096):
             block = new[at : at + 4096]
             for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
