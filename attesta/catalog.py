@@ -1,13 +1,20 @@
 """All registered queries of the library's own operators."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    return next(iter(queries().values()))(spark, sf_dir)
+from pyspark.sql import DataFrame, SparkSession
 
+from attesta.plans import checks, extraction, faces, forms, names, places, policy, reconciliation, records, texts, traffic  # noqa: F401
+from attesta.plans.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["policy_decision"](spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
