@@ -9,7 +9,7 @@ from attesta.plans.registry import ORACLES, QUERIES, Query
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["policy_decision"](spark, sf_dir)
+    return QUERIES["reconcile"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
