@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 PHONETIC_FLOOR, PHONETIC_NEAR = 0.92, 0.8
 
 
+@lru_cache(maxsize=1 << 17)
 def ratio(a: str, b: str) -> float:
     """Twice the matched length over both lengths, by longest common blocks; the order of arguments matters."""
     return SequenceMatcher(None, a, b).ratio()
@@ -73,6 +75,12 @@ def fuzzy(a: str, b: str, at_least: float, codes_a: list[str] | None = None, cod
     return n / max(len(ta), len(tb)) * (total / n) if n else 0.0
 
 
+def better(a: str, b: str, than: float) -> float:
+    """The larger of ``than`` and the ratio, which is worked out only where its bounds allow more."""
+    m = SequenceMatcher(None, a, b)
+    return max(than, m.ratio()) if m.real_quick_ratio() > than and m.quick_ratio() > than else than
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -93,8 +101,8 @@ def english_fuzzy(a: pd.Series, b: pd.Series, codes_a: pd.Series, codes_b: pd.Se
     """Tokens with phonetic help, or the whole strings or whole codes if those agree better."""
     out = []
     for x, y, cx, cy, wx, wy in zip(a, b, codes_a, codes_b, whole_a, whole_b, strict=True):
-        best = max(fuzzy(x, y, 0.65, list(cx), list(cy)), ratio(x, y))
-        out.append(max(best, ratio(wx, wy)) if wx and wy else best)
+        best = better(x, y, fuzzy(x, y, 0.65, list(cx), list(cy)))
+        out.append(better(wx, wy, best) if wx and wy else best)
     return pd.Series(out, dtype="float64")
 
 

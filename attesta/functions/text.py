@@ -86,7 +86,7 @@ def latin_tokens(c: Column) -> Column:
 
 def place_tokens(c: Column) -> Column:
     """Trimmed parts between separators, in order, each once."""
-    parts = F.transform(F.split(c, "[-–—/،,]"), F.trim)
+    parts = F.transform(F.split(c, "[-–—/،,]"), lambda t: F.trim(t))
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
@@ -112,10 +112,10 @@ def text_language(c: Column) -> Column:
 
 
 def name_language(c: Column) -> Column:
-    """By share of letters: over 60 % of one script, ``mixed`` in between, ``unknown`` without letters."""
-    a, b = count(c, ARABIC), count(c, LATIN)
+    """By share of letters: 60 % or more of one script, ``mixed`` in between, ``unknown`` without letters."""
+    a, b = count(c, "[؀-ۿݐ-ݿ]"), count(c, LATIN)
     share = a / F.nullif(a + b, F.lit(0))
-    return F.when(share.isNull(), "unknown").when(share > 0.6, "arabic").when(share < 0.4, "english").otherwise("mixed")
+    return F.when(share.isNull(), "unknown").when(share >= 0.6, "arabic").when(share <= 0.4, "english").otherwise("mixed")
 
 
 def mostly_digits(c: Column) -> Column:

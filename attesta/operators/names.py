@@ -22,6 +22,8 @@ def compare(pairs: DataFrame, a: str, b: str, language: str, out: str = "name_sc
     tier = F.when((F.col("_a") == "") | (F.col("_b") == ""), "none").when(F.col("_a") == F.col("_b"), "exact").when(text.same_token_set(ta, tb), "token_set").otherwise("fuzzy")
     rows = rows.withColumn(f"{out}_tier", tier)
     hard = rows.where(F.col(f"{out}_tier") == "fuzzy").select("_a", "_b").distinct()
+    # Few bytes, much work: spread by count, since Spark would merge such partitions by size.
+    hard = hard.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_a", "_b")
     if language == "arabic":
         hard = hard.withColumn("_s", sim.arabic_fuzzy("_a", "_b"))
     else:
@@ -72,6 +74,16 @@ def cross_script(pairs: DataFrame, a: str, b: str, arabic_weight: float = 0.7, l
     return pairs.join(once, F.col(a).eqNullSafe(F.col("_ka")) & F.col(b).eqNullSafe(F.col("_kb"))).drop("_ka", "_kb")
 
 
+def _reach(a: Column, b: Column) -> Column:
+    """The most that any of the fuzzy scores of two names can come to, by lengths and token counts alone."""
+    def bound(x: Column, y: Column) -> Column:
+        return 2 * F.least(x, y) / F.greatest(x + y, F.lit(1))
+
+    na, nb = F.size(text.tokens(a)), F.size(text.tokens(b))
+    codes = bound(F.length(code(a, True)), F.length(code(b, True)))
+    return F.greatest(bound(F.length(a), F.length(b)), codes, F.least(na, nb) / F.greatest(na, nb))
+
+
 def screen(queries: DataFrame, registry: DataFrame, language: str = "english", at_least: float = 0.85, hot: int = 10_000, best_only: bool = True) -> DataFrame:
     """Registry names that match query names: (query_id, registry_id, score, tier).
 
@@ -102,7 +114,8 @@ def screen(queries: DataFrame, registry: DataFrame, language: str = "english", a
 
     plain = q.where("hot_code IS NULL").select("qn", "code").join(r.select("rn", "code"), "code").select("qn", "rn")
     crowded = second(q.where("hot_code IS NOT NULL"), "qn_codes").select("qn", "code", "second").join(second(r, "rn_codes").select("rn", "code", "second"), ["code", "second"]).select("qn", "rn")
-    scored = compare(plain.unionByName(crowded).distinct(), "rn", "qn", language).where(F.col("name_score") >= at_least)
+    candidates = plain.unionByName(crowded).distinct().where(_reach(F.col("rn"), F.col("qn")) >= at_least)
+    scored = compare(candidates, "rn", "qn", language).where(F.col("name_score") >= at_least)
     found = scored.join(q_rows, F.col("qn") == q_rows["n"]).drop("n").join(r_rows, F.col("rn") == r_rows["n"]).drop("n")
     found = found.select("query_id", "registry_id", F.col("name_score").alias("score"), F.col("name_score_tier").alias("tier"))
     if best_only:

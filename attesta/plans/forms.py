@@ -1 +1,34 @@
-"""Queries."""
+"""Form queries over rows derived from ``customer``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.operators import forms as ops
+
+from .registry import query, table
+
+REF = "2024-06-01"
+_FORM = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'passport' ELSE 'national_id' END AS id_type,
+ CASE WHEN c_custkey % 3 > 0 THEN concat('200', cast(c_custkey % 5 as {s}), lpad(cast(c_custkey as {s}), CASE WHEN c_custkey % 11 = 0 THEN 6 ELSE 7 END, '0')) END AS id_number,
+ CASE WHEN c_custkey % 3 = 0 AND c_custkey % 7 > 0 THEN lpad(cast(c_custkey as {s}), 8, '0') END AS passport_number,
+ CASE WHEN c_custkey % 13 > 0 THEN 'Maram Raed' ELSE 'Maram 1' END AS full_name, CAST(NULL AS {s}) AS name_arabic, CAST(NULL AS {s}) AS name_english,
+ CASE WHEN c_custkey % 4 > 0 THEN 'Female' END AS gender, CASE WHEN c_custkey % 17 = 0 THEN 'X9' ELSE 'Aden' END AS place_of_birth,
+ concat(cast(1895 + c_custkey % 130 as {s}), '-02-03') AS date_of_birth, concat(cast(1985 + c_custkey % 40 as {s}), '-05-06') AS issuance_date, concat(cast(2020 + c_custkey % 60 as {s}), '-05-06') AS expiry_date FROM customer"""
+_E = "CASE WHEN {} THEN 1 ELSE 0 END"
+_CHECKS = " + ".join(_E.format(x) for x in (
+    "id_type = 'national_id' AND length(id_number) <> 11",
+    "id_type = 'national_id' AND length(id_number) = 11 AND gender IS NULL AND substr(id_number, 4, 1) NOT IN ('0', '1')",
+    "id_type = 'passport' AND passport_number IS NULL", "id_type = 'passport' AND gender IS NULL", "regexp_matches(full_name, '[0-9]')", "place_of_birth = 'X9'",
+    "CAST(date_of_birth AS DATE) NOT BETWEEN DATE '1900-01-01' AND DATE '2024-06-01'", "CAST(issuance_date AS DATE) NOT BETWEEN DATE '1990-01-01' AND DATE '2024-06-01'",
+    "CAST(expiry_date AS DATE) NOT BETWEEN DATE '2024-06-01' AND DATE '2074-06-01'", "(DATE '2024-06-01' - CAST(date_of_birth AS DATE)) / 365.25 > 120",
+    "expiry_date <= issuance_date", "date_of_birth >= issuance_date",
+))
+
+
+@query(f"SELECT c_custkey, {_CHECKS} AS n_errors, {_CHECKS} = 0 AS valid FROM ({_FORM.replace('{s}', 'VARCHAR')})")
+def validate_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    checked = ops.validate(spark.sql(_FORM.replace("{s}", "STRING")), F.lit(REF).cast("date"))
+    return checked.select("c_custkey", F.size("errors").alias("n_errors"), (F.size("errors") == 0).alias("valid"))

@@ -1 +1,78 @@
-"""Queries."""
+"""Name comparison, screening and romanisation over ``customer``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.operators import names as ops
+from attesta.operators import romanise
+
+from .reconciliation import pick
+from .registry import query, table
+
+FIRST = ["Mohammed", "Muhammad", "Fatima", "Abdullah", "Khaled", "Yousef", "Sara", "Layla", "Hassan", "Nasser", "Omar"]
+LAST = ["Ali", "Alsqaf", "Al-Omari", "Saleh", "Thabit", "Qasim", "Zaid"]
+ARABIC = ["محمد", "فاطمة", "عبدالله", "نور", "غريب", "جميلة سالم", "", "يوسف", "الزهراني", "بشير قاسم"]
+ENGLISH = {"محمد": "Mohammed", "فاطمة": "Fatima", "عبدالله": "Abdullah", "نور": "Noor", "يوسف": "Youssef", "الزهراني": "Al-Zahrani"}
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.concat_ws(" ", pick(FIRST, "c_custkey"), pick(LAST, "c_custkey div 11"), pick(LAST, "c_custkey div 77"))
+    return table(spark, sf_dir, "customer").select("c_custkey", last.alias("name"), pick(ARABIC, "c_custkey").alias("arabic"))
+
+
+@query()
+def screen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = people(spark, sf_dir)
+    asked = p.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("query_id"), F.regexp_replace("name", "mm", "m").alias("name"))
+    found = ops.screen(asked, p.select(F.col("c_custkey").alias("registry_id"), "name"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def name_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = people(spark, sf_dir)
+    pairs = p.select("c_custkey", F.nullif("arabic", F.lit("")).alias("extracted_ar"), pick(ARABIC, "c_custkey + c_custkey % 3").alias("typed_ar"), F.when(F.col("c_custkey") % 2 == 0, F.col("name")).alias("extracted_en"), F.regexp_replace("name", "ss", "s").alias("typed_en"), F.lit(0.95).alias("confidence"))
+    return ops.validate(pairs).select("c_custkey", F.round("combined_score", 6).alias("combined_score"), F.round("final_score", 6).alias("final_score"), "decision")
+
+
+@query()
+def cross_script_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = people(spark, sf_dir).select("c_custkey", "arabic", "name")
+    found = ops.cross_script(p, "arabic", "name")
+    return found.select("c_custkey", *(F.round(c, 6).alias(c) for c in ("arabic_similarity", "phonetic_similarity", "token_overlap", "similarity")))
+
+
+_AR = "[" + ", ".join(f"'{a}'" for a in ARABIC) + "][CAST(c_custkey % 10 AS INT) + 1]"
+
+
+@query(f"""SELECT c_custkey, CASE {" ".join(f"WHEN a = '{k}' THEN '{v}'" for k, v in ENGLISH.items())} ELSE NULL END AS dictionary, CASE WHEN a = '' THEN 'empty' WHEN a IN ({", ".join(f"'{k}'" for k in ENGLISH)}, 'x') THEN 'dictionary' ELSE 'other' END AS method
+FROM (SELECT c_custkey, {_AR} AS a FROM customer)""")
+def romanise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = romanise.convert(people(spark, sf_dir), "c_custkey", "arabic")
+    method = F.when(F.col("method").isin("empty", "dictionary"), F.col("method")).otherwise("other")
+    return got.select("c_custkey", F.when(F.col("method") == "dictionary", F.col("english")).alias("dictionary"), method.alias("method"))
+
+
+@query()
+def romanised_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return romanise.convert(people(spark, sf_dir), "c_custkey", "arabic").select("c_custkey", "english", "method", "raw_phonetic")
+
+
+@query(f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND a IN ('محمد', 'نور') THEN CASE a WHEN 'محمد' THEN 'Mohammed' ELSE 'Light' END ELSE a END AS translated, a <> 'نور' OR c_custkey % 2 = 1 AS kept FROM (SELECT c_custkey, {_AR} AS a FROM customer)""")
+def translated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = people(spark, sf_dir).select("c_custkey", F.col("arabic").alias("text"), F.when(F.col("c_custkey") % 2 == 0, "ar").otherwise("en").alias("language"))
+    dictionary = spark.createDataFrame([("محمد", "Mohammed"), ("نور", "Light")], "source string, target string")
+    got = romanise.translate_rows(p, dictionary)
+    names = romanise.without_common_words(got.select("c_custkey", "translated"), "translated").select(F.col("c_custkey").alias("k"))
+    return got.join(names, got["c_custkey"] == names["k"], "left").select("c_custkey", "translated", F.col("k").isNotNull().alias("kept"))
+
+
+_WORDS = ["Mohammed Ali", "xyz", "Rhythm", "Salem, Omar; Said!", "Noor of the morning"]
+
+
+@query(f"""SELECT c_custkey, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN true WHEN 4 THEN true ELSE false END AS good FROM customer""")
+def translation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", pick(_WORDS, "c_custkey").alias("t"))
+    return c.select("c_custkey", romanise.good_translation(F.lit("محمد علي"), F.col("t")).alias("good"))

@@ -1 +1,174 @@
-"""Queries."""
+"""Registry, expiry and travel-document queries over ``customer`` and ``orders``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.functions import mrz
+from attesta.operators import expiry, extract
+from attesta.operators import registry as ops
+
+from .registry import query, table
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'failed' ELSE 'pending' END"
+
+
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    return o.selectExpr("o_custkey % 2000 AS document_id", "concat('D', o_custkey % 2000) AS document_number", "o_orderpriority AS full_name", "case when o_orderkey % 2 = 0 then o_orderstatus end AS image", "cast(o_orderkey as string) AS transaction_id", "o_orderkey AS at")
+
+
+_DOCS = "SELECT c_custkey AS document_id, concat('D', c_custkey) AS document_number, c_name AS full_name, concat('img', c_custkey % 7) AS image, CAST(NULL AS VARCHAR) AS transaction_id FROM customer"
+_UPD = """SELECT * EXCLUDE (nth) FROM (SELECT o_custkey % 2000 AS document_id, concat('D', o_custkey % 2000) AS document_number, o_orderpriority AS full_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS image,
+CAST(o_orderkey AS VARCHAR) AS transaction_id, row_number() OVER (PARTITION BY o_custkey % 2000 ORDER BY o_orderkey DESC) AS nth FROM orders WHERE o_orderkey % 3 = 0) WHERE nth = 1"""
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS document_id", "concat('D', c_custkey) AS document_number", "c_name AS full_name", "concat('img', c_custkey % 7) AS image", "cast(null as string) AS transaction_id")
+
+
+@query(f"""WITH d AS ({_DOCS}), u AS ({_UPD})
+SELECT coalesce(u.document_id, d.document_id) AS document_id, coalesce(u.document_number, d.document_number) AS document_number, CASE WHEN u.document_number IS NOT NULL THEN u.full_name ELSE d.full_name END AS full_name,
+coalesce(u.image, d.image) AS image, coalesce(u.transaction_id, d.transaction_id) AS transaction_id FROM d FULL JOIN u USING (document_number)""")
+def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.upsert(_state(spark, sf_dir), _updates(spark, sf_dir), ["document_number"], "at", ["document_id", "image", "transaction_id"])
+
+
+@query(f"""WITH d AS (SELECT * FROM ({_DOCS}) WHERE document_id % 4 > 0), n AS (SELECT * FROM ({_UPD}))
+SELECT * FROM d UNION ALL BY NAME SELECT document_id, document_number, full_name, coalesce(image, 'Ordinary') AS image, transaction_id FROM n WHERE document_number NOT IN (SELECT document_number FROM d)""")
+def registry_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = ops.newest(_updates(spark, sf_dir), ["document_number"], "at")
+    return ops.insert_new(_state(spark, sf_dir).where("document_id % 4 > 0"), new, ["document_number"], {"image": "Ordinary"})
+
+
+@query(f"""WITH d AS ({_DOCS}), u AS ({_UPD})
+SELECT d.document_id, d.document_number, coalesce(u.full_name, d.full_name) AS full_name, coalesce(u.image, d.image) AS image, d.transaction_id FROM d LEFT JOIN u USING (document_number)""")
+def registry_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = ops.newest(_updates(spark, sf_dir), ["document_number"], "at")
+    return ops.patch(_state(spark, sf_dir), new, ["document_number"], ["full_name", "image"])
+
+
+@query(f"""WITH d AS (SELECT * FROM ({_DOCS}) WHERE document_id % 4 > 0), u AS ({_UPD})
+SELECT d.document_id, document_number, coalesce(u.full_name, d.full_name) AS full_name, coalesce(u.image, d.image) AS image, d.transaction_id FROM d LEFT JOIN u USING (document_number)
+UNION ALL BY NAME SELECT * FROM u WHERE document_number NOT IN (SELECT document_number FROM d)""")
+def registry_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = ops.newest(_updates(spark, sf_dir), ["document_number"], "at")
+    return ops.save_or_update(_state(spark, sf_dir).where("document_id % 4 > 0"), new, ["document_number"], ["full_name", "image"])
+
+
+@query("""SELECT 'found' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)
+UNION ALL SELECT 'missing', count(*) FROM (SELECT DISTINCT o_custkey + 1000 AS k FROM orders WHERE o_orderkey % 10 = 0) WHERE k NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'left', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)""")
+def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("k"))
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return count(ops.lookup(c, o, ["k"]), "found").union(count(ops.missing(c, o.select((F.col("k") + 1000).alias("k")), ["k"]), "missing")).union(count(ops.delete(c, o, ["k"]), "left"))
+
+
+@query(f"""SELECT o_orderkey AS id, o_custkey AS document_id, c_name AS full_name, {_STATUS} AS status, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS verified_at,
+row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM customer JOIN orders ON c_custkey = o_custkey""")
+def verification_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS document_id", f"{_STATUS} AS status", "o_orderdate AS at")
+    rows = ops.verification_rows(o, F.col("at"))
+    docs = _state(spark, sf_dir).select("document_id", "full_name")
+    numbered = ops.history(rows, ["document_id"], "at", "id").join(docs, "document_id")
+    return numbered.select("id", "document_id", "full_name", "status", "verified_at", F.col("nth").cast("long").alias("nth"))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS verified_at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def verified_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_STATUS} AS status", "o_orderdate AS at")
+    return ops.verified_newest_first(ops.verification_rows(o, F.col("at")), "id").select("id", "verified_at").limit(100)
+
+
+@query("""SELECT a.o_orderkey AS document_call, b.o_orderkey AS verify_call, a.o_custkey AS transaction_id FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) a JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 1) b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority""")
+def transaction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey AS transaction_id", "o_orderpriority AS kind")
+    a, b = o.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "document_call"), o.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "verify_call")
+    return a.join(b, ["transaction_id", "kind"]).select("document_call", "verify_call", "transaction_id")
+
+
+@query("SELECT count(*) AS rows, count(c_name) AS c_name_set, CAST(sum(octet_length(encode(c_name))) AS BIGINT) AS c_name_bytes, count(c_mktsegment) AS c_mktsegment_set, CAST(sum(octet_length(encode(c_mktsegment))) AS BIGINT) AS c_mktsegment_bytes FROM customer")
+def registry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.profile(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS v FROM events")
+def hydrate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "props", "case when event_id % 2 = 0 then cast(user_id as string) end AS user")
+    return ops.hydrate(e, "props", "k long, v string", {"v": "user"}).select("event_id", "k", "v")
+
+
+@query("""SELECT full_name_count, parts FROM (SELECT count(*) FILTER (c_custkey % 2 = 0) AS full_name_count, count(*) FILTER (c_custkey % 2 = 1) AS parts FROM customer)""")
+def full_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    name = ops.full_name(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.lit("A"), F.lit(""), F.lit("B"))
+    return c.agg(F.count_if(name == F.col("c_name")).alias("full_name_count"), F.count_if(name == "A B").alias("parts"))
+
+
+_DAYS = "CAST(o_orderdate AS DATE) + CAST(o_custkey % 4000 AS INT) - DATE '2001-01-01'"
+
+
+@query(f"""SELECT o_orderkey, {_DAYS} AS days, CASE WHEN {_DAYS} < 0 THEN 'expired' WHEN {_DAYS} <= 90 THEN 'expiring_soon' ELSE 'valid' END AS status, {_DAYS} < 0 AND {_DAYS} >= -30 AS in_grace,
+CASE WHEN {_DAYS} < -30 THEN 'critical' WHEN {_DAYS} <= 30 THEN 'warning' WHEN {_DAYS} <= 90 THEN 'info' ELSE 'none' END AS severity FROM orders""")
+def document_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_custkey") % 4000).cast("int")), "dd/MM/yyyy").alias("expiry"))
+    return expiry.check(o, ref=F.lit("2001-01-01").cast("date")).select("o_orderkey", "days", "status", "in_grace", "severity")
+
+
+_VALID = "(o_custkey % 9000 - 500)"
+
+
+@query(f"""SELECT o_orderkey, {_VALID} > 0 AND o_orderkey % 5 > 0 AS sequence_ok, CASE WHEN {_VALID} > 0 THEN {_VALID} END AS validity_days, CASE WHEN {_VALID} > 0 THEN round({_VALID} / 365.25, 1) END AS validity_years,
+CAST(o_orderkey % 5 = 0 AS INT) + CAST({_VALID} <= 0 AS INT) + CAST({_VALID} > 0 AND ({_VALID} / 365.25 < 1 OR {_VALID} / 365.25 > 20) AS INT) AS n_warnings FROM orders""")
+def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issue = F.col("o_orderdate").cast("date")
+    text = lambda d: F.date_format(d, "yyyy-MM-dd")
+    birth = F.date_sub(issue, F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(9000))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", text(issue).alias("issue"), text(F.date_add(issue, (F.col("o_custkey") % 9000 - 500).cast("int"))).alias("expiry"), text(birth).alias("birth"))
+    found = expiry.sequence(o, "issue", "expiry", "birth", F.lit("2001-01-01").cast("date"))
+    return found.select("o_orderkey", "sequence_ok", "validity_days", "validity_years", F.size("warnings").alias("n_warnings"))
+
+
+_LINES = """
+SELECT c_custkey, rpad(concat('P<YEM', upper(replace(c_mktsegment, ' ', '<')), '<<', upper(replace(replace(c_name, '#', '<'), ' ', '<'))), 44, '<') AS line1, concat(lpad(cast(c_custkey as {s}), 9, '0'), 'C', 'YEM', lpad(cast(c_custkey % 100 as {s}), 2, '0'), '0315', 'D', case when c_custkey % 2 = 0 then 'M' else 'F' end, '300101', 'E', rpad(cast(c_nationkey as {s}), 14, '<'), '<', 'G') AS line2
+FROM customer"""
+
+
+def _digit(x: str) -> str:
+    value = "CASE WHEN ascii(x) BETWEEN 48 AND 57 THEN ascii(x) - 48 WHEN ascii(x) BETWEEN 65 AND 90 THEN ascii(x) - 55 ELSE 0 END"
+    return f"CAST(list_sum(list_transform(string_split({x}, ''), lambda x, i: ({value}) * [7, 3, 1][(i - 1) % 3 + 1])) % 10 AS VARCHAR)"
+
+
+def with_digits(df: DataFrame) -> DataFrame:
+    """Put computed check digits where C, D, E and G stand; every 13th composite one is wrong."""
+    b = F.col("line2")
+    part = lambda begin, n: F.substring(b, begin, n)
+    filled = df.withColumn("line2", F.concat(part(1, 9), mrz.check_digit(part(1, 9)), part(11, 9), mrz.check_digit(part(14, 6)), part(21, 7), mrz.check_digit(part(22, 6)), part(29, 15), F.lit("G")))
+    total = mrz.check_digit(F.concat(part(1, 10), part(14, 7), part(22, 22)))
+    last = F.when(F.col("c_custkey") % 13 == 0, ((total.cast("int") + 1) % 10).cast("string")).otherwise(total)
+    return filled.withColumn("line2", F.concat(part(1, 43), last))
+
+
+@query(f"""SELECT c_custkey, upper(c_mktsegment) AS surname, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS passport_number, CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
+CAST(CASE WHEN c_custkey % 100 <= 40 THEN 2000 ELSE 1900 END + c_custkey % 100 AS VARCHAR) || '-03-15' AS date_of_birth, CAST(c_nationkey AS VARCHAR) AS personal_number, c_custkey % 13 > 0 AS valid,
+CASE WHEN c_custkey % 13 > 0 THEN 0.99 ELSE 0.85 END AS confidence, {_digit("lpad(CAST(c_custkey AS VARCHAR), 9, '0')")} AS digit FROM customer""")
+def mrz_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    rows = with_digits(spark.sql(_LINES.replace("{s}", "string")))
+    found = rows.select("c_custkey", mrz.parse(F.col("line1"), F.col("line2")).alias("m"), F.substring("line2", 10, 1).alias("digit"))
+    return found.select("c_custkey", *(f"m.{c}" for c in ("surname", "passport_number", "gender", "personal_number", "valid", "confidence")), F.col("m.date_of_birth").cast("string").alias("date_of_birth"), "digit")
+
+
+@query("""SELECT c_custkey AS document_id, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS passport_number, c_custkey % 13 > 0 AS valid, true AS complete FROM customer WHERE c_custkey % 5 > 0""")
+def mrz_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones found among other lines; documents without two fitting lines are quarantined."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    rows = with_digits(spark.sql(_LINES.replace("{s}", "string")))
+    lines = rows.select(F.col("c_custkey").alias("document_id"), F.posexplode(F.array(F.lit("REPUBLIC"), F.lower("line1"), F.when(F.col("c_custkey") % 5 > 0, F.col("line2")).otherwise("TORN"), F.lit("SIGNATURE"))).alias("line_no", "text"))
+    parsed, _ = extract.mrz_zones(lines, "document_id")
+    return parsed.select("document_id", "m.passport_number", "m.valid", F.col("m.surname").isNotNull().alias("complete"))

@@ -71,7 +71,7 @@ _AR, _LA = "len(regexp_extract_all(arabic, '[\\x{0600}-\\x{06FF}]'))", "len(rege
 
 
 @query(f"""SELECT p_partkey, {_AR} > 0 AS has_arabic, {_LA} > 0 AS has_latin, CASE WHEN {_AR} > {_LA} THEN 'ar' ELSE 'en' END AS text_language,
-CASE WHEN {_AR} + {_LA} = 0 THEN 'unknown' WHEN {_AR} / ({_AR} + {_LA}) > 0.6 THEN 'arabic' WHEN {_AR} / ({_AR} + {_LA}) < 0.4 THEN 'english' ELSE 'mixed' END AS name_language FROM ({_N})""")
+CASE WHEN {_AR} + {_LA} = 0 THEN 'unknown' WHEN {_AR} / ({_AR} + {_LA}) >= 0.6 THEN 'arabic' WHEN {_AR} / ({_AR} + {_LA}) <= 0.4 THEN 'english' ELSE 'mixed' END AS name_language FROM ({_N})""")
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("arabic")
     return _names(spark, sf_dir).select("p_partkey", text.has_arabic(a).alias("has_arabic"), text.has_latin(a).alias("has_latin"), text.text_language(a).alias("text_language"), text.name_language(a).alias("name_language"))
