@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions import similarity as sim
 from attesta.functions import text
@@ -124,7 +125,7 @@ def screen(queries: DataFrame, registry: DataFrame, language: str = "english", a
     return found
 
 
-@F.pandas_udf("tier string, score double")
+@F.pandas_udf(T.StructType([T.StructField("tier", T.StringType()), T.StructField("score", T.DoubleType())]))
 def name_compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Tier and score of two names that are already normalised, for SQL."""
     rows = []
