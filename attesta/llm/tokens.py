@@ -35,9 +35,9 @@ from .common import scratch_path, small_batches
 
 MAGIC, CLOSE, BLOCK = b"WMX1", "\n=WMX1 END=\n", 512
 #: Pieces (about 200 bytes each) of each of the two generations that a worker remembers.
-REMEMBERED = 250_000
-#: A space with other white space beside it, or at either end.
-_ODD = re.compile(r"\s | \s|\A | \Z")
+REMEMBERED = 500_000
+#: A space before white space or the end, and other white space before a space.
+_BEFORE, _AFTER = re.compile(r" (?:\s|\Z)"), re.compile(r"[^\S ] ")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -149,6 +149,31 @@ def unpack(content: bytes) -> tuple[dict, list, np.ndarray, WaveletMatrix]:
     return head, doc_ids, np.frombuffer(parts[1], "<u4"), matrix
 
 
+class Memory:
+    """Ids of pieces, in two generations: what is asked for again outlives the older one's end."""
+
+    def __init__(self, tokenizer, prefix: str = ""):
+        self.tokenizer, self.prefix = tokenizer, prefix
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, wanted: set[str]) -> None:
+        """Make ``known`` hold every wanted piece."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in wanted.difference(self.known):
+            if (ids := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        for at in range(0, len(new), 4096):
+            block = new[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([self.prefix + w for w in block] if self.prefix else block, add_special_tokens=False)
+            for w, e in zip(block, found, strict=True):
+                self.known[w] = np.array(e.ids, "<u2").tobytes()
+
+
 class Encoder:
     """A public tokenizer that encodes each piece between single spaces once.
 
@@ -163,14 +188,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.exact, self.spaced = Memory(self.tokenizer), Memory(self.tokenizer, " ")
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """Parts of a text with unusual white space; all but the first begin with their space."""
         first, *rest = text.split(" ")
-        if not _ODD.search(text):
-            return [first, *(f" {w}" for w in rest)]
         out = [first]
         for w in rest:
             if not w or w[0].isspace() or not out[-1] or out[-1][-1].isspace():
@@ -181,23 +204,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, two bytes each."""
-        cut = [self.pieces(t) for t in texts]
-        wanted = set().union(*cut)
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        new = []
-        for w in wanted:
-            if w not in self.known:
-                if (ids := self.older.get(w)) is None:
-                    new.append(w)
-                else:
-                    self.known[w] = ids
-        for at in range(0, len(new), 4096):
-            block = new[at : at + 4096]
-            for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u2").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        exact: set[str] = set()
+        spaced: set[str] = set()
+        cut: list[tuple[list[str], list[str]]] = []
+        for t in texts:
+            words = t.split(" ")
+            if words[0] and not _BEFORE.search(t) and not _AFTER.search(t):
+                cut.append((words[:1], words[1:]))
+            else:
+                cut.append((self.pieces(t), []))
+            exact.update(cut[-1][0])
+            spaced.update(cut[-1][1])
+        self.exact.learn(exact)
+        self.spaced.learn(spaced)
+        whole, part = self.exact.known.__getitem__, self.spaced.known.__getitem__
+        return [b"".join([*map(whole, a), *map(part, b)]) for a, b in cut]
 
 
 def encoder(path: str) -> Encoder:
