@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the five ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,3 +51,9 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+def small_side(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A narrow table (ids and counts) to join with wide rows: sent to all executors while it has at most
+    ``rows`` rows, which bounds it to some tens of MB; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

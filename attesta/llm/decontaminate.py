@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, small_side
 
 _IS_WORD = np.ones(256, bool)
 for _lo, _hi in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
@@ -210,5 +210,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that share no window with any item."""
     found = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    bad = materialise(found, "contaminated")
+    bad = small_side(materialise(found, "contaminated"))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_hash"]), "left_anti")

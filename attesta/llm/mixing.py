@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, small_side
 
 WEIGHTS = (5, 2, 1)
 
@@ -110,5 +110,5 @@ def repeat_taken(docs: DataFrame, **options) -> DataFrame:
     got = mix(docs, **options)
     id_col = options.get("id_col", "doc_id")
     times = got.where("size > 0").groupBy(id_col).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
-    held = docs.join(materialise(times, "times"), id_col)
+    held = docs.join(small_side(materialise(times, "times")), id_col)
     return held.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_nth")).drop("_nth")

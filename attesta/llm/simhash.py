@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, small_side
 
 SEED = 42
 SLICE = 1 << 16
@@ -173,9 +173,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; a repeated id stays once."""
-    kept = near_duplicates(docs, id_col, text_col, width, radius).where(F.col(id_col) == F.col("component_id"))
-    ids = materialise(kept.groupBy(id_col).agg(F.count("*").alias("_times")), "kept")
-    once = docs.join(ids.where("_times = 1").select(id_col), id_col, "left_semi")
-    several = docs.join(ids.where("_times > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(several)
+    """The rows of ``docs`` whose id is the smallest of its class; a repeated id stays once.
+
+    Rows without an id cannot be told apart and go. Texts are not shuffled while the ids to drop are few.
+    """
+    classes = near_duplicates(docs, id_col, text_col, width, radius)
+    gone = materialise(classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+    twice = materialise(classes.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    kept = docs.where(F.col(id_col).isNotNull()).join(small_side(gone), id_col, "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    several = small_side(twice)
+    return kept.join(several, id_col, "left_anti").unionByName(kept.join(several, id_col, "left_semi").dropDuplicates([id_col]))
