@@ -43,7 +43,7 @@ END = b"\r\n\r\n"
 
 
 def arc_record(version: str, url: str, date: str, block: bytes, offset: int = 0) -> bytes:
-    known = {"URL": url, "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Checksum": hashlib.sha1(block).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": "pages.arc", "Archive-length": str(len(block))}
+    known = {"URL": url, "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Checksum": "-", "Location": "-", "Offset": str(offset), "Filename": "pages.arc", "Archive-length": str(len(block))}
     return " ".join(known[f] for f in FIELDS[version]).encode() + b"\n" + block + b"\n"
 
 
@@ -90,11 +90,11 @@ def from_arc(head: dict[str, str], block: bytes) -> dict:
         "record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{head['URL']} {d} {http.get('X-Page-Id')} {digest.hexdigest()}")),
         "digest": digest.hexdigest(),
         "size": len(payload),
-        "payload": payload.decode("utf-8", "replace"),
+        "payload": payload,
     }
 
 
-RECORD = "page_id long, uri string, date string, record_id string, digest string, size long, payload string"
+RECORD = [("page_id", pa.int64(), "long"), ("uri", pa.string(), "string"), ("date", pa.string(), "string"), ("record_id", pa.string(), "string"), ("digest", pa.string(), "string"), ("size", pa.int64(), "long"), ("payload", pa.binary(), "binary")]
 
 
 def pages_as_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "19970101000000", records: int = 64) -> DataFrame:
@@ -110,31 +110,34 @@ def pages_as_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 out.write(arc_head(version, date))
                 for i, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     own = "" if i is None else f"X-Page-Id: {i}\r\n"
-                    block = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}\r\n".encode() + (html or "").encode("utf-8", "replace")
+                    block = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}\r\n".encode() + (html or b"")
                     out.write(arc_record(version, quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else "unknown:", date, block, out.tell()))
                 yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["content"])
 
     small_batches(pages.sparkSession)
-    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, "content binary")
+    return pages.select(F.col(id_col).cast("long"), url_col, F.col(html_col).cast("binary")).mapInArrow(run, "content binary")
 
 
-def convert(arcs: DataFrame, content_col: str = "content") -> DataFrame:
-    """One row for each record of ARC files, with its WARC fields."""
+def convert(arcs: DataFrame, content_col: str = "content", payloads: bool = True) -> DataFrame:
+    """One row for each record of ARC files, with its WARC fields; ``payloads`` may be left out."""
+    fields = RECORD if payloads else RECORD[:-1]
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind, _ in fields], [n for n, _, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("size", pa.int64()), ("payload", pa.string())])
         for b in batches:
             for content in b.column(0):
                 rows: list[dict] = []
                 for head, block in read_arc(io.BytesIO(content.as_py())):
                     rows.append(from_arc(head, block))
                     if len(rows) == 256:
-                        yield pa.RecordBatch.from_pylist(rows, kinds)
+                        yield batch(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                    yield batch(rows)
 
-    return arcs.select(content_col).mapInArrow(run, RECORD)
+    return arcs.select(content_col).mapInArrow(run, ", ".join(f"{n} {sql}" for n, _, sql in fields))
 
 
 def as_text(records: DataFrame) -> DataFrame:
@@ -142,6 +145,7 @@ def as_text(records: DataFrame) -> DataFrame:
     same = F.col("refers_id").isNotNull()
     own = F.when(F.col("page_id").isNotNull(), F.format_string("X-Page-Id: %d\r\n", "page_id")).otherwise("")
     http = F.concat(F.lit("HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), own, F.lit("\r\n"))
+    http = http.cast("binary")
     block = F.when(same, http).otherwise(F.concat(http, "payload"))
     refers = F.when(same, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), "refers_id", F.lit(">\r\nX-Refers-To-Page: "), F.col("refers_page").cast("string"), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise("")
     head = F.concat(
@@ -151,12 +155,15 @@ def as_text(records: DataFrame) -> DataFrame:
         F.lit("\r\nX-Payload-Length: "), F.col("size").cast("string"), F.lit("\r\n"), refers,
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
-    return records.select(F.concat(head, block).alias("value"))
+    return records.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
+
 
+def with_revisits(records: DataFrame, keys: DataFrame, least: int = 1000) -> DataFrame:
+    """Add ``refers_page`` and ``refers_id``: the response that a revisit stands for, else null.
 
-def with_revisits(records: DataFrame, least: int = 1000) -> DataFrame:
-    """Add ``refers_page`` and ``refers_id``: the response that a revisit stands for, else null."""
-    large = records.where(F.col("size") >= least)
+    ``keys`` are the same records without their payloads.
+    """
+    large = keys.where(F.col("size") >= least)
     kept = large.groupBy("digest", "size").agg(F.max_by("record_id", "page_id").alias("first_id"), F.max("page_id").alias("first_page"), F.count("*").alias("times"))
     kept = kept.where("times > 1").select(F.col("digest").alias("kd"), F.col("size").alias("ks"), "first_id", "first_page")
     joined = records.join(kept, (F.col("digest") == F.col("kd")) & (F.col("size") == F.col("ks")), "left")
@@ -217,6 +224,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
     """Convert pages from ARC to WARC, write the archives and read them back."""
     spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "warc")
-    records = convert(pages_as_arc(pages, id_col, url_col, html_col))
-    write(with_revisits(records, least), path)
+    arcs = pages_as_arc(pages, id_col, url_col, html_col)
+    write(with_revisits(convert(arcs), convert(arcs, payloads=False), least), path)
     return read(spark, path)

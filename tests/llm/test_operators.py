@@ -288,7 +288,7 @@ def test_arc_versions():
         got = list(warc.read_arc(io.BytesIO(data)))
         assert [h["URL"] for h, _ in got] == ["http://x/0", "http://x/1", "http://x/2"] and len(got[2][1]) == 3 * len(got[0][1])
     record = warc.from_arc(*got[0])
-    assert record["date"] == "1997-01-02T03:04:05Z" and record["page_id"] == 7 and record["payload"] == "body\n"
+    assert record["date"] == "1997-01-02T03:04:05Z" and record["page_id"] == 7 and record["payload"] == b"body\n"
 
 
 def test_warc(spark):
