@@ -89,10 +89,9 @@ def screen(queries: DataFrame, registry: DataFrame, language: str = "english", a
     """Registry names that match query names: (query_id, registry_id, score, tier).
 
     ``queries``: query_id, name; ``registry``: registry_id, name. Names that share a phonetic code of a
-    token are candidates. Equal names are collapsed first, so a block holds distinct names only. A code
-    that more than ``hot`` distinct registry names carry is a weak key: there the pair must also share a
-    second code of its names (or both names have one), which bounds such blocks without dropping matches
-    of two tokens or more. Candidates are scored once for each distinct pair of names.
+    token are candidates. Equal names are collapsed first, so a block holds distinct names only. The names
+    of a code that more than ``hot`` of them carry are dealt to salts of about ``hot`` names, each of which
+    meets the queries of that code. Candidates are scored once for each distinct pair of names.
     """
     normal = text.arabic_name if language == "arabic" else text.english_name
     latin_of = (lambda c: arabic_to_latin(c)) if language == "arabic" else (lambda c: c)
@@ -105,17 +104,16 @@ def screen(queries: DataFrame, registry: DataFrame, language: str = "english", a
 
     q_rows, q_names = coded(queries, "query_id")
     r_rows, r_names = coded(registry, "registry_id")
-    q, r = (names.select(F.col("n").alias(x), F.explode("codes").alias("code"), F.col("codes").alias(f"{x}_codes")) for names, x in ((q_names, "qn"), (r_names, "rn")))
-    often = r.groupBy("code").count().where(F.col("count") > hot).select(F.col("code").alias("hot_code"))
-    q = q.join(often, q["code"] == often["hot_code"], "left")
+    q, r = (names.select(F.col("n").alias(x), F.explode("codes").alias("code")) for names, x in ((q_names, "qn"), (r_names, "rn")))
+    hot_codes = r.groupBy("code").count().where(F.col("count") > hot).select(F.col("code").alias("hot_code"), F.ceil(F.col("count") / hot).alias("salts"))
 
-    def second(side: DataFrame, codes: str) -> DataFrame:
-        others = F.array_except(F.col(codes), F.array("code"))
-        return side.withColumn("second", F.explode(F.when(F.size(others) > 0, others).otherwise(F.array(F.lit("")))))
+    def salted(side: DataFrame, name: str, every_salt: bool) -> DataFrame:
+        n = F.coalesce("salts", F.lit(1))
+        salt = F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) if every_salt else F.pmod(F.xxhash64(name), n)
+        return side.join(hot_codes, F.col("code") == F.col("hot_code"), "left").select(name, "code", salt.alias("salt"))
 
-    plain = q.where("hot_code IS NULL").select("qn", "code").join(r.select("rn", "code"), "code").select("qn", "rn")
-    crowded = second(q.where("hot_code IS NOT NULL"), "qn_codes").select("qn", "code", "second").join(second(r, "rn_codes").select("rn", "code", "second"), ["code", "second"]).select("qn", "rn")
-    candidates = plain.unionByName(crowded).distinct().where(_reach(F.col("rn"), F.col("qn")) >= at_least)
+    pairs = salted(q, "qn", True).join(salted(r, "rn", False), ["code", "salt"]).select("qn", "rn")
+    candidates = pairs.distinct().where(_reach(F.col("rn"), F.col("qn")) >= at_least)
     scored = compare(candidates, "rn", "qn", language).where(F.col("name_score") >= at_least)
     found = scored.join(q_rows, F.col("qn") == q_rows["n"]).drop("n").join(r_rows, F.col("rn") == r_rows["n"]).drop("n")
     found = found.select("query_id", "registry_id", F.col("name_score").alias("score"), F.col("name_score_tier").alias("tier"))

@@ -144,7 +144,7 @@ def test_screening_loses_nothing(spark):
     people = [(i, f"{first[i % 5]} {last[i // 5 % 4]}") for i in range(40)]
     registry_ = spark.createDataFrame(people, "registry_id int, name string")
     asked = spark.createDataFrame([(100, "Mohamed Ali"), (101, "Sarah Saleh"), (102, ""), (103, None)], "query_id int, name string")
-    for hot in (10_000, 0):
+    for hot in (10_000, 2):
         got = {(r.query_id, r.registry_id) for r in names.screen(asked, registry_, hot=hot, best_only=False).collect()}
         pairs = asked.join(registry_.withColumnRenamed("name", "other"), how="cross")
         want = {(r.query_id, r.registry_id) for r in names.compare(pairs, "other", "name", "english").where("name_score >= 0.85").collect()}
