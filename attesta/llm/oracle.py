@@ -12,6 +12,19 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM k
 """
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: w[k:k + n - 1])) AS g
+      FROM (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM i),
+g AS (SELECT rid, n, k, w[k:k + n - 1] AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, lens WHERE len(w) >= n)),
+m AS (SELECT rid, k, n, item FROM g JOIN (SELECT DISTINCT item, g FROM i) USING (g)),
+h AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS j FROM (SELECT DISTINCT rid, k, n FROM m)) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM m GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""
 OP7 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -23,4 +36,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7, "op8_warc": OP8}
+    return {"op4_decontamination": OP4, "op7_top_k": OP7, "op8_warc": OP8}
