@@ -111,6 +111,11 @@ def text_language(c: Column) -> Column:
     return F.when(count(c, ARABIC) > count(c, LATIN), "ar").otherwise("en")
 
 
+def language_label(code: Column) -> Column:
+    """A language's name; an unknown code stays as it is."""
+    return F.when(code == "en", "English").when(code == "ar", "Arabic").otherwise(code)
+
+
 def name_language(c: Column) -> Column:
     """By share of letters: 60 % or more of one script, ``mixed`` in between, ``unknown`` without letters."""
     a, b = count(c, "[؀-ۿݐ-ݿ]"), count(c, LATIN)

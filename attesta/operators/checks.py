@@ -82,6 +82,17 @@ def document_sides(rows: DataFrame, subject: str = "subject") -> DataFrame:
     return rows.select(subject, names.alias("_f")).groupBy(subject).agg(F.array_sort(F.flatten(F.collect_list("_f"))).alias("failed")).select(subject, (F.size("failed") == 0).alias("passed"), "failed")
 
 
+def passports(rows: DataFrame, subject: str = "subject") -> DataFrame:
+    """Wide rows (subject, original, sharp, face, glare, coverage, margin_ok, min_side) to a verdict."""
+    covered = F.col("coverage") >= LEAST_COVERAGE
+    rules = {
+        "resolution": F.col("min_side") >= LEAST_SIDE, "official_document": F.col("face"), "not_screenshot_or_copy": F.col("original"), "clear_and_readable": F.col("sharp"),
+        "fully_visible": covered & (F.col("margin_ok") | (F.col("coverage") >= FULL_FRAME)), "not_obscured": F.col("face") & ~F.col("glare"), "no_extra_objects": covered, "integrity": F.col("face"),
+    }
+    failed = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items())), lambda n: n.isNotNull())
+    return rows.select(subject, (F.size(failed) == 0).alias("passed"), failed.alias("failed"))
+
+
 def face_quality(rows: DataFrame) -> DataFrame:
     """Add ``quality``, ``quality_ok`` and the first failing ``message`` (landmarks, confidence, face_ratio)."""
     quality = 0.4 * F.col("landmarks") / 5 + 0.3 * F.col("confidence") + 0.3 * F.least(F.lit(1.0), F.col("face_ratio") / 0.15)

@@ -167,6 +167,22 @@ def best_detections(boxes: DataFrame, key: str, pad: float = 0.05) -> DataFrame:
     return top.select(key, "label", "confidence", *(c.alias(n) for c, n in zip(padded, ("x1", "y1", "x2", "y2"), strict=True)))
 
 
+def all_detections(boxes: DataFrame, key: str) -> DataFrame:
+    """Every box of each label, the most confident first."""
+    box = F.struct((-F.col("confidence")).alias("order"), "x1", "y1", "x2", "y2", "confidence")
+    return boxes.groupBy(key, "label").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+
+
+def field_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a field that fit its recogniser: two Arabic letters, or a digit where the label asks for one.
+
+    ``lines`` have ``label``, ``language`` and ``text``.
+    """
+    digits = F.col("label").isin("DOB", "unique_id", "expiry_data", "issue_date")
+    fits = F.when(F.col("language") == "ar", F.regexp_count("text", F.lit(text.ARABIC)) >= 2).otherwise(~digits | F.col("text").rlike(r"\d"))
+    return lines.where(fits)
+
+
 def zone_boxes(boxes: DataFrame, key: str) -> DataFrame:
     """Machine-readable zone boxes from top to bottom, two at most."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy("y1", "x1"))

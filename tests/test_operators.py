@@ -246,3 +246,12 @@ def test_line_fields(spark):
     assert {r.k: r.gender for r in extract.gender_and_nationality(df, "k").collect()} == {1: None, 2: "Female"}
     assert extract.in_script(df, "ar").count() == 2 and extract.without_offices(df).count() == 8
     assert {r.k: r.languages for r in extract.quality_of_lines(df, "k", extract.id_numbers(df, "k")).collect()}[1] == ["ar", "en"]
+
+
+def test_verification_names(spark):
+    from attesta.operators import verify
+
+    rows = [("a", None, "Mohammed Ali", None, 1.0), ("b", "Mohamad Aly", "Mohammed Ali", None, 1.0), ("c", "Mhmd Aly", None, "محمد علي", 1.0), ("d", "محمد", "x", None, 0.0), ("e", "Ali Mohammed", "Mohammed Ali", None, 1.0), ("f", "Zzzz Qqqq", "Mohammed Ali", None, None), ("g", "Mohammed Ali Saleh", "Mohammed Ali Qxqx", None, 0.7 + 0.3 * 2 / 3)]
+    df = spark.createDataFrame([r[:4] for r in rows], "k string, typed string, name_english string, name_arabic string")
+    got = {r.k: r.name_score for r in verify.name_scores(df).collect()}
+    assert len(got) == len(rows) and all(got[r[0]] == pytest.approx(r[4]) for r in rows if r[4] is not None) and got["f"] < 0.6
