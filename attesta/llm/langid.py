@@ -88,31 +88,42 @@ class Models:
     def losses(self, s: np.ndarray) -> np.ndarray:
         """Each language's cross-entropy per character, over the characters after the first edge."""
         out = np.zeros(len(self.languages))
-        for n in range(1, self.order + 1):  # the places near the start have shorter histories
-            if n < self.order and len(s) > n - 1:
-                out += self._score(s[:n], n)[-1:].sum(0) if n > 1 else 0
-            elif n == self.order and len(s) >= n:
-                for at in range(0, len(s) - n + 1, 1 << 16):  # bounded memory for long texts
-                    out += self._score(s[at : at + (1 << 16) + n - 1], n).sum(0)
+        for n in range(2, min(self.order, len(s) + 1)):  # the first places have shorter histories
+            out += self._score(s[:n], n)[0]
+        n = self.order
+        for at in range(0, len(s) - n + 1, 1 << 16):  # bounded memory for long texts
+            out += self._score(s[at : at + (1 << 16) + n - 1], n).sum(0)
         return -out / max(1, len(s) - 1)
 
-    def _score(self, s: np.ndarray, n: int) -> np.ndarray:
-        g = grams(s, n)
+    def _found(self, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes in the order's sorted array, and whether each is really there."""
         keys = self.keys[n - 1]
         at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        return at, keys[at] == g
+
+    def _score(self, s: np.ndarray, n: int) -> np.ndarray:
+        """Log probabilities of the last symbol of every ``n``-gram of a text."""
+        at, seen = self._found(grams(s, n), n)
         out = self.probs[n - 1][at]
-        unseen = np.flatnonzero(keys[at] != g)
-        if not len(unseen):
-            return out
-        if n == 1:
-            out[unseen] = self.probs[0].min(0) - 1.0
-            return out
-        # Shorter n-grams ending at the same places, then the back-off weight of the context.
-        windows = s[unseen[:, None] + np.arange(n)]
-        lower = np.stack([self._score(w[1:], n - 1)[-1] for w in windows]) if len(unseen) < 4 else self._rows(windows[:, 1:], n - 1)
-        out[unseen] = lower + self._back(windows[:, :-1], n - 1)
+        unseen = np.flatnonzero(~seen)
+        if len(unseen):
+            out[unseen] = self._unseen(s[unseen[:, None] + np.arange(n)], n)
+        return out
+
+    def _rows(self, w: np.ndarray, n: int) -> np.ndarray:
+        """The same for ``n``-grams given as rows."""
+        at, seen = self._found(self._hash_rows(w), n)
+        out = self.probs[n - 1][at]
+        if not seen.all():
+            out[~seen] = self._unseen(w[~seen], n)
         return out
 
+    def _unseen(self, w: np.ndarray, n: int) -> np.ndarray:
+        """The next shorter n-gram, times the context's back-off weight."""
+        if n == 1:
+            return np.broadcast_to(self.probs[0].min(0) - 1.0, (len(w), len(self.languages)))
+        return self._rows(w[:, 1:], n - 1) + self._back(w[:, :-1], n - 1)
+
     def _hash_rows(self, w: np.ndarray) -> np.ndarray:
         out = np.full(len(w), w.shape[1], np.uint64)
         for j in range(w.shape[1]):
@@ -120,19 +131,9 @@ class Models:
             out ^= out >> np.uint64(32)
         return out
 
-    def _rows(self, w: np.ndarray, n: int) -> np.ndarray:
-        g, keys = self._hash_rows(w), self.keys[n - 1]
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        out = self.probs[n - 1][at]
-        unseen = np.flatnonzero(keys[at] != g)
-        if len(unseen):
-            out[unseen] = self.probs[0].min(0) - 1.0 if n == 1 else self._rows(w[unseen, 1:], n - 1) + self._back(w[unseen, :-1], n - 1)
-        return out
-
     def _back(self, w: np.ndarray, n: int) -> np.ndarray:
-        g, keys = self._hash_rows(w), self.keys[n - 1]
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        return np.where((keys[at] == g)[:, None], self.backs[n - 1][at], 0.0)
+        at, seen = self._found(self._hash_rows(w), n)
+        return np.where(seen[:, None], self.backs[n - 1][at], 0.0)
 
     def judge(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, cross-entropy (nats a character), rejected."""
