@@ -27,6 +27,8 @@ from .common import small_batches
 WINDOW, SURGE = 3, 80
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Class names that tell of a layout, such as "has-sidebar", mark no element.
+_LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_]+[a-z]+")
 #: Content that is never text.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "canvas", "math", "xmp"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "button", "menu", "dialog", "header"}
@@ -52,8 +54,8 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     for m in _MARK.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            found = set(re.split(r"[^a-z]+", value))
-            if found & (READERS if tag == "article" else NOT_TEXT):
+            found = set(re.split(r"[^a-z]+", _LAYOUT.sub(" ", value)))
+            if found & (READERS if tag == "article" else NOT_TEXT - {"header"} if in_article else NOT_TEXT):
                 return True
         elif name == "role" and value in ROLES or name == "hidden" and tag != "article" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True

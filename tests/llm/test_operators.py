@@ -227,6 +227,11 @@ def test_html():
     assert html.extract(plain) == f"Head\n\n{long.strip()}\n\nYes.\n\n{long.strip()}"
 
 
+def test_html_layouts():
+    page = '<body class="no-nav"><div class="page has-sidebar"><article><div class="article-header"><h1>Head</h1></div><p>Body text.</p></article><div class="sidebar">Side</div></div></body>'
+    assert html.extract(page) == "Head\n\nBody text."
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>Hello</p>", 2), (1, "u", None, 1)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in html.main_text(pages).collect()) == ["", "", "Hello"]
