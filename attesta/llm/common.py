@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of narrow scratch tables in a file, at least.
+FILE_ROWS = 250_000
 #: White space of the contracts: space and the five ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,9 +42,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    ``rows``, a bound of a narrow table's rows, keeps it from being cut into many tiny files.
+    """
     path = scratch_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -135,11 +135,11 @@ def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFr
     )
 
 
-def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
+def connected(edges: DataFrame, label: str = "stars", rows: int | None = None) -> DataFrame:
     """``node`` and ``root`` (the component's smallest node) for every node of the edges but roots.
 
     Large-star and small-star steps alternate until nothing changes. Rows of a hub never meet in one
-    group: its minimum is a partially aggregated ``min`` and is joined back.
+    group: its minimum is a partially aggregated ``min`` and is joined back. ``rows`` bounds the edges.
     """
 
     def star(pairs: DataFrame) -> DataFrame:
@@ -149,14 +149,14 @@ def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
     def tally(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
-    now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label, rows)
     before, state = None, tally(now)
     while state != before and state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         kept = star(large)
         small = kept.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.union(kept.select("u", F.col("m").alias("v"))).where("u != v").distinct(), label)
+        now = materialise(small.union(kept.select("u", F.col("m").alias("v"))).where("u != v").distinct(), label, state[0])
         before, state = state, tally(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -164,8 +164,8 @@ def connected(edges: DataFrame, label: str = "stars") -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """One row for each row of ``df``: its id, ``fp`` and ``component_id`` (the class's smallest id)."""
     marked = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected(stars(distinct.select("fp"), radius))
+    distinct = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct", marked.count())
+    roots = connected(stars(distinct.select("fp"), radius), rows=(radius + 1) * distinct.count())
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     owner = classes.join(smallest, "root").select(F.col("fp").alias("owned"), "component_id")
