@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from .dates import mrz_date
 
 
-def check_digit(data: Column) -> Column:
-    """Weights 7, 3, 1 over the characters' values, modulo 10."""
-    def value(ch: Column) -> Column:
-        code = F.ascii(ch)
-        return F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0)
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A letter's value modulo 10; A is 10.
+_UNITS = "".join(str(i % 10) for i in range(len(_LETTERS)))
 
-    weights = F.array(F.lit(7), F.lit(3), F.lit(1))
-    chars = F.filter(F.split(F.upper(data), ""), lambda ch: ch != "")
-    weighed = F.transform(chars, lambda ch, i: value(ch) * F.get(weights, i % 3))
-    return (F.aggregate(weighed, F.lit(0), lambda a, b: a + b) % 10).cast("string")
+
+def check_digit(data: Column, length: int) -> Column:
+    """Weights 7, 3, 1 over the values of ``length`` characters, modulo 10.
+
+    Only the last digit of a value matters, so characters are mapped to digits. The mapped text is bound
+    once, as the only element of an array, and the sum over its places is written out.
+    """
+    units = F.rpad(F.regexp_replace(F.translate(F.upper(data), _LETTERS, _UNITS), "[^0-9]", "0"), length, "0")
+
+    def total(u: Column) -> Column:
+        out = F.lit(0)
+        for i in range(length):
+            out = out + (F.ascii(F.substring(u, i + 1, 1)) - 48) * (7, 3, 1)[i % 3]
+        return (out % 10).cast("string")
+
+    return F.get(F.transform(F.array(units), total), F.lit(0))
 
 
 def fit(line: Column) -> Column:
@@ -34,10 +44,10 @@ def parse(line1: Column, line2: Column, expiry_pivot: int = 40) -> Column:
     names = F.split(part(a, 6, 39), "<<")
     surname, given = spaced(F.get(names, F.lit(0))), spaced(F.get(names, F.lit(1)))
     ok = {
-        "passport": check_digit(part(b, 1, 9)) == part(b, 10, 1),
-        "dob": check_digit(part(b, 14, 6)) == part(b, 20, 1),
-        "expiry": check_digit(part(b, 22, 6)) == part(b, 28, 1),
-        "composite": check_digit(F.concat(part(b, 1, 10), part(b, 14, 7), part(b, 22, 22))) == part(b, 44, 1),
+        "passport": check_digit(part(b, 1, 9), 9) == part(b, 10, 1),
+        "dob": check_digit(part(b, 14, 6), 6) == part(b, 20, 1),
+        "expiry": check_digit(part(b, 22, 6), 6) == part(b, 28, 1),
+        "composite": check_digit(F.concat(part(b, 1, 10), part(b, 14, 7), part(b, 22, 22)), 39) == part(b, 44, 1),
     }
     valid = ok["passport"] & ok["dob"] & ok["expiry"] & ok["composite"]
     fields = F.struct(

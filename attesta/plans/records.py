@@ -148,8 +148,8 @@ def with_digits(df: DataFrame) -> DataFrame:
     """Put computed check digits where C, D, E and G stand; every 13th composite one is wrong."""
     b = F.col("line2")
     part = lambda begin, n: F.substring(b, begin, n)
-    filled = df.withColumn("line2", F.concat(part(1, 9), mrz.check_digit(part(1, 9)), part(11, 9), mrz.check_digit(part(14, 6)), part(21, 7), mrz.check_digit(part(22, 6)), part(29, 15), F.lit("G")))
-    total = mrz.check_digit(F.concat(part(1, 10), part(14, 7), part(22, 22)))
+    filled = df.withColumn("line2", F.concat(part(1, 9), mrz.check_digit(part(1, 9), 9), part(11, 9), mrz.check_digit(part(14, 6), 6), part(21, 7), mrz.check_digit(part(22, 6), 6), part(29, 15), F.lit("G")))
+    total = mrz.check_digit(F.concat(part(1, 10), part(14, 7), part(22, 22)), 39)
     last = F.when(F.col("c_custkey") % 13 == 0, ((total.cast("int") + 1) % 10).cast("string")).otherwise(total)
     return filled.withColumn("line2", F.concat(part(1, 43), last))
 
