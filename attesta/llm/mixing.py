@@ -16,6 +16,8 @@ table gives an empty result, and a corpus without words gives targets of 0. Extr
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def apportion(parties: DataFrame, within: list[str], order: list[str], share: st
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 250_000, group_shards: int = 512, seed: int = 7) -> DataFrame:
-    """One row for each document: id, ``source``, ``size``, ``source_size``, ``target``, ``taken``."""
+    """One row for each document: id, ``source``, ``size``, ``source_size``, ``target``, ``shard``, ``taken``."""
     sized = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
@@ -102,13 +104,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return chosen(full) * block + (chosen(full + 1) - chosen(full)) * (at - full * block)
 
     taken = F.floor(F.col("quota") / F.col("_n")).cast("long") * F.col("size") + extra(F.col("end")) - extra(F.col("begin"))
-    return laid.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.least(taken, (most * F.col("size")).cast("long")).alias("taken"))
+    return laid.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "shard", F.least(taken, (most * F.col("size")).cast("long")).alias("taken"))
+
+
+def copies(got: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
+    """``_id``, ``_key`` (of source and size), ``_times``: whole copies that meet each shard's taken words.
+
+    Every document gets floor(taken / size) copies. What is left over is summed along the shard, long
+    documents before short ones and in a seeded order among those of like length; a document that the sum
+    lifts above its own seeded share of its size gets one more copy, whose words leave the sum. The sum
+    stays within one document of like length, so short documents at the end settle what long ones left.
+    Rows that agree in id, source and size are decided as one.
+    """
+    key = F.xxhash64("source", "size")
+    alike = got.where("size > 0").groupBy(F.col(id_col).alias("_id"), "source", "shard", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"))
+    drawn = alike.select("source", "shard", "_id", key.alias("_key"), (F.col("n") * F.col("size")).alias("words"), "taken", F.xxhash64(F.lit(seed + 3), "_id", "_key").alias("place"), F.xxhash64(F.lit(seed + 4), "_id", "_key").alias("draw"))
+
+    def run(shard: pa.Table) -> pa.Table:
+        size, taken, place, draw = (shard[c].to_numpy() for c in ("words", "taken", "place", "draw"))
+        times, left = np.divmod(taken, size)
+        need = (draw.view(np.uint64) / 2.0**64 * size).tolist()
+        owed, extra = 0, np.zeros(len(size), np.int64)
+        for i in np.lexsort((draw, place, -np.frexp(size)[1])).tolist():
+            if left[i]:
+                owed += int(left[i])
+                if owed > need[i]:
+                    owed -= int(size[i])
+                    extra[i] = 1
+        return pa.table({"_id": shard["_id"], "_key": shard["_key"], "_times": pa.array((times + extra).astype(np.int32))})
+
+    kind = got.schema[id_col].dataType.simpleString()
+    return drawn.groupBy("source", "shard").applyInArrow(run, f"_id {kind}, _key long, _times int").where("_times > 0")
 
 
 def repeat_taken(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: taken / size, rounded."""
-    got = mix(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    times = got.where("size > 0").groupBy(id_col).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
-    held = docs.join(small_side(materialise(times, "times")), id_col)
+    """The rows of ``docs`` in as many whole copies as come to the words that the mix takes of each shard."""
+    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    times = small_side(materialise(copies(mix(docs, **options), id_col, options.get("seed", 7)), "times"))
+    key = F.xxhash64(F.col(source_col), words(F.col(text_col)))
+    held = docs.withColumn("_own", key).join(times, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
     return held.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_nth")).drop("_nth")

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from attesta.llm import mixing
 from tests.llm.test_operators import SF, classes, plain_contamination, plain_fingerprint
 
 
@@ -38,3 +39,21 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mixing_meets_targets(spark):
+    """Whole copies come to the target of each source, also where the target is a part of the source."""
+    words = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    rows = [(i if i % 500 else None, "w " * (1 + i * 37 % 400), "hot" if i % 10 < 3 else f"cold{i // 10 % 20}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(docs, shard_words=50_000).collect()}
+    kept, times = {}, {}
+    for r in mixing.repeat_taken(docs, shard_words=50_000).collect():
+        kept[r.source] = kept.get(r.source, 0) + words(r.text)
+        times[r.doc_id, r.text, r.source] = times.get((r.doc_id, r.text, r.source), 0) + 1
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + words(t)
+    assert any(0.1 < target[s] / size[s] < 0.45 for s in size)  # such a source used to vanish
+    assert all(abs(kept[s] - t) <= 0.02 * t for s, t in target.items())
+    assert max(n for (i, _, _), n in times.items() if i is not None) <= 2 and any(i is None for i, _, _ in times)
