@@ -172,16 +172,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(owner, marked["fp"] == owner["owned"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; a repeated id stays once.
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: id and text. Smaller ids come first, rows without an id last."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+
+
+def drop_later(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each class; ``classes`` holds each row's key as ``id``, and its class's smallest as ``component_id``.
 
-    Rows without an id cannot be told apart and go. Texts are not shuffled while the ids to drop are few.
+    Texts are not shuffled while the rows to drop are few.
     """
-    classes = near_duplicates(docs, id_col, text_col, width, radius)
-    gone = materialise(classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
-    twice = materialise(classes.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
-    kept = docs.where(F.col(id_col).isNotNull()).join(small_side(gone), id_col, "left_anti")
+    classes = materialise(classes.select("id", "component_id"), "classes")
+    told = lambda df: df.select(F.col("id.id").alias("_id"), F.col("id.text_hash").alias("_hash"))
+    same = lambda df, side: df[id_col].eqNullSafe(side["_id"]) & (F.xxhash64(df[text_col]) == side["_hash"])
+    gone = small_side(materialise(told(classes.where("id != component_id").select("id").distinct()), "dropped"))
+    twice = materialise(told(classes.where("id = component_id").groupBy("id").count().where("count > 1")), "repeated")
+    kept = docs.join(gone, same(docs, gone), "left_anti")
     if not twice.limit(1).count():
         return kept
     several = small_side(twice)
-    return kept.join(several, id_col, "left_anti").unionByName(kept.join(several, id_col, "left_semi").dropDuplicates([id_col]))
+    return kept.join(several, same(kept, several), "left_anti").unionByName(kept.join(several, same(kept, several), "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each class: that with the smallest id. A row without an id stays where its class has no other."""
+    keyed = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    return drop_later(docs, near_duplicates(keyed, "id", "text", width, radius), id_col, text_col)

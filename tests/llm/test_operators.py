@@ -170,6 +170,18 @@ def test_simhash_odd(spark, odd):
     assert sorted(r.doc_id for r in simhash.keep_one(odd).collect()) == [1, 3, 4, 5]
 
 
+KEEP_ONE = [simhash.keep_one]
+
+
+def test_keep_one_decides_on_rows(spark):
+    """Reused and null ids: exactly one row of each class stays."""
+    rows = [(3, "A"), (5, "A"), (5, "B"), (7, "C"), (7, "D"), (7, "D"), (None, "A"), (None, "E"), (None, "E"), (None, "F")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(3, "A"), (5, "B"), (7, "C"), (7, "D"), (None, "E"), (None, "F")]
+    for keep in KEEP_ONE:
+        assert sorted((tuple(r) for r in keep(df).collect()), key=str) == sorted(want, key=str)
+
+
 # 4 decontamination
 def plain_contamination(docs, items, size=10):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
