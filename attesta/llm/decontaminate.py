@@ -66,12 +66,12 @@ class _Powers:
 _powers = _Powers()
 
 
-def word_hashes(text: str | None) -> list[np.ndarray]:
-    """Two arrays: the hashes of the text's words, under two independent functions."""
+def word_hashes(text: str | None, is_word: np.ndarray = _IS_WORD) -> list[np.ndarray]:
+    """Two arrays: the hashes of the text's words (runs of bytes of ``is_word``), under two independent functions."""
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     inside = np.zeros(len(raw) + 2, bool)
     low, out = _LOWER[raw], []
-    inside[1:-1] = _IS_WORD[low]
+    inside[1:-1] = is_word[low]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[::2], edges[1::2]
     if not len(begin):

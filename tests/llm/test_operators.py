@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from attesta.llm import decontaminate, html, knn, langid, lmscore, mixing, pii, simhash, tokens, warc
+from attesta.llm import decontaminate, html, knn, langid, lmscore, mixing, nearcopies, pii, simhash, tokens, warc
 from attesta.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -170,7 +170,7 @@ def test_simhash_odd(spark, odd):
     assert sorted(r.doc_id for r in simhash.keep_one(odd).collect()) == [1, 3, 4, 5]
 
 
-KEEP_ONE = [simhash.keep_one]
+KEEP_ONE = [simhash.keep_one, nearcopies.keep_one]
 
 
 def test_keep_one_decides_on_rows(spark):

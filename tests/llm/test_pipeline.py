@@ -1,5 +1,6 @@
 """The pipeline's stages against plain Python, each on its own input."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -57,3 +58,46 @@ def test_mixing_meets_targets(spark):
     assert any(0.1 < target[s] / size[s] < 0.45 for s in size)  # such a source used to vanish
     assert all(abs(kept[s] - t) <= 0.02 * t for s, t in target.items())
     assert max(n for (i, _, _), n in times.items() if i is not None) <= 2 and any(i is None for i, _, _ in times)
+
+
+def plain_near_copies(texts):
+    """Each text's first near copy, over all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w))))})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (not a and not sets[j]) or (a and 5 * len(a & sets[j]) >= 4 * len(a | sets[j])):
+                if find(i) != find(j):
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_by_shingles(spark):
+    """Recall against all pairs: texts with a few edited words go, texts below the similarity stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    draw, rows = random.Random(4), []
+    for i in range(60):
+        base = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([30, 120, 400]))]
+        for k in range(5):  # from equal to clearly below the similarity
+            text = list(base)
+            for at in draw.sample(range(len(text)), len(text) * k // 80):
+                text[at] = "edited"
+            rows.append((100000 + 5 * i + k, " ".join(text)))
+    rows += [(200000, "four short words here"), (200001, "Four short  words here"), (200002, ""), (200003, " "), (200004, None)]
+    rows = sorted(rows + [(r.doc_id, r.text) for r in docs.collect()])
+    want = [rows[i][0] for i in sorted(set(plain_near_copies([t for _, t in rows])))]
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, _wide(spark, rows), SF).collect())
+    assert got == want
+
+
+def _wide(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
