@@ -179,14 +179,19 @@ class Encoder:
 
     Byte-level BPE splits a text before its pieces meet: a space between two characters that are not
     white space always begins a new piece, so a text's ids are those of its pieces one after another.
-    Texts with other white space next to a space keep those places whole.
+    Texts with other white space next to a space keep those places whole. The file's added tokens are cut
+    out first, as the library does, and are pieces of their own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(a.single_word or a.lstrip or a.rstrip or a.normalized for a in added):
+            raise ValueError("added tokens that are not fixed strings")
+        contents = sorted((a.content for a in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, contents))})") if contents else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.exact, self.spaced = Memory(self.tokenizer), Memory(self.tokenizer, " ")
 
@@ -209,7 +214,10 @@ class Encoder:
         cut: list[tuple[list[str], list[str]]] = []
         for t in texts:
             words = t.split(" ")
-            if words[0] and not _BEFORE.search(t) and not _AFTER.search(t):
+            if self.added and self.added.search(t):
+                parts = self.added.split(t)  # every second one is an added token
+                cut.append(([p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pieces(part))], []))
+            elif words[0] and not _BEFORE.search(t) and not _AFTER.search(t):
                 cut.append((words[:1], words[1:]))
             else:
                 cut.append((self.pieces(t), []))

@@ -341,6 +341,20 @@ def test_tokens(spark, docs, odd):
     assert tokens.token_index(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_added_tokens():
+    """A text that quotes an added token gets the ids that the library gives by default."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    marker = "<|endoftext|>"
+    texts = ["foo <|endoftext|> bar", marker, marker * 2, f"a{marker}b c", f" {marker} ", f"x  {marker}  y\n {marker}", f"one two {marker}\tthree  é", "<|endo ftext|> <|endoftext", "plain words", ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [21943, 220, 50256, 2318]
+    encoder = tokens.Encoder(tokenizer_path())
+    for _ in range(2):  # the second time from memory
+        assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts)] == want
+
+
 def test_wavelet_matrix():
     ids = (np.random.default_rng(4).zipf(1.4, 3000) % 1000).astype("<u2")
     m = tokens.WaveletMatrix.build(ids, 10)
