@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``size`` bytes; a larger row comes by itself."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        if held and total + b.nbytes > size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        held.append(b)
+        total += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def small_side(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """A narrow table (ids and counts) to join with wide rows: sent to all executors while it has at most
     ``rows`` rows, which bounds it to some tens of MB; a larger one is left to a shuffled join."""

@@ -12,32 +12,32 @@ Spark's text writer writes the files (its line separator is the closing mark), s
 Spark reaches will do, and a lost task is written again.
 
 Null texts count as empty and hold the end id alone. Null ids come first. Repeated ids stay separate
-rows, ordered by text. An empty table gives no file and an empty result. Other columns are ignored.
+rows, ordered by their texts' hashes, by which an id of very many rows is dealt to tasks as well. An empty table gives no file and an empty result. Other columns are ignored.
 A document longer than a shard makes its shard longer; it is never cut.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import gathered, scratch_path, small_batches
 
 MAGIC, CLOSE, BLOCK = b"WMX1", "\n=WMX1 END=\n", 512
-#: Pieces (about 200 bytes each) of each of the two generations that a worker remembers.
-REMEMBERED = 500_000
-#: A space before white space or the end, and other white space before a space.
-_BEFORE, _AFTER = re.compile(r" (?:\s|\Z)"), re.compile(r"[^\S ] ")
+#: Bytes of text that are cut into pieces together, and of pieces that a worker remembers.
+TEXT_BYTES, REMEMBERED = 16 << 20, 48 << 20
+#: How the tokenizer file writes a space, and what it takes for white space.
+_SPACE, _WHITE = "\u0120", r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -121,7 +121,7 @@ class WaveletMatrix:
         return at
 
 
-def pack(ids: np.ndarray, doc_ids: list, lengths: list[int], levels: int, **about) -> bytes:
+def pack(ids: np.ndarray, doc_ids: list, lengths: np.ndarray | list[int], levels: int, **about) -> bytes:
     """A shard's file content, without the closing mark."""
     matrix = WaveletMatrix.build(ids, levels)
     known = [0 if d is None else d for d in doc_ids]
@@ -150,37 +150,63 @@ def unpack(content: bytes) -> tuple[dict, list, np.ndarray, WaveletMatrix]:
 
 
 class Memory:
-    """Ids of pieces, in two generations: what is asked for again outlives the older one's end."""
-
-    def __init__(self, tokenizer, prefix: str = ""):
-        self.tokenizer, self.prefix = tokenizer, prefix
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, wanted: set[str]) -> None:
-        """Make ``known`` hold every wanted piece."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        new = []
-        for w in wanted.difference(self.known):
-            if (ids := self.older.get(w)) is None:
-                new.append(w)
-            else:
-                self.known[w] = ids
-        for at in range(0, len(new), 4096):
-            block = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([self.prefix + w for w in block] if self.prefix else block, add_special_tokens=False)
-            for w, e in zip(block, found, strict=True):
-                self.known[w] = np.array(e.ids, "<u2").tobytes()
+    """Ids of the pieces that a worker has met, forgotten as a whole when they take ``REMEMBERED`` bytes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.opens = np.zeros(tokenizer.get_vocab_size(), bool)  # ids whose bytes begin with a space
+        self.opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat, self.ends = np.empty(0, np.uint16), np.zeros(1, np.int64)
+
+    def learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end in ``flat`` of the ids of each (different) piece with a space before it."""
+        if self.known.nbytes + self.flat.nbytes + self.ends.nbytes > REMEMBERED:
+            self.forget()
+        rows = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy().astype(np.int64)
+        if len(new := np.flatnonzero(rows < 0)):
+            rows[new] = len(self.known) + np.arange(len(new))
+            self._add(pieces.take(pa.array(new)))
+        return self.ends[rows], self.ends[rows + 1]
+
+    def _add(self, pieces: pa.Array) -> None:
+        """A space opens an id of its own, so pieces without other white space are encoded side by side."""
+        apart = pc.or_(pc.equal(pieces, ""), pc.match_substring_regex(pieces, _WHITE)).to_numpy(zero_copy_only=False)
+        plain, single = np.flatnonzero(~apart), np.flatnonzero(apart)
+        words = pieces.take(pa.array(plain)).to_pylist()
+        ids, _ = self.encode([" " + " ".join(words[at : at + 1024]) for at in range(0, len(words), 1024)])
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(plain):
+            raise ValueError("a piece does not begin an id of its own")
+        alone, ends = self.encode([f" {w}" for w in pieces.take(pa.array(single)).to_pylist()])
+        sizes, begin = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        sizes[plain], sizes[single] = np.diff(np.append(starts, len(ids))), np.diff(ends, prepend=0)
+        begin[plain], begin[single] = starts, len(ids) + ends - sizes[single]
+        self.flat = np.concatenate([self.flat, gather(np.concatenate([ids, alone]), begin, sizes)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.known = pa.concat_arrays([self.known, pieces])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's end."""
+        found = [np.array(e.ids, np.uint16) for at in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint16), *found]), np.cumsum([len(f) for f in found], dtype=np.int64)
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin and extend as given, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
-    """A public tokenizer that encodes each piece between single spaces once.
+    """A public tokenizer that encodes the different pieces of many texts once each.
 
-    Byte-level BPE splits a text before its pieces meet: a space between two characters that are not
-    white space always begins a new piece, so a text's ids are those of its pieces one after another.
-    Texts with other white space next to a space keep those places whole. The file's added tokens are cut
-    out first, as the library does, and are pieces of their own.
+    Byte-level BPE splits a text before its pieces meet, and a space that does not lie inside a run of white
+    space begins a new piece. So a text is cut at its spaces, and its ids are those of the pieces one after
+    another. Texts with a space inside such a run, or with one of the file's added tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -190,43 +216,28 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(a.single_word or a.lstrip or a.rstrip or a.normalized for a in added):
             raise ValueError("added tokens that are not fixed strings")
-        contents = sorted((a.content for a in added), key=len, reverse=True)
-        self.added = re.compile(f"({'|'.join(map(re.escape, contents))})") if contents else None
+        self.added = [a.content for a in added]
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.exact, self.spaced = Memory(self.tokenizer), Memory(self.tokenizer, " ")
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Parts of a text with unusual white space; all but the first begin with their space."""
-        first, *rest = text.split(" ")
-        out = [first]
-        for w in rest:
-            if not w or w[0].isspace() or not out[-1] or out[-1][-1].isspace():
-                out[-1] = f"{out[-1]} {w}"
-            else:
-                out.append(f" {w}")
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, two bytes each."""
-        exact: set[str] = set()
-        spaced: set[str] = set()
-        cut: list[tuple[list[str], list[str]]] = []
-        for t in texts:
-            words = t.split(" ")
-            if self.added and self.added.search(t):
-                parts = self.added.split(t)  # every second one is an added token
-                cut.append(([p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pieces(part))], []))
-            elif words[0] and not _BEFORE.search(t) and not _AFTER.search(t):
-                cut.append((words[:1], words[1:]))
-            else:
-                cut.append((self.pieces(t), []))
-            exact.update(cut[-1][0])
-            spaced.update(cut[-1][1])
-        self.exact.learn(exact)
-        self.spaced.learn(spaced)
-        whole, part = self.exact.known.__getitem__, self.spaced.known.__getitem__
-        return [b"".join([*map(whole, a), *map(part, b)]) for a, b in cut]
+        self.memory = Memory(self.tokenizer)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, two bytes each, and how many each has."""
+        if not len(texts):
+            return np.empty(0, np.uint16), np.empty(0, np.int64)
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, f"{_WHITE} (?:{_WHITE}|\\z)")
+        for a in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, a))
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        first = cut.offsets.to_numpy()[:-1]
+        coded = cut.values.dictionary_encode()
+        at = coded.indices.to_numpy()
+        begin, end = (x[at] for x in self.memory.learn(coded.dictionary))
+        heads, ends = self.memory.encode(pc.if_else(whole, texts, cut.values.take(pa.array(first))).to_pylist())
+        begin[first] = len(self.memory.flat) + np.append(0, ends[:-1])
+        end[first] = len(self.memory.flat) + ends
+        sizes = end - begin
+        return gather(np.concatenate([self.memory.flat, heads]), begin, sizes), np.add.reduceat(sizes, first)
 
 
 def encoder(path: str) -> Encoder:
@@ -244,31 +255,37 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_c
     """Encode ``df`` and write its shards to ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u2").tobytes()
+        enc = encoder(tokenizer)
         levels, part, seq = max(1, int(enc.vocabulary - 1).bit_length()), TaskContext.get().partitionId(), 0
-        doc_ids: list = []
-        lengths: list[int] = []
-        held: list[bytes] = []
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
         total = 0
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2")
-            return pa.RecordBatch.from_arrays([pa.array([pack(ids, doc_ids, lengths, levels, part=part, seq=seq)], pa.binary())], ["content"])
-
-        for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                doc_ids.append(d)
-                lengths.append(len(ids) // 2 + 1)
-                held += [ids, end]
-                total += lengths[-1]
+            doc_ids, lengths, ids = zip(*held, strict=True)
+            content = pack(np.concatenate(ids), [d for some in doc_ids for d in some], np.concatenate(lengths), levels, part=part, seq=seq)
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+
+        for b in gathered(batches, TEXT_BYTES):
+            ids, sizes = enc.encode(b.column(1))
+            doc_ids, ends = b.column(0).to_pylist(), np.cumsum(sizes)
+            ids, lengths = np.insert(ids, ends, end_id), sizes + 1
+            ends += np.arange(1, len(ends) + 1)
+            at = 0
+            while at < len(lengths):
+                before = int(ends[at - 1]) if at else 0
+                stop = min(len(lengths), int(np.searchsorted(ends, before + shard_tokens - total)) + 1)
+                held.append((doc_ids[at:stop], lengths[at:stop], ids[before : ends[stop - 1]]))
+                total += int(ends[stop - 1]) - before
                 if total >= shard_tokens:
                     yield shard()
-                    doc_ids, lengths, held, total, seq = [], [], [], 0, seq + 1
-        if doc_ids:
+                    held, total, seq = [], 0, seq + 1
+                at = stop
+        if held:
             yield shard()
 
     small_batches(df.sparkSession)
-    ordered = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     files = ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string"))
     files.write.option("lineSep", CLOSE).option("maxRecordsPerFile", 1).text(path)
 

@@ -1,10 +1,12 @@
 """Each operator against plain Python on small tables, with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -327,12 +329,11 @@ def test_tokens(spark, docs, odd):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     strange = spark.createDataFrame([(7, "a  b \n c <|endoftext|> é x", None, None, None)], docs.schema)
     both = docs.unionByName(odd.select(docs.columns)).unionByName(strange)
-    rows = sorted(((r.doc_id, r.text) for r in both.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = sorted(((r.doc_id, r.text, r.h) for r in both.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     want, start = [], 0
-    for i, t in rows:
+    for i, t, _ in rows:
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -352,7 +353,22 @@ def test_added_tokens():
     assert want[0] == [21943, 220, 50256, 2318]
     encoder = tokens.Encoder(tokenizer_path())
     for _ in range(2):  # the second time from memory
-        assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts)] == want
+        ids, sizes = encoder.encode(pa.array(texts))
+        assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_white_space_is_cut_as_the_library_cuts_it(monkeypatch):
+    """Any mix of spaces, other white space and pieces, with a memory that is forgotten over and over."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 2000)
+    plain, encoder, draw = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path()), random.Random(6)
+    parts = [*"    ", "  ", "\n", " \n", "\t", "\u3000", "\u00a0", "\x0b", "\x85", "\x1c", "a", "'s", "é", "12", "日本", "🙂", "<|endoftext|>", "...", "Foo"]
+    for _ in range(20):
+        texts = ["".join(draw.choices(parts, k=draw.randrange(12))) for _ in range(300)] + [None]
+        ids, sizes = encoder.encode(pa.array(texts))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == want
 
 
 def test_wavelet_matrix():
