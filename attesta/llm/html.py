@@ -2,11 +2,16 @@
 
 Markup is stripped first: scripts, styles, forms and comments go, and so do elements that are marked as
 menus, headers, footers, sidebars, notices, adverts or reader comments, by tag, role, class or id. What
-is left is a list of lines, one for each block element. A line counts with the length of its text
-outside links; where the page marks its article, lines inside count at least as a full window and lines
-outside count nothing. Over every ``WINDOW`` lines these lengths are summed. The distribution surges
-where the sum rises to ``SURGE`` and dives where it falls to nothing; the text between the surge and the
-dive that hold most text is the result.
+is left is a list of lines, one for each block element. A line weighs as much as it has text outside
+links; where a page marks its article, lines inside weigh at least a third of ``SURGE`` and count their
+links, and lines outside weigh a sixty-fourth of their text. Over every ``WINDOW`` lines the weights are
+summed. The distribution surges where a line of weight has a window that comes to ``SURGE``; from there the
+text reaches back and forth to the dives, the lines without weight whose window falls below ``SURGE``. All
+lines between are text. The stretch that weighs most is the result, with every other one that holds lines of a
+marked article. A page whose distribution never surges is one stretch.
+
+Tags are found in one walk over the page. A quote shields ``>`` only as an attribute's value, and no longer
+once a tag has turned out to be left open, so broken markup costs no more than sound markup.
 
 A null or empty html, or one without text, gives the empty text. Repeated rows, extra columns and empty
 tables need nothing special. Whole pages are read, however long; a page is judged by itself.
@@ -15,6 +20,7 @@ tables need nothing special. Whole pages are read, however long; a page is judge
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-WINDOW, SURGE = 3, 80
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARK = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+WINDOW, SURGE, OUTSIDE = 3, 80, 64
+_STOP, _NAME = re.compile("[>\"']"), re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MARKS = {"class", "id", "role", "style", "hidden", "aria-hidden"}
 #: Class names that tell of a layout, such as "has-sidebar", mark no element.
 _LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_]+[a-z]+")
 #: Content that is never text.
@@ -51,8 +58,10 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes:
         return False
-    for m in _MARK.finditer(attributes):
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name not in _MARKS:
+            continue
         if name in ("class", "id"):
             found = set(re.split(r"[^a-z]+", _LAYOUT.sub(" ", value)))
             if found & (READERS if tag == "article" else NOT_TEXT - {"header"} if in_article else NOT_TEXT):
@@ -62,13 +71,54 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page in one walk: (start, end, closes, name, attributes); comments have no name."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next tag from ``at`` on."""
+        html = self.html
+        while 0 <= (at := html.find("<", at)) < self.last:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, len(html) if end < 0 else end + 3, False, "", ""
+            if html.startswith(("<!", "<?"), at):
+                return at, html.find(">", at) + 1, False, "", ""
+            closes = html.startswith("/", at + 1)
+            if name := _NAME.match(html, at + 1 + closes):
+                end = self._end(name.end())
+                return at, end, closes, name[0].lower(), html[name.end() : end - 1]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag that is open at ``at`` ends."""
+        html, here = self.html, at
+        while self.quotes:
+            m = _STOP.search(html, here)
+            if m and m[0] == ">":
+                return m.end()
+            if not m:
+                self.quotes = False
+            elif not html[max(at, m.start() - 64) : m.start()].rstrip().endswith("="):
+                here = m.end()
+            elif (close := html.find(m[0], m.end())) < 0:
+                self.quotes = False
+            else:
+                here = close + 1
+        return html.find(">", at) + 1
+
+
 def lines(html: str) -> list[tuple[str, int, bool]]:
     """Text, length outside links, and whether it stands in a marked article, for every block."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open containers, and whether each is dropped
+    opened: Counter[str] = Counter()
     dropped = articles = links = loose = 0
-    at = 0
+    tags, at = Tags(html), 0
 
     def take(raw: str) -> None:
         nonlocal loose
@@ -86,39 +136,41 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         loose = 0
 
     while True:
-        m = _TAG.search(html, at)
-        if not dropped and (end := m.start() if m else len(html)) > at:
+        found = tags.after(at)
+        if not dropped and (end := found[0] if found else len(html)) > at:
             take(html[at:end])
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if m[2] is None:
+        _, at, closes, tag, attributes = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else len(html)
+        alone = attributes.endswith("/")
+        if tag in RAW and not closes:
+            if not alone:
+                close = re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I).search(html, at)
+                at = html.find(">", close.end()) + 1 or len(html) if close else len(html)
             continue
         if tag == "br" or tag in ("td", "th"):
             parts.append(" ")
         if tag == "a":
-            links = 0 if m[1] else 1
+            links = 0 if closes else 1
         if tag in BLOCKS:
             flush()
-            links = links if tag in ("p", "li", "div", "span", "h1", "h2", "h3", "h4", "h5", "h6") and not m[1] else 0
-        if tag not in CONTAINERS or m[3].endswith("/"):
+            links = links if tag in ("p", "li", "div", "span", "h1", "h2", "h3", "h4", "h5", "h6") and not closes else 0
+        if tag not in CONTAINERS or alone:
             continue
-        if not m[1]:
-            bad = _unwanted(tag, m[3], articles > 0)
+        if not closes:
+            bad = _unwanted(tag, attributes, articles > 0)
             if bad and not dropped:
                 flush()
             stack.append((tag, bad))
+            opened[tag] += 1
             dropped += bad
             articles += tag in ("article", "main")
-        elif any(t == tag for t, _ in stack):
+        elif opened[tag]:
             while stack:
                 t, bad = stack.pop()
+                opened[t] -= 1
                 dropped -= bad
                 articles -= t in ("article", "main")
                 if t == tag:
@@ -127,32 +179,48 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def weights(found: list[tuple[str, int, bool]]) -> list[int]:
+    """What each line weighs: its text outside links, or by where it stands if the page marks its article."""
+    solid = [len(text.replace(" ", "")) for text, _, _ in found]
+    if any(inside for _, _, inside in found):
+        out = [max(SURGE // WINDOW + 1, n) if inside else loose // OUTSIDE for n, (_, loose, inside) in zip(solid, found, strict=True)]
+        return [w if 8 * w >= SURGE else 0 for w in out]
+    return [loose if 2 * loose >= n and not text.startswith("\N{COPYRIGHT SIGN}") else 0 for n, (text, loose, _) in zip(solid, found, strict=True)]
+
+
+def sums(weight: list[int]) -> list[int]:
+    """The weight of the ``WINDOW`` lines from each on."""
+    return [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
+
+
+def stretches(weight: list[int]) -> list[tuple[int, int]]:
+    """Runs of lines with weight, or whose window comes to ``SURGE``, if one line of a run has both."""
+    held, out, i = sums(weight), [], 0
+    while i < len(weight):
+        j, surges = i, False
+        while j < len(weight) and (weight[j] or held[j] >= SURGE):
+            surges |= bool(weight[j] and held[j] >= SURGE)
+            j += 1
+        if surges:
+            a, b = i, j
+            while not weight[a]:
+                a += 1
+            while not weight[b - 1]:
+                b -= 1
+            out.append((a, b))
+        i = max(j, i + 1)
+    heavy = [k for k, w in enumerate(weight) if w]
+    return out or ([(heavy[0], heavy[-1] + 1)] if heavy else [])
+
+
 def extract(html: str | None) -> str:
     """The main text: blocks between surge and dive, joined by empty lines."""
     found = lines(html or "")
-    marked = any(inside for _, _, inside in found)
-    if marked:
-        weight = [max(SURGE, n) if inside else 0 for _, n, inside in found]
-    else:
-        weight = [n if 2 * n >= len(text.replace(" ", "")) and not text.startswith("\N{COPYRIGHT SIGN}") else 0 for text, n, _ in found]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    best, best_size, i = (0, 0), -1, 0
-    regions = []
-    while i < len(weight):
-        if sums[i] >= SURGE and weight[i]:
-            j = i
-            while j < len(weight) and sums[j] > 0 and (weight[j] or sums[j] >= SURGE):
-                j += 1
-            regions.append((i, j))
-            if (size := sum(weight[i:j])) > best_size:
-                best, best_size = (i, j), size
-            i = j
-        else:
-            i += 1
-    if not regions and (whole := sum(weight)):  # a page of a few short lines has no surge
-        best, best_size = (0, len(weight)), whole
-    chosen = regions if marked else [best] if best_size > 0 else []
-    return "\n\n".join(found[k][0] for a, b in chosen for k in range(a, b) if weight[k])
+    weight = weights(found)
+    spans = stretches(weight)
+    best = max(spans, key=lambda s: (sum(weight[slice(*s)]), -s[0]), default=None)
+    kept = [s for s in spans if s == best or any(inside for _, _, inside in found[slice(*s)])]
+    return "\n\n".join(text for s in kept for text, _, _ in found[slice(*s)])
 
 
 def main_text(pages: DataFrame, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -246,6 +248,39 @@ def test_html_layouts():
     assert html.extract(page) == "Head\n\nBody text."
 
 
+def test_html_goes_through_the_distribution():
+    """The pages' text does not hang on the article's mark; stretches are those of all window sums."""
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+    for page in pages:
+        bare = page.replace("<article", "<div").replace("</article", "</div")
+        assert bare != page and html.extract(bare) == html.extract(page) != ""
+    draw = random.Random(3)
+    for _ in range(500):
+        weight = [draw.choice([0, 0, 0, 5, 30, 90]) for _ in range(draw.randrange(14))]
+        held = [sum(weight[k] for k in range(i, min(i + 3, len(weight)))) for i in range(len(weight))]
+        alive = [w > 0 or h >= 80 for w, h in zip(weight, held)]
+        want = []
+        for i in range(len(weight)):
+            for j in range(i + 1, len(weight) + 1):
+                run = all(alive[i:j]) and (i == 0 or not alive[i - 1]) and (j == len(weight) or not alive[j])
+                if run and any(weight[k] and held[k] >= 80 for k in range(i, j)):
+                    heavy = [k for k in range(i, j) if weight[k]]
+                    want.append((heavy[0], heavy[-1] + 1))
+        heavy = [k for k, w in enumerate(weight) if w]
+        assert html.sums(weight) == held and html.stretches(weight) == (want or ([(heavy[0], heavy[-1] + 1)] if heavy else []))
+
+
+def test_html_broken_markup():
+    """Megabytes of broken markup take seconds, and text before and after it stays."""
+    odd = ["a <b ", '<a href="x ', '<a c="> " ', "<p it's>x", "<div>", "</ul>", "<!x ", "<!-- ", "<", '<a b="x>', "<script>", "</script "]
+    for part in odd:
+        began = time.perf_counter()
+        got = html.extract("<p>Before it.</p>" + part * (1_000_000 // len(part)))
+        assert got.startswith("Before it.") and time.perf_counter() - began < 10
+    assert html.extract('<p title="a > b" id=x>One</p><p data-id="nav" title=don\'t>Two</p>') == "One\n\nTwo"
+    assert html.extract('<p>One</p><p title="two>Two</p><p>Three</p>') == "One\n\nTwo\n\nThree"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>Hello</p>", 2), (1, "u", None, 1)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in html.main_text(pages).collect()) == ["", "", "Hello"]
