@@ -1,10 +1,12 @@
 """Each operator against plain Python on small tables, with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -93,33 +95,58 @@ def test_highest_quotients(spark):
 
 
 # 2 language-model scores
-def test_lm_score(spark, docs):
-    v = lmscore.Vocabulary(10, 12)
+def plain_scores(rows, wanted):
+    """Losses and scores by counting whole words and pairs of words; also the models, to sum them up."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    texts = [(i, word.findall(lower(t))) for i, t in rows]
+    models = []
+    for keep in (lambda i: i in wanted, lambda i: True):
+        uni, bi, before = Counter(), Counter(), Counter()
+        for i, w in texts:
+            if w and keep(i):
+                uni.update([*w, "</s>"])
+                bi.update(zip(["<s>", *w], [*w, "</s>"]))
+                before.update(["<s>", *w])
+        models.append((uni, bi, before, uni.total()))
+    kinds = set(models[1][0])
+
+    def p(model, h, w):
+        uni, bi, before, total = model
+        own = (uni[w] + lmscore.PRIOR) / (total + lmscore.PRIOR * len(kinds))
+        return (bi[h, w] + lmscore.STRENGTH * own) / (before[h] + lmscore.STRENGTH)
+
+    out = []
+    for i, w in texts:
+        loss = [-sum(math.log(p(m, h, x)) for h, x in zip(["<s>", *w], [*w, "</s>"])) / (len(w) + 1) if w else 0.0 for m in models]
+        out.append((i, len(w), *loss, loss[0] - loss[1]))
+    return out, models, kinds, p
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 20_000, "bucket_words": 3000}])
+def test_lm_score(spark, docs, options):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, labels, vocabulary=v).collect()}
     wanted = {r.doc_id for r in labels.where("quality = 1").collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    models = []
-    for ids in (wanted, set(texts)):
-        w, b, p = np.zeros(v.words), np.zeros(v.words), np.zeros(v.pairs)
-        for i in ids:
-            if i in texts:
-                for x, y, z in zip(*v.slots(texts[i]), strict=True):
-                    w[x] += 1
-                    b[y] += 1
-                    p[z] += 1
-        models.append(lmscore.Model(v, w, b, p))
-    for i, t in texts.items():
-        slots = v.slots(t)
-        want = models[0].loss(*slots) - models[1].loss(*slots) if len(slots[0]) else 0.0
-        assert abs(got[i].score - want) < 1e-4 and got[i].n_words == len(slots[0])
+    want, models, kinds, p = plain_scores([(r.doc_id, r.text) for r in docs.collect()], wanted)
+    got = sorted(tuple(r) for r in lmscore.cross_entropy_difference(docs, labels, **options).collect())
+    assert [r[:2] for r in got] == sorted(r[:2] for r in want)
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in sorted(want)], rtol=0, atol=1e-9)
+    for model in models:  # probabilities sum to one, also after a history that the model has not seen
+        for h in ["<s>", "never seen", *list(kinds)[:20]]:
+            assert abs(sum(p(model, h, w) for w in kinds) - 1) < 1e-9
 
 
 def test_lm_score_odd(spark, odd):
-    labels = spark.createDataFrame([(3, 1), (None, 1), (99, 1), (4, None)], "doc_id long, quality int")
-    rows = lmscore.cross_entropy_difference(odd, labels, vocabulary=lmscore.Vocabulary(8, 8)).collect()
-    assert len(rows) == 8 and {r.score for r in rows if r.n_words == 0} == {0.0}
-    assert lmscore.cross_entropy_difference(empty(spark), labels, vocabulary=lmscore.Vocabulary(8, 8)).count() == 0
+    """Nulls, repeated rows, an id on several rows, a long text, no wanted document, empty tables."""
+    labels = spark.createDataFrame([(3, 1), (3, 1), (None, 1), (99, 1), (4, None)], "doc_id long, quality int")
+    key = lambda r: (r[0] is not None, r)
+    for wanted in ({3}, set()):
+        marks = labels if wanted else labels.where("doc_id = 99")
+        want = sorted(plain_scores([(r.doc_id, r.text) for r in odd.collect()], wanted)[0], key=key)
+        got = sorted((tuple(r) for r in lmscore.cross_entropy_difference(odd, marks, block_bytes=100, bucket_words=50).collect()), key=key)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=0, atol=1e-9)
+    assert lmscore.cross_entropy_difference(empty(spark), labels).count() == 0
+    assert lmscore.cross_entropy_difference(odd, labels.limit(0)).count() == 8
 
 
 # 3 near duplicates
