@@ -7,7 +7,9 @@ cards, phones without a country code, social security numbers) count only if suc
 E-mail, IP, card and phone of the base contract are always reported.
 
 Where a span begins follows from the lengths of the pieces between matches and of the matches before
-it, so offsets are code points. The expressions use possessive quantifiers and look at what stands
+it, summed in runs of about the square root of their number, so offsets are code points and a text of very
+many matches stays cheap. Context words are looked for within ``near`` code points, no further than
+the second match of the kind on either side. The expressions use possessive quantifiers and look at what stands
 before a run of characters, which keeps them linear and free of deep recursion on long runs.
 
 Null texts count as empty. Repeated rows, extra columns and empty tables need nothing special: each row
@@ -95,6 +97,20 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
+def running_sums(x: Column) -> Column:
+    """The sums of a bound array's first elements: of runs of about the root of its size, then within each."""
+    plus = lambda a, b: a + b
+    total = lambda part: F.aggregate(part, F.lit(0), plus)
+    width = F.ceil(F.sqrt(F.size(x))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda k: F.slice(x, k * width + 1, width))
+
+    def within(r: Column, totals: Column) -> Column:
+        add = lambda run, before: F.transform(run, lambda _, j: before + total(F.slice(run, F.lit(1), j + 1)))
+        return F.flatten(F.transform(r, lambda run, k: let(total(F.slice(totals, F.lit(1), k)), lambda before: add(run, before))))
+
+    return let(runs, lambda r: let(F.transform(r, total), lambda totals: within(r, totals)))
+
+
 def matches_of(text: Column, kind: Kind, number: int, near: int) -> Column:
     """Confirmed matches as structs: start, kind's number, end, match, score."""
     empty = F.array().cast("array<string>")
@@ -102,29 +118,24 @@ def matches_of(text: Column, kind: Kind, number: int, near: int) -> Column:
     if kind.hint:
         found = F.when(F.contains(text, F.lit(kind.hint)), found).otherwise(empty)
 
-    def placed(m: Column) -> Column:
-        gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
-        sizes = F.transform(m, F.length)
-        plus = lambda a, b: a + b
-        return let(
-            F.struct(gaps.alias("g"), sizes.alias("s")),
-            lambda x: F.transform(
-                F.sequence(F.lit(0), F.size(m) - 1),
-                lambda i: let(
-                    F.aggregate(F.slice(x["g"], F.lit(1), i + 1), F.lit(0), plus) + F.aggregate(F.slice(x["s"], F.lit(1), i), F.lit(0), plus),
-                    lambda at: F.struct(at.alias("start"), F.lit(number).alias("kind"), (at + F.get(x["s"], i)).alias("end"), F.get(m, i).alias("match")),
-                ),
-            ),
-        )
+    def placed(m: Column, pieces: Column) -> Column:
+        """A match begins after the pieces up to it and the matches before it."""
+        steps = F.transform(m, lambda _, i: F.length(F.get(pieces, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0))
+        left = lambda i: F.coalesce(F.left(F.get(pieces, i), F.lit(near)), F.lit(""))
+        right = lambda i: F.coalesce(F.right(F.get(pieces, i), F.lit(near)), F.lit(""))
+        other = lambda i: F.coalesce(F.get(m, i), F.lit(""))
+        ahead = lambda i: F.when(F.length(F.get(pieces, i)) >= near, right(i)).otherwise(F.right(F.concat(right(i - 1), other(i - 1), F.get(pieces, i)), F.lit(near)))
+        behind = lambda i: F.when(F.length(F.get(pieces, i)) >= near, left(i)).otherwise(F.left(F.concat(F.get(pieces, i), other(i), left(i + 1)), F.lit(near)))
+        context = lambda i: F.concat(ahead(i), F.lit(" "), behind(i + 1))
+        one = lambda x, i, at: F.struct(at.alias("start"), F.lit(number).alias("kind"), (at + F.length(x)).alias("end"), x.alias("match"), context(i).alias("near"))
+        return let(steps, lambda s: let(running_sums(s), lambda starts: F.transform(m, lambda x, i: one(x, i, F.get(starts, i)))))
 
     def scored(s: Column) -> Column:
-        begin = F.greatest(F.lit(0), s["start"] - near)
-        around = F.concat(F.substring(text, begin + 1, s["start"] - begin), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(near)))
-        score = F.lit(kind.base) + F.when(F.lower(around).rlike(kind.words), 0.4).otherwise(0.0)
+        score = F.lit(kind.base) + F.when(F.lower(s["near"]).rlike(kind.words), 0.4).otherwise(0.0)
         return F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "match")), F.least(F.lit(1.0), score).alias("score"))
 
-    kind_type = "array<struct<start:int,kind:int,end:int,match:string>>"
-    spans = let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(kind_type)))
+    kind_type = "array<struct<start:int,kind:int,end:int,match:string,near:string>>"
+    spans = let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, kind.pattern, -1), lambda p: placed(m, p))).otherwise(F.array().cast(kind_type)))
     return F.transform(F.filter(spans, lambda s: kind.confirm(s["match"])), scored)
 
 

@@ -480,6 +480,18 @@ def test_pii(spark, docs):
     for r in pii.find(both).collect():
         assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE] == plain_spans(texts[r.doc_id])
         assert all((texts[r.doc_id] or "")[s.start : s.end] == s.match and 0 < s.score <= 1 for s in r.spans)
+    scores = {(r.doc_id, s.kind): s.score for r in pii.find(df).collect() for s in r.spans}
+    assert scores[14, "card13"] == 0.7 and scores[3, "email"] == 0.9
     extra = {r.doc_id: [s.kind for s in r.spans if s.kind not in pii.BASE] for r in pii.find(df).collect()}
     assert extra[11] == ["iban"] and extra[12] == ["ssn", "ssn"] and extra[14] == ["card13"]
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_pii_many_matches(spark):
+    """A text with very many matches, and its offsets as running sums, in seconds."""
+    text = "".join(f"é{i} a{i}@b.org 1.2.3.{i % 256} " for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = pii.find(df).first().spans
+    assert time.perf_counter() - began < 60
+    assert [(s.kind, s.start, s.end) for s in got if s.kind in pii.BASE] == plain_spans(text)
