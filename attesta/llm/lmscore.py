@@ -38,7 +38,7 @@ from .common import gathered, materialise, small_batches
 from .decontaminate import _mix, word_hashes
 
 PRIOR, STRENGTH = 0.5, 8.0
-BLOCK_BYTES, BUCKET_WORDS = 16 << 20, 1 << 21
+BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 1 << 20
 _STEP = np.random.default_rng(31).integers(0, 1 << 62, 2, np.uint64) * np.uint64(4) + np.uint64(3)
 #: The end of a text as a word of the vocabulary, and its start as a history.
 _MARKS = np.array([0x5EED, 0xB0B], np.uint64)
