@@ -1,86 +1,106 @@
 """Exact top-k by inner product through KD-trees, one for each shard.
 
-Vectors are dealt to shards of about ``shard_rows`` by a hash of their id. A shard builds a KD-tree:
+Vectors are dealt to shards of about ``shard_rows`` by a hash of their row. A shard builds a KD-tree once:
 median splits of the widest dimension, a tight bounding box at every node. The best a box can offer a
 query is the sum over dimensions of the larger of q*low and q*high; nodes are visited best first until
-that bound falls below the k-th score so far. Each query first visits the shard it lives in; the k-th
-score found there travels with it to all other shards, where whole trees and branches below it are
-skipped. Equal bounds are followed, since a smaller id wins a tie.
-
-Queries go to shards in blocks of about ``block_rows``, so a task holds one shard and one block. The work
-is queries x rows at worst, which the contract fixes; it is spread over shards x blocks tasks.
-
-Null vectors and those with null, NaN or infinite components take no part. A row with the query's own
-id is the query's own; repeated ids count once. Vectors of different length never meet. Ties go to the
-smaller id. Empty tables give an empty result. Extra columns are ignored.
+that bound falls below the k-th score so far. Equal bounds are followed, since a smaller id wins a tie.
+
+The trees are a table in the shared folder. Queries pass by them in blocks of at most about ``block_rows``,
+which are sent to all executors (the bound: ``block_rows`` vectors). A block first visits the trees that its
+queries live in; the k-th scores found there travel with it past all other trees, and within a task from
+tree to tree, where whole trees and branches below them are skipped. Vectors are shuffled once, to build the
+trees; afterwards at most ``k`` rows of each query and task are. The work is queries x rows at worst, which
+the contract fixes.
+
+Null vectors and those with null, NaN or infinite components take no part. Every row is a candidate of its
+own, also where rows share an id, and each row with a query's id asks, except for rows of that id; the best
+of all of them are the id's result. Vectors of different length never meet. Ties go to the smaller id.
+Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 LEAF = 256
-SCHEMA = "query_id long, vec_id long, score long"
+#: Queries whose bounds a task works out together.
+SLICE = 2048
 
 
 class KDTree:
+    """Points in the order of the leaves; ``nodes`` has each node's first and last point and its children."""
+
     def __init__(self, ids: np.ndarray, points: np.ndarray):
-        self.ids, self.points = ids, points
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.children: list[tuple[int, int] | None] = []
-        self.rows: list[np.ndarray] = []
-        self._grow(np.arange(len(ids)))
-        self.lows, self.highs = np.array(self.low), np.array(self.high)
-
-    def _grow(self, rows: np.ndarray) -> int:
-        me, part = len(self.rows), self.points[rows]
+        self.lows: list | np.ndarray = []
+        self.highs: list | np.ndarray = []
+        self.nodes: list[tuple[int, int, int, int]] = []
+        order = np.arange(len(ids))
+        self._grow(points, order, 0, len(ids))
+        self.ids, self.points = ids[order], points[order]
+        self.lows, self.highs = np.array(self.lows), np.array(self.highs)
+        self.largest = int(np.abs(points).max(initial=1))
+
+    def _grow(self, points: np.ndarray, order: np.ndarray, begin: int, end: int) -> int:
+        me, part = len(self.nodes), points[order[begin:end]]
         low, high = part.min(0), part.max(0)
-        self.low.append(low)
-        self.high.append(high)
-        self.rows.append(rows)
-        self.children.append(None)
-        if len(rows) > LEAF:
-            order = np.argsort(part[:, np.argmax(high - low)], kind="stable")
-            half = len(rows) // 2
-            self.children[me] = (self._grow(rows[order[:half]]), self._grow(rows[order[half:]]))
+        self.lows.append(low)
+        self.highs.append(high)
+        self.nodes.append((begin, end, 0, 0))
+        if end - begin > LEAF:
+            order[begin:end] = order[begin:end][np.argsort(part[:, np.argmax(high - low)], kind="stable")]
+            half = (begin + end) // 2
+            self.nodes[me] = (begin, end, self._grow(points, order, begin, half), self._grow(points, order, half, end))
         return me
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The most any point of each node's box can score with each query."""
         return np.maximum(queries, 0) @ self.highs.T + np.minimum(queries, 0) @ self.lows.T
 
-    def search(self, query_id: int, q: np.ndarray, bound: np.ndarray, k: int, kth: float) -> list[tuple[int, int]]:
-        """At most ``k`` best (score, id), of scores no worse than ``kth``."""
-        open_nodes, best = [(-bound[0], 0)], []  # best: a heap of (score, -id)
+    def search(self, query_id: int, q: np.ndarray, bound: np.ndarray, k: int, kth: float, best: list[tuple[int, int]]) -> None:
+        """Put what scores no worse than ``kth`` into ``best``, a heap of at most ``k`` (score, -id)."""
+        open_nodes = [(-bound[0], 0)]
         while open_nodes:
             b, node = heapq.heappop(open_nodes)
             limit = max(kth, best[0][0]) if len(best) == k else kth
             if -b < limit:
                 break
-            if self.children[node]:
-                for c in self.children[node]:
+            begin, end, *children = self.nodes[node]
+            if children[1]:
+                for c in children:
                     heapq.heappush(open_nodes, (-bound[c], c))
                 continue
-            rows = self.rows[node]
-            score = self.points[rows] @ q
-            good = np.flatnonzero((score >= limit) & (self.ids[rows] != query_id))
+            score, ids = self.points[begin:end] @ q, self.ids[begin:end]
+            good = np.flatnonzero((score >= limit) & (ids != query_id))
             if len(good) > k:
-                good = good[np.lexsort((self.ids[rows][good], -score[good]))[:k]]
-            for s, i in zip(score[good].tolist(), self.ids[rows][good].tolist(), strict=True):
+                good = good[np.lexsort((ids[good], -score[good]))[:k]]
+            for s, i in zip(score[good].tolist(), ids[good].tolist(), strict=True):
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 else:
                     heapq.heappushpop(best, (s, -i))
-        return [(s, -i) for s, i in best]
+
+
+@dataclass
+class Queries:
+    """Queries of one length: their rows, ids, vectors, home shards, and the k-th scores known of them."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+    homes: np.ndarray
+    kth: np.ndarray
 
 
 def finite(vector: Column) -> Column:
@@ -95,44 +115,77 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"), F.size(vector_col).alias("dim"))
 
 
-def _search(k: int):
-    def run(key: tuple, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        points = points.drop_duplicates("vec_id")
-        x, q = np.array(points["v"].tolist(), np.int64), np.array(queries["v"].tolist(), np.int64)
-        exact = float(np.abs(x).max(initial=1)) * float(np.abs(q).max(initial=1)) * x.shape[1] < 2**52
-        if exact:  # then double arithmetic is exact, and fast
-            x, q = x.astype(float), q.astype(float)
-        tree = KDTree(points["vec_id"].to_numpy(np.int64), x)
-        bounds, out = tree.bounds(q), []
-        for i, (query_id, kth) in enumerate(zip(queries["query_id"].tolist(), queries["kth"].tolist(), strict=True)):
-            limit = -math.inf if kth is None or math.isnan(kth) else kth
-            out += [(query_id, v, int(s)) for s, v in tree.search(query_id, q[i], bounds[i], k, limit)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+def build(vectors: DataFrame) -> DataFrame:
+    """A KD-tree (``tree``) for each ``dim`` and ``shard``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        dim = t["dim"][0].as_py()
+        points = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        tree = KDTree(t["vec_id"].to_numpy(), points)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([t["shard"][0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    return vectors.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, tree binary")
+
+
+def in_blocks(asked: DataFrame) -> DataFrame:
+    """The queries of each ``block`` and ``dim``, packed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        block, dim = t["block"][0].as_py(), t["dim"][0].as_py()
+        vectors = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        packed = Queries(t["row"].to_numpy(), t["vec_id"].to_numpy(), vectors, t["shard"].to_numpy(), np.full(len(t), -math.inf))
+        return pa.table({"block": pa.array([block], pa.int32()), "dim": pa.array([dim], pa.int32()), "queries": pa.array([pickle.dumps(packed)], pa.binary())})
+
+    return asked.groupBy("block", "dim").applyInArrow(run, "block int, dim int, queries binary")
+
+
+def visit(trees: DataFrame, held: dict[int, Queries], k: int, home: bool) -> DataFrame:
+    """``row`` and ``query_id`` of the query, ``vec_id``, ``score``: each task's best from home trees or all others."""
+    sent = trees.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                dim, q = r["dim"], sent.value.get(r["dim"])
+                mine = np.flatnonzero((q.homes == r["shard"]) == home) if q else ()
+                if not len(mine):
+                    continue
+                tree: KDTree = pickle.loads(r["tree"])
+                exact = float(tree.largest) * float(np.abs(q.vectors).max(initial=1)) * dim < 2**52
+                if exact:  # then double arithmetic is exact, and fast
+                    tree.points, tree.lows, tree.highs = (x.astype(float) for x in (tree.points, tree.lows, tree.highs))
+                for at in range(0, len(mine), SLICE):
+                    part = mine[at : at + SLICE]
+                    vectors = q.vectors[part].astype(float) if exact else q.vectors[part]
+                    for i, v, bound in zip(part.tolist(), vectors, tree.bounds(vectors), strict=True):
+                        tree.search(int(q.ids[i]), v, bound, k, q.kth[i], best.setdefault((dim, i), []))
+        rows = [(int(sent.value[d].rows[i]), int(sent.value[d].ids[i]), -v, int(s)) for (d, i), heap in best.items() for s, v in heap]
+        for at in range(0, len(rows), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + (1 << 16)], strict=True)], ["row", "query_id", "vec_id", "score"])
 
-    return run
+    small_batches(trees.sparkSession)
+    return trees.select("dim", "shard", "tree").mapInArrow(run, "row long, query_id long, vec_id long, score long")
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, shard_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
+def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, shard_rows: int = 8192, block_rows: int = 65536) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows whose id is divisible by ``every``."""
-    vectors = quantised(df, id_col, vector_col, scale)
-    vectors = materialise(vectors.withColumn("h", F.xxhash64("vec_id")), "vectors")
-    n = vectors.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n / every / block_rows))
-    vectors = vectors.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    asked = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = asked.select(F.col("vec_id").alias("query_id"), "v", "dim", F.col("shard").alias("home"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = materialise(asked, "queries")
-
-    keys = ["dim", "shard", "block"]
-    own = asked.withColumn("shard", F.col("home")).withColumn("block", F.lit(0)).withColumn("kth", F.lit(None).cast("double"))
-    first = vectors.withColumn("block", F.lit(0)).groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(_search(k), SCHEMA)
-    first = materialise(first, "home-shards")
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("kth"))
-    away = asked.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard != home")
-    dealt = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rest = dealt.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInPandas(_search(k), SCHEMA)
+    vectors = materialise(quantised(df, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    shards = max(1, math.ceil(vectors.count() / shard_rows))
+    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    trees = materialise(build(vectors), "trees")
+    asked = vectors.where(F.col("vec_id") % every == 0)
+    blocks = max(1, math.ceil(asked.count() / block_rows))
+    asked = materialise(in_blocks(asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int"))), "queries")
+
+    found = [df.sparkSession.createDataFrame([], "row long, query_id long, vec_id long, score long")]
+    for block in range(blocks):
+        held = {r["dim"]: pickle.loads(r["queries"]) for r in asked.where(F.col("block") == block).collect()}
+        found.append(materialise(visit(trees, held, k, True), "home-trees"))
+        known = found[-1].groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).toPandas()
+        for q in held.values():  # at most as many as the block has queries
+            q.kth = known.set_index("row")["kth"].reindex(q.rows).fillna(-math.inf).to_numpy(float)
+        found.append(materialise(visit(trees, held, k, False), "other-trees"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from attesta.llm import decontaminate, html, knn, langid, lmscore, mixing, nearcopies, pii, simhash, tokens, warc
+from attesta.llm import decontaminate, html, knn, langid, lmscore, mixing, nearcopies, oracle, pii, simhash, tokens, warc
 from attesta.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -360,6 +360,21 @@ def test_top_k(spark):
     assert knn.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_repeated_ids(spark):
+    """Every row is a candidate, and rows that share a query's id all ask: held against the query's SQL."""
+    import duckdb
+
+    draw = np.random.default_rng(8)
+    held = pa.table({"vec_id": [int(x) for x in draw.integers(0, 120, 700)] + [50, 1, 1, 2, 3, 3], "embedding": [[float(x) for x in draw.normal(size=5)] for _ in range(706)]})
+    df = spark.createDataFrame(list(zip(*held.to_pydict().values(), strict=True)), "vec_id long, embedding array<double>")
+    base = duckdb.connect()
+    for part, rows in (("vec_id >= 0", df), ("vec_id IN (50, 1, 2, 3)", df.where("vec_id IN (50, 1, 2, 3)"))):
+        base.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM held WHERE {part}")
+        want = sorted(base.execute(oracle.OP7).fetchall())
+        got = knn.top_k(rows, shard_rows=50, block_rows=3).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == want and len(want) >= 5
+
+
 # 8 WARC
 def test_arc_versions():
     import io
