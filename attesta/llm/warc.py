@@ -10,10 +10,13 @@ payload digest, HTTP block.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest page id stays a
 response; the others become revisit records that refer to it and carry no payload. Digests are counted
-by a partially aggregated maximum and joined back on (digest, length), a key Spark can split.
+by a partially aggregated maximum over the converted records, which are a table by then, and sent back to
+them on (digest, length); payloads are not shuffled while the repeated digests are few.
 
-Archives are written by Spark's text writer, whose line separator is WARC's two closing line breaks, so
-any file system that Spark reaches will do. A WARC file holds at most ``records_per_file`` records.
+A WARC file is a row of one gzip member for each record and ends with the record that brings it to
+``file_bytes``, so it is read whole with bounded memory, and its records can be told apart without their
+neighbours. Spark's text writer writes the files, so any file system that Spark reaches will do; the byte
+that it adds to each, a zero, is padding that readers of gzip skip. Very long pages are records like others.
 
 A null html is an empty payload, a null url ``unknown:``, a null page id an absent header (null again
 on reading). Repeated rows are records of their own; of those with the largest page id all stay
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import materialise, scratch_path, small_batches, small_side
 
 FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -118,12 +121,11 @@ def pages_as_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return pages.select(F.col(id_col).cast("long"), url_col, F.col(html_col).cast("binary")).mapInArrow(run, "content binary")
 
 
-def convert(arcs: DataFrame, content_col: str = "content", payloads: bool = True) -> DataFrame:
-    """One row for each record of ARC files, with its WARC fields; ``payloads`` may be left out."""
-    fields = RECORD if payloads else RECORD[:-1]
+def convert(arcs: DataFrame, content_col: str = "content") -> DataFrame:
+    """One row for each record of ARC files, with its WARC fields."""
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind, _ in fields], [n for n, _, _ in fields])
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind, _ in RECORD], [n for n, _, _ in RECORD])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,42 +139,51 @@ def convert(arcs: DataFrame, content_col: str = "content", payloads: bool = True
                 if rows:
                     yield batch(rows)
 
-    return arcs.select(content_col).mapInArrow(run, ", ".join(f"{n} {sql}" for n, _, sql in fields))
-
-
-def as_text(records: DataFrame) -> DataFrame:
-    """``value``: each record's header and block, without the two closing line breaks."""
-    same = F.col("refers_id").isNotNull()
-    own = F.when(F.col("page_id").isNotNull(), F.format_string("X-Page-Id: %d\r\n", "page_id")).otherwise("")
-    http = F.concat(F.lit("HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), own, F.lit("\r\n"))
-    http = http.cast("binary")
-    block = F.when(same, http).otherwise(F.concat(http, "payload"))
-    refers = F.when(same, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), "refers_id", F.lit(">\r\nX-Refers-To-Page: "), F.col("refers_page").cast("string"), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise("")
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(same, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:uuid:"), "record_id", F.lit(">\r\nWARC-Date: "), "date",
-        F.lit("\r\nWARC-Target-URI: "), "uri", F.lit("\r\nWARC-Payload-Digest: sha1:"), "digest",
-        F.lit("\r\nX-Payload-Length: "), F.col("size").cast("string"), F.lit("\r\n"), refers,
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
-    )
-    return records.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
-
-
-def with_revisits(records: DataFrame, keys: DataFrame, least: int = 1000) -> DataFrame:
-    """Add ``refers_page`` and ``refers_id``: the response that a revisit stands for, else null.
-
-    ``keys`` are the same records without their payloads.
-    """
-    large = keys.where(F.col("size") >= least)
+    return arcs.select(content_col).mapInArrow(run, ", ".join(f"{n} {sql}" for n, _, sql in RECORD))
+
+
+def warc_record(r: dict) -> bytes:
+    """A record's header, block and closing line breaks."""
+    own = "" if r["page_id"] is None else f"X-Page-Id: {r['page_id']}\r\n"
+    block = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}\r\n".encode() + (r["payload"] or b"")
+    head = {
+        "WARC-Type": "revisit" if r["refers_id"] else "response", "WARC-Record-ID": f"<urn:uuid:{r['record_id']}>", "WARC-Date": r["date"],
+        "WARC-Target-URI": r["uri"], "WARC-Payload-Digest": f"sha1:{r['digest']}", "X-Payload-Length": r["size"],
+    }
+    if r["refers_id"]:
+        head |= {"WARC-Refers-To": f"<urn:uuid:{r['refers_id']}>", "X-Refers-To-Page": r["refers_page"], "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
+    return b"".join([b"WARC/1.1\r\n", *(f"{k}: {v}\r\n".encode() for k, v in head.items()), b"\r\n", block, END])
+
+
+def with_revisits(records: DataFrame, least: int = 1000) -> DataFrame:
+    """Add ``refers_page`` and ``refers_id``, the response that a revisit stands for, else null; revisits lose their payload."""
+    large = records.select("digest", "size", "page_id", "record_id").where(F.col("size") >= least)
     kept = large.groupBy("digest", "size").agg(F.max_by("record_id", "page_id").alias("first_id"), F.max("page_id").alias("first_page"), F.count("*").alias("times"))
-    kept = kept.where("times > 1").select(F.col("digest").alias("kd"), F.col("size").alias("ks"), "first_id", "first_page")
+    kept = small_side(materialise(kept.where("times > 1").select(F.col("digest").alias("kd"), F.col("size").alias("ks"), "first_id", "first_page"), "repeated"))
     joined = records.join(kept, (F.col("digest") == F.col("kd")) & (F.col("size") == F.col("ks")), "left")
     repeat = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    return joined.select(*records.columns, F.when(repeat, F.col("first_page")).alias("refers_page"), F.when(repeat, F.col("first_id")).alias("refers_id"))
+    columns = [c for c in records.columns if c != "payload"]
+    return joined.select(*columns, F.when(~repeat, F.col("payload")).alias("payload"), F.when(repeat, F.col("first_page")).alias("refers_page"), F.when(repeat, F.col("first_id")).alias("refers_id"))
 
 
-def write(records: DataFrame, path: str, records_per_file: int = 20_000) -> None:
-    as_text(records).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+def write(records: DataFrame, path: str, file_bytes: int = 16 << 20) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[bytes] = []
+        size = 0
+        for b in batches:
+            for r in b.to_pylist():
+                members.append(gzip.compress(warc_record(r), 4, mtime=0))
+                size += len(members[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["content"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["content"])
+
+    small_batches(records.sparkSession)
+    files = records.mapInArrow(run, "content binary").select(F.col("content").cast("string"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -224,6 +235,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
     """Convert pages from ARC to WARC, write the archives and read them back."""
     spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "warc")
-    arcs = pages_as_arc(pages, id_col, url_col, html_col)
-    write(with_revisits(convert(arcs), convert(arcs, payloads=False), least), path)
+    records = materialise(convert(pages_as_arc(pages, id_col, url_col, html_col)), "records")
+    write(with_revisits(records, least), path)
     return read(spark, path)

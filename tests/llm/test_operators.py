@@ -401,6 +401,29 @@ def test_warc(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_odd_ids_and_long_pages(spark, tmp_path):
+    """Null and repeated page ids, and a page above 100 MB; files bounded in bytes, one gzip member a record."""
+    import gzip
+
+    big = "z" * 1500
+    rows = [(None, "u", big, 0), (3, "u", big, 0), (3, "u", big, 0), (1, "u", big, 0), (None, "v", "w" * 2000, 0), (None, "v", "w" * 2000, 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(df).collect()), key=str)
+    assert got == sorted([(None, 1500, "revisit", 3), (3, 1500, "response", None), (3, 1500, "response", None), (1, 1500, "revisit", 3)] + [(None, 2000, "response", None)] * 2, key=str)
+    long = spark.range(2).selectExpr("id AS page_id", "'u' AS url", "repeat('<p>ten by</p>', 8500000) AS html")
+    one, two = sorted(warc.archive(long).collect(), key=lambda r: r.page_id)
+    assert (one.record_type, one.refers_to, two.record_type) == ("revisit", 1, "response") and one.payload_bytes == two.payload_bytes == 13 * 8_500_000
+    many = spark.range(0, 300, 1, 1).selectExpr("id AS page_id", "'u' AS url", "sha2(CAST(id AS STRING), 512) AS html")
+    warc.write(warc.with_revisits(warc.convert(warc.pages_as_arc(many))), str(tmp_path / "w"), file_bytes=20_000)
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    assert 2 < len(files) and max(map(len, files)) < 21_000
+    for data in files:
+        first = zlib.decompressobj(31)
+        assert first.decompress(data).count(b"WARC/1.1") == 1 and first.unused_data
+        assert gzip.decompress(data).endswith(warc.END)
+    assert warc.read(spark, str(tmp_path / "w")).count() == 300
+
+
 # 9 token files
 def test_tokens(spark, docs, odd):
     from tokenizers import Tokenizer
