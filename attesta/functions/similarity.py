@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,14 +96,27 @@ def arabic_fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([fuzzy(x, y, 0.75) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def english_fuzzy(a: pd.Series, b: pd.Series, codes_a: pd.Series, codes_b: pd.Series, whole_a: pd.Series, whole_b: pd.Series) -> pd.Series:
-    """Tokens with phonetic help, or the whole strings or whole codes if those agree better."""
-    out = []
-    for x, y, cx, cy, wx, wy in zip(a, b, codes_a, codes_b, whole_a, whole_b, strict=True):
-        best = better(x, y, fuzzy(x, y, 0.65, list(cx), list(cy)))
-        out.append(better(wx, wy, best) if wx and wy else best)
-    return pd.Series(out, dtype="float64")
+def english_above(at_least: float):
+    """Tokens with phonetic help, or the whole strings or whole codes if those agree better.
+
+    Scores from ``at_least`` on are exact; what lies below may be less than the true score, but no more.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series, codes_a: pd.Series, codes_b: pd.Series, whole_a: pd.Series, whole_b: pd.Series) -> pd.Series:
+        out = []
+        for x, y, cx, cy, wx, wy in zip(a, b, codes_a, codes_b, whole_a, whole_b, strict=True):
+            found = fuzzy(x, y, 0.65, list(cx), list(cy))
+            floor = max(found, at_least - 1e-9)
+            best = better(x, y, floor)
+            best = better(wx, wy, best) if wx and wy else best
+            out.append(best if best > floor else found)
+        return pd.Series(out, dtype="float64")
+
+    return score
+
+
+english_fuzzy = english_above(0.0)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -129,16 +142,6 @@ def token_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def scored_pairs(pairs: DataFrame, keys: list[str], score: Column, name: str = "score") -> DataFrame:
-    """``pairs`` with ``score`` computed once for each distinct combination of ``keys``."""
-    once = pairs.select(*keys).distinct().withColumn(name, score)
-    left, right = pairs.alias("l"), once.alias("r")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return left.join(right, same).select("l.*", f"r.{name}")
-
-
 def register(spark: SparkSession) -> None:
     """Publish ``similarity_ratio``, ``jaro_winkler`` and ``name_compare`` to SQL."""
     from attesta.operators.names import name_compare

@@ -75,14 +75,21 @@ def cross_script(pairs: DataFrame, a: str, b: str, arabic_weight: float = 0.7, l
     return pairs.join(once, F.col(a).eqNullSafe(F.col("_ka")) & F.col(b).eqNullSafe(F.col("_kb"))).drop("_ka", "_kb")
 
 
-def _reach(a: Column, b: Column) -> Column:
+def _facts(names: DataFrame, language: str) -> DataFrame:
+    """What scores need of each distinct name ``n``, worked out once: tokens, their codes, the whole code."""
+    shown = arabic_to_latin(F.col("n")) if language == "arabic" else F.col("n")
+    rows = names.select("n", text.tokens(F.col("n")).alias("words"), F.transform(text.tokens(shown), lambda t: code(t, True)).alias("each"), code(F.col("n"), True).alias("whole"))
+    return rows.withColumn("codes", F.array_distinct(F.filter("each", lambda c: c != ""))).withColumn("kinds", F.array_sort(F.array_distinct("words")))
+
+
+def _reach(a: str, b: str) -> Column:
     """The most that any of the fuzzy scores of two names can come to, by lengths and token counts alone."""
     def bound(x: Column, y: Column) -> Column:
         return 2 * F.least(x, y) / F.greatest(x + y, F.lit(1))
 
-    na, nb = F.size(text.tokens(a)), F.size(text.tokens(b))
-    codes = bound(F.length(code(a, True)), F.length(code(b, True)))
-    return F.greatest(bound(F.length(a), F.length(b)), codes, F.least(na, nb) / F.greatest(na, nb))
+    size = lambda c, of: (of(f"{a}.{c}"), of(f"{b}.{c}"))
+    n, m = size("words", F.size)
+    return F.greatest(bound(*size("n", F.length)), bound(*size("whole", F.length)), F.least(n, m) / F.greatest(n, m))
 
 
 def screen(queries: DataFrame, registry: DataFrame, language: str = "english", at_least: float = 0.85, hot: int = 10_000, best_only: bool = True) -> DataFrame:
@@ -91,16 +98,15 @@ def screen(queries: DataFrame, registry: DataFrame, language: str = "english", a
     ``queries``: query_id, name; ``registry``: registry_id, name. Names that share a phonetic code of a
     token are candidates. Equal names are collapsed first, so a block holds distinct names only. The names
     of a code that more than ``hot`` of them carry are dealt to salts of about ``hot`` names, each of which
-    meets the queries of that code. Candidates are scored once for each distinct pair of names.
+    meets the queries of that code. Candidates are scored once for each distinct pair of names. The best
+    name of a query is chosen among distinct names, of equal ones that with the smallest registry id; rows
+    are joined to it only then.
     """
     normal = text.arabic_name if language == "arabic" else text.english_name
-    latin_of = (lambda c: arabic_to_latin(c)) if language == "arabic" else (lambda c: c)
 
     def coded(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         named = df.select(key, normal(F.col("name")).alias("n")).where("n <> ''")
-        names = named.select("n").distinct()
-        codes = F.array_sort(F.array_distinct(F.filter(F.transform(text.tokens(latin_of(F.col("n"))), lambda t: code(t, True)), lambda c: c != "")))
-        return named, names.withColumn("codes", codes)
+        return named, _facts(named.select("n").distinct(), language)
 
     q_rows, q_names = coded(queries, "query_id")
     r_rows, r_names = coded(registry, "registry_id")
@@ -112,15 +118,26 @@ def screen(queries: DataFrame, registry: DataFrame, language: str = "english", a
         salt = F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) if every_salt else F.pmod(F.xxhash64(name), n)
         return side.join(hot_codes, F.col("code") == F.col("hot_code"), "left").select(name, "code", salt.alias("salt"))
 
-    pairs = salted(q, "qn", True).join(salted(r, "rn", False), ["code", "salt"]).select("qn", "rn")
-    candidates = pairs.distinct().where(_reach(F.col("rn"), F.col("qn")) >= at_least)
-    scored = compare(candidates, "rn", "qn", language).where(F.col("name_score") >= at_least)
-    found = scored.join(q_rows, F.col("qn") == q_rows["n"]).drop("n").join(r_rows, F.col("rn") == r_rows["n"]).drop("n")
-    found = found.select("query_id", "registry_id", F.col("name_score").alias("score"), F.col("name_score_tier").alias("tier"))
+    pairs = salted(q, "qn", True).join(salted(r, "rn", False), ["code", "salt"]).select("qn", "rn").distinct()
+    as_one = lambda df, name: df.select(F.col("n").alias(f"_{name}"), F.struct(*df.columns).alias(name))
+    met = pairs.join(as_one(r_names, "a"), F.col("rn") == F.col("_a")).join(as_one(q_names, "b"), F.col("qn") == F.col("_b"))
+    tier = F.when(F.col("rn") == F.col("qn"), "exact").when(F.col("a.kinds") == F.col("b.kinds"), "token_set").otherwise("fuzzy")
+    met = met.select("qn", "rn", "a", "b", tier.alias("tier"))
+    # Few bytes, much work: spread by count, since Spark would merge such partitions by size.
+    hard = met.where((F.col("tier") == "fuzzy") & (_reach("a", "b") >= at_least)).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qn", "rn")
+    if language == "arabic":
+        score = sim.arabic_fuzzy("rn", "qn")
+    else:
+        score = sim.english_above(at_least)("rn", "qn", F.col("a.each"), F.col("b.each"), F.col("a.whole"), F.col("b.whole"))
+    scored = hard.select("qn", "rn", score.alias("score"), "tier").where(F.col("score") >= at_least)
+    scored = scored.unionByName(met.where(F.col("tier") != "fuzzy").select("qn", "rn", F.lit(1.0).alias("score"), "tier"))
     if best_only:
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "registry_id"))
-        found = found.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return found
+        least = r_rows.groupBy("n").agg(F.min("registry_id").alias("registry_id"))
+        nth = F.row_number().over(Window.partitionBy("qn").orderBy(F.col("score").desc(), "registry_id"))
+        found = scored.join(least, F.col("rn") == least["n"]).drop("n").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    else:
+        found = scored.join(r_rows, F.col("rn") == r_rows["n"]).drop("n")
+    return found.join(q_rows, F.col("qn") == q_rows["n"]).select("query_id", "registry_id", "score", "tier")
 
 
 @F.pandas_udf(T.StructType([T.StructField("tier", T.StringType()), T.StructField("score", T.DoubleType())]))

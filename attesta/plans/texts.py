@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import phonetic, text
 
+from . import duck
 from .reconciliation import pick
 from .registry import query, table
 
@@ -15,52 +16,22 @@ ARABIC = ["أحمد عَلي", "عبدالله محمّد", "فاطمة الزه
 _N = "SELECT p_partkey, [" + ", ".join(f"'{n}'" for n in NAMES) + "][CAST(p_partkey % 8 AS INT) + 1] AS name, [" + ", ".join(f"'{n}'" for n in ARABIC) + "][CAST(p_partkey % 8 AS INT) + 1] AS arabic, p_name FROM part"
 
 
-def _code(x: str, before_vowel: bool) -> str:
-    s = f"regexp_replace(upper({x}), '[^A-Z]', ' ', 'g')"
-    steps = [("SH", "x"), ("TH", "0"), ("C([EIY])", r"s\1"), ("C", "k"), ("G([EIY])", r"j\1"), ("G", "k"), ("X", "ks")]
-    steps += [("Y([AEIOU])", r"y\1"), ("Y", "")] if before_vowel else [("Y", "y")]
-    for a, b in [*steps, ("^[AEIOU]", "a"), ("[AEIOU]", "")]:
-        s = f"regexp_replace({s}, '{a}', '{b}', 'g')"
-    return f"replace(upper(translate({s}, 'BDQVZ', 'PTKFS')), ' ', '')"
-
-
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", pick(NAMES, "p_partkey").alias("name"), pick(ARABIC, "p_partkey").alias("arabic"), "p_name")
 
 
-@query(f"SELECT p_partkey, {_code('name', False)} AS code, {_code('p_name', True)} AS code_before_vowel FROM ({_N})")
+@query(f"SELECT p_partkey, {duck.code('name', False)} AS code, {duck.code('p_name')} AS code_before_vowel FROM ({_N})")
 def phonetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("p_partkey", phonetic.code(F.col("name")).alias("code"), phonetic.code(F.col("p_name"), True).alias("code_before_vowel"))
 
 
-def _duck_latin(x: str) -> str:
-    s = f"regexp_replace(lower({x}), '[^\\w\\s]', '', 'g')"
-    for a, b in (("aa+", "a"), ("oo+", "o"), ("ee+", "i"), ("ii+", "i"), ("uu+", "u")):
-        s = f"regexp_replace({s}, '{a}', '{b}', 'g')"
-    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
-
-
-def _duck_english(x: str) -> str:
-    s = f"regexp_replace(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')), '[^a-z\\s\\-]', '', 'g')"
-    for a, b in text.ENGLISH_COMPOUNDS:
-        s = f"regexp_replace({s}, '\\b{a}\\b', '{b}', 'g')"
-    for a, b in ((r"\bal-", "al "), (r"\bel-", "el "), (r"\bal([a-z]{3,})\b", r"al \1")):
-        s = f"regexp_replace({s}, '{a}', '{b}', 'g')"
-    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
-
-
-@query(f"SELECT p_partkey, {_duck_latin('name')} AS latin, {_duck_english('name')} AS english, len(string_split_regex(trim(p_name), '\\s+')) AS n_tokens FROM ({_N})")
+@query(f"SELECT p_partkey, {duck.latin('name')} AS latin, {duck.english('name')} AS english, len(string_split_regex(trim(p_name), '\\s+')) AS n_tokens FROM ({_N})")
 def latin_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _names(spark, sf_dir)
     return rows.select("p_partkey", text.latin(F.col("name")).alias("latin"), text.english_name(F.col("name")).alias("english"), F.size(text.tokens(text.squeezed(F.col("p_name")))).cast("long").alias("n_tokens"))
 
 
-_FOLD = f"translate(arabic, '{text.FOLD_FROM}', '{text.FOLD_TO}')"
-_PLACE = f"trim(regexp_replace(regexp_replace({_FOLD}, '[\\x{{064B}}-\\x{{065F}}]', '', 'g'), '\\s+', ' ', 'g'))"
-_STRICT = f"regexp_replace(trim(regexp_replace(translate({_FOLD}, '{text.MARKS}', ''), '\\s+', ' ', 'g')), '[^\\x{{0600}}-\\x{{06FF}}\\s0-9]', '', 'g')"
-
-
-@query(f"""SELECT p_partkey, {_PLACE} AS place_text, regexp_replace({_PLACE}, '[^a-zA-Z\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}\\x{{08A0}}-\\x{{08FF}}\\s\\-]', '', 'g') AS arabic_name, {_STRICT} AS strict,
+@query(f"""SELECT p_partkey, {duck.arabic_place('arabic')} AS place_text, {duck.arabic('arabic')} AS arabic_name, {duck.arabic_strict('arabic')} AS strict,
 translate(arabic, '{text.DIGITS_FROM}', '{text.DIGITS_TO}') AS digits FROM ({_N})""")
 def arabic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("arabic")
@@ -84,7 +55,7 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "s.first", "s.middle", "s.last", "p.family")
 
 
-@query()
+@query(f"SELECT p_partkey, array_to_string({duck.arabic_tokens('arabic')}, ' ') AS arabic_tokens, array_to_string({duck.latin_tokens('name')}, ' ') AS latin_tokens FROM ({_N})")
 def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _names(spark, sf_dir)
     return rows.select("p_partkey", F.array_join(text.arabic_tokens(F.col("arabic")), " ").alias("arabic_tokens"), F.array_join(text.latin_tokens(F.col("name")), " ").alias("latin_tokens"))

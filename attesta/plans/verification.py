@@ -9,6 +9,8 @@ from attesta.functions import text
 from attesta.operators import checks, extract
 from attesta.operators import verify as ops
 
+from . import duck
+from .names import _PEOPLE as PEOPLE_SQL
 from .names import people
 from .reconciliation import pick
 from .registry import query, table
@@ -43,7 +45,21 @@ def typed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(k, id_score.alias("id_score"), ops.date_score(F.col("date"), F.col("printed_date")).alias("date_score"), ops.gender_score(F.col("gender"), F.lit(None).cast("string"), F.col("number"), F.lit(False)).alias("gender_score"), ops.match_result(F.col("id"), F.col("printed_id"), id_score == 1).alias("id_result"))
 
 
-@query()
+_V = f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN name END AS en, arabic AS ar, CASE WHEN c_custkey % 3 > 0 THEN regexp_replace(name, 'mm', 'm', 'g') ELSE arabic END AS typed FROM ({PEOPLE_SQL})"""
+
+
+def _shares(name: str, hard: str, at_least: float) -> str:
+    """``name`` (a, b, share): the mean share of tokens on either side that find a similar token on the other."""
+    side = lambda x, y, r: f"SELECT a, b, avg(CAST(best >= {at_least} AS INT)) AS share FROM (SELECT a, b, u, max(ratio) AS best FROM (SELECT a, b, u, unnest(list_distinct({y})) AS v FROM (SELECT a, b, unnest(list_distinct({x})) AS u, {y} FROM {hard})) JOIN (SELECT a AS ra, b AS rb, ratio FROM {name}_r) ON {r} GROUP BY a, b, u) GROUP BY a, b"
+    pairs = f"{name}_q AS (SELECT u AS a, v AS b FROM (SELECT DISTINCT u, unnest(tb) AS v FROM (SELECT unnest(ta) AS u, tb FROM {hard})) UNION SELECT v, u FROM (SELECT DISTINCT u, unnest(tb) AS v FROM (SELECT unnest(ta) AS u, tb FROM {hard})))"
+    return f"{pairs}, {duck.ratio(f'{name}_r', f'{name}_q')}, {name} AS (SELECT a, b, (l.share + r.share) / 2 AS share FROM ({side('ta', 'tb', 'ra = u AND rb = v')}) l JOIN ({side('tb', 'ta', 'ra = u AND rb = v')}) r USING (a, b))"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT c_custkey, typed, is_ar, CASE WHEN is_ar THEN ar WHEN coalesce(en, '') = '' THEN {duck.arabic_to_latin('ar')} ELSE en END AS printed FROM (SELECT *, regexp_matches(typed, '[\\x{{0600}}-\\x{{06FF}}]') AS is_ar FROM ({_V}))),
+n AS (SELECT *, CASE WHEN is_ar THEN {duck.arabic('printed')} ELSE {duck.english('printed')} END AS a, CASE WHEN is_ar THEN {duck.arabic('typed')} ELSE {duck.english('typed')} END AS b FROM p),
+na AS (SELECT a, b FROM n WHERE is_ar), ne AS (SELECT a, b FROM n WHERE NOT is_ar), {duck.compare('x', 'na', 'arabic')}, {duck.compare('y', 'ne', 'english')}, {_shares('xs', 'x_h', 0.75)}, {_shares('ys', 'y_h', 0.65)},
+k AS (SELECT true AS is_ar, x.*, share FROM x LEFT JOIN xs USING (a, b) UNION ALL SELECT false, y.*, share FROM y LEFT JOIN ys USING (a, b))
+SELECT c_custkey, round(CASE WHEN typed = '' THEN 1.0 WHEN printed = '' THEN 0.0 WHEN tier <> 'fuzzy' THEN score WHEN share = 1 THEN 1.0 WHEN share >= 0.6 THEN 0.7 + 0.3 * share ELSE score END, 6) AS name_score FROM n JOIN k USING (is_ar, a, b)""")
 def verification_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = people(spark, sf_dir).select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("name")).alias("name_english"), F.col("arabic").alias("name_arabic"), F.when(F.col("c_custkey") % 3 > 0, F.regexp_replace("name", "mm", "m")).otherwise(F.col("arabic")).alias("typed"))
     return ops.name_scores(p).select("c_custkey", F.round("name_score", 6).alias("name_score"))
