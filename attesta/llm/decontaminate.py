@@ -116,7 +116,7 @@ def _windows(words: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def item_rows(items: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (``fp``, ``n``) and windows (``h1``, ``h2``, ``item_id``) of the items."""
+    """Fingerprints (``fp``, ``n``) and windows (``h1``, ``h2``, ``items``, and ``owners``, a number for that list) of the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +136,8 @@ def item_rows(items: DataFrame, id_col: str, text_col: str, window: int, gram: i
 
     rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), text_col)
     rows = materialise(rows.mapInArrow(run, "item_id string, h1 long, h2 long, fps array<long>, n int"), "items")
-    return rows.select(F.explode("fps").alias("fp"), "n").distinct(), rows.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    shared = rows.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return rows.select(F.explode("fps").alias("fp"), "n").distinct(), shared.withColumn("owners", F.xxhash64("items"))
 
 
 def bit_table(fps: DataFrame, bits: int) -> np.ndarray:
@@ -195,12 +196,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     short = sorted(r["n"] for r in fps.where("n > 0").select("n").distinct().collect())
     marked = materialise(candidates(docs, id_col, text_col, bit_table(fps, table_bits), short, window, gram, table_bits), "contamination")
     spans = marked.where(F.size("spans") > 0).select("id", "text_hash", F.explode("spans").alias("s")).select("id", "text_hash", "s.*").distinct()
-    hits = spans.join(windows, ["h1", "h2"]).select("id", "text_hash", "begin", (F.col("begin") + F.col("size")).alias("end"), "items")
+    windows = materialise(windows, "windows")
+    hits = spans.join(windows.select("h1", "h2", "owners"), ["h1", "h2"]).select("id", "text_hash", "begin", (F.col("begin") + F.col("size")).alias("end"), "owners")
     # Words under a union of spans: each span adds what lies beyond the furthest end before it.
     before = F.max("end").over(Window.partitionBy("id", "text_hash").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin"), F.coalesce(before, F.col("begin"))))
     covered = hits.withColumn("fresh", fresh)
-    by_doc = covered.groupBy("id", "text_hash").agg(F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    by_doc = covered.groupBy("id", "text_hash").agg(F.sum("fresh").cast("long").alias("n_hit"), F.collect_set("owners").alias("owners"))
+    # A passage that many items share is one list of items, met once a document however many windows it has.
+    lists = windows.select("owners", "items").dropDuplicates(["owners"])
+    met = by_doc.select("id", "text_hash", F.explode("owners").alias("owners")).join(lists, "owners").groupBy("id", "text_hash")
+    met = met.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "items")
+    by_doc = by_doc.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("id", "text_hash", "n_hit", "items")
     a, b = marked.alias("a"), by_doc.alias("b")
     joined = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_hash") == F.col("b.text_hash")), "left")
     none = F.array().cast("array<string>")
