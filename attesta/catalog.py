@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.plans import checks, extraction, faces, forms, names, places, policy, reconciliation, records, texts, traffic, verification  # noqa: F401
+from attesta.plans import checks, extraction, faces, forms, names, places, policy, reconciliation, records, streams, texts, traffic, verification  # noqa: F401
 from attesta.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -133,14 +133,16 @@ def gender_and_nationality(lines: DataFrame, key: str) -> DataFrame:
 
 
 def quality_of_lines(lines: DataFrame, key: str, numbers: DataFrame) -> DataFrame:
-    """Languages, joined text, mean and best score; the best is blended with a number's confidence."""
+    """Languages, joined text, mean and best score. Readability is the best score, or with a number its
+    confidence, but no less than half of the best score."""
     rows = lines.withColumn("lang", text.text_language(F.col("text")))
     per = rows.groupBy(key).agg(
         F.array_sort(F.collect_set("lang")).alias("languages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("all_text"),
         F.avg("score").alias("mean_score"), F.max("score").alias("best_score"),
     )
     joined = per.join(numbers.select(key, F.col("confidence").alias("_c")), key, "left")
-    return joined.withColumn("readability", F.least(F.lit(1.0), F.greatest("best_score", F.coalesce("_c", F.lit(0.0))))).drop("_c")
+    blended = F.when(F.col("_c").isNotNull(), F.greatest("_c", 0.5 * F.col("best_score"))).otherwise(F.col("best_score"))
+    return joined.withColumn("readability", F.least(F.lit(1.0), blended)).drop("_c")
 
 
 def mrz_zones(lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -189,10 +191,12 @@ def zone_boxes(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.where("label = 'mrz'").withColumn("nth", nth).where("nth <= 2")
 
 
-def card_fields(fields: DataFrame, key: str) -> DataFrame:
+def card_fields(fields: DataFrame, key: str, back_lines: DataFrame | None = None, ref: Column | None = None) -> DataFrame:
     """One row for a card from long rows (key, side, label, text, confidence): front first, else back.
 
     Dates are normalised, the gender follows from the number; a field's confidence is 0 where it is absent.
+    ``back_lines`` are the lines of backs that have no labelled fields: the first two dates among them stand
+    in for missing dates of issue and expiry, without confidence.
     """
     labels = {"name": "name_arabic", "DOB": "date_of_birth", "POB": "place_of_birth", "unique_id": "id_number", "issue_date": "issuance_date", "expiry_data": "expiry_date"}
     value = F.nullif(F.trim("text"), F.lit(""))
@@ -205,6 +209,10 @@ def card_fields(fields: DataFrame, key: str) -> DataFrame:
         v = F.coalesce(normalise_date(chosen["v"]), chosen["v"]) if "date" in name else chosen["v"]
         out += [v.alias(name), F.coalesce(chosen["confidence"], F.lit(0.0)).alias(f"{name}_confidence")]
     cards = per.select(key, *out)
+    if back_lines is not None:
+        dated = issue_and_expiry(back_lines, key, F.current_date() if ref is None else ref).select(F.col(key).alias("_back"), F.col("issue_date").alias("_issue"), F.col("expiry_date").alias("_expiry"))
+        cards = cards.join(dated, F.col(key) == F.col("_back"), "left")
+        cards = cards.withColumns({"issuance_date": F.coalesce("issuance_date", "_issue"), "expiry_date": F.coalesce("expiry_date", "_expiry")}).drop("_back", "_issue", "_expiry")
     digit = F.when(F.col("id_number").rlike(r"^\d{4,}$"), F.substring("id_number", 4, 1))
     return cards.withColumn("gender", F.when(digit == "1", "Male").when(digit == "0", "Female"))
 

@@ -31,10 +31,14 @@ def windowed(requests: DataFrame, at: str, keys: list[str], latency: str = "late
 
 
 def intake_summary(images: DataFrame, found: DataFrame, key: str = "image") -> DataFrame:
-    """Processed and failed images, and the sorted list of failures; an image without a result failed."""
-    joined = images.join(found, key, "left")
-    bad = F.coalesce(F.col("ok"), F.lit(False)) == F.lit(False)
-    return joined.agg(F.count("*").alias("images"), F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"), F.array_sort(F.collect_list(F.when(bad, F.col(key)))).alias("errors"))
+    """How many images, and how many were processed and failed; an image without a result failed."""
+    bad = ~F.coalesce(F.col("ok"), F.lit(False))
+    return images.join(found, key, "left").agg(F.count("*").alias("images"), F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"))
+
+
+def intake_failures(images: DataFrame, found: DataFrame, key: str = "image") -> DataFrame:
+    """The images that failed, one row each."""
+    return images.join(found, key, "left").where(~F.coalesce(F.col("ok"), F.lit(False))).select(key)
 
 
 def filled_fields(rows: DataFrame, fields: list[str]) -> DataFrame:

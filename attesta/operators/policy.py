@@ -129,9 +129,3 @@ def dynamic_config(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     boolean = F.lower(text).isin("true", "1", "yes", "on").cast("string")
     value = F.when(fits, F.when(F.col("kind") == "bool", boolean).otherwise(F.col("_new"))).otherwise(F.col("value"))
     return defaults.join(o, "key", "left").select("key", value.alias("value"), F.coalesce(fits & F.col("_new").isNotNull(), F.lit(False)).alias("is_override"))
-
-
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")

@@ -115,6 +115,11 @@ def profile(rows: DataFrame, blobs: list[str]) -> DataFrame:
     return rows.agg(*aggregates)
 
 
+def sample(rows: DataFrame, columns: list[str], blobs: list[str], order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows by ``order``: some columns, and the byte lengths of others."""
+    return rows.orderBy(order).limit(n).select(*columns, *(F.octet_length(b).alias(f"{b}_bytes") for b in blobs))
+
+
 def export_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     """Chosen columns in order, with a header; columns that the table lacks are left out."""
     rows.select(*(c for c in columns if c in rows.columns)).write.mode("overwrite").option("header", True).csv(path)

@@ -31,19 +31,25 @@ def convert(rows: DataFrame, key: str, arabic: str) -> DataFrame:
     return rows.join(found, key)
 
 
-def good_translation(source: Column, translated: Column, bad: tuple[str, ...] = ()) -> Column:
-    """Long enough, little punctuation, enough vowels, not a copy, and of several words if the source is."""
-    letters = F.regexp_count(translated, F.lit("[A-Za-z]"))
-    vowels = F.regexp_count(F.lower(translated), F.lit("[aeiou]"))
-    return F.coalesce(
-        (F.length(F.trim(translated)) >= 5)
-        & (F.regexp_count(translated, F.lit(r"[^\w\s]")) <= 2)
-        & (vowels >= F.greatest(letters, F.lit(1)) * 0.2)
-        & (F.lower(F.trim(translated)) != F.lower(F.trim(source)))
-        & ((F.size(tokens(source)) < 2) | (F.size(tokens(translated)) >= 2))
-        & ~F.lower(F.trim(translated)).isin(*(bad or ("",))),
-        F.lit(False),
+#: Translations known to be wrong.
+BAD_TRANSLATIONS = ("akllal", "akllal,", "aklal", "akla")
+
+
+def good_translation(source: Column, translated: Column, from_language: Column | None = None, to_language: Column | None = None) -> Column:
+    """Not blank; and from Arabic to English: five characters or more, at most two of ``.,;!?``, vowels for a
+    fifth of the length, a letter, no copy, not known to be wrong, and of several words if the source is."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    name = (F.coalesce(from_language, F.lit("ar")) == "ar") & (F.coalesce(to_language, F.lit("en")) == "en") if from_language is not None else F.lit(True)
+    fits = (
+        (F.length(translated) >= 5)
+        & (F.regexp_count(translated, F.lit("[.,;!?]")) <= 2)
+        & ~F.lower(translated).isin(*BAD_TRANSLATIONS)
+        & (F.regexp_count(F.lower(translated), F.lit("[aeiou]")) >= F.length(translated) * 0.2)
+        & translated.rlike(r"\p{L}")
+        & (bare(translated) != bare(source))
+        & ((F.size(tokens(F.regexp_replace(source, r"(?U)\s+", " "))) < 2) | F.contains(translated, F.lit(" ")))
     )
+    return F.coalesce((bare(translated) != "") & (~name | fits), F.lit(False))
 
 
 def translate_rows(rows: DataFrame, dictionary: DataFrame, text_col: str = "text", language_col: str = "language") -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import checks as ops
 
-from .reconciliation import pick
-from .registry import query, table
+from .registry import pick, query, table
 
 NAMES = [c[0] for c in ops.LIVENESS]
 _MOST = ", ".join(f"({i}, '{c}', {m}, {t}, {str(k).lower()})" for i, (c, m, t, k) in enumerate(ops.LIVENESS))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from attesta.functions import text
 from attesta.operators import extract as ops
 
+from .names import _PEOPLE as PEOPLE_SQL
+from .names import people
 from .registry import query, table
 
 _LINES = """SELECT doc_id, CAST(unnest(generate_series(1, len(l))) AS INT) - 1 AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) ||
@@ -24,25 +26,41 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("score", (F.col("doc_id") + F.col("line_no")) % 100 / 100.0)
 
 
-@query(f"""WITH l AS (SELECT *, (doc_id + line_no) % 100 / 100.0 AS score, regexp_replace(upper(text), '[\\s\\-.]', '', 'g') AS clean, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM ({_LINES})),
-c AS (SELECT doc_id, line_no, score, digits AS number, CASE WHEN regexp_full_match(clean, '[0-9]{{11}}') THEN 1.0 ELSE 0.5 END AS c, CASE WHEN regexp_full_match(clean, '[0-9]{{11}}') THEN 'national_id' ELSE 'unknown' END AS kind FROM l
- WHERE regexp_full_match(clean, '[0-9]{{11}}') OR length(digits) BETWEEN 8 AND 15)
-SELECT doc_id, number, kind, least(1.0, greatest(c * 0.9, score)) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, score DESC, line_no) AS nth FROM c) WHERE nth = 1""")
+def _numbers(lines: str) -> str:
+    """The best number of each document of lines (doc_id, line_no, text, score)."""
+    return f"""SELECT doc_id, number, kind, least(1.0, greatest(c * 0.9, score)) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, score DESC, line_no) AS nth FROM
+(SELECT doc_id, line_no, score, CASE WHEN hit THEN clean ELSE digits END AS number, CASE WHEN hit THEN 1.0 ELSE 0.5 END AS c, CASE WHEN hit THEN 'national_id' ELSE 'unknown' END AS kind FROM
+ (SELECT *, regexp_full_match(clean, '[0-9]{{11}}') AS hit FROM (SELECT *, regexp_replace(upper(text), '[\\s\\-.]', '', 'g') AS clean, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM ({lines}))) WHERE hit OR length(digits) BETWEEN 8 AND 15)) WHERE nth = 1"""
+
+
+_SCORED = f"SELECT *, (doc_id + line_no) % 100 / 100.0 AS score FROM ({_LINES})"
+
+
+@query(_numbers(_SCORED))
 def extract_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.id_numbers(document_lines(spark, sf_dir), "doc_id")
 
 
-@query("""SELECT doc_id, CAST(2000 + doc_id % 20 AS VARCHAR) || '-03-1' || CAST(doc_id % 10 AS VARCHAR) AS issue_date, CAST(2030 + doc_id % 9 AS VARCHAR) || '-06-05' AS expiry_date FROM documents WHERE doc_id % 50 < 40""")
+def _dates(lines: str) -> str:
+    """The lines with their dates ``ds``: year first, then day first, then eight digits."""
+    part = lambda p, f: f"list_transform(regexp_extract_all(text, '{p}'), lambda s: CAST(try_strptime(replace(s, '/', '-'), '{f}') AS DATE))"
+    forms = [("[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}", "%Y-%m-%d"), ("[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}", "%d-%m-%Y"), ("[0-9]{8}", "%Y%m%d")]
+    return f"SELECT *, list_filter({' || '.join(part(*f) for f in forms)}, lambda d: d IS NOT NULL) AS ds FROM ({lines})"
+
+
+@query(f"""SELECT doc_id, CAST(l[1] AS VARCHAR) AS issue_date, CAST(l[2] AS VARCHAR) AS expiry_date FROM (SELECT doc_id, list_sort(list(d)) AS l FROM
+(SELECT doc_id, unnest(ds) AS d FROM ({_dates(_LINES)}) WHERE NOT (length(text) > 10 AND len(regexp_extract_all(text, '[0-9]')) / length(text) > 0.8)) WHERE year(d) BETWEEN 1990 AND 2074 GROUP BY doc_id)""")
 def extract_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Births from 1990 on would be the first date, so those documents are left to the tests."""
-    lines = document_lines(spark, sf_dir).where("text LIKE 'Issued %' OR text LIKE 'born %'").where("doc_id % 50 < 40")
-    return ops.issue_and_expiry(lines, "doc_id", F.lit("2024-01-01").cast("date"))
+    return ops.issue_and_expiry(document_lines(spark, sf_dir), "doc_id", F.lit("2024-01-01").cast("date"))
 
 
-@query("SELECT doc_id, CAST(1950 + doc_id % 50 AS VARCHAR) || '-07-08' AS birth_date FROM documents")
+@query(f"""WITH d AS (SELECT doc_id, line_no, text, list_filter(ds, lambda d: DATE '2024-01-01' - d > 0 AND (DATE '2024-01-01' - d) / 365.25 <= 100) AS ds FROM
+ ({_dates(f"SELECT doc_id, line_no, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '^born', 'dob') ELSE text END AS text FROM ({_LINES})")})),
+near AS (SELECT b.doc_id, b.line_no, first(l.ds[1] ORDER BY l.line_no) AS d FROM d b JOIN d l ON l.doc_id = b.doc_id AND l.line_no BETWEEN b.line_no AND b.line_no + 2 WHERE regexp_matches(lower(b.text), '{ops.BIRTH}') AND len(l.ds) > 0 GROUP BY ALL)
+SELECT doc_id, CAST(coalesce(s.d, o.d) AS VARCHAR) AS birth_date FROM (SELECT doc_id, min(list_min(ds)) AS d FROM d GROUP BY doc_id) o LEFT JOIN (SELECT doc_id, arg_min(d, line_no) AS d FROM near GROUP BY doc_id) s USING (doc_id)""")
 def extract_birth_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = document_lines(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "^born", "dob")).otherwise(F.col("text")))
-    return ops.birth_dates(lines.where("text LIKE 'Issued %' OR text LIKE 'born %' OR text LIKE 'dob %'"), "doc_id", F.lit("2024-01-01").cast("date"))
+    return ops.birth_dates(lines, "doc_id", F.lit("2024-01-01").cast("date"))
 
 
 @query(f"""SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, lower(trim(text)) AS t FROM ({_LINES})) GROUP BY doc_id""")
@@ -78,6 +96,53 @@ def extract_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(langs, "card").join(kept, "card")
 
 
+_VARIED = f"SELECT doc_id, line_no, score, CASE WHEN doc_id % 4 = 0 AND text LIKE 'ID 2%' THEN 'ID none' WHEN doc_id % 5 = 0 AND text LIKE 'born %' THEN 'تاريخ الميلاد' ELSE text END AS text FROM ({_SCORED})"
+_ARABIC_LINE = "len(regexp_extract_all(text, '[\\x{0600}-\\x{06FF}]')) > len(regexp_extract_all(text, '[a-zA-Z]'))"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_sort(list(DISTINCT CASE WHEN {_ARABIC_LINE} THEN 'ar' ELSE 'en' END)), ',') AS languages, md5(string_agg(text, ' ' ORDER BY line_no)) AS all_text, round(avg(score), 6) AS mean_score, max(score) AS best_score,
+least(1.0, CASE WHEN any_value(confidence) IS NULL THEN max(score) ELSE greatest(any_value(confidence), 0.5 * max(score)) END) AS readability FROM ({_VARIED}) LEFT JOIN (SELECT doc_id, confidence FROM ({_numbers(_VARIED)})) USING (doc_id) GROUP BY doc_id""")
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of the documents has no number, another an Arabic line."""
+    said = F.col("text")
+    text_ = F.when((F.col("doc_id") % 4 == 0) & said.startswith("ID 2"), "ID none").when((F.col("doc_id") % 5 == 0) & said.startswith("born "), "تاريخ الميلاد").otherwise(said)
+    lines = document_lines(spark, sf_dir).withColumn("text", text_)
+    found = ops.quality_of_lines(lines, "doc_id", ops.id_numbers(lines, "doc_id"))
+    return found.select("doc_id", F.array_join("languages", ",").alias("languages"), F.md5("all_text").alias("all_text"), F.round("mean_score", 6).alias("mean_score"), "best_score", "readability")
+
+
+@query("""SELECT o_orderkey AS card, CASE WHEN o_orderkey % 2 = 0 THEN '2020-05-06' WHEN o_orderkey % 3 = 0 THEN '2019-02-01' END AS issuance_date, CASE WHEN o_orderkey % 3 = 0 THEN '2029-02-01' END AS expiry_date,
+CASE WHEN o_orderkey % 2 = 0 THEN 0.9 ELSE 0.0 END AS issuance_date_confidence FROM orders""")
+def card_back_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third card's back was read as plain lines, which hold both dates; half of the fronts show one."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("card"))
+    front = o.select("card", F.lit("front").alias("side"), F.lit("issue_date").alias("label"), F.when(F.col("card") % 2 == 0, "2020/5/6").otherwise(" ").alias("text"), F.lit(0.9).alias("confidence"))
+    back = o.where("card % 3 = 0").select("card", F.posexplode(F.array(F.lit("Issued 1/2/2019"), F.lit("20190201999 1"), F.lit("until 2029-02-01"))).alias("line_no", "text"))
+    return ops.card_fields(front, "card", back, F.lit("2024-01-01").cast("date")).select("card", "issuance_date", "expiry_date", "issuance_date_confidence")
+
+
+@query(f"SELECT c_custkey, n AS line_no, t AS text FROM (SELECT c_custkey, unnest([0, 1, 2]) AS n, unnest([name, arabic, arabic || ' ' || name]) AS t FROM ({PEOPLE_SQL})) WHERE regexp_matches(t, '[\\x{{0600}}-\\x{{06FF}}]')")
+def native_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = people(spark, sf_dir).select("c_custkey", F.posexplode(F.array("name", "arabic", F.concat_ws(" ", "arabic", "name"))).alias("line_no", "text"))
+    return ops.in_script(lines, "ar")
+
+
+@query(f"""SELECT c_custkey, first(t ORDER BY n) AS text, min(n) AS line_no FROM (SELECT c_custkey, unnest([0, 1, 2, 3]) AS n, unnest([arabic, name, upper(name), c_mktsegment]) AS t FROM ({PEOPLE_SQL}) JOIN customer USING (c_custkey)) GROUP BY c_custkey, lower(trim(t))""")
+def recogniser_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an Arabic and an English recogniser, each text once."""
+    p = people(spark, sf_dir).join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    arabic = p.select("c_custkey", F.posexplode(F.array("arabic", "name")).alias("line_no", "text"))
+    english = p.select("c_custkey", F.posexplode(F.array(F.upper("name"), F.col("c_mktsegment"))).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 2)
+    return ops.first_seen(arabic.unionByName(english), "c_custkey").select("c_custkey", "text", F.col("line_no").cast("long").alias("line_no"))
+
+
+@query("""SELECT * FROM (SELECT l_orderkey AS image, l_partkey AS y1, l_suppkey AS x1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS nth FROM lineitem WHERE l_linenumber % 3 > 0) WHERE nth <= 2""")
+def zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS image", "CASE WHEN l_linenumber % 3 > 0 THEN 'mrz' ELSE 'photo' END AS label", "l_partkey AS y1", "l_suppkey AS x1")
+    return ops.zone_boxes(boxes, "image").select("image", "y1", "x1", F.col("nth").cast("long").alias("nth"))
+
+
 _P = "CAST(floor(l_extendedprice) AS BIGINT)"
 
 

@@ -9,8 +9,7 @@ from attesta.operators import gazetteer, romanise
 from attesta.operators import names as ops
 
 from . import duck
-from .reconciliation import pick
-from .registry import query, table
+from .registry import pick, query, table
 
 FIRST = ["Mohammed", "Muhammad", "Fatima", "Abdullah", "Khaled", "Yousef", "Sara", "Layla", "Hassan", "Nasser", "Omar"]
 LAST = ["Ali", "Alsqaf", "Al-Omari", "Saleh", "Thabit", "Qasim", "Zaid"]
@@ -99,19 +98,30 @@ def romanised_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return romanise.convert(people(spark, sf_dir), "c_custkey", "arabic").select("c_custkey", "english", "method", "raw_phonetic")
 
 
-@query(f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND a IN ('محمد', 'نور') THEN CASE a WHEN 'محمد' THEN 'Mohammed' ELSE 'Light' END ELSE a END AS translated, a <> 'نور' OR c_custkey % 2 = 1 AS kept FROM (SELECT c_custkey, {_AR} AS a FROM customer)""")
+MEANINGS = {"محمد": "Mohammed", "نور": "Light", "جميلة سالم": " Beautiful"}
+
+
+@query(f"""SELECT *, lower(trim(translated)) NOT IN ({", ".join(f"'{w}'" for w in gazetteer.COMMON_WORDS)}) AS kept
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN a {" ".join(f"WHEN a = '{k}' THEN '{v}'" for k, v in MEANINGS.items())} ELSE a END AS translated FROM (SELECT c_custkey, {_AR} AS a FROM customer))""")
 def translated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = people(spark, sf_dir).select("c_custkey", F.col("arabic").alias("text"), F.when(F.col("c_custkey") % 2 == 0, "ar").otherwise("en").alias("language"))
-    dictionary = spark.createDataFrame([("محمد", "Mohammed"), ("نور", "Light")], "source string, target string")
+    """Translations that give a name's meaning are common words, and are not kept as names."""
+    p = people(spark, sf_dir).select("c_custkey", F.col("arabic").alias("text"), F.when(F.col("c_custkey") % 3 == 0, "en").otherwise("ar").alias("language"))
+    dictionary = spark.createDataFrame(list(MEANINGS.items()), "source string, target string")
     got = romanise.translate_rows(p, dictionary)
     names = romanise.without_common_words(got.select("c_custkey", "translated"), "translated").select(F.col("c_custkey").alias("k"))
     return got.join(names, got["c_custkey"] == names["k"], "left").select("c_custkey", "translated", F.col("k").isNotNull().alias("kept"))
 
 
-_WORDS = ["Mohammed Ali", "xyz", "Rhythm", "Salem, Omar; Said!", "Noor of the morning"]
+#: One translation for each rule, and good ones.
+_GIVEN = ["محمد علي", "محمد", "Fatima", "نور الدين سالم"]
+_SAID = ["Mohammed Ali", "xyz", "Rhythms", "Salem, Omar; Said!", "Noor of the morning", "akllal", "Akllal,", "Brrrrk Fghe", "محمد علي", "  ", "Nora", "A-l-i, O.m.a.r", "12345", "Fatima", "FATIMA"]
 
 
-@query(f"""SELECT c_custkey, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN true WHEN 4 THEN true ELSE false END AS good FROM customer""")
+@query(f"""SELECT c_custkey, trim(t) <> '' AND (c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR (length(t) >= 5 AND len(regexp_extract_all(t, '[.,;!?]')) <= 2 AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in romanise.BAD_TRANSLATIONS)})
+AND len(regexp_extract_all(lower(t), '[aeiou]')) >= length(t) * 0.2 AND regexp_matches(t, '\\p{{L}}') AND trim(t) <> trim(s) AND (NOT contains(s, ' ') OR contains(t, ' ')))) AS good
+FROM (SELECT c_custkey, {_LIST(_GIVEN, 'c_custkey // 3')} AS s, {_LIST(_SAID, 'c_custkey')} AS t FROM customer)""")
 def translation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", pick(_WORDS, "c_custkey").alias("t"))
-    return c.select("c_custkey", romanise.good_translation(F.lit("محمد علي"), F.col("t")).alias("good"))
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k, pick(_GIVEN, "c_custkey div 3").alias("s"), pick(_SAID, "c_custkey").alias("t"))
+    good = romanise.good_translation(F.col("s"), F.col("t"), F.when(k % 7 == 0, "en").otherwise("ar"), F.when(k % 11 == 0, "ar").otherwise("en"))
+    return c.select(k, good.alias("good"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from attesta.operators import gazetteer
 from attesta.operators import places as ops
 
-from .reconciliation import pick
-from .registry import query, table
+from . import duck
+from .registry import pick, query, table
 
 PAIRS = [("صنعاء", "صنعاء", 0.6), ("صنعا", "صنعاء", 0.6), ("صنعاء - بني الحارث", "بني الحارث", 0.4), ("صنعاء - معين", "صنعاء - بني الحارث", 0.6), ("صنعاء", "عدن", 0.0), ("صنعاء", "123456", 0.0), ("عدن / كريتر", "عدن، كريتر", 1.0)]
 _CASE = " ".join(f"WHEN {i} THEN {s}" for i, (_, _, s) in enumerate(PAIRS))
@@ -32,7 +32,17 @@ def resolve_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.classified(rows, "c_custkey", "raw").groupBy("kind", "canonical").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS k, 21 AS governorates FROM nation WHERE n_nationkey = 0")
+_TOKENS = [t for _, _, spellings, districts in gazetteer.GOVERNORATES for t in (*spellings, *districts)]
+_SPELLED = duck.values([(i, name, t) for i, (name, _, spellings, _) in enumerate(gazetteer.GOVERNORATES) for t in (name, *spellings)])
+_DISTRICTS = duck.values([(i, name, t) for i, (name, _, _, districts) in enumerate(gazetteer.GOVERNORATES) for t in districts])
+#: Spellings and districts, normalised, with the first governorate of each.
+GAZETTEER_SQL = ", ".join(f"{n} AS (SELECT {duck.arabic_place('token')} AS token, min_by(name, ord) AS governorate FROM {v} AS x(ord, name, token) GROUP BY 1)" for n, v in (("gov", _SPELLED), ("dis", _DISTRICTS)))
+
+
+@query(f"""WITH {GAZETTEER_SQL}, k AS (SELECT c_custkey, [{", ".join(f"'{t}'" for t in _TOKENS)}][CAST(c_custkey % {len(_TOKENS)} AS INT) + 1] AS raw FROM customer)
+SELECT c_custkey, coalesce(gov.governorate, t) AS canonical, coalesce(gov.governorate, dis.governorate) AS governorate, CASE WHEN gov.governorate IS NULL THEN 'district' ELSE 'governorate' END AS kind
+FROM (SELECT c_custkey, {duck.arabic_place('raw')} AS t FROM k) LEFT JOIN gov ON gov.token = t LEFT JOIN dis ON dis.token = t""")
 def gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gazetteer.governorates(spark).agg(F.countDistinct("governorate").alias("governorates"))
-    return table(spark, sf_dir, "nation").where("n_nationkey = 0").select(F.col("n_nationkey").alias("k")).join(found)
+    """Every spelling and district that the gazetteer knows, resolved."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pick(_TOKENS, "c_custkey").alias("raw"))
+    return ops.classified(rows, "c_custkey", "raw").select("c_custkey", "canonical", "governorate", "kind")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import mrz
 from attesta.operators import expiry, extract
 from attesta.operators import registry as ops
+from attesta.sources import tables
 
 from .registry import query, table
 
@@ -16,17 +17,20 @@ _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'failed' EL
 
 
 
-def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    return o.selectExpr("o_custkey % 2000 AS document_id", "concat('D', o_custkey % 2000) AS document_number", "o_orderpriority AS full_name", "case when o_orderkey % 2 = 0 then o_orderstatus end AS image", "cast(o_orderkey as string) AS transaction_id", "o_orderkey AS at")
+#: Every fifth order names a document that the registry lacks.
+_KEY = "concat(CASE WHEN o_orderkey % 5 = 0 THEN 'N' ELSE 'D' END, o_custkey)"
+
+
+def updates_of(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr("CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS document_id", f"{_KEY} AS document_number", "o_orderpriority AS full_name", "case when o_orderkey % 2 = 0 then o_orderstatus end AS image", "cast(o_orderkey as string) AS transaction_id", "o_orderkey AS at")
 
 
 _DOCS = "SELECT c_custkey AS document_id, concat('D', c_custkey) AS document_number, c_name AS full_name, concat('img', c_custkey % 7) AS image, CAST(NULL AS VARCHAR) AS transaction_id FROM customer"
-_UPD = """SELECT * EXCLUDE (nth) FROM (SELECT o_custkey % 2000 AS document_id, concat('D', o_custkey % 2000) AS document_number, o_orderpriority AS full_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS image,
-CAST(o_orderkey AS VARCHAR) AS transaction_id, row_number() OVER (PARTITION BY o_custkey % 2000 ORDER BY o_orderkey DESC) AS nth FROM orders WHERE o_orderkey % 3 = 0) WHERE nth = 1"""
+_UPD = f"""SELECT * EXCLUDE (nth) FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS document_id, {_KEY} AS document_number, o_orderpriority AS full_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS image,
+CAST(o_orderkey AS VARCHAR) AS transaction_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY o_orderkey DESC) AS nth FROM orders) WHERE nth = 1"""
 
 
-def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr("c_custkey AS document_id", "concat('D', c_custkey) AS document_number", "c_name AS full_name", "concat('img', c_custkey % 7) AS image", "cast(null as string) AS transaction_id")
 
 
@@ -34,39 +38,83 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(u.document_id, d.document_id) AS document_id, coalesce(u.document_number, d.document_number) AS document_number, CASE WHEN u.document_number IS NOT NULL THEN u.full_name ELSE d.full_name END AS full_name,
 coalesce(u.image, d.image) AS image, coalesce(u.transaction_id, d.transaction_id) AS transaction_id FROM d FULL JOIN u USING (document_number)""")
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.upsert(_state(spark, sf_dir), _updates(spark, sf_dir), ["document_number"], "at", ["document_id", "image", "transaction_id"])
+    return ops.upsert(state(spark, sf_dir), updates_of(table(spark, sf_dir, "orders")), ["document_number"], "at", ["document_id", "image", "transaction_id"])
 
 
-@query(f"""WITH d AS (SELECT * FROM ({_DOCS}) WHERE document_id % 4 > 0), n AS (SELECT * FROM ({_UPD}))
+@query(f"""WITH d AS (SELECT * FROM ({_DOCS})), n AS (SELECT * FROM ({_UPD}))
 SELECT * FROM d UNION ALL BY NAME SELECT document_id, document_number, full_name, coalesce(image, 'Ordinary') AS image, transaction_id FROM n WHERE document_number NOT IN (SELECT document_number FROM d)""")
 def registry_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = ops.newest(_updates(spark, sf_dir), ["document_number"], "at")
-    return ops.insert_new(_state(spark, sf_dir).where("document_id % 4 > 0"), new, ["document_number"], {"image": "Ordinary"})
+    new = ops.newest(updates_of(table(spark, sf_dir, "orders")), ["document_number"], "at")
+    return ops.insert_new(state(spark, sf_dir), new, ["document_number"], {"image": "Ordinary"})
 
 
 @query(f"""WITH d AS ({_DOCS}), u AS ({_UPD})
 SELECT d.document_id, d.document_number, coalesce(u.full_name, d.full_name) AS full_name, coalesce(u.image, d.image) AS image, d.transaction_id FROM d LEFT JOIN u USING (document_number)""")
 def registry_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = ops.newest(_updates(spark, sf_dir), ["document_number"], "at")
-    return ops.patch(_state(spark, sf_dir), new, ["document_number"], ["full_name", "image"])
+    new = ops.newest(updates_of(table(spark, sf_dir, "orders")), ["document_number"], "at")
+    return ops.patch(state(spark, sf_dir), new, ["document_number"], ["full_name", "image"])
 
 
-@query(f"""WITH d AS (SELECT * FROM ({_DOCS}) WHERE document_id % 4 > 0), u AS ({_UPD})
+@query(f"""WITH d AS (SELECT * FROM ({_DOCS})), u AS ({_UPD})
 SELECT d.document_id, document_number, coalesce(u.full_name, d.full_name) AS full_name, coalesce(u.image, d.image) AS image, d.transaction_id FROM d LEFT JOIN u USING (document_number)
 UNION ALL BY NAME SELECT * FROM u WHERE document_number NOT IN (SELECT document_number FROM d)""")
 def registry_save(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = ops.newest(_updates(spark, sf_dir), ["document_number"], "at")
-    return ops.save_or_update(_state(spark, sf_dir).where("document_id % 4 > 0"), new, ["document_number"], ["full_name", "image"])
+    new = ops.newest(updates_of(table(spark, sf_dir, "orders")), ["document_number"], "at")
+    return ops.save_or_update(state(spark, sf_dir), new, ["document_number"], ["full_name", "image"])
 
 
-@query("""SELECT 'found' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)
-UNION ALL SELECT 'missing', count(*) FROM (SELECT DISTINCT o_custkey + 1000 AS k FROM orders WHERE o_orderkey % 10 = 0) WHERE k NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT 'left', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)""")
+@query("""SELECT 'found' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey * 2 FROM orders)
+UNION ALL SELECT 'missing', count(*) FROM (SELECT DISTINCT o_custkey * 2 AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'left', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)""")
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("k"))
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("k"))
     count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
-    return count(ops.lookup(c, o, ["k"]), "found").union(count(ops.missing(c, o.select((F.col("k") + 1000).alias("k")), ["k"]), "missing")).union(count(ops.delete(c, o, ["k"]), "left"))
+    return count(ops.lookup(c, o, ["k"]), "found").union(count(ops.missing(c, o, ["k"]), "missing")).union(count(ops.delete(c, o, ["k"]), "left"))
+
+
+@query("""SELECT c_custkey AS key, coalesce(v, c_mktsegment) AS value FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def override_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings are set by the newest order of a customer, and removed where one is pending."""
+    o = table(spark, sf_dir, "orders")
+    held = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    given = o.select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("at")).join(held.select("key"), "key", "left_semi")
+    return ops.delete(ops.upsert(held, given, ["key"], "at", []), o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")), ["key"])
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written with a header in the order asked for, without columns that the table lacks, and read back."""
+    path = tables.scratch(spark, "csv")
+    ops.export_csv(table(spark, sf_dir, "customer"), path, ["c_custkey", "c_name", "absent", "c_acctbal"])
+    return spark.read.option("header", True).schema("c_custkey long, c_name string, c_acctbal double").csv(path)
+
+
+@query("""SELECT 'request' AS event_type, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS metadata, strftime(ts, '%Y-%m-%d %H:%M:%S') AS occurred_at FROM events""")
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended in two writes and read back."""
+    path, e = tables.scratch(spark, "audit"), table(spark, sf_dir, "events")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        tables.append(ops.audit_rows(e.where(part).select("event_id", "user_id"), "request", F.lit(None).cast("timestamp")), path)
+    rows = tables.registry(spark, path, ["event_type", "metadata"])
+    at = e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"))
+    return rows.withColumn("event_id", F.get_json_object("metadata", "$.event_id").cast("long")).join(at, "event_id").drop("event_id")
+
+
+@query(f"""SELECT o_orderkey AS id, {_STATUS} AS status, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS VARCHAR) END AS verified_at FROM orders""")
+def verification_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verifications appended one status after another, and read back by chosen columns."""
+    path = tables.scratch(spark, "verifications")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_STATUS} AS status", "o_orderdate AS at")
+    for status in ("verified", "failed", "pending"):
+        tables.append(ops.verification_rows(o.where(F.col("status") == status), F.col("at")), path)
+    return tables.registry(spark, path, ["id", "status", "verified_at"]).withColumn("verified_at", F.col("verified_at").cast("string"))
+
+
+@query("SELECT c_custkey, octet_length(encode(c_name)) AS c_name_bytes FROM customer ORDER BY c_custkey LIMIT 5")
+def registry_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.sample(table(spark, sf_dir, "customer"), ["c_custkey"], ["c_name"], "c_custkey")
 
 
 @query(f"""SELECT o_orderkey AS id, o_custkey AS document_id, c_name AS full_name, {_STATUS} AS status, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS verified_at,
@@ -74,15 +122,15 @@ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey
 def verification_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS document_id", f"{_STATUS} AS status", "o_orderdate AS at")
     rows = ops.verification_rows(o, F.col("at"))
-    docs = _state(spark, sf_dir).select("document_id", "full_name")
+    docs = state(spark, sf_dir).select("document_id", "full_name")
     numbered = ops.history(rows, ["document_id"], "at", "id").join(docs, "document_id")
     return numbered.select("id", "document_id", "full_name", "status", "verified_at", F.col("nth").cast("long").alias("nth"))
 
 
-@query("SELECT o_orderkey AS id, o_orderdate AS verified_at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+@query("SELECT o_orderkey AS id, o_orderdate AS verified_at FROM orders WHERE o_orderstatus = 'F'")
 def verified_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_STATUS} AS status", "o_orderdate AS at")
-    return ops.verified_newest_first(ops.verification_rows(o, F.col("at")), "id").select("id", "verified_at").limit(100)
+    return ops.verified_newest_first(ops.verification_rows(o, F.col("at")), "id").select("id", "verified_at")
 
 
 @query("""SELECT a.o_orderkey AS document_call, b.o_orderkey AS verify_call, a.o_custkey AS transaction_id FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) a JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 1) b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority""")
@@ -172,3 +220,33 @@ def mrz_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select(F.col("c_custkey").alias("document_id"), F.posexplode(F.array(F.lit("REPUBLIC"), F.lower("line1"), F.when(F.col("c_custkey") % 5 > 0, F.col("line2")).otherwise("TORN"), F.lit("SIGNATURE"))).alias("line_no", "text"))
     parsed, _ = extract.mrz_zones(lines, "document_id")
     return parsed.select("document_id", "m.passport_number", "m.valid", F.col("m.surname").isNotNull().alias("complete"))
+
+
+@query("""SELECT c_custkey, CASE WHEN zone THEN upper(c_mktsegment) ELSE 'Printed' END AS surname, CAST(CASE WHEN zone THEN sure ELSE 0.7 END AS DOUBLE) AS surname_confidence, CASE WHEN zone THEN CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END END AS gender, CAST(CASE WHEN zone THEN sure ELSE 0.0 END AS DOUBLE) AS gender_confidence,
+CASE WHEN zone THEN lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE 'P' || c_custkey END AS passport_number FROM (SELECT *, c_custkey % 4 > 0 AS zone, CASE WHEN c_custkey % 13 > 0 THEN 0.99 ELSE 0.85 END AS sure FROM customer)""")
+def passport_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone over the print; a quarter of the passports have no zone, and no print shows a gender."""
+    c = table(spark, sf_dir, "customer")
+    c.createOrReplaceTempView("customer")
+    zones = with_digits(spark.sql(_LINES.replace("{s}", "string"))).where("c_custkey % 4 > 0").select("c_custkey", mrz.parse(F.col("line1"), F.col("line2")).alias("m"))
+    printed = c.select("c_custkey", F.lit("Printed").alias("surname"), F.lit(None).cast("string").alias("gender"), F.concat(F.lit("P"), "c_custkey").alias("passport_number"), F.lit(0.7).alias("confidence"))
+    found = extract.passport_fields(printed, zones, "c_custkey", ["surname", "gender", "passport_number"])
+    return found.select("c_custkey", "surname", "surname_confidence", "gender", "gender_confidence", "passport_number")
+
+
+_PASSPORT = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '12AB' ELSE lpad(CAST(c_custkey AS {s}), 8, '0') END AS passport_number, CASE WHEN c_custkey % 7 > 0 THEN c_name END AS surname,
+CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '1990-01-01' END AS date_of_birth, CASE WHEN c_custkey % 11 > 0 THEN concat(CAST(2015 + c_custkey % 20 AS {s}), '-06-30') END AS expiry_date FROM customer"""
+
+
+@query(f"""SELECT c_custkey, concat_ws('; ', CASE WHEN passport_number = '' THEN 'passport_number is missing' END, CASE WHEN surname IS NULL THEN 'surname is missing' END, CASE WHEN trim(date_of_birth) = '' THEN 'date_of_birth is missing' END,
+CASE WHEN expiry_date IS NULL THEN 'expiry_date is missing' END, CASE WHEN NOT regexp_full_match(passport_number, '[0-9]{{8,9}}') THEN 'passport_number is malformed' END, CASE WHEN expiry_date < '2024-01-01' THEN 'passport has expired' END) AS issues FROM ({_PASSPORT.replace("{s}", "VARCHAR")})""")
+def passport_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    found = extract.passport_issues(spark.sql(_PASSPORT.replace("{s}", "string")), F.lit("2024-01-01").cast("date"))
+    return found.select("c_custkey", F.array_join("issues", "; ").alias("issues"))
+
+
+@query("SELECT c_custkey, left(rpad('P<YEM' || upper(c_name) || repeat(upper(c_mktsegment), CAST(c_custkey % 6 AS INT)), 44, '<'), 44) AS line FROM customer")
+def fitted_zone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" p<yem"), F.lower("c_name"), F.repeat(F.lower("c_mktsegment"), (F.col("c_custkey") % 6).cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", mrz.fit(raw).alias("line"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import phonetic, text
 
 from . import duck
-from .reconciliation import pick
-from .registry import query, table
+from .registry import pick, query, table
 
 NAMES = ["Abdulrahman Al-Saleh", "Mohammed  Ali", "Shaykh Yusef Thabit", "CECILIA Gym", "el-Amin Youssef", "abdullah alsqaf", "Xavier Quy", "bin Ibrahim Noor"]
 ARABIC = ["أحمد عَلي", "عبدالله محمّد", "فاطمة الزهراء", "مصطفى حسن", "إبراهيم ١٢٣", "Ali علي", "رمـاح", "سعيد-ناصر"]

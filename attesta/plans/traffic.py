@@ -9,14 +9,14 @@ from attesta.operators import metrics as ops
 
 from .registry import query, table
 
-_LE = ", ".join(f"count(*) FILTER (value / 10 <= {b}) AS le_{str(b).replace('.', '_')}" for b in ops.BUCKETS)
+LE = ", ".join(f"count(*) FILTER (value / 10 <= {b}) AS le_{str(b).replace('.', '_')}" for b in ops.BUCKETS)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("endpoint"), (F.col("value") / 10).alias("latency"), (F.col("event_id") % 3).alias("status"), "event_id")
 
 
-@query(f"SELECT event_type AS endpoint, count(*) AS requests, round(sum(value / 10), 4) AS latency_sum, {_LE} FROM events GROUP BY event_type")
+@query(f"SELECT event_type AS endpoint, count(*) AS requests, round(sum(value / 10), 4) AS latency_sum, {LE} FROM events GROUP BY event_type")
 def ops_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.latency_histogram(requests(spark, sf_dir), ["endpoint"]).withColumn("latency_sum", F.round("latency_sum", 4))
 
@@ -26,17 +26,29 @@ def request_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.request_counts(requests(spark, sf_dir), ["endpoint", "status"])
 
 
-@query(f"SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS window_start, event_type AS endpoint, count(*) AS requests, round(sum(value / 10), 4) AS latency_sum, {_LE} FROM events GROUP BY 1, 2")
+@query(f"SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS window_start, event_type AS endpoint, count(*) AS requests, round(sum(value / 10), 4) AS latency_sum, {LE} FROM events GROUP BY 1, 2")
 def ops_metrics_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ops.windowed(requests(spark, sf_dir), "ts", ["endpoint"])
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).withColumn("latency_sum", F.round("latency_sum", 4))
 
 
-@query("""SELECT count(*) AS images, count(*) FILTER (o_custkey % 3 > 0 AND o_orderkey % 4 > 0) AS processed, count(*) FILTER (o_custkey % 3 = 0 OR o_orderkey % 4 = 0) AS failed, count(*) FILTER (o_custkey % 3 = 0 OR o_orderkey % 4 = 0) AS n_errors FROM orders""")
-def batch_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FAILED = "o_custkey % 3 = 0 OR o_orderkey % 4 = 0"
+
+
+def _intake(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
     found = o.where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("image"), (F.col("o_custkey") % 3 > 0).alias("ok"))
-    return ops.intake_summary(o.select(F.col("o_orderkey").alias("image")), found).select("images", "processed", "failed", F.size("errors").cast("long").alias("n_errors"))
+    return o.select(F.col("o_orderkey").alias("image")), found
+
+
+@query(f"SELECT count(*) AS images, count(*) FILTER (NOT ({_FAILED})) AS processed, count(*) FILTER ({_FAILED}) AS failed FROM orders")
+def batch_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.intake_summary(*_intake(spark, sf_dir))
+
+
+@query(f"SELECT o_orderkey AS image FROM orders WHERE {_FAILED}")
+def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.intake_failures(*_intake(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, CAST(1 + (o_custkey % 2) + CAST(o_orderstatus = 'F' AS INT) AS INTEGER) AS filled FROM orders")

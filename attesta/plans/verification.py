@@ -12,8 +12,7 @@ from attesta.operators import verify as ops
 from . import duck
 from .names import _PEOPLE as PEOPLE_SQL
 from .names import people
-from .reconciliation import pick
-from .registry import query, table
+from .registry import pick, query, table
 
 TYPES = ["Yemen National-ID", "passport", "yemen_id", "visa", " Yemen Passport "]
 

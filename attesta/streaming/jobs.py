@@ -16,16 +16,29 @@ def metrics_stream(requests: DataFrame, path: str, checkpoint: str, at: str = "t
     return out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(updates: DataFrame, state: str, checkpoint: str, keys: list[str], order: str, keep_if_null: list[str]) -> StreamingQuery:
-    """Each micro-batch becomes a new version of the table, ``<state>/v=<batch>``.
+def _bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
-    A version is written whole before the next batch starts; a batch that runs again overwrites its own
-    version from the one before, so failures never apply an update twice.
+
+def create_state(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """The table that an upsert stream keeps, in buckets of the keys' hash."""
+    _bucketed(rows, keys, buckets).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def upsert_stream(updates: DataFrame, state: str, checkpoint: str, keys: list[str], order: str, keep_if_null: list[str], buckets: int = 64) -> StreamingQuery:
+    """Each micro-batch rewrites the buckets of ``state`` that it has keys of, and no others.
+
+    The new buckets are written beside the table first and then put in its place. A batch that runs again,
+    also after a part of it was put in place, gives the same rows: applying an update twice changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        current = batch.sparkSession.read.parquet(f"{state}/v={number - 1}")
-        ops.upsert(current, batch, keys, order, keep_if_null).write.mode("overwrite").parquet(f"{state}/v={number}")
+        keyed, spark, staged = _bucketed(batch, keys, buckets), batch.sparkSession, f"{state}-staged"
+        touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most ``buckets``
+        if touched:
+            current = spark.read.parquet(state).where(F.col("bucket").isin(touched))
+            ops.upsert(current, keyed, ["bucket", *keys], order, keep_if_null).write.mode("overwrite").parquet(staged)
+            spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(state)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -37,6 +50,7 @@ def audit_stream(events: DataFrame, path: str, checkpoint: str, event_type: str
 
 def paired_calls(first: DataFrame, second: DataFrame, at: str = "ts", late: str = "10 minutes", within: str = "1 hour") -> DataFrame:
     """Both calls of a transaction, joined as they arrive; state is dropped behind the watermark."""
+    # The identifier that both calls carry, with the time of each.
     a = first.select(F.col("transaction_id").alias("t1"), F.col(at).alias("at1"), F.col("id").alias("first_id")).withWatermark("at1", late)
     b = second.select(F.col("transaction_id").alias("t2"), F.col(at).alias("at2"), F.col("id").alias("second_id")).withWatermark("at2", late)
     close = F.expr(f"t1 = t2 AND at2 BETWEEN at1 - INTERVAL {within} AND at1 + INTERVAL {within}")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import difflib
+import os
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -113,7 +115,6 @@ def plain_code(s, before_vowel):
 
 
 def test_codes(spark):
-    import random
 
     draw = random.Random(1)
     words = ["".join(draw.choice("AEIOUYCGSTHXKBDQVZLMR -'") for _ in range(draw.randint(0, 9))) for _ in range(1500)]
@@ -126,7 +127,17 @@ def test_codes(spark):
 @given(st.text("abcd", max_size=8), st.text("abcd", max_size=8))
 def test_jaro_winkler(a, b):
     s = similarity.jaro_winkler(a, b)
-    assert 0 <= s <= 1 and abs(s - similarity.jaro_winkler(b, a)) < 1e-9 or s >= 0
+    assert 0 <= s <= 1 and (s == 1) == (a == b != "")
+    reach, taken = max(max(len(a), len(b)) // 2 - 1, 0), {}
+    for i, c in enumerate(a):  # each letter takes the first free equal one within reach
+        free = [j for j in range(len(b)) if abs(i - j) <= reach and b[j] == c and j not in taken.values()]
+        if free:
+            taken[i] = free[0]
+    m = len(taken)
+    swaps = sum(a[i] != b[j] for i, j in zip(sorted(taken), sorted(taken.values())))
+    jaro = (m / len(a) + m / len(b) + (m - swaps / 2) / m) / 3 if m else 0.0
+    prefix = len(os.path.commonprefix([a[:4], b[:4]]))
+    assert s == pytest.approx(jaro + prefix * 0.1 * (1 - jaro))
     assert similarity.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and similarity.jaro_winkler("dixon", "dicksonx") == pytest.approx(0.8133, abs=1e-4)
 
 
@@ -255,3 +266,45 @@ def test_verification_names(spark):
     df = spark.createDataFrame([r[:4] for r in rows], "k string, typed string, name_english string, name_arabic string")
     got = {r.k: r.name_score for r in verify.name_scores(df).collect()}
     assert len(got) == len(rows) and all(got[r[0]] == pytest.approx(r[4]) for r in rows if r[4] is not None) and got["f"] < 0.6
+
+
+def test_readability_blends_a_number(spark):
+    """With a number its confidence counts, but no less than half of the best line."""
+    lines = spark.createDataFrame([(1, 0, "12345678901", 0.2), (1, 1, "x", 1.0), (2, 0, "x", 0.7), (3, 0, "123456789", 0.1), (3, 1, "x", 1.0)], "k int, line_no int, text string, score double")
+    numbers = spark.createDataFrame([(1, 0.9), (3, 0.3)], "k int, confidence double")
+    assert {r.k: r.readability for r in extract.quality_of_lines(lines, "k", numbers).collect()} == {1: 0.9, 2: 0.7, 3: 0.5}
+
+
+def test_each_rule_of_translations(spark):
+    good = [("محمد علي", "Mohammed Ali"), ("نور", "Noora")]
+    bad = [("نور", "Nora"), ("نور", "a,e;i.o u"), ("نور", "aklal"), ("نور", "Brrrrrk"), ("Fatima", " Fatima"), ("محمد علي", "Mohammed"), ("نور", " "), ("نور", None), (None, None)]
+    df = spark.createDataFrame(good + bad, "s string, t string")
+    assert [r.ok for r in df.select(romanise.good_translation(F.col("s"), F.col("t")).alias("ok")).collect()] == [True] * len(good) + [False] * len(bad)
+    other = df.select(romanise.good_translation(F.col("s"), F.col("t"), F.lit("ar"), F.lit("fr")).alias("ok")).collect()
+    assert [r.ok for r in other] == [True] * (len(good) + 6) + [False] * 3
+    words = spark.createDataFrame([("Light",), (" moon ",), ("Noor",), (None,)], "w string")
+    assert [r.w for r in romanise.without_common_words(words, "w").collect()] == ["Noor", None]
+
+
+def test_screening_against_all_pairs(spark):
+    """The best name of each query, by comparing every pair that shares a code; a hot code is dealt to salts."""
+    draw = random.Random(2)
+    make = lambda: " ".join(draw.choice(["omar", "omer", "salem", "saleem", "nasser", "naser", "ali", "aly"]) for _ in range(3))
+    held = [(i, make()) for i in range(80)]
+    asked = [(1000 + i, make()) for i in range(40)]
+    registry_, queries_ = spark.createDataFrame(held, "registry_id int, name string"), spark.createDataFrame(asked, "query_id int, name string")
+    every = names.compare(queries_.withColumnRenamed("name", "q").crossJoin(registry_), "name", "q", "english")
+    shared = F.arrays_overlap(*(F.transform(text.tokens(F.col(c)), lambda t: phonetic.code(t, True)) for c in ("name", "q")))
+    want = {}
+    for r in every.where(shared & (F.col("name_score") >= 0.85)).collect():
+        want[r.query_id] = max(want.get(r.query_id, (0.0, 0)), (r.name_score, -r.registry_id))
+    for hot in (10_000, 20):
+        got = {r.query_id: (r.score, -r.registry_id) for r in names.screen(queries_, registry_, hot=hot).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_jdbc_in_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).selectExpr("id", "CAST(id AS STRING) AS v").write.jdbc(url, "held")
+    df = tables.registry_jdbc(spark, url, "held", "id", 0, 100, 4)
+    assert df.rdd.getNumPartitions() == 4 and df.where("id >= 90").count() == 10
