@@ -34,7 +34,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that executors share; a local session without one gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="attesta-")
     path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
