@@ -90,20 +90,26 @@ def components_within(x: np.ndarray, radius: int) -> np.ndarray:
     far = np.bitwise_count(x ^ x[0]).astype(np.int64)
     order = np.argsort(far, kind="stable")
     xs, far = x[order], far[order]
+    signed, root = xs.view(np.int64), np.empty(len(xs), np.int64)
+    waiting, gone = np.ones(len(xs), bool), 0
+    left = np.arange(len(xs))  # those who wait, and a few who no longer do
     starts = np.searchsorted(far, np.arange(67))
-    waiting, root = np.ones(len(xs), bool), np.empty(len(xs), np.int64)
-    signed = xs.view(np.int64)
     for first in range(len(xs)):
         if not waiting[first]:
             continue
         waiting[first], members, at = False, [first], 0
+        gone += 1
         while at < len(members):
             p = members[at]
             at += 1
-            lo, hi = starts[max(0, far[p] - radius)], starts[min(65, far[p] + radius) + 1]
-            near = np.flatnonzero((np.bitwise_count(xs[lo:hi] ^ xs[p]) <= radius) & waiting[lo:hi]) + lo
+            if 2 * gone > len(left):  # a large group of copies leaves few to compare with
+                left, gone = left[waiting[left]], 0
+                starts = np.searchsorted(far[left], np.arange(67))
+            some = left[starts[max(0, far[p] - radius)] : starts[min(65, far[p] + radius) + 1]]
+            near = some[(np.bitwise_count(xs[some] ^ xs[p]) <= radius) & waiting[some]]
             if len(near):
                 waiting[near] = False
+                gone += len(near)
                 members.extend(near.tolist())
         root[members] = signed[members].min()
     out = np.empty_like(root)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from attesta.llm import decontaminate, html, knn, langid, lmscore, mixing, nearcopies, oracle, pii, simhash, tokens, warc
 from attesta.llm.queries import tokenizer_path
@@ -76,6 +77,45 @@ def test_mixing(docs):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def highest(shares, seats):
+    """Seats by highest quotients, ties to the first."""
+    won = [0] * len(shares)
+    for _ in range(seats):
+        won[max(range(len(shares)), key=lambda i: (shares[i] / (2 * won[i] + 1), -i))] += 1
+    return won
+
+
+def test_mixing_takes_blocks(spark, docs):
+    """Every document's taken words, by dealing blocks one by one and laying out every word."""
+    block, most, seed = 16, 2, 7
+    options = {"shard_words": 1500, "group_shards": 3}
+    got = mixing.mix(docs, **options)
+    place = docs.selectExpr("doc_id", f"xxhash64({seed + 1}, doc_id) AS place")
+    rows = got.join(place, "doc_id").withColumn("at", F.xxhash64(F.lit(seed + 2), "source", "shard")).collect()
+    sources = sorted({(r.source is None, r.source or "", r.source) for r in rows})
+    target = {r.source: r.target for r in rows}
+    wins = dict(zip([s for *_, s in sources], highest([target[s] for *_, s in sources], round(sum(target.values()) / block)), strict=True))
+    want = {}
+    for *_, source in sources:
+        mine = [r for r in rows if r.source == source]
+        size = Counter()
+        for r in mine:
+            size[r.shard] += r.size
+        groups = sorted({k // options["group_shards"] for k in size})
+        for g, seats in zip(groups, highest([sum(n for k, n in size.items() if k // options["group_shards"] == g) for g in groups], wins[source]), strict=True):
+            shards = sorted(k for k in size if k // options["group_shards"] == g)
+            for k, quota in zip(shards, highest([size[k] for k in shards], seats), strict=True):
+                n = max(1, -(-size[k] // block))
+                line = sorted((r for r in mine if r.shard == k), key=lambda r: (r.place, r.doc_id, r.size))
+                start, more = (line[0].at % n, quota % n)
+                times = [quota // n + ((j + 1) * more + start) // n - (j * more + start) // n for j in range(n)]
+                end = 0
+                for r in line:
+                    want[r.doc_id] = min(sum(times[w // block] for w in range(end, end + r.size)), most * r.size)
+                    end += r.size
+    assert {r.doc_id: r.taken for r in rows} == want
+
+
 def test_mixing_odd(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 8 and sum(r.size for r in rows) == 4 * 3 + 1 + 4000
@@ -180,6 +220,23 @@ def test_simhash(docs):
     assert got == want
 
 
+def test_components_of_a_large_group():
+    """Thousands of near copies in one shard, and others apart, as all pairs would link them."""
+    draw = np.random.default_rng(9)
+    one = np.uint64(draw.integers(0, 1 << 63))
+    near = {int(one) ^ sum(1 << int(b) for b in draw.choice(12, draw.integers(0, 7), replace=False)) for _ in range(3000)}
+    x = np.array(sorted(near | {int(v) for v in draw.integers(0, 1 << 63, 500)}), np.uint64)
+    root = simhash.components_within(x, 2)
+    linked = np.bitwise_count(x[:, None] ^ x[None]) <= 2
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[row].min() for row in linked])
+        if (new == label).all():
+            break
+        label = new
+    assert (root == np.array([x.view(np.int64)[label == k].min() for k in label])).all()
+
+
 def test_links_are_exact(spark):
     draw = np.random.default_rng(5)
     base = draw.integers(0, 2**63, 40, np.uint64)
