@@ -2,10 +2,15 @@
 
 import random
 import re
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from attesta.llm import mixing
-from tests.llm.test_operators import SF, classes, plain_contamination, plain_fingerprint
+from attesta.llm.queries import tokenizer_path
+from tests.llm.test_operators import SF, plain_contamination
 
 
 def test_stages(spark):
@@ -19,7 +24,7 @@ def test_stages(spark):
 
     one = stage["near duplicates"](spark, docs, SF)
     texts = sorted((r.doc_id, r.text) for r in docs.collect())
-    first = classes([plain_fingerprint(t) for _, t in texts])
+    first = plain_near_copies([t for _, t in texts])
     assert sorted(r.doc_id for r in one.collect()) == [texts[i][0] for i in sorted(set(first))]
 
     clean = stage["decontamination"](spark, docs, SF)
@@ -34,8 +39,36 @@ def test_stages(spark):
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert max(times.values()) <= 2 and set(times) <= {i for i, _ in texts}
 
-    last = stage["token ids"](spark, docs, SF).collect()
-    assert len(last) == len(texts) and sum(r.n_tokens for r in last) == max(r.start + r.n_tokens for r in last)
+    plain, start = Tokenizer.from_file(tokenizer_path()), 0
+    for r, (i, t) in zip(sorted(stage["token ids"](spark, docs, SF).collect(), key=lambda r: r.start), texts, strict=True):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        assert tuple(r) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+CLASHING = ["id", "node", "size", "target", "taken", "source_size", "shard", "text_hash", "begin", "end", "items", "component_id", "n", "h", "rejected"]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, columns of clashing names, empty tables."""
+    long = " ".join(f"the{i % 700} house" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, " \t\n", "en", "s", 3), (4, long, "en", None, 1), (5, long, "en", None, 1), (None, "some words without an id", "en", "s", 1), (None, "some words without an id", None, "s", None)]
+    rows += [(6, "one and the same row", "en", "t", 1)] * 3 + [(6, "another text of that id", "en", "t", 1), (7, "12 34", "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'x' AS `{c}`" for c in CLASHING))
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    stage = dict(corpus_pipeline.STAGES)
+    got = {name: f(spark, docs, SF) for name, f in stage.items()}
+    assert all(got[name].columns == corpus_pipeline.COLUMNS for name in list(stage)[:-1])
+    known = texts(got["language id"])
+    assert all(re.search(r"[^\W\d_]", t or "") for _, t in known) and set(known) <= {(r[0], r[1]) for r in rows}
+    want = [(1, None), (4, long), (None, "some words without an id"), (6, "one and the same row"), (6, "another text of that id"), (7, "12 34")]
+    assert texts(got["near duplicates"]) == sorted(want, key=str)
+    assert texts(got["decontamination"]) == texts(docs)
+    mixed = texts(got["mixing"])
+    assert set(mixed) <= {(r[0], r[1]) for r in rows if (r[1] or "").strip()} and all(mixed.count(x) <= 2 * [r[:2] for r in rows].count(x) for x in set(mixed))
+    assert len(got["token ids"].collect()) == len(rows)
+    empty = docs.limit(0)
+    assert all(f(spark, empty, SF).count() == 0 for f in stage.values())
 
 
 def test_run(spark):
