@@ -8,7 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from attesta.llm import mixing
+from attesta.llm import mixing, nearcopies
 from attesta.llm.queries import tokenizer_path
 from tests.llm.test_operators import SF, plain_contamination
 
@@ -132,5 +132,20 @@ def test_near_duplicates_by_shingles(spark):
     assert got == want
 
 
+def test_a_chain_of_near_copies(spark):
+    """A group in which most texts are near some but not all others: links as all pairs would set them."""
+    draw, rows = random.Random(8), []
+    base = [f"w{draw.randrange(3000)}" for _ in range(150)]
+    for i in range(400):
+        text = list(draw.choice(rows)[1].split() if i % 3 else base) if rows else list(base)
+        for _ in range(draw.randrange(5)):
+            text[draw.randrange(len(text))] = draw.choice(["edited", "other", f"x{i}"])
+        rows.append((i, " ".join(text)))
+    first = plain_near_copies([t for _, t in rows])
+    assert 3 < len(set(first)) < 300  # several classes, large and small
+    got = sorted(r.doc_id for r in nearcopies.keep_one(_wide(spark, rows)).collect())
+    assert got == sorted({rows[i][0] for i in first})
+
+
 def _wide(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
