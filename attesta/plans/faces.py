@@ -25,14 +25,16 @@ def match_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT a.vec_id, round(({_COS} + 1) / 2, 6) AS score, CASE WHEN ({_COS} + 1) / 2 >= 0.7 THEN 'MATCH' WHEN ({_COS} + 1) / 2 >= 0.5 THEN 'INCONCLUSIVE' ELSE 'NO_MATCH' END AS status,
 round(0.6 * ({_COS} + 1) / 2 + 0.3 * 0.8 + 0.1 * 0.5, 6) AS final, ({_COS} + 1) / 2 <= 0.95 AND a.vec_id % 3 > 0 AS is_live,
-CASE WHEN a.vec_id % 7 > 0 AND ({_COS} + 1) / 2 BETWEEN 0.6 AND 0.95 AND a.vec_id % 3 > 0 THEN 'verified' ELSE 'failed' END AS verification FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+CASE WHEN a.vec_id % 7 > 0 AND ({_COS} + 1) / 2 BETWEEN 0.6 AND 0.95 AND a.vec_id % 3 > 0 THEN 'verified' ELSE 'failed' END AS verification,
+CASE WHEN a.vec_id % 7 = 0 THEN 'DOCUMENT' WHEN ({_COS} + 1) / 2 > 0.95 OR a.vec_id % 3 = 0 THEN 'LIVENESS' WHEN ({_COS} + 1) / 2 < 0.6 THEN 'FACE_MISMATCH' END AS code,
+concat_ws('; ', CASE WHEN a.vec_id % 7 = 0 THEN 'document invalid' END, CASE WHEN ({_COS} + 1) / 2 > 0.95 OR a.vec_id % 3 = 0 THEN 'liveness failed' END, CASE WHEN ({_COS} + 1) / 2 < 0.6 THEN 'faces differ' END) AS message FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def face_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     other = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("second"))
     pairs = ops.pair_scores(v.join(other, "id"), "vector", "second").withColumnRenamed("status", "match_status")
     rows = ops.final_face(pairs.withColumn("live", F.col("id") % 3 > 0).withColumn("liveness", F.lit(0.8)).withColumn("quality", F.lit(0.5)))
     done = ops.verification_status(rows.withColumn("document_ok", F.col("id") % 7 > 0))
-    return done.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("match_status").alias("status"), F.round("final", 6).alias("final"), "is_live", F.col("status").alias("verification"))
+    return done.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("match_status").alias("status"), F.round("final", 6).alias("final"), "is_live", F.col("status").alias("verification"), F.col("failure_code").alias("code"), F.col("failure_message").alias("message"))
 
 
 @query("""WITH b AS (SELECT l_orderkey AS image, l_linenumber AS face, l_quantity * (1 + l_discount * 10) AS area FROM lineitem),

@@ -151,11 +151,24 @@ def hydrate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.hydrate(e, "props", "k long, v string", {"v": "user"}).select("event_id", "k", "v")
 
 
-@query("""SELECT full_name_count, parts FROM (SELECT count(*) FILTER (c_custkey % 2 = 0) AS full_name_count, count(*) FILTER (c_custkey % 2 = 1) AS parts FROM customer)""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE concat_ws(' ', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'B', CAST(c_nationkey AS VARCHAR)) END AS full_name FROM customer""")
 def full_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third has a whole name; of the others some lack a part, as null or empty."""
+    k = F.col("c_custkey")
+    name = ops.full_name(F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, ""), F.when(k % 2 == 0, F.col("c_mktsegment")), F.lit(""), F.lit("B"), F.col("c_nationkey").cast("string"))
+    return table(spark, sf_dir, "customer").select(k, name.alias("full_name"))
+
+
+@query("SELECT c_nationkey, count(*) > 0 AS listed, true AS sized FROM customer GROUP BY c_nationkey")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one kind in a folder tree that also holds others; only names, times and lengths are read."""
+    path = tables.scratch(spark, "files")
     c = table(spark, sf_dir, "customer")
-    name = ops.full_name(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")), F.lit("A"), F.lit(""), F.lit("B"))
-    return c.agg(F.count_if(name == F.col("c_name")).alias("full_name_count"), F.count_if(name == "A B").alias("parts"))
+    c.write.partitionBy("c_nationkey").parquet(f"{path}/wanted")
+    c.select("c_name").write.text(f"{path}/others")
+    found = tables.images(spark, path, (".parquet",))
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("long")
+    return found.groupBy(nation.alias("c_nationkey")).agg((F.count("*") > 0).alias("listed"), (F.min("length") > 0).alias("sized"))
 
 
 _DAYS = "CAST(o_orderdate AS DATE) + CAST(o_custkey % 4000 AS INT) - DATE '2001-01-01'"

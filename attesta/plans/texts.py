@@ -48,10 +48,10 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT p_partkey, t[1] AS first, CASE WHEN len(t) > 2 THEN array_to_string(t[2:len(t)-1], ' ') ELSE '' END AS middle, CASE WHEN len(t) > 1 THEN t[-1] ELSE '' END AS last,
-CASE WHEN len(t) >= 4 THEN t[-1] WHEN len(t) = 3 THEN t[3] END AS family FROM (SELECT *, string_split_regex(trim(p_name), '\\s+') AS t FROM ({_N}))""")
+CASE WHEN len(t) >= 4 THEN t[-1] WHEN len(t) = 3 THEN t[3] END AS family, t[2] AS second, t[3] AS third FROM (SELECT *, string_split_regex(trim(p_name), '\\s+') AS t FROM ({_N}))""")
 def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _names(spark, sf_dir).select("p_partkey", text.split_name(F.col("p_name")).alias("s"), text.name_parts(F.col("p_name")).alias("p"))
-    return rows.select("p_partkey", "s.first", "s.middle", "s.last", "p.family")
+    return rows.select("p_partkey", "s.first", "s.middle", "s.last", "p.family", "p.second", "p.third")
 
 
 @query(f"SELECT p_partkey, array_to_string({duck.arabic_tokens('arabic')}, ' ') AS arabic_tokens, array_to_string({duck.latin_tokens('name')}, ' ') AS latin_tokens FROM ({_N})")

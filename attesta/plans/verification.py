@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.functions import text
+from attesta.functions import similarity, text
 from attesta.operators import checks, extract
 from attesta.operators import verify as ops
 
@@ -85,8 +85,18 @@ def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image", "label", F.size("boxes").cast("long").alias("n"), F.get("boxes", F.lit(0))["confidence"].alias("best"))
 
 
-@query("""SELECT count(*) AS kept FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 = 0 ELSE c_custkey % 5 > 0 OR c_custkey % 7 = 0 END""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'DOB' ELSE 'name' END AS label FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 = 0 ELSE c_custkey % 5 > 0 OR c_custkey % 7 = 0 END""")
 def field_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(F.when(k % 5 == 0, "DOB").otherwise("name").alias("label"), F.when(k % 2 == 0, "ar").otherwise("en").alias("language"), F.when(k % 2 == 0, F.when(k % 3 == 0, "عدن").otherwise("ع x")).otherwise(F.when(k % 7 == 0, "x 7").otherwise("x")).alias("text"))
-    return extract.field_lines(rows).agg(F.count("*").alias("kept"))
+    rows = table(spark, sf_dir, "customer").select(k, F.when(k % 5 == 0, "DOB").otherwise("name").alias("label"), F.when(k % 2 == 0, "ar").otherwise("en").alias("language"), F.when(k % 2 == 0, F.when(k % 3 == 0, "عدن").otherwise("ع x")).otherwise(F.when(k % 7 == 0, "x 7").otherwise("x")).alias("text"))
+    return extract.field_lines(rows).select("c_custkey", "label")
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT c_custkey, {duck.english('name')} AS a, {duck.english("regexp_replace(name, 'a', 'e')")} AS b FROM ({PEOPLE_SQL})), {duck.ratio('r', 'p')}, {duck.jaro_winkler('j', 'p')}, {duck.compare('x', 'p', 'arabic')}
+SELECT c_custkey, round(r.ratio, 6) AS ratio, round(j.jw, 6) AS jaro_winkler, x.tier, round(x.score, 6) AS score FROM p JOIN r USING (a, b) JOIN j USING (a, b) JOIN x USING (a, b)""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarities as SQL functions."""
+    similarity.register(spark)
+    p = people(spark, sf_dir).select("c_custkey", text.english_name(F.col("name")).alias("a"), text.english_name(F.regexp_replace(F.col("name"), "^([^a]*)a", "$1e")).alias("b"))
+    rows = p.selectExpr("c_custkey", "similarity_ratio(a, b) AS ratio", "jaro_winkler(a, b) AS jw", "name_compare(a, b) AS c")
+    return rows.select("c_custkey", F.round("ratio", 6).alias("ratio"), F.round("jw", 6).alias("jaro_winkler"), "c.tier", F.round("c.score", 6).alias("score"))
