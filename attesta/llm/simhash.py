@@ -10,8 +10,11 @@ distance. In the band that agrees, the triangle bound |d(x,v) - d(y,v)| <= 0 hol
 both fingerprints walk to the same leaf; this is the boundary overlap, and it costs ``radius + 1`` rows
 for each distinct fingerprint whatever the depth. (One tree over all 64 bits with overlap 2 is exact as
 well, but distances gather so tightly about 32 that each level would copy half of the rows again.)
-A leaf is a shard. Inside it a second vantage point sorts the fingerprints, and a search compares
-with those whose distance lies within ``radius`` of its own: the triangle bound again.
+A leaf is a shard. One that holds more than ``leaf_rows`` fingerprints, as a large group of near copies makes,
+is dealt once more in the same way by the bits outside its band: what lies within ``radius`` bits there agrees
+in one of ``radius + 1`` parts of them, and meets in a vantage-point tree of that part. Inside a shard another
+vantage point sorts the fingerprints, and a search compares with those whose distance lies within ``radius``
+of its own: the triangle bound again.
 
 A shard returns a star for each of its components, never its pairs. The stars of all shards are joined
 to components by alternating large-star and small-star steps, written to the shared folder each round.
@@ -70,11 +73,15 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long")
 
 
-def bands(radius: int) -> list[int]:
-    """Bit masks of ``radius + 1`` bands, as signed longs."""
-    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def bands(radius: int, bits: list[int] | None = None) -> list[int]:
+    """Bit masks, as signed longs, of ``radius + 1`` bands of the given bits (all 64)."""
+    bits = list(range(64)) if bits is None else bits
+    edges = [round(i * len(bits) / (radius + 1)) for i in range(radius + 2)]
+    return [_signed(sum(1 << b for b in bits[lo:hi])) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 def leaf_of(fp: Column, mask: int, vantage: list[int]) -> Column:
@@ -117,15 +124,29 @@ def components_within(x: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFrame:
-    """Edges (``u``, ``v``) that connect distinct fingerprints ``fp`` exactly as all links would."""
-    n = distinct.count()
+def shards_of(distinct: DataFrame, radius: int, leaf_rows: int, n: int) -> DataFrame:
+    """``fp``, ``band``, ``leaf``, ``part``, ``inner``: the shards that each fingerprint goes to."""
     depth = min(10, max(1, math.ceil(math.log(max(1, n / leaf_rows), 6))))
     draw = random.Random(SEED)
-    homes = []
-    for band, mask in enumerate(bands(radius)):
-        vantage = [draw.getrandbits(64) - (1 << 63) for _ in range(depth)]
-        homes.append(F.struct(F.lit(band).alias("band"), leaf_of(F.col("fp"), mask, vantage).alias("leaf")))
+    tree = lambda mask, depth: leaf_of(F.col("fp"), mask, [draw.getrandbits(64) - (1 << 63) for _ in range(depth)])
+    whole = bands(radius)
+    homes = F.array(*(F.struct(F.lit(k).alias("band"), tree(mask, depth).alias("leaf")) for k, mask in enumerate(whole)))
+    placed = distinct.select("fp", F.inline(homes))
+    # A leaf above the bound: its fingerprints agree in the band, so up to ``radius`` bits differ in the rest.
+    large = placed.groupBy("band", "leaf").count().where(F.col("count") > leaf_rows).select(F.col("band").alias("_band"), F.col("leaf").alias("_leaf"))
+    large = F.broadcast(materialise(large, "large-leaves", 1))  # at most (radius + 1) * n / leaf_rows rows
+    once = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("inner")))
+    again = F.lit(None).cast("array<struct<part:int,inner:bigint>>")
+    for k, mask in enumerate(whole):
+        rest = bands(radius, [b for b in range(64) if not mask >> b & 1])
+        parts = F.array(*(F.struct(F.lit(1 + j).alias("part"), tree(m, 4).alias("inner")) for j, m in enumerate(rest)))
+        again = F.when(F.col("band") == k, parts).otherwise(again)
+    marked = placed.join(large, (F.col("band") == F.col("_band")) & (F.col("leaf") == F.col("_leaf")), "left")
+    return marked.select("fp", "band", "leaf", F.inline(F.when(F.col("_band").isNull(), once).otherwise(again)))
+
+
+def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFrame:
+    """Edges (``u``, ``v``) that connect distinct fingerprints ``fp`` exactly as all links would."""
 
     def link(shard: pd.DataFrame) -> pd.DataFrame:
         x = shard["fp"].to_numpy(np.int64)
@@ -133,12 +154,8 @@ def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFr
         tied = x != root
         return pd.DataFrame({"u": x[tied], "v": root[tied]})
 
-    return (
-        distinct.select("fp", F.explode(F.array(*homes)).alias("home"))
-        .groupBy("home.band", "home.leaf")
-        .applyInPandas(link, "u long, v long")
-        .distinct()
-    )
+    shards = shards_of(distinct, radius, leaf_rows, distinct.count())
+    return shards.groupBy("band", "leaf", "part", "inner").applyInPandas(link, "u long, v long").distinct()
 
 
 def connected(edges: DataFrame, label: str = "stars", rows: int | None = None) -> DataFrame:
