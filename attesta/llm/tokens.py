@@ -35,7 +35,7 @@ from .common import gathered, scratch_path, small_batches
 
 MAGIC, CLOSE, BLOCK = b"WMX1", "\n=WMX1 END=\n", 512
 #: Bytes of text that are cut into pieces together, and of pieces that a worker remembers.
-TEXT_BYTES, REMEMBERED = 16 << 20, 48 << 20
+TEXT_BYTES, REMEMBERED = 8 << 20, 32 << 20
 #: How the tokenizer file writes a space, and what it takes for white space.
 _SPACE, _WHITE = "\u0120", r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _encoders: dict[str, "Encoder"] = {}
@@ -198,7 +198,11 @@ class Memory:
 def gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that begin and extend as given, one after another."""
     ends = np.cumsum(sizes)
-    return flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class Encoder:
