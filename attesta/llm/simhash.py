@@ -98,26 +98,30 @@ def components_within(x: np.ndarray, radius: int) -> np.ndarray:
     order = np.argsort(far, kind="stable")
     xs, far = x[order], far[order]
     signed, root = xs.view(np.int64), np.empty(len(xs), np.int64)
-    waiting, gone = np.ones(len(xs), bool), 0
-    left = np.arange(len(xs))  # those who wait, and a few who no longer do
+    left, held = np.arange(len(xs)), xs  # those who wait, and a few who no longer do
+    waits, place, gone = np.ones(len(xs), bool), np.arange(len(xs)), 0
+    done = np.zeros(len(xs), bool)
     starts = np.searchsorted(far, np.arange(67))
     for first in range(len(xs)):
-        if not waiting[first]:
+        if done[first]:
             continue
-        waiting[first], members, at = False, [first], 0
+        done[first], waits[place[first]], members, at = True, False, [first], 0
         gone += 1
         while at < len(members):
             p = members[at]
             at += 1
             if 2 * gone > len(left):  # a large group of copies leaves few to compare with
-                left, gone = left[waiting[left]], 0
+                left, gone = left[waits], 0
+                held, waits = xs[left], np.ones(len(left), bool)
+                place[left] = np.arange(len(left))
                 starts = np.searchsorted(far[left], np.arange(67))
-            some = left[starts[max(0, far[p] - radius)] : starts[min(65, far[p] + radius) + 1]]
-            near = some[(np.bitwise_count(xs[some] ^ xs[p]) <= radius) & waiting[some]]
+            lo, hi = starts[max(0, far[p] - radius)], starts[min(65, far[p] + radius) + 1]
+            near = np.flatnonzero((np.bitwise_count(held[lo:hi] ^ xs[p]) <= radius) & waits[lo:hi]) + lo
             if len(near):
-                waiting[near] = False
+                waits[near] = False
+                done[left[near]] = True
                 gone += len(near)
-                members.extend(near.tolist())
+                members.extend(left[near].tolist())
         root[members] = signed[members].min()
     out = np.empty_like(root)
     out[order] = root
@@ -139,7 +143,7 @@ def shards_of(distinct: DataFrame, radius: int, leaf_rows: int, n: int) -> DataF
     again = F.lit(None).cast("array<struct<part:int,inner:bigint>>")
     for k, mask in enumerate(whole):
         rest = bands(radius, [b for b in range(64) if not mask >> b & 1])
-        parts = F.array(*(F.struct(F.lit(1 + j).alias("part"), tree(m, 4).alias("inner")) for j, m in enumerate(rest)))
+        parts = F.array(*(F.struct(F.lit(1 + j).alias("part"), tree(m, 2).alias("inner")) for j, m in enumerate(rest)))
         again = F.when(F.col("band") == k, parts).otherwise(again)
     marked = placed.join(large, (F.col("band") == F.col("_band")) & (F.col("leaf") == F.col("_leaf")), "left")
     return marked.select("fp", "band", "leaf", F.inline(F.when(F.col("_band").isNull(), once).otherwise(again)))
