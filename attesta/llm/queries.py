@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, knn, langid, lmscore, mixing, pii, simhash, tokens, warc
+from . import conversations, decontaminate, html, knn, langid, lmscore, mixing, periodic, pii, simhash, tokencounts, tokens, warc
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.Repair(conversations.damage(rows)).report()
+    every = rows.select(F.col("conv_id").alias("_conv")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    held = every.join(found, F.col("_conv").eqNullSafe(F.col("conv_id")), "left")
+    return held.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session may name a lasting cache folder (``attesta.tokenCache``); without it every run counts anew."""
+    return tokencounts.count(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), spark.conf.get("attesta.tokenCache", None))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(periodic.repeated_tails(table(spark, sf_dir, "documents")))
+    key = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("a"), (-r["period"]).alias("b")))
+    rows = found.withColumn("_best", F.array_max(key))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    best = [(-F.col("_best.a")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.b")).alias("period"), F.floor(1000 * F.col("_best.length") / -F.col("_best.b")).alias("exponent_milli")]
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
