@@ -1,10 +1,18 @@
-"""Face embeddings: mapped cosine, pair verdicts, blocked top-k search, box choice."""
+"""Face embeddings: mapped cosine, pair verdicts, exact and hashed search of galleries, box choice."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Gallery rows of a shard and queries of a block, of the exact search.
+SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -39,22 +47,127 @@ def verification_status(rows: DataFrame, limit: float = 0.6) -> DataFrame:
     return rows.select("*", F.when(F.size(reasons) == 0, "verified").otherwise("failed").alias("status"), codes.alias("failure_code"), F.array_join(reasons, "; ").alias("failure_message"))
 
 
-def top_k(queries: DataFrame, gallery: DataFrame, k: int = 5, shards: int = 64) -> DataFrame:
-    """The ``k`` best gallery rows for each query: (query_id, vec_id, score, rank).
+def _unit(values: pa.Array, size: int) -> np.ndarray:
+    """The vectors, one a row, of length one; those without a length stay zero."""
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(size, -1)
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _mapped(cos: np.ndarray) -> np.ndarray:
+    """Cosines moved to 0..1, alike at every place of a matrix."""
+    return np.round(np.clip((cos + 1) / 2, 0, 1), 12)
+
+
+def _packed(rows: DataFrame, deal: Column, name: str) -> DataFrame:
+    """Rows gathered to a bounded number a group: ``name``, ``ids`` and ``vectors``."""
+    each = F.collect_list(F.struct("id", F.col("vector").cast("array<double>").alias("vector")))
+    return rows.groupBy(deal.alias(name)).agg(each.alias("_rows")).select(name, F.col("_rows.id").alias(f"{name}_ids"), F.col("_rows.vector").alias(f"{name}_vectors"))
+
+
+def _grid(queries: DataFrame, gallery: DataFrame, choose: Callable[[np.ndarray], np.ndarray], shard_rows: int, block_rows: int) -> DataFrame:
+    """Scores of a block of queries and a shard of the gallery, for all of both: (query_id, vec_id, score) of those that
+    ``choose`` marks in a matrix of scores (a query a row, ids ascending; -1 for the query itself)."""
+    queries, gallery = (df.where("vector IS NOT NULL") for df in (queries, gallery))
+    shards, blocks = (max(1, math.ceil(df.count() / n)) for df, n in ((gallery, shard_rows), (queries, block_rows)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    g = _packed(gallery, dealt(shards), "shard")
+    q = _packed(queries, dealt(blocks), "block").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, other = (b.column(c).slice(i, 1).flatten().to_numpy() for c in ("block_ids", "shard_ids"))
+                asked, held = _unit(b.column("block_vectors").slice(i, 1).flatten(), len(ids)), _unit(b.column("shard_vectors").slice(i, 1).flatten(), len(other))
+                order = np.argsort(other, kind="stable")
+                other, held = other[order], held[order]
+                # Zero vectors score 0, not the half that a cosine of 0 is moved to.
+                score = np.where(asked.any(1)[:, None] & held.any(1)[None, :], _mapped(asked @ held.T), 0.0)
+                score[ids[:, None] == other[None, :]] = -1.0
+                row, column = np.nonzero(choose(score) & (score >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(other[column]), pa.array(score[row, column])], ["query_id", "vec_id", "score"])
+
+    met = q.join(g, "shard").select("block_ids", "block_vectors", "shard_ids", "shard_vectors")
+    return met.mapInArrow(run, "query_id long, vec_id long, score double")
+
 
-    Both have (id, vector). The gallery is dealt to shards by id and every query visits each shard, an
-    equi-join on the shard number; each shard keeps its own ``k`` best before the final ranking, so no
-    task ever holds all scores of a query.
+def top_k(queries: DataFrame, gallery: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` best gallery rows for each query, exactly: (query_id, vec_id, score, rank).
+
+    Both have (id, vector). The gallery is dealt by the ids' hash to shards of about ``shard_rows``, so their number
+    follows its size; queries are dealt to blocks. Every block meets every shard once, in one matrix product,
+    and only each shard's ``k`` best go on to the final ranking. Ties go to the smaller id.
+    Null vectors take no part; a vector without length scores 0 against all.
     """
-    unit = lambda df, name: df.select(F.col("id").alias(name), F.col("vector").alias(f"{name}_v"), norm(F.col("vector")).alias(f"{name}_n"))
-    g = unit(gallery, "vec_id").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    q = unit(queries, "query_id").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    n = F.col("query_id_n") * F.col("vec_id_n")
-    score = F.when(n > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (dot(F.col("query_id_v"), F.col("vec_id_v")) / n + 1) / 2))).otherwise(0.0)
-    scored = q.join(g, "shard").where("query_id <> vec_id").select("query_id", "shard", "vec_id", score.alias("score"))
+
+    def best(score: np.ndarray) -> np.ndarray:
+        out = np.zeros(score.shape, bool)
+        np.put_along_axis(out, np.argsort(-score, axis=1, kind="stable")[:, :k], True, 1)
+        return out
+
     order = [F.col("score").desc(), F.col("vec_id")]
-    local = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).where(F.col("_r") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return _grid(queries, gallery, best, shard_rows, block_rows).withColumn("rank", nth).where(F.col("rank") <= k)
+
+
+def similar_exact(probes: DataFrame, gallery: DataFrame, at_least: float = 0.85, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All pairs of a probe and a gallery row of mapped cosine ``at_least``: (query_id, vec_id, score)."""
+    return _grid(probes, gallery, lambda score: score >= at_least, shard_rows, block_rows)
+
+
+def plan_of(rows: int, probes: int, at_least: float, recall: float) -> tuple[int, int]:
+    """Signature bits and tables for a gallery of so many rows and so many probes.
+
+    Two vectors at the angle that ``at_least`` stands for agree in a random bit with chance ``p``; a table, asked for
+    the signature and all that differ from it in one bit, misses them with the chance of two bits or more, and
+    tables are added until all miss with ``1 - recall`` at most. Pairs above the limit are missed less often.
+    Of all numbers of bits that with the fewest rows is taken: signatures of both sides, and
+    unrelated pairs that meet by chance.
+    """
+    p = 1 - math.acos(min(1.0, max(-1.0, 2 * at_least - 1))) / math.pi
+    plans = []
+    for bits in range(1, 41):
+        hit = min(1.0, p**bits + bits * p ** (bits - 1) * (1 - p))
+        tables = 1 if hit == 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
+        plans.append((tables * (rows + probes * (bits + 1) * (1 + rows / 2**bits)), bits, tables))
+    return min(plans)[1:]
+
+
+def signatures(rows: DataFrame, bits: int, tables: int, probes: bool, seed: int = 17) -> DataFrame:
+    """``id`` and ``bucket`` (of every table) of each vector with a length: the signs of ``bits`` random projections a
+    table. ``probes`` adds the buckets that differ in one bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = _unit(b.column(1), b.num_rows)
+            some = np.flatnonzero(vectors.any(1))
+            planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], tables * bits)) if len(some) else np.zeros((vectors.shape[1], tables * bits))
+            signs = (vectors[some] @ planes > 0).reshape(len(some), tables, bits)
+            code = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+            code = code[:, :, None] ^ np.append(0, 1 << np.arange(bits) if probes else []).astype(np.int64)
+            ids = b.column(0).take(pa.array(np.repeat(some, code.shape[1] * code.shape[2])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(code.reshape(-1).astype(np.int64))], ["id", "bucket"])
+
+    held = rows.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>"))
+    return held.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bucket long")
+
+
+def similar(probes: DataFrame, gallery: DataFrame, at_least: float = 0.85, recall: float = 0.95) -> DataFrame:
+    """Pairs of a probe and a gallery row of mapped cosine ``at_least``: (query_id, vec_id, score).
+
+    A similarity join by random-projection buckets: only rows that share a bucket of some table meet, and every
+    met pair is scored exactly, so all returned pairs are right; a pair at the limit is found with a chance of
+    ``recall`` or more (see :func:`plan_of`). Signatures alone are shuffled to buckets; vectors join the
+    distinct pairs. Buckets that many rows share, as repeated faces make, are left to Spark's skew
+    handling, since nearly all of their pairs are results. :func:`similar_exact` is the exact way.
+    """
+    bits, tables = plan_of(gallery.count(), probes.count(), at_least, recall)
+    asked = signatures(probes, bits, tables, probes=True).withColumnRenamed("id", "query_id")
+    held = signatures(gallery, bits, tables, probes=False).withColumnRenamed("id", "vec_id")
+    met = asked.join(held, "bucket").where("query_id <> vec_id").select("query_id", "vec_id").distinct()
+    a, b = probes.select(F.col("id").alias("query_id"), F.col("vector").alias("_a")), gallery.select(F.col("id").alias("vec_id"), F.col("vector").alias("_b"))
+    scored = met.join(a, "query_id").join(b, "vec_id").select("query_id", "vec_id", F.round(cosine(F.col("_a"), F.col("_b")), 12).alias("score"))
+    return scored.where(F.col("score") >= at_least)
 
 
 def largest_faces(boxes: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,9 @@ from attesta.functions.phonetic import arabic_to_latin
 
 from . import names, places, rules
 
+#: Fixed value: how a line about contradicting genders begins.
+FRAUD_LABEL = "\u26a0\ufe0f FRAUD ALERT: "
+
 
 def exact_score(a: Column, b: Column) -> Column:
     return F.when(F.upper(F.trim(a)).eqNullSafe(F.upper(F.trim(b))), 1.0).otherwise(0.0)
@@ -84,24 +87,52 @@ def compare_fields(long: DataFrame, key: str = "submission_id", kinds: tuple[str
     return out.withColumn("decision", decision)
 
 
+#: Scores are summed in whole units of this size, so that no order of rows changes a sum.
+UNITS = 10**12
+
+
+def _weighted(found: DataFrame) -> tuple[list[Column], Column, Column]:
+    """Aggregates of each severity, and from them the weighted score and the weights' sum, in tenths of units.
+
+    A severity counts with the mean of its fields; means and sums are whole numbers, halves rounded up.
+    """
+    units = F.round(F.col("score") * UNITS).cast("long")
+    aggregates, score, weights = [], F.lit(0).cast("long"), F.lit(0).cast("long")
+    for severity, weight in rules.WEIGHTS:
+        mine, tenths = F.col("severity") == severity, F.lit(round(10 * weight)).cast("long")
+        aggregates += [F.sum(F.when(mine, units)).alias(f"_s_{severity}"), F.count_if(mine).alias(f"_n_{severity}")]
+        n = F.col(f"_n_{severity}")
+        mean = F.expr(f"(_s_{severity} + _n_{severity} div 2) div _n_{severity}")
+        score = score + F.when(n > 0, tenths * mean).otherwise(0)
+        weights = weights + F.when(n > 0, tenths).otherwise(0)
+    return aggregates, score, weights
+
+
+def percent(tenths: Column) -> Column:
+    """A score, in tenths of units, as a percentage with two places, halves rounded up."""
+    hundredths = F.floor((tenths + 5 * UNITS // 10**4) / F.lit(10 * UNITS // 10**4)).cast("long")
+    return F.format_string("%d.%02d%%", F.floor(hundredths / 100).cast("long"), F.pmod(hundredths, F.lit(100)))
+
+
 def summarise(found: DataFrame, key: str = "submission_id", fraud_rejects: bool = False) -> DataFrame:
-    """Counts, severity-weighted score, decision and recommendations for each submission."""
-    spark = found.sparkSession
-    by_severity = found.groupBy(key, "severity").agg(F.avg("score").alias("mean"))
-    weights = F.broadcast(rules.severity_weights(spark))
-    weighted = by_severity.join(weights, "severity").groupBy(key).agg(F.sum(F.col("mean") * F.col("weight")).alias("overall_score"), (F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("normalised_score"))
+    """Counts, severity-weighted score, decision and recommendations for each submission, in one aggregation.
+
+    Scores are exact to 1e-12 and do not depend on the order of rows, partitions or threads.
+    """
+    sums, score, weights = _weighted(found)
     is_ = lambda d: F.col("decision") == d
     fatal = (F.col("severity") == "high") & is_("reject") | (F.col("fraud") if fraud_rejects else F.lit(False))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", "field")))), lambda x: x["field"]), ", ")
     review = {s: listed((F.col("severity") == s) & is_("manual_review")) for s in ("high", "medium", "low")}
     per = found.groupBy(key).agg(
         F.count("*").alias("total_fields"), F.count_if(is_("pass")).alias("passed_fields"), F.count_if(is_("manual_review")).alias("review_fields"), F.count_if(is_("reject")).alias("failed_fields"),
-        F.bool_or(fatal).alias("_fatal"), listed(fatal).alias("_failed"), listed(fatal & F.col("fraud")).alias("_fraud"), *(v.alias(f"_{k}") for k, v in review.items()),
-    ).join(weighted, key)
+        F.bool_or(fatal).alias("_fatal"), listed(fatal).alias("_failed"), listed(fatal & F.col("fraud")).alias("_fraud"), *(v.alias(f"_{k}") for k, v in review.items()), *sums,
+    ).withColumn("_score", score).withColumn("_weights", weights)
     decision = F.when(F.col("_fatal"), "rejected").when(F.col("review_fields") > 0, "manual_review").otherwise("approved")
     line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c)))
-    lines = F.when(F.col("_fatal"), F.array(line("High-severity fields failed: ", "_failed"), line("FRAUD ALERT: ", "_fraud"))).when(
+    lines = F.when(F.col("_fatal"), F.array(line("High-severity fields failed: ", "_failed"), line(FRAUD_LABEL, "_fraud"))).when(
         F.col("review_fields") > 0, F.array(line("High-severity borderline: ", "_high"), line("Medium-severity mismatches: ", "_medium"), line("Low-severity mismatches: ", "_low"))
     ).otherwise(F.array(F.lit("All fields meet defined thresholds")))
-    advice = F.concat(F.filter(lines, lambda x: x.isNotNull()), F.array(F.format_string("Weighted matching score: %.2f%%", F.col("overall_score") * 100)))
-    return per.select(key, "total_fields", "passed_fields", "review_fields", "failed_fields", "overall_score", "normalised_score", decision.alias("overall_decision"), advice.alias("recommendations"))
+    advice = F.concat(F.filter(lines, lambda x: x.isNotNull()), F.array(F.concat(F.lit("Weighted matching score: "), percent(F.col("_score")))))
+    overall, normalised = F.col("_score") / (10 * UNITS), F.col("_score") / F.col("_weights") / UNITS
+    return per.select(key, "total_fields", "passed_fields", "review_fields", "failed_fields", overall.alias("overall_score"), normalised.alias("normalised_score"), decision.alias("overall_decision"), advice.alias("recommendations"))

@@ -49,10 +49,6 @@ def field_rules(spark: SparkSession, fields: list | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, field string, severity string, matching string, pass_at double, review_at double")
 
 
-def severity_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WEIGHTS, "severity string, weight double")
-
-
 def policy_tree(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([r[:4] for r in POLICY], "component string, score_key string, parent string, level int")
 

@@ -23,6 +23,32 @@ def match_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_k(v.where("id % 100 = 0"), v).withColumn("score", F.round("score", 6))
 
 
+#: A second picture of a person: the vector with a part of the next one's mixed in.
+_PROBE = "list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) + 0.6 * CAST(z[2] AS DOUBLE))"
+_PROBES = f"WITH p AS (SELECT a.vec_id + 1000000000 AS id, {_PROBE} AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), s AS (SELECT p.id, e.vec_id, (list_cosine_similarity(p.v, CAST(e.embedding AS DOUBLE[])) + 1) / 2 AS score FROM p, embeddings e)"
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    other = v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("second"))
+    return v.join(other, "id").select((F.col("id") + 1_000_000_000).alias("id"), F.zip_with("vector", "second", lambda x, y: x + 0.6 * y).alias("vector"))
+
+
+@query(_PROBES + "SELECT id AS query_id, vec_id, round(score, 6) AS score FROM s WHERE score >= 0.85")
+def similar_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every probe against the whole gallery, by buckets; misses are made so rare (1e-6 a pair at the limit) that the result is exact."""
+    return ops.similar(probes(spark, sf_dir), vectors(spark, sf_dir), 0.85, 0.999_999).withColumn("score", F.round("score", 6))
+
+
+@query(_PROBES + "SELECT count(*) AS pairs, true AS enough FROM s WHERE score >= 0.85")
+def gallery_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the exact search, and whether the bucketed one, with its usual chance of 0.95, finds at least nine tenths of them."""
+    p, v = probes(spark, sf_dir), vectors(spark, sf_dir)
+    exact = ops.similar_exact(p, v).select("query_id", "vec_id")
+    found = ops.similar(p, v).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query(f"""SELECT a.vec_id, round(({_COS} + 1) / 2, 6) AS score, CASE WHEN ({_COS} + 1) / 2 >= 0.7 THEN 'MATCH' WHEN ({_COS} + 1) / 2 >= 0.5 THEN 'INCONCLUSIVE' ELSE 'NO_MATCH' END AS status,
 round(0.6 * ({_COS} + 1) / 2 + 0.3 * 0.8 + 0.1 * 0.5, 6) AS final, ({_COS} + 1) / 2 <= 0.95 AND a.vec_id % 3 > 0 AS is_live,
 CASE WHEN a.vec_id % 7 > 0 AND ({_COS} + 1) / 2 BETWEEN 0.6 AND 0.95 AND a.vec_id % 3 > 0 THEN 'verified' ELSE 'failed' END AS verification,

@@ -57,13 +57,19 @@ def _exact_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.compare_fields(ops.fields_of(typed, extracted, rules.field_rules(spark, EXACT)), kinds=())
 
 
-@query(_FIELDS + """, v AS (SELECT submission_id, sum(m * w) AS overall_score FROM (SELECT submission_id, severity, avg(score) AS m FROM f GROUP BY ALL) JOIN (VALUES ('high', 1.0), ('medium', 0.5), ('low', 0.2)) x(severity, w) USING (severity) GROUP BY submission_id)
-SELECT submission_id, count(*) AS total_fields, count(*) FILTER (decision = 'pass') AS passed_fields, count(*) FILTER (decision = 'manual_review') AS review_fields, count(*) FILTER (decision = 'reject') AS failed_fields,
-round(max(overall_score), 6) AS overall_score, CASE WHEN bool_or(severity = 'high' AND decision = 'reject') THEN 'rejected' WHEN count(*) FILTER (decision = 'manual_review') > 0 THEN 'manual_review' ELSE 'approved' END AS overall_decision
-FROM f JOIN v USING (submission_id) GROUP BY submission_id""")
+#: Sums of whole units of 1e-12, a severity's mean rounded half up: no order of rows changes them.
+_TENTHS = " + ".join(f"CASE WHEN n_{s} > 0 THEN {round(10 * w)} * ((s_{s} + n_{s} // 2) // n_{s}) ELSE 0 END" for s, w in rules.WEIGHTS)
+_WEIGHTS = " + ".join(f"CASE WHEN n_{s} > 0 THEN {round(10 * w)} ELSE 0 END" for s, w in rules.WEIGHTS)
+_BY_SEVERITY = ", ".join(f"CAST(sum(u) FILTER (severity = '{s}') AS BIGINT) AS s_{s}, count(*) FILTER (severity = '{s}') AS n_{s}" for s, _ in rules.WEIGHTS)
+_SCORED = f"(SELECT submission_id, {_TENTHS} AS tenths, {_WEIGHTS} AS weights FROM (SELECT submission_id, {_BY_SEVERITY} FROM (SELECT *, CAST(round(score * 1e12) AS BIGINT) AS u FROM f) GROUP BY submission_id))"
+
+
+@query(_FIELDS + f"""SELECT submission_id, count(*) AS total_fields, count(*) FILTER (decision = 'pass') AS passed_fields, count(*) FILTER (decision = 'manual_review') AS review_fields, count(*) FILTER (decision = 'reject') AS failed_fields,
+max(tenths) / 1e13 AS overall_score, CASE WHEN bool_or(severity = 'high' AND decision = 'reject') THEN 'rejected' WHEN count(*) FILTER (decision = 'manual_review') > 0 THEN 'manual_review' ELSE 'approved' END AS overall_decision
+FROM f JOIN {_SCORED} USING (submission_id) GROUP BY submission_id""")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ops.summarise(_exact_fields(spark, sf_dir))
-    return found.select("submission_id", "total_fields", "passed_fields", "review_fields", "failed_fields", F.round("overall_score", 6).alias("overall_score"), "overall_decision")
+    return found.select("submission_id", "total_fields", "passed_fields", "review_fields", "failed_fields", "overall_score", "overall_decision")
 
 
 @query(_FIELDS + "SELECT submission_id, field, a AS extracted, b AS typed, score, fraud, decision FROM f")
@@ -71,21 +77,20 @@ def reconcile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact_fields(spark, sf_dir).select("submission_id", "field", "extracted", "typed", "score", "fraud", "decision")
 
 
-_SUMMARY = """
-SELECT submission_id, total_fields, passed_fields, review_fields, failed_fields, round(overall_score, 6) AS overall_score, round(normalised_score, 6) AS normalised_score, CASE WHEN fatal THEN 'rejected' WHEN review_fields > 0 THEN 'manual_review' ELSE 'approved' END AS overall_decision,
-concat_ws('|', CASE WHEN fatal AND bad IS NOT NULL THEN 'High-severity fields failed: ' || bad END, CASE WHEN fatal AND cheat IS NOT NULL THEN 'FRAUD ALERT: ' || cheat END, CASE WHEN NOT fatal AND review_fields > 0 AND r1 IS NOT NULL THEN 'High-severity borderline: ' || r1 END,
+_SUMMARY = f"""
+SELECT submission_id, total_fields, passed_fields, review_fields, failed_fields, tenths / 1e13 AS overall_score, tenths / weights / 1e12 AS normalised_score, CASE WHEN fatal THEN 'rejected' WHEN review_fields > 0 THEN 'manual_review' ELSE 'approved' END AS overall_decision,
+concat_ws('|', CASE WHEN fatal AND bad IS NOT NULL THEN 'High-severity fields failed: ' || bad END, CASE WHEN fatal AND cheat IS NOT NULL THEN '{ops.FRAUD_LABEL}' || cheat END, CASE WHEN NOT fatal AND review_fields > 0 AND r1 IS NOT NULL THEN 'High-severity borderline: ' || r1 END,
   CASE WHEN NOT fatal AND review_fields > 0 AND r2 IS NOT NULL THEN 'Medium-severity mismatches: ' || r2 END, CASE WHEN NOT fatal AND review_fields > 0 AND r3 IS NOT NULL THEN 'Low-severity mismatches: ' || r3 END,
-  CASE WHEN NOT fatal AND review_fields = 0 THEN 'All fields meet defined thresholds' END, printf('Weighted matching score: %.1f', round(overall_score * 100, 1))) AS recommendations
+  CASE WHEN NOT fatal AND review_fields = 0 THEN 'All fields meet defined thresholds' END, printf('Weighted matching score: %d.%02d%%', ((tenths + 500000000) // 1000000000) // 100, ((tenths + 500000000) // 1000000000) % 100)) AS recommendations
 FROM (SELECT submission_id, count(*) AS total_fields, count(*) FILTER (decision = 'pass') AS passed_fields, count(*) FILTER (decision = 'manual_review') AS review_fields, count(*) FILTER (decision = 'reject') AS failed_fields, bool_or(severity = 'high' AND decision = 'reject') AS fatal,
   string_agg(field, ', ' ORDER BY ord) FILTER (severity = 'high' AND decision = 'reject') AS bad, string_agg(field, ', ' ORDER BY ord) FILTER (severity = 'high' AND decision = 'reject' AND fraud) AS cheat,
   string_agg(field, ', ' ORDER BY ord) FILTER (severity = 'high' AND decision = 'manual_review') AS r1, string_agg(field, ', ' ORDER BY ord) FILTER (severity = 'medium' AND decision = 'manual_review') AS r2, string_agg(field, ', ' ORDER BY ord) FILTER (severity = 'low' AND decision = 'manual_review') AS r3 FROM f GROUP BY submission_id)
-JOIN (SELECT submission_id, sum(m * w) AS overall_score, sum(m * w) / sum(w) AS normalised_score FROM (SELECT submission_id, severity, avg(score) AS m FROM f GROUP BY ALL) JOIN (VALUES ('high', 1.0), ('medium', 0.5), ('low', 0.2)) x(severity, w) USING (severity) GROUP BY submission_id) USING (submission_id)"""
+JOIN {_SCORED} USING (submission_id)"""
 
 
 def _advised(found: DataFrame) -> DataFrame:
-    """Summaries with their advice as one text; the score in it to one place, where halves cannot differ."""
-    advice = F.transform("recommendations", lambda r: F.when(r.startswith("Weighted"), F.format_string("Weighted matching score: %.1f", F.round(F.col("overall_score") * 100, 1))).otherwise(r))
-    return found.withColumn("recommendations", F.array_join(advice, "|")).withColumns({c: F.round(c, 6) for c in ("overall_score", "normalised_score")})
+    """Summaries with their advice as one text."""
+    return found.withColumn("recommendations", F.array_join("recommendations", "|"))
 
 
 @query(_FIELDS + _SUMMARY)
