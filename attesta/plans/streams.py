@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.operators import metrics
 from attesta.sources.tables import scratch
 from attesta.streaming import jobs
+from attesta.streaming.snapshots import SnapshotTable
 
 from . import records, traffic
 from .registry import ORACLES, query, table
@@ -36,8 +37,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = scratch(spark, "state")
     jobs.create_state(records.state(spark, sf_dir), state, ["document_number"])
     updates = records.updates_of(stream(spark, sf_dir, "orders"))
-    jobs.upsert_stream(updates, state, scratch(spark, "state-checkpoint"), ["document_number"], "at", ["document_id", "image", "transaction_id"]).awaitTermination()
-    return spark.read.parquet(state).drop("bucket")
+    jobs.upsert_stream(updates, state, scratch(spark, "state-checkpoint"), "at", ["document_id", "image", "transaction_id"]).awaitTermination()
+    return SnapshotTable(spark, state).read()
 
 
 @query("""SELECT 'login' AS event_type, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS metadata, true AS stamped FROM events""")

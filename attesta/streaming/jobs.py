@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from attesta.operators import metrics
 from attesta.operators import registry as ops
 
+from .snapshots import SnapshotTable
+
 
 def metrics_stream(requests: DataFrame, path: str, checkpoint: str, at: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> StreamingQuery:
     """Windowed counts and histograms; windows are written once the watermark has passed them."""
@@ -16,29 +18,20 @@ def metrics_stream(requests: DataFrame, path: str, checkpoint: str, at: str = "t
     return out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-
-
 def create_state(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    """The table that an upsert stream keeps, in buckets of the keys' hash."""
-    _bucketed(rows, keys, buckets).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    """The table that an upsert stream keeps (see :mod:`attesta.streaming.snapshots`)."""
+    SnapshotTable(rows.sparkSession, path).create(rows, keys, buckets)
 
 
-def upsert_stream(updates: DataFrame, state: str, checkpoint: str, keys: list[str], order: str, keep_if_null: list[str], buckets: int = 64) -> StreamingQuery:
-    """Each micro-batch rewrites the buckets of ``state`` that it has keys of, and no others.
+def upsert_stream(updates: DataFrame, state: str, checkpoint: str, order: str, keep_if_null: list[str]) -> StreamingQuery:
+    """Each micro-batch becomes one version of ``state``; it rewrites the buckets that it has keys of, and no others.
 
-    The new buckets are written beside the table first and then put in its place. A batch that runs again,
-    also after a part of it was put in place, gives the same rows: applying an update twice changes nothing.
+    A batch that was stopped leaves the version before it; one that runs again is known by the table's ledger,
+    under the stream's checkpoint, and changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        keyed, spark, staged = _bucketed(batch, keys, buckets), batch.sparkSession, f"{state}-staged"
-        touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most ``buckets``
-        if touched:
-            current = spark.read.parquet(state).where(F.col("bucket").isin(touched))
-            ops.upsert(current, keyed, ["bucket", *keys], order, keep_if_null).write.mode("overwrite").parquet(staged)
-            spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(state)
+        SnapshotTable(batch.sparkSession, state).upsert(batch, order, keep_if_null, writer=checkpoint, batch=number)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,9 +1,11 @@
 """Streaming jobs over small files, driven until nothing is left."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import metrics
 from attesta.streaming import jobs
+from attesta.streaming.snapshots import Conflict, Manifest, SnapshotTable
 
 
 def stream(spark, df, path):
@@ -21,19 +23,75 @@ def test_metrics_stream(spark, tmp_path):
     assert got == whole
 
 
+OLD = [(i, f"n{i}", "img") for i in range(40)]
+UPDATES = [(1, "b", None, 1), (1, "c", None, 2), (100, "new", "x", 1)]
+MERGED = sorted([r for r in OLD if r[0] != 1] + [(1, "c", "img"), (100, "new", "x")])
+
+
+def held(spark, state):
+    return sorted(tuple(r) for r in SnapshotTable(spark, state).read().select("id", "name", "image").collect())
+
+
+def upserts(spark, tmp_path):
+    jobs.create_state(spark.createDataFrame(OLD, "id int, name string, image string"), str(tmp_path / "state"), ["id"], buckets=16)
+    return stream(spark, spark.createDataFrame(UPDATES, "id int, name string, image string, at int"), str(tmp_path / "in"))
+
+
 def test_upsert_stream(spark, tmp_path):
-    """Two runs of the stream; buckets without updates keep their files, and a batch that runs again changes nothing."""
-    state = str(tmp_path / "state")
-    old = [(i, f"n{i}", "img") for i in range(40)]
-    jobs.create_state(spark.createDataFrame(old, "id int, name string, image string"), state, ["id"], buckets=16)
-    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "state").glob("bucket=*/*.parquet")}
-    updates = spark.createDataFrame([(1, "b", None, 1), (1, "c", None, 2), (100, "new", "x", 1)], "id int, name string, image string, at int")
-    source = stream(spark, updates, str(tmp_path / "in"))
-    want = sorted([r for r in old if r[0] != 1] + [(1, "c", "img"), (100, "new", "x")])
+    """Two runs of the stream; buckets without updates keep their files, and a batch that comes again changes nothing."""
+    state, source = str(tmp_path / "state"), upserts(spark, tmp_path)
+    first = SnapshotTable(spark, state).manifest().folders
     for run in ("c", "again"):  # a new checkpoint sends the same batch once more
-        jobs.upsert_stream(source, state, str(tmp_path / run), ["id"], "at", ["image"], buckets=16).awaitTermination()
-        assert sorted(tuple(r) for r in spark.read.parquet(state).select("id", "name", "image").collect()) == want
-    assert sum(p.exists() and p.stat().st_mtime_ns == t for p, t in files.items()) >= len(files) - 2
+        jobs.upsert_stream(source, state, str(tmp_path / run), "at", ["image"]).awaitTermination()
+        assert held(spark, state) == MERGED
+    now = SnapshotTable(spark, state).manifest()
+    assert now.version == 2 and sum(now.folders.get(b) == f for b, f in first.items()) >= len(first) - 2
+    assert SnapshotTable(spark, state).read(version=0).count() == 40  # earlier versions can still be read
+
+
+@pytest.mark.parametrize("stopped_at", ["_write", "_commit"])
+def test_a_stopped_batch_loses_nothing(spark, tmp_path, monkeypatch, stopped_at):
+    """The batch stops once its buckets are half or wholly written; the table is as before, and the same batch then goes in."""
+    state, source = str(tmp_path / "state"), upserts(spark, tmp_path)
+    real = getattr(SnapshotTable, stopped_at)
+
+    def stop(self, *args):
+        if stopped_at == "_write":
+            real(self, args[0].limit(5), *args[1:])
+        raise OSError("stopped")
+
+    monkeypatch.setattr(SnapshotTable, stopped_at, stop)
+    with pytest.raises(Exception, match="stopped"):
+        jobs.upsert_stream(source, state, str(tmp_path / "c"), "at", ["image"]).awaitTermination()
+    monkeypatch.undo()
+    assert held(spark, state) == OLD
+    jobs.upsert_stream(source, state, str(tmp_path / "c"), "at", ["image"]).awaitTermination()
+    assert held(spark, state) == MERGED
+    table = SnapshotTable(spark, state)
+    assert len(table.vacuum(keep=1)) == 1 and held(spark, state) == MERGED
+
+
+def test_a_batch_that_is_in_is_left_out(spark, tmp_path):
+    """A stop between the table's commit and the stream's own: the batch comes again with its number."""
+    state, table = str(tmp_path / "state"), SnapshotTable(spark, str(tmp_path / "state"))
+    upserts(spark, tmp_path)
+    batch = lambda name: spark.createDataFrame([(1, name, None, 1)], "id int, name string, image string, at int")
+    assert table.upsert(batch("x"), "at", ["image"], "stream", 0)
+    assert table.upsert(batch("y"), "at", ["image"], "stream", 1)
+    assert not table.upsert(batch("x"), "at", ["image"], "stream", 0) and table.manifest().version == 2
+    assert (1, "y", "img") in held(spark, state)
+    assert table.upsert(batch("z"), "at", ["image"], "other stream", 0)
+    assert table.upsert(batch("z").limit(0), "at", ["image"], "other stream", 1) and table.manifest().version == 4
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    upserts(spark, tmp_path)
+    table = SnapshotTable(spark, str(tmp_path / "state"))
+    now = table.manifest()
+    table._commit(Manifest(1, now.keys, now.buckets, now.schema, now.folders))
+    with pytest.raises(Conflict):
+        table._commit(Manifest(1, now.keys, now.buckets, now.schema, {}))
+    assert table.manifest().folders == now.folders
 
 
 def test_audit_and_pairs(spark, tmp_path):
