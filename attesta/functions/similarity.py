@@ -1,4 +1,4 @@
-"""Similarities that Spark lacks, as vectorised functions over distinct pairs."""
+"""Similarities that Spark lacks: folds over arrays, and the ratio of common blocks over distinct pairs of strings."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,28 +19,37 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def jaro_winkler(a: str | None, b: str | None, prefix: int = 4, boost: float = 0.1) -> float:
-    """The textbook measure, without a floor below which the prefix is ignored."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free = list(b)
-    common: list[str] = []
-    for i, ch in enumerate(a):
-        lo, hi = max(0, i - reach), min(len(b), i + reach + 1)
-        j = next((j for j in range(lo, hi) if free[j] == ch), -1)
-        if j >= 0:
-            free[j] = ""
-            common.append(ch)
-    if not common:
-        return 0.0
-    other = [ch for ch, left in zip(b, free, strict=True) if left == ""]
-    m, swaps = len(common), sum(x != y for x, y in zip(common, other, strict=True)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    same = next((i for i in range(min(prefix, len(a), len(b))) if a[i] != b[i]), min(prefix, len(a), len(b)))
-    return jaro + same * boost * (1 - jaro)
+def jaro_winkler(a: str, b: str, prefix: int = 4, boost: float = 0.1) -> str:
+    """The textbook measure of two SQL expressions, without a floor below which the prefix is ignored, in SQL.
+
+    The letters of ``a`` are folded from left to right; each takes the first equal letter of ``b`` within reach
+    that none before it took, and the state keeps the places of both. Nulls and empty texts score 0.
+    """
+    letters = lambda x: f"filter(split(coalesce({x}, ''), ''), c -> c <> '')"
+    reach = "greatest(0, greatest(size(s.a), size(s.b)) div 2 - 1)"
+    first = f"get(filter(sequence(1, size(s.b)), j -> j >= i - {reach} AND j <= i + {reach} AND get(s.b, j - 1) = get(s.a, i - 1) AND NOT array_contains(st.of_b, j)), 0)"
+    take = f"get(transform(array({first}), j -> CASE WHEN j IS NULL THEN st ELSE named_struct('of_a', array_append(st.of_a, i), 'of_b', array_append(st.of_b, j)) END), 0)"
+    swaps = "size(filter(zip_with(st.of_a, array_sort(st.of_b), (x, y) -> get(s.a, x - 1) <> get(s.b, y - 1)), d -> d)) / 2"
+    near = f"least({prefix}, size(s.a), size(s.b))"
+    same = f"coalesce(get(filter(sequence(0, {near} - 1), k -> get(s.a, k) <> get(s.b, k)), 0), {near})"
+    jaro = f"(size(st.of_a) / size(s.a) + size(st.of_a) / size(s.b) + (size(st.of_a) - {swaps}) / size(st.of_a)) / 3"
+    finish = f"CASE WHEN size(st.of_a) = 0 THEN 0D ELSE get(transform(array({jaro}), v -> v + {same} * {boost}D * (1 - v)), 0) END"
+    none = "CAST(array() AS ARRAY<INT>)"
+    fold = f"aggregate(sequence(1, size(s.a)), named_struct('of_a', {none}, 'of_b', {none}), (st, i) -> {take}, st -> {finish})"
+    whole = f"CASE WHEN size(s.a) = 0 OR size(s.b) = 0 THEN 0D WHEN s.a = s.b THEN 1D ELSE {fold} END"
+    return f"get(transform(array(named_struct('a', {letters(a)}, 'b', {letters(b)})), s -> {whole}), 0)"
+
+
+def paired(options: str, at_least: float) -> str:
+    """Greedy one-to-one pairing, in SQL: a struct of ``n`` pairs and their summed ``total``.
+
+    ``options`` are structs of ``i``, ``less`` (the score, negated) and ``j``. In the order of ``i`` each takes the best
+    free ``j``, of equal ones the first, if it scores ``at_least``. One fold over the sorted options.
+    """
+    free = f"o.i <> st.last AND NOT array_contains(st.used, o.j) AND -o.less >= {at_least}D AND o.less < 0"
+    take = "named_struct('last', o.i, 'used', array_append(st.used, o.j), 'n', st.n + 1, 'total', st.total - o.less)"
+    start = "named_struct('last', -1, 'used', CAST(array() AS ARRAY<INT>), 'n', 0, 'total', 0D)"
+    return f"aggregate(array_sort({options}), {start}, (st, o) -> CASE WHEN {free} THEN {take} ELSE st END, st -> named_struct('n', st.n, 'total', st.total))"
 
 
 def token_score(a: str, b: str, code_a: str = "", code_b: str = "") -> float:
@@ -86,11 +95,6 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def arabic_fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([fuzzy(x, y, 0.75) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -116,36 +120,22 @@ def english_above(at_least: float):
     return score
 
 
-english_fuzzy = english_above(0.0)
-
-
-@F.pandas_udf(T.DoubleType())
-def best_match_mean(a: pd.Series, b: pd.Series) -> pd.Series:
+def best_match_mean(a: str, b: str) -> Column:
     """Mean over the first list's tokens of the best Jaro-Winkler score, less for unequal lengths."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if not len(x) or not len(y):
-            out.append(0.0)
-            continue
-        mean = sum(max(jaro_winkler(s, t) for t in y) for s in x) / len(x)
-        out.append(min(1.0, mean * (0.8 + 0.2 * min(len(x), len(y)) / max(len(x), len(y)))))
-    return pd.Series(out, dtype="float64")
+    mean = f"aggregate(transform({a}, u -> array_max(transform({b}, t -> {jaro_winkler('u', 't')}))), 0D, (x, y) -> x + y) / size({a})"
+    return F.expr(f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE least(1D, {mean} * (0.8D + 0.2D * least(size({a}), size({b})) / greatest(size({a}), size({b})))) END")
 
 
-@F.pandas_udf(T.DoubleType())
-def token_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+def token_overlap(a: str, b: str, at_least: float = 0.85) -> Column:
     """Share of tokens that pair up one to one at a Jaro-Winkler score of 0.85 or more."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        n, _ = assigned([s.lower() for s in x], [t.lower() for t in y], 0.85, jaro_winkler)
-        out.append(n / max(len(x), len(y)) if len(x) and len(y) else 0.0)
-    return pd.Series(out, dtype="float64")
+    each = f"flatten(transform({a}, (u, m) -> transform({b}, (t, n) -> named_struct('i', m, 'less', -{jaro_winkler('lower(u)', 'lower(t)')}, 'j', n))))"
+    return F.expr(f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE {paired(each, at_least)}.n / greatest(size({a}), size({b})) END")
 
 
 def register(spark: SparkSession) -> None:
-    """Publish ``similarity_ratio``, ``jaro_winkler`` and ``name_compare`` to SQL."""
+    """Publish ``similarity_ratio``, ``jaro_winkler`` (a SQL expression) and ``name_compare`` to SQL."""
     from attesta.operators.names import name_compare
 
     spark.udf.register("similarity_ratio", similarity_ratio)
-    spark.udf.register("jaro_winkler", jaro_winkler_udf)
     spark.udf.register("name_compare", name_compare)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION jaro_winkler(a STRING, b STRING) RETURNS DOUBLE RETURN {jaro_winkler('a', 'b')}")

@@ -10,30 +10,91 @@ from pyspark.sql import types as T
 from attesta.functions import similarity as sim
 from attesta.functions import text
 from attesta.functions.phonetic import arabic_to_latin, code
+from attesta.sources.tables import materialise
 
 
-def compare(pairs: DataFrame, a: str, b: str, language: str, out: str = "name_score") -> DataFrame:
-    """Add ``out`` and ``<out>_tier``: exact, token_set, fuzzy or none.
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few bytes, much work: spread by count, since Spark would merge such partitions by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def ratios(strings: DataFrame) -> DataFrame:
+    """``x``, ``y`` and their ``ratio``, each distinct pair of strings once: all that Python sees of names."""
+    return _spread(strings.select("x", "y").distinct(), "x", "y").withColumn("ratio", F.when(F.col("x") == F.col("y"), 1.0).otherwise(sim.similarity_ratio("x", "y")))
 
-    The first two tiers are native. Only pairs that neither settles go to Python, each distinct pair once.
+
+def fuzzy_scores(pairs: DataFrame, language: str) -> DataFrame:
+    """``_a``, ``_b`` and ``_s`` of distinct pairs of normalised names.
+
+    Tokens pair up greedily, one to one; the score is the share that pairs up times their mean score. English tokens
+    score higher where their phonetic codes agree or nearly agree, and the whole strings or whole codes
+    count if they agree better. Strings are compared once for each distinct pair of tokens, codes or names; what is made of
+    the ratios, the pairing included, stays in the plan. ``pairs`` is read several times; let it be a stored table.
     """
-    normal = text.arabic_name if language == "arabic" else text.english_name
-    rows = pairs.withColumn("_a", normal(F.col(a))).withColumn("_b", normal(F.col(b)))
-    ta, tb = text.tokens(F.col("_a")), text.tokens(F.col("_b"))
-    tier = F.when((F.col("_a") == "") | (F.col("_b") == ""), "none").when(F.col("_a") == F.col("_b"), "exact").when(text.same_token_set(ta, tb), "token_set").otherwise("fuzzy")
-    rows = rows.withColumn(f"{out}_tier", tier)
-    hard = rows.where(F.col(f"{out}_tier") == "fuzzy").select("_a", "_b").distinct()
-    # Few bytes, much work: spread by count, since Spark would merge such partitions by size.
-    hard = hard.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_a", "_b")
-    if language == "arabic":
-        hard = hard.withColumn("_s", sim.arabic_fuzzy("_a", "_b"))
-    else:
-        codes = lambda c: F.transform(text.tokens(F.col(c)), lambda t: code(t, True))
-        hard = hard.withColumn("_s", sim.english_fuzzy("_a", "_b", codes("_a"), codes("_b"), code(F.col("_a"), True), code(F.col("_b"), True)))
-    l, r = rows.alias("l"), hard.alias("r")
-    joined = l.join(r, (F.col("l._a") == F.col("r._a")) & (F.col("l._b") == F.col("r._b")) & (F.col(f"l.{out}_tier") == "fuzzy"), "left")
-    score = F.when(F.col(f"{out}_tier").isin("exact", "token_set"), 1.0).when(F.col(f"{out}_tier") == "none", 0.0).otherwise(F.col("_s"))
-    return joined.select(*(f"l.`{c}`" for c in rows.columns if c not in ("_a", "_b")), score.alias(out))
+    english = language == "english"
+    at_least = 0.65 if english else 0.75
+    held = pairs.select("_a", "_b", text.tokens(F.col("_a")).alias("_ta"), text.tokens(F.col("_b")).alias("_tb"))
+    each = held.select("_a", "_b", F.posexplode("_ta").alias("_i", "_u"), "_tb").select("_a", "_b", "_i", "_u", F.posexplode("_tb").alias("_j", "_v"))
+    met = each.select("_u", "_v").distinct()
+    spoken = lambda c: code(F.col(c), True)
+    met = met.withColumn("_cu", spoken("_u")).withColumn("_cv", spoken("_v")) if english else met
+    both = (F.col("_cu") != "") & (F.col("_cv") != "") if english else None
+    as_pair = lambda df, x, y: df.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    strings = as_pair(met, "_u", "_v")
+    if english:
+        whole = held.select("_a", "_b", spoken("_a").alias("_wa"), spoken("_b").alias("_wb"))
+        strings = strings.union(as_pair(met.where(both), "_cu", "_cv")).union(as_pair(whole, "_a", "_b")).union(as_pair(whole.where("_wa <> '' AND _wb <> ''"), "_wa", "_wb"))
+    found = materialise(ratios(strings), "ratios")
+
+    def with_ratio(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
+        r = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("ratio").alias(out))
+        return df.join(r, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left").drop("_x", "_y")
+
+    scored, plain = with_ratio(met, "_u", "_v", "_plain"), F.col("_plain")
+    score = plain
+    if english:
+        scored = with_ratio(scored, "_cu", "_cv", "_near")
+        score = F.when(~both, plain).when(F.col("_cu") == F.col("_cv"), F.greatest(plain, F.lit(sim.PHONETIC_FLOOR))).when(F.col("_near") >= sim.PHONETIC_NEAR, F.greatest(plain, 0.6 * plain + 0.4 * F.col("_near"))).otherwise(plain)
+    scored = scored.select("_u", "_v", score.alias("_score")).where(F.col("_score") >= at_least)
+    options = each.join(scored, ["_u", "_v"]).groupBy("_a", "_b").agg(F.collect_list(F.struct(F.col("_i").alias("i"), (-F.col("_score")).alias("less"), F.col("_j").alias("j"))).alias("_options"))
+    best = F.expr(sim.paired("_options", at_least))
+    chosen = options.select("_a", "_b", best["n"].alias("_n"), best["total"].alias("_total"))
+    share = F.when(F.col("_n") > 0, F.col("_n") / F.greatest(F.size(text.tokens(F.col("_a"))), F.size(text.tokens(F.col("_b")))) * (F.col("_total") / F.col("_n"))).otherwise(0.0)
+    out = held.select("_a", "_b").join(chosen, ["_a", "_b"], "left").withColumn("_s", F.coalesce(share, F.lit(0.0)))
+    if english:
+        out = with_ratio(with_ratio(out.join(whole, ["_a", "_b"]), "_a", "_b", "_r1"), "_wa", "_wb", "_r2")
+        out = out.withColumn("_s", F.greatest("_s", F.coalesce("_r1", F.lit(0.0)), F.coalesce("_r2", F.lit(0.0))))
+    return out.select("_a", "_b", "_s")
+
+
+def compare_all(rows: DataFrame, wanted: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Add a score and ``<score>_tier`` for each wanted (first name, second name, language, score).
+
+    Tiers are exact, token_set, fuzzy or none. Only pairs that are fuzzy go to :func:`fuzzy_scores`: one scan
+    gathers the distinct ones of all wanted columns, and they are scored once for each language.
+    """
+    columns = rows.columns
+    for k, (a, b, language, out) in enumerate(wanted):
+        normal = text.arabic_name if language == "arabic" else text.english_name
+        rows = rows.withColumn(f"_a{k}", normal(F.col(a))).withColumn(f"_b{k}", normal(F.col(b)))
+        x, y = F.col(f"_a{k}"), F.col(f"_b{k}")
+        tier = F.when((x == "") | (y == ""), "none").when(x == y, "exact").when(text.same_token_set(text.tokens(x), text.tokens(y)), "token_set").otherwise("fuzzy")
+        rows = rows.withColumn(f"{out}_tier", F.coalesce(tier, F.lit("fuzzy")))
+    each = [F.when(F.col(f"{out}_tier") == "fuzzy", F.struct(F.lit(language).alias("language"), F.col(f"_a{k}").alias("_a"), F.col(f"_b{k}").alias("_b"))) for k, (_, _, language, out) in enumerate(wanted)]
+    hard = rows.select(F.inline(F.filter(F.array(*each), lambda p: p.isNotNull()))).where("_a IS NOT NULL AND _b IS NOT NULL").distinct()
+    hard = materialise(hard, "name-pairs")
+    scores = {language: materialise(fuzzy_scores(hard.where(F.col("language") == language).drop("language"), language), "name-scores") for language in {w[2] for w in wanted}}
+    for k, (_, _, language, out) in enumerate(wanted):
+        found = scores[language].select(F.col("_a").alias("_first"), F.col("_b").alias("_second"), F.col("_s").alias("_found"))
+        rows = rows.join(found, (F.col(f"_a{k}") == F.col("_first")) & (F.col(f"_b{k}") == F.col("_second")) & (F.col(f"{out}_tier") == "fuzzy"), "left")
+        score = F.when(F.col(f"{out}_tier").isin("exact", "token_set"), 1.0).when(F.col(f"{out}_tier") == "none", 0.0).otherwise(F.col("_found"))
+        rows = rows.withColumn(out, score).drop("_first", "_second", "_found")
+    return rows.select(*columns, *(c for _, _, _, out in wanted for c in (f"{out}_tier", out)))
+
+
+def compare(pairs: DataFrame, a: str, b: str, language: str, out: str = "name_score") -> DataFrame:
+    """Add ``out`` and ``<out>_tier`` (see :func:`compare_all`)."""
+    return compare_all(pairs, [(a, b, language, out)])
 
 
 def decision(score: Column, pass_at: float | Column = 0.90, review_at: float | Column = 0.70) -> Column:
@@ -48,7 +109,7 @@ def validate(pairs: DataFrame, confidence: str = "confidence", pass_at: float =
     """
     given = lambda *cs: [F.coalesce(F.col(c), F.lit("")) != "" for c in cs]
     rows = pairs.withColumn("_latin", arabic_to_latin(F.col("extracted_ar")))
-    rows = compare(compare(compare(rows, "extracted_ar", "typed_ar", "arabic", "_ar"), "extracted_en", "typed_en", "english", "_en"), "_latin", "typed_en", "english", "_x")
+    rows = compare_all(rows, [("extracted_ar", "typed_ar", "arabic", "_ar"), ("extracted_en", "typed_en", "english", "_en"), ("_latin", "typed_en", "english", "_x")])
     (ea, ta), (ee, te) = given("extracted_ar", "typed_ar"), given("extracted_en", "typed_en")
     arabic, english = F.when(ea & ta, F.col("_ar")), F.when(ee & te, F.col("_en"))
     cross = F.when(ea & te & (english.isNull() | ((english < pass_at) & arabic.isNull())), F.col("_x"))
@@ -68,7 +129,7 @@ def cross_script(pairs: DataFrame, a: str, b: str, arabic_weight: float = 0.7, l
     once = once.withColumn("_ta", toks(a)).withColumn("_tb", toks(b))
     once = once.withColumn("_ca", code(text.latin(F.coalesce(bridge(a), F.lit(""))))).withColumn("_cb", code(text.latin(F.coalesce(bridge(b), F.lit("")))))
     both = text.has_arabic(F.col(a)) & text.has_arabic(F.col(b))
-    once = once.select(a, b, both.alias("_both"), sim.best_match_mean("_ta", "_tb").alias("_best"), sim.jaro_winkler_udf("_ca", "_cb").alias("phonetic_similarity"), sim.token_overlap("_ta", "_tb").alias("token_overlap"))
+    once = once.select(a, b, both.alias("_both"), sim.best_match_mean("_ta", "_tb").alias("_best"), F.expr(sim.jaro_winkler("_ca", "_cb")).alias("phonetic_similarity"), sim.token_overlap("_ta", "_tb").alias("token_overlap"))
     arabic = F.when(F.col("_both"), F.col("_best")).otherwise(0.0)
     final = F.when(F.col("_both"), arabic_weight * arabic + latin_weight * F.col("phonetic_similarity")).otherwise(F.col("phonetic_similarity"))
     once = once.select(F.col(a).alias("_ka"), F.col(b).alias("_kb"), arabic.alias("arabic_similarity"), "phonetic_similarity", "token_overlap", final.alias("similarity"))
@@ -123,8 +184,7 @@ def screen(queries: DataFrame, registry: DataFrame, language: str = "english", a
     met = pairs.join(as_one(r_names, "a"), F.col("rn") == F.col("_a")).join(as_one(q_names, "b"), F.col("qn") == F.col("_b"))
     tier = F.when(F.col("rn") == F.col("qn"), "exact").when(F.col("a.kinds") == F.col("b.kinds"), "token_set").otherwise("fuzzy")
     met = met.select("qn", "rn", "a", "b", tier.alias("tier"))
-    # Few bytes, much work: spread by count, since Spark would merge such partitions by size.
-    hard = met.where((F.col("tier") == "fuzzy") & (_reach("a", "b") >= at_least)).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qn", "rn")
+    hard = _spread(met.where((F.col("tier") == "fuzzy") & (_reach("a", "b") >= at_least)), "qn", "rn")
     if language == "arabic":
         score = sim.arabic_fuzzy("rn", "qn")
     else:

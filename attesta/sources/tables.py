@@ -43,6 +43,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: plans that use it many times stay small, and so do retries."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -123,11 +123,7 @@ def test_codes(spark):
         assert (r.a, r.b) == (plain_code(r.w, False), plain_code(r.w, True))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abcd", max_size=8), st.text("abcd", max_size=8))
-def test_jaro_winkler(a, b):
-    s = similarity.jaro_winkler(a, b)
-    assert 0 <= s <= 1 and (s == 1) == (a == b != "")
+def plain_jaro_winkler(a, b):
     reach, taken = max(max(len(a), len(b)) // 2 - 1, 0), {}
     for i, c in enumerate(a):  # each letter takes the first free equal one within reach
         free = [j for j in range(len(b)) if abs(i - j) <= reach and b[j] == c and j not in taken.values()]
@@ -136,9 +132,39 @@ def test_jaro_winkler(a, b):
     m = len(taken)
     swaps = sum(a[i] != b[j] for i, j in zip(sorted(taken), sorted(taken.values())))
     jaro = (m / len(a) + m / len(b) + (m - swaps / 2) / m) / 3 if m else 0.0
-    prefix = len(os.path.commonprefix([a[:4], b[:4]]))
-    assert s == pytest.approx(jaro + prefix * 0.1 * (1 - jaro))
-    assert similarity.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and similarity.jaro_winkler("dixon", "dicksonx") == pytest.approx(0.8133, abs=1e-4)
+    return jaro + len(os.path.commonprefix([a[:4], b[:4]])) * 0.1 * (1 - jaro)
+
+
+def test_jaro_winkler(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdé") for _ in range(draw.randrange(9)))
+    rows = [(word(), word()) for _ in range(800)] + [(None, "a"), ("", ""), ("martha", "marhta"), ("dixon", "dicksonx")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.expr(similarity.jaro_winkler("a", "b")).alias("s")).collect()
+    for r in got:
+        assert 0 <= r.s <= 1 and (r.s == 1) == (r.a == r.b != "")
+        assert r.s == pytest.approx(plain_jaro_winkler(r.a or "", r.b or ""), abs=1e-12)
+    assert got[-2].s == pytest.approx(0.9611, abs=1e-4) and got[-1].s == pytest.approx(0.8133, abs=1e-4)
+
+
+@pytest.mark.parametrize("language", ["english", "arabic"])
+def test_fuzzy_scores_equal_those_of_whole_pairs(spark, language):
+    """Ratios of distinct strings, put together in the plan, against names compared one pair at a time."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("aeiklmnst" if language == "english" else "محدعليسنر") for _ in range(draw.randint(1, 6)))
+    name = lambda: " ".join(word() for _ in range(draw.randint(1, 4)))
+    rows = {(name(), name()) for _ in range(400)} | {("ali ali", "ali"), ("ali", "ali ali"), ("aa bb", "bb aa cc")}
+    df = spark.createDataFrame(sorted(rows), "_a string, _b string")
+    spoken = {r.w: r.c for r in spark.createDataFrame([(w,) for w in {w for p in rows for n in p for w in [n, *n.split()]}], "w string").select("w", phonetic.code(F.col("w"), True).alias("c")).collect()}
+
+    def plain(a, b):
+        codes = [[spoken[w] for w in n.split()] for n in (a, b)] if language == "english" else [None, None]
+        found = similarity.fuzzy(a, b, 0.65 if language == "english" else 0.75, *codes)
+        if language == "english":
+            found = max(found, similarity.ratio(a, b), similarity.ratio(spoken[a], spoken[b]) if spoken[a] and spoken[b] else 0.0)
+        return found
+
+    scored = names.fuzzy_scores(df, language)
+    assert {(r._a, r._b): round(r._s, 12) for r in scored.collect()} == {p: round(plain(*p), 12) for p in rows}
 
 
 def test_name_tiers(spark):
