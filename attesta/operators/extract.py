@@ -50,16 +50,16 @@ def id_numbers(lines: DataFrame, key: str, kinds: list[tuple[str, str, float]] =
     hit = F.coalesce(*(F.when(clean.rlike(p), F.struct(clean.alias("number"), F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for k, p, c in kinds))
     loose = F.when(F.length(digits).between(8, 15), F.struct(digits.alias("number"), F.lit("unknown").alias("kind"), F.lit(0.5).alias("confidence")))
     found = lines.select(key, "line_no", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(hit, loose).alias("c")).where("c IS NOT NULL")
-    best = Window.partitionBy(key).orderBy(F.col("c.confidence").desc(), F.col("score").desc(), "line_no")
-    top = found.withColumn("_nth", F.row_number().over(best)).where("_nth = 1")
+    best = F.struct("c.confidence", "score", (-F.col("line_no")).alias("earlier"))
+    top = found.groupBy(key).agg(F.max_by("c", best).alias("c"), F.max(best)["score"].alias("score"))
     return top.select(key, "c.number", "c.kind", F.least(F.lit(1.0), F.greatest(F.col("c.confidence") * 0.9, F.col("score"))).alias("confidence"))
 
 
 def best_digits(rows: DataFrame, key: str, text_col: str = "text", pos: str = "line_no") -> DataFrame:
     """Digit string of a number field: exactly 11 first, else the longest of 8 or more, else none."""
     digits = rows.select(key, pos, F.regexp_replace(F.col(text_col), "[^0-9]", "").alias("digits")).where(F.length("digits") >= 8)
-    order = Window.partitionBy(key).orderBy((F.length("digits") == 11).desc(), F.length("digits").desc(), pos)
-    top = digits.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    best = F.struct((F.length("digits") == 11).alias("whole"), F.length("digits").alias("n"), (-F.col(pos)).alias("earlier"))
+    top = digits.groupBy(key).agg(F.max_by("digits", best).alias("digits"))
     return top.select(key, "digits", F.when(F.length("digits") == 11, "valid").otherwise(F.format_string("incomplete_%d_digits", F.length("digits"))).alias("validation"))
 
 
@@ -145,16 +145,22 @@ def quality_of_lines(lines: DataFrame, key: str, numbers: DataFrame) -> DataFram
     return joined.withColumn("readability", F.least(F.lit(1.0), blended)).drop("_c")
 
 
-def mrz_zones(lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed zones (first two consecutive fitting lines) and the documents that have none."""
+def mrz_routed(lines: DataFrame, key: str) -> DataFrame:
+    """One row for each document: its zone ``m`` (of the first two consecutive fitting lines), or ``quarantined``."""
     t = F.upper(F.trim("text"))
     below = F.lead(t).over(Window.partitionBy(key).orderBy("line_no"))
     whole = "^[A-Z0-9<]{44}$"
     rows = lines.withColumn("_t", t).withColumn("_below", below)
-    hits = rows.where(F.col("_t").rlike(whole) & F.col("_below").rlike(whole) & F.col("_t").startswith("P<"))
-    first = hits.groupBy(key).agg(F.min_by(F.struct("_t", "_below"), "line_no").alias("z"))
-    parsed = first.select(key, mrz.parse(F.col("z._t"), F.col("z._below")).alias("m"))
-    return parsed, lines.select(key).distinct().join(first.select(key), key, "left_anti")
+    hit = F.col("_t").rlike(whole) & F.col("_below").rlike(whole) & F.col("_t").startswith("P<")
+    zone = F.min_by(F.when(hit, F.struct("_t", "_below")), F.when(hit, F.col("line_no")))
+    found = rows.groupBy(key).agg(zone.alias("z"))
+    return found.select(key, F.when(F.col("z").isNotNull(), mrz.parse(F.col("z._t"), F.col("z._below"))).alias("m"), F.col("z").isNull().alias("quarantined"))
+
+
+def mrz_zones(lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed zones, and the documents that have none."""
+    routed = mrz_routed(lines, key)
+    return routed.where("NOT quarantined").select(key, "m"), routed.where("quarantined").select(key)
 
 
 def best_detections(boxes: DataFrame, key: str, pad: float = 0.05) -> DataFrame:
@@ -162,8 +168,8 @@ def best_detections(boxes: DataFrame, key: str, pad: float = 0.05) -> DataFrame:
     x1, y1 = F.greatest("x1", F.lit(0)), F.greatest("y1", F.lit(0))
     x2, y2 = F.least("x2", "width"), F.least("y2", "height")
     clamped = boxes.select(key, "label", "confidence", "width", "height", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("x2 > x1 AND y2 > y1")
-    nth = F.row_number().over(Window.partitionBy(key, "label").orderBy(F.col("confidence").desc(), "x1", "y1", "x2", "y2"))
-    top = clamped.withColumn("_nth", nth).where("_nth = 1")
+    best = F.min(F.struct((-F.col("confidence")).alias("order"), "x1", "y1", "x2", "y2", "confidence", "width", "height"))
+    top = clamped.groupBy(key, "label").agg(best.alias("b")).select(key, "label", *(f"b.{c}" for c in ("confidence", "width", "height", "x1", "y1", "x2", "y2")))
     dx, dy = ((F.col("x2") - F.col("x1")) * pad).cast("int"), ((F.col("y2") - F.col("y1")) * pad).cast("int")
     padded = (F.greatest(F.col("x1") - dx, F.lit(0)), F.greatest(F.col("y1") - dy, F.lit(0)), F.least(F.col("x2") + dx, F.col("width")), F.least(F.col("y2") + dy, F.col("height")))
     return top.select(key, "label", "confidence", *(c.alias(n) for c, n in zip(padded, ("x1", "y1", "x2", "y2"), strict=True)))

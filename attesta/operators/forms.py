@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from attesta.functions.text import name_language
@@ -61,5 +61,16 @@ def validate(rows: DataFrame, ref: Column) -> DataFrame:
     return gender_of_number(routed(rows)).withColumn("errors", errors(ref))
 
 
+def write_split(checked: DataFrame, path: str) -> dict[str, int]:
+    """Write checked rows in one pass, valid and invalid ones to folders of their own, and count both on the way.
+
+    Invalid rows keep their errors. The counts, ``rows``, ``invalid`` and ``errors``, come from the writing itself.
+    """
+    seen = Observation("forms")
+    counted = checked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") > 0).alias("invalid"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("errors"))
+    counted.withColumn("outcome", F.when(F.size("errors") == 0, "valid").otherwise("invalid")).write.partitionBy("outcome").parquet(path)
+    return seen.get
+
+
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)

@@ -30,17 +30,6 @@ def windowed(requests: DataFrame, at: str, keys: list[str], latency: str = "late
     return grouped.select(F.col("w.start").alias("window_start"), *(c for c in grouped.columns if c != "w"))
 
 
-def intake_summary(images: DataFrame, found: DataFrame, key: str = "image") -> DataFrame:
-    """How many images, and how many were processed and failed; an image without a result failed."""
-    bad = ~F.coalesce(F.col("ok"), F.lit(False))
-    return images.join(found, key, "left").agg(F.count("*").alias("images"), F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"))
-
-
-def intake_failures(images: DataFrame, found: DataFrame, key: str = "image") -> DataFrame:
-    """The images that failed, one row each."""
-    return images.join(found, key, "left").where(~F.coalesce(F.col("ok"), F.lit(False))).select(key)
-
-
 def filled_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Add the number of fields that are not empty."""
     total = F.lit(0)

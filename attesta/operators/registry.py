@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.text import split_name
+from attesta.sources.tables import materialise
 
 
 def _matches(keys: list[str], left: str = "l", right: str = "r") -> Column:
@@ -16,10 +17,11 @@ def _matches(keys: list[str], left: str = "l", right: str = "r") -> Column:
 
 
 def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key; ties by the whole row, so reruns agree."""
-    rest = [F.col(c).desc() for c in rows.columns if c not in (*keys, order)]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc(), *rest))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    """The last row of each key; ties by the whole row, so reruns agree. Aggregated before the shuffle, so a key of
+    very many rows costs no task more than others."""
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_last"))
+    return last.select(*(c if c in keys else F.col(f"_last.{c}").alias(c) for c in rows.columns))
 
 
 def upsert(current: DataFrame, updates: DataFrame, keys: list[str], order: str, keep_if_null: list[str]) -> DataFrame:
@@ -97,7 +99,23 @@ def history(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
 
 
 def verified_newest_first(rows: DataFrame, tie: str) -> DataFrame:
-    return rows.where("status = 'verified'").orderBy(F.col("verified_at").desc(), F.col(tie).desc())
+    """The verified rows with their ``rank``, newest first."""
+    return ranked(rows.where("status = 'verified'"), [F.col("verified_at").desc(), F.col(tie).desc()])
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Rows with their place (from 1) in the order of the whole table, without a task that sees all of them.
+
+    Rows are range-partitioned and sorted, and stored with their place in their partition; the sizes of the
+    partitions before, a number a partition, make it a place in the table.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # the partition, then the row in it
+    laid = materialise(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "ranked")
+    sizes = laid.groupBy("_part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select(F.col("_part").alias("_p"), before.alias("_before")))  # at most ``n`` rows
+    return laid.join(offsets, F.col("_part") == F.col("_p")).select(*rows.columns, (F.col("_before") + F.col("_place") + 1).alias(name))
 
 
 def hydrate(rows: DataFrame, json_col: str, schema: str, overlay: dict[str, str]) -> DataFrame:
@@ -107,6 +125,30 @@ def hydrate(rows: DataFrame, json_col: str, schema: str, overlay: dict[str, str]
     return parsed.select(*(c for c in rows.columns if c != json_col and c not in overlay), *(F.coalesce(F.col(overlay[n]) if n in overlay else F.lit(None), F.col("_j")[n]).alias(n) for n in names))
 
 
+def variant_fields(rows: DataFrame, json_col: str, fields: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Columns read from JSON whose shape differs by row: ``fields`` gives for each name its type and its paths.
+
+    The first path that holds a value of the type counts. Text that is no JSON gives nulls, and ``malformed`` tells.
+    """
+    parsed = rows.withColumn("_v", F.try_parse_json(json_col))
+    found = [F.coalesce(*(F.try_variant_get("_v", path, kind) for path in paths)).alias(name) for name, (kind, paths) in fields.items()]
+    return parsed.select(*(c for c in rows.columns if c != json_col), *found, (F.col("_v").isNull() & F.col(json_col).isNotNull()).alias("malformed"))
+
+
+def overlaid(rows: DataFrame, json_col: str, schema: str, overlay: dict[str, str], out: str = "record") -> DataFrame:
+    """The JSON as a record of the schema, with nested fields (``a.b``) replaced by columns that are set."""
+    record = F.from_json(json_col, schema)
+    for path, column in overlay.items():
+        record = record.withField(path, F.coalesce(F.col(column), _inner(F.from_json(json_col, schema), path)))
+    return rows.withColumn(out, record)
+
+
+def _inner(record: Column, path: str) -> Column:
+    for part in path.split("."):
+        record = record.getField(part)
+    return record
+
+
 def profile(rows: DataFrame, blobs: list[str]) -> DataFrame:
     """Rows, and for each blob column how many are set and their bytes."""
     aggregates = [F.count("*").alias("rows")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +14,22 @@ from . import gazetteer
 
 
 def convert(rows: DataFrame, key: str, arabic: str) -> DataFrame:
-    """Add ``english``, ``method`` (empty, dictionary, corrected, phonetic) and ``raw_phonetic``."""
+    """Add ``english``, ``method`` (empty, dictionary, corrected, phonetic) and ``raw_phonetic``.
+
+    Everything is worked out once for each distinct name, row by row over literal maps, and joined to the rows by name.
+    """
     spark = rows.sparkSession
-    known = F.broadcast(gazetteer.names(spark).select(F.col("arabic").alias("_ar"), F.col("english").alias("_en")))
-    by_code = gazetteer.spellings(spark).groupBy(code(F.col("name")).alias("_code")).agg(F.min_by("name", "ord").alias("_name"))
-    trimmed = F.trim(F.col(arabic))
-    base = rows.select(key, trimmed.alias("_t")).join(known, F.col("_t") == F.col("_ar"), "left")
-    base = base.withColumn("_raw", F.when(F.col("_en").isNull(), spoken(F.col("_t"))))
-    words = base.where("_raw <> ''").select(key, "_raw", F.posexplode(tokens(F.col("_raw"))).alias("_pos", "_word"))
-    words = words.withColumn("_c", F.when(F.length("_word") >= 2, code(F.col("_word")))).join(F.broadcast(by_code), F.col("_c") == F.col("_code"), "left")
-    snapped = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_name", "_word").alias("w")))).alias("_ws"))
-    snapped = snapped.select(key, F.array_join(F.transform("_ws", lambda x: x["w"]), " ").alias("_fixed"))
-    out = base.dropDuplicates([key]).join(snapped, key, "left")
+    by_code = gazetteer.spellings(spark).groupBy(code(F.col("name")).alias("code")).agg(F.min_by("name", "ord").alias("name"))
+    known, snapped = (F.from_json(F.lit(json.dumps(m)), "map<string,string>") for m in (gazetteer.NAMES, {r["code"]: r["name"] for r in by_code.collect()}))
+    once = rows.select(F.trim(F.col(arabic)).alias("_t")).distinct()
+    once = once.withColumn("_en", F.element_at(known, F.col("_t"))).withColumn("_raw", F.when(F.col("_en").isNull(), spoken(F.col("_t"))))
+    snap = lambda w: F.coalesce(F.when(F.length(w) >= 2, F.element_at(snapped, code(w))), w)
+    once = once.withColumn("_fixed", F.when(F.col("_raw") != "", F.array_join(F.transform(tokens(F.col("_raw")), snap), " ")))
     empty = F.coalesce(F.col("_t"), F.lit("")) == ""
     method = F.when(empty, "empty").when(F.col("_en").isNotNull(), "dictionary").when(F.col("_fixed") != F.col("_raw"), "corrected").otherwise("phonetic")
     english = F.when(empty, F.col("_t")).otherwise(F.coalesce("_en", "_fixed", "_raw"))
-    found = out.select(key, english.alias("english"), method.alias("method"), F.when(~empty & F.col("_en").isNull(), F.col("_raw")).alias("raw_phonetic"))
-    return rows.join(found, key)
+    found = once.select("_t", english.alias("english"), method.alias("method"), F.when(~empty & F.col("_en").isNull(), F.col("_raw")).alias("raw_phonetic"))
+    return rows.join(found, F.trim(F.col(arabic)).eqNullSafe(F.col("_t"))).drop("_t")
 
 
 #: Translations known to be wrong.

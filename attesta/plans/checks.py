@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import checks as ops
 
-from .registry import pick, query, table
+from .registry import over, pick, query, table
 
 NAMES = [c[0] for c in ops.LIVENESS]
 _MOST = ", ".join(f"({i}, '{c}', {m}, {t}, {str(k).lower()})" for i, (c, m, t, k) in enumerate(ops.LIVENESS))
@@ -41,8 +41,7 @@ _W = """SELECT subject, profile, max(texture) AS texture, max(moire) AS moire, m
 SELECT subject, profile, sharpness >= s AND moire > m AND screen_grid <= g AND texture >= 0.08 AND halftone <= h AND NOT (texture >= 0.92 AND saturation < 0.06)
  AND NOT (profile = 'passport' AND moire BETWEEN 0.33 AND 0.36 AND screen_grid BETWEEN 0.38 AND 0.50) AS original FROM x""")
 def original_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    long = spark.sql(_W).unpivot(["subject", "profile"], ["texture", "moire", "screen_grid", "sharpness", "halftone", "saturation"], "check", "value")
+    long = over(spark, sf_dir, "lineitem", _W).unpivot(["subject", "profile"], ["texture", "moire", "screen_grid", "sharpness", "halftone", "saturation"], "check", "value")
     return ops.not_a_copy(long).select("subject", "profile", "original")
 
 

@@ -9,7 +9,7 @@ from attesta.operators import reconcile as ops
 from attesta.operators import rules
 
 from . import duck, places
-from .registry import pick, query, table
+from .registry import over, pick, query
 
 EXACT = ["id_number", "date_of_birth", "issuance_date", "expiry_date", "gender"]
 _TYPED = """
@@ -48,8 +48,7 @@ f AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL THEN CASE WHEN severity = 'hig
 
 
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    return spark.sql(_TYPED), spark.sql(_EXTRACTED)
+    return over(spark, sf_dir, "customer", _TYPED), over(spark, sf_dir, "customer", _EXTRACTED)
 
 
 def _exact_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from attesta.operators import expiry, extract
 from attesta.operators import registry as ops
 from attesta.sources import tables
 
-from .registry import query, table
+from .registry import over, query, table
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'failed' ELSE 'pending' END"
 
@@ -127,10 +127,11 @@ def verification_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("id", "document_id", "full_name", "status", "verified_at", F.col("nth").cast("long").alias("nth"))
 
 
-@query("SELECT o_orderkey AS id, o_orderdate AS verified_at FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey AS id, o_orderdate AS verified_at, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders WHERE o_orderstatus = 'F'")
 def verified_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verified rows with their place, newest first."""
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_STATUS} AS status", "o_orderdate AS at")
-    return ops.verified_newest_first(ops.verification_rows(o, F.col("at")), "id").select("id", "verified_at")
+    return ops.verified_newest_first(ops.verification_rows(o, F.col("at")), "id").select("id", "verified_at", "rank")
 
 
 @query("""SELECT a.o_orderkey AS document_call, b.o_orderkey AS verify_call, a.o_custkey AS transaction_id FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) a JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 1) b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority""")
@@ -151,6 +152,29 @@ def hydrate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.hydrate(e, "props", "k long, v string", {"v": "user"}).select("event_id", "k", "v")
 
 
+#: Properties of three shapes, and some that are no JSON.
+_PROPS = """SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('{{"detail":{{"k":', CAST(user_id AS {s}), ',"tags":["a",{{"name":"', event_type, '"}}]}}}}')
+WHEN 2 THEN concat('{{"k":"', CAST(event_id AS {s}), '","user":{{"name":"', event_type, '","age":', CAST(event_id % 90 AS {s}), '}}}}') WHEN 3 THEN concat('{{"k":', CAST(event_id AS {s})) END AS props FROM events"""
+_PROPS_DUCK = _PROPS.replace("{{", "{").replace("}}", "}").replace("{s}", "VARCHAR")
+
+
+@query(f"""SELECT event_id, CASE WHEN json_valid(props) THEN coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), TRY_CAST(json_extract_string(props, '$.detail.k') AS BIGINT)) END AS k,
+CASE WHEN json_valid(props) THEN coalesce(json_extract_string(props, '$.detail.tags[1].name'), json_extract_string(props, '$.user.name')) END AS name, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.user.age') AS DOUBLE) END AS age,
+props IS NOT NULL AND NOT json_valid(props) AS malformed FROM ({_PROPS_DUCK})""")
+def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that stand at different paths, or nowhere, from row to row."""
+    rows = over(spark, sf_dir, "events", _PROPS)
+    return ops.variant_fields(rows, "props", {"k": ("bigint", ["$.k", "$.detail.k"]), "name": ("string", ["$.detail.tags[1].name", "$.user.name"]), "age": ("double", ["$.user.age"])}).drop("user_id")
+
+
+@query(f"""SELECT event_id, CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.k') AS VARCHAR) END AS k, CASE WHEN user_id % 3 = 0 THEN 'u' || user_id WHEN json_valid(props) THEN json_extract_string(props, '$.user.name') END AS name,
+CASE WHEN json_valid(props) THEN TRY_CAST(json_extract_string(props, '$.user.age') AS INTEGER) END AS age FROM ({_PROPS_DUCK}) WHERE event_id % 5 = 2""")
+def hydrate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's nested name, replaced where the row has one of its own."""
+    rows = over(spark, sf_dir, "events", _PROPS).where("event_id % 5 = 2").withColumn("own", F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("u"), "user_id")))
+    return ops.overlaid(rows, "props", "k string, user struct<name: string, age: int>", {"user.name": "own"}).select("event_id", "record.k", "record.user.name", "record.user.age")
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE concat_ws(' ', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'B', CAST(c_nationkey AS VARCHAR)) END AS full_name FROM customer""")
 def full_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third has a whole name; of the others some lack a part, as null or empty."""
@@ -219,29 +243,35 @@ def with_digits(df: DataFrame) -> DataFrame:
 CAST(CASE WHEN c_custkey % 100 <= 40 THEN 2000 ELSE 1900 END + c_custkey % 100 AS VARCHAR) || '-03-15' AS date_of_birth, CAST(c_nationkey AS VARCHAR) AS personal_number, c_custkey % 13 > 0 AS valid,
 CASE WHEN c_custkey % 13 > 0 THEN 0.99 ELSE 0.85 END AS confidence, {_digit("lpad(CAST(c_custkey AS VARCHAR), 9, '0')")} AS digit FROM customer""")
 def mrz_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    rows = with_digits(spark.sql(_LINES.replace("{s}", "string")))
+    rows = with_digits(over(spark, sf_dir, "customer", _LINES))
     found = rows.select("c_custkey", mrz.parse(F.col("line1"), F.col("line2")).alias("m"), F.substring("line2", 10, 1).alias("digit"))
     return found.select("c_custkey", *(f"m.{c}" for c in ("surname", "passport_number", "gender", "personal_number", "valid", "confidence")), F.col("m.date_of_birth").cast("string").alias("date_of_birth"), "digit")
 
 
+def _zone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_digits(over(spark, sf_dir, "customer", _LINES))
+    return rows.select(F.col("c_custkey").alias("document_id"), F.posexplode(F.array(F.lit("REPUBLIC"), F.lower("line1"), F.when(F.col("c_custkey") % 5 > 0, F.col("line2")).otherwise("TORN"), F.lit("SIGNATURE"))).alias("line_no", "text"))
+
+
 @query("""SELECT c_custkey AS document_id, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS passport_number, c_custkey % 13 > 0 AS valid, true AS complete FROM customer WHERE c_custkey % 5 > 0""")
 def mrz_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones found among other lines; documents without two fitting lines are quarantined."""
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    rows = with_digits(spark.sql(_LINES.replace("{s}", "string")))
-    lines = rows.select(F.col("c_custkey").alias("document_id"), F.posexplode(F.array(F.lit("REPUBLIC"), F.lower("line1"), F.when(F.col("c_custkey") % 5 > 0, F.col("line2")).otherwise("TORN"), F.lit("SIGNATURE"))).alias("line_no", "text"))
-    parsed, _ = extract.mrz_zones(lines, "document_id")
+    parsed, _ = extract.mrz_zones(_zone_lines(spark, sf_dir), "document_id")
     return parsed.select("document_id", "m.passport_number", "m.valid", F.col("m.surname").isNotNull().alias("complete"))
 
 
+@query("SELECT c_custkey AS document_id FROM customer WHERE c_custkey % 5 = 0")
+def mrz_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without two fitting lines."""
+    return extract.mrz_zones(_zone_lines(spark, sf_dir), "document_id")[1]
+
+
 @query("""SELECT c_custkey, CASE WHEN zone THEN upper(c_mktsegment) ELSE 'Printed' END AS surname, CAST(CASE WHEN zone THEN sure ELSE 0.7 END AS DOUBLE) AS surname_confidence, CASE WHEN zone THEN CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END END AS gender, CAST(CASE WHEN zone THEN sure ELSE 0.0 END AS DOUBLE) AS gender_confidence,
 CASE WHEN zone THEN lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE 'P' || c_custkey END AS passport_number FROM (SELECT *, c_custkey % 4 > 0 AS zone, CASE WHEN c_custkey % 13 > 0 THEN 0.99 ELSE 0.85 END AS sure FROM customer)""")
 def passport_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone over the print; a quarter of the passports have no zone, and no print shows a gender."""
     c = table(spark, sf_dir, "customer")
-    c.createOrReplaceTempView("customer")
-    zones = with_digits(spark.sql(_LINES.replace("{s}", "string"))).where("c_custkey % 4 > 0").select("c_custkey", mrz.parse(F.col("line1"), F.col("line2")).alias("m"))
+    zones = with_digits(over(spark, sf_dir, "customer", _LINES)).where("c_custkey % 4 > 0").select("c_custkey", mrz.parse(F.col("line1"), F.col("line2")).alias("m"))
     printed = c.select("c_custkey", F.lit("Printed").alias("surname"), F.lit(None).cast("string").alias("gender"), F.concat(F.lit("P"), "c_custkey").alias("passport_number"), F.lit(0.7).alias("confidence"))
     found = extract.passport_fields(printed, zones, "c_custkey", ["surname", "gender", "passport_number"])
     return found.select("c_custkey", "surname", "surname_confidence", "gender", "gender_confidence", "passport_number")
@@ -254,8 +284,7 @@ CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '1990-01-01' END AS date_of_birth, CAS
 @query(f"""SELECT c_custkey, concat_ws('; ', CASE WHEN passport_number = '' THEN 'passport_number is missing' END, CASE WHEN surname IS NULL THEN 'surname is missing' END, CASE WHEN trim(date_of_birth) = '' THEN 'date_of_birth is missing' END,
 CASE WHEN expiry_date IS NULL THEN 'expiry_date is missing' END, CASE WHEN NOT regexp_full_match(passport_number, '[0-9]{{8,9}}') THEN 'passport_number is malformed' END, CASE WHEN expiry_date < '2024-01-01' THEN 'passport has expired' END) AS issues FROM ({_PASSPORT.replace("{s}", "VARCHAR")})""")
 def passport_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    found = extract.passport_issues(spark.sql(_PASSPORT.replace("{s}", "string")), F.lit("2024-01-01").cast("date"))
+    found = extract.passport_issues(over(spark, sf_dir, "customer", _PASSPORT), F.lit("2024-01-01").cast("date"))
     return found.select("c_custkey", F.array_join("issues", "; ").alias("issues"))
 
 

@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """SQL over one table, which it names as such; the session's own views stay as they are."""
+    return spark.sql(sql.replace("{s}", "STRING").replace(f"FROM {name}", "FROM {given}"), given=table(spark, sf_dir, name))
+
+
 def pick(values: list[str], by: str) -> Column:
     """One of the values, in turn."""
     return F.element_at(F.array(*map(F.lit, values)), (F.expr(by) % len(values) + 1).cast("int"))

@@ -1,11 +1,13 @@
-"""Metric queries over ``events``, and intake summaries."""
+"""Metric queries over ``events``, and intakes of image files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.operators import intake
 from attesta.operators import metrics as ops
+from attesta.sources.tables import scratch
 
 from .registry import query, table
 
@@ -32,23 +34,33 @@ def ops_metrics_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).withColumn("latency_sum", F.round("latency_sum", 4))
 
 
-_FAILED = "o_custkey % 3 = 0 OR o_orderkey % 4 = 0"
+#: An image for every twenty customers; of eight images two show no number, and one a number of another kind.
+_IMAGES = """SELECT k, k % 4 > 0 AS ok, CASE WHEN k % 8 = 5 THEN lpad(CAST(k AS VARCHAR), 9, '7') WHEN k % 4 > 0 THEN lpad(CAST(k AS VARCHAR), 11, '1') END AS number, CASE WHEN k % 8 = 5 THEN 'unknown' WHEN k % 4 > 0 THEN 'national_id' END AS kind FROM (SELECT DISTINCT c_custkey // 20 AS k FROM customer)"""
 
 
-def _intake(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders")
-    found = o.where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("image"), (F.col("o_custkey") % 3 > 0).alias("ok"))
-    return o.select(F.col("o_orderkey").alias("image")), found
+def _taken_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of two intakes of a folder that has grown in between; the second meets the first one's files again."""
+    folder, ledger = scratch(spark, "images"), scratch(spark, "intake")
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 20").alias("k"), F.col("c_custkey").alias("line_no"), "c_mktsegment")
+    number = F.when(F.col("k") % 8 == 5, F.lpad(F.col("k").cast("string"), 9, "7")).when(F.col("k") % 4 > 0, F.lpad(F.col("k").cast("string"), 11, "1"))
+    shown = F.when(F.col("line_no") % 20 == 7, F.coalesce(number, F.lit("torn"))).otherwise(F.col("c_mktsegment"))
+    lines = c.select(F.concat(F.lit("image="), "k").alias("image"), "line_no", shown.alias("text"), F.lit(0.9).alias("score"))
+    for batch, part in enumerate(("k % 2 = 0", "k % 2 = 1")):
+        c.where(part).select("k", "c_mktsegment").repartition("k").withColumnRenamed("k", "image").write.mode("append").partitionBy("image").text(folder)
+        intake.take(spark, folder, lines, ledger, batch, F.regexp_extract("path", "(image=[0-9]+)", 1), (".txt",))
+    return intake.ledger_of(spark, ledger)
 
 
-@query(f"SELECT count(*) AS images, count(*) FILTER (NOT ({_FAILED})) AS processed, count(*) FILTER ({_FAILED}) AS failed FROM orders")
+@query(f"SELECT count(*) AS images, count(*) FILTER (ok) AS processed, count(*) FILTER (NOT ok) AS failed FROM ({_IMAGES})")
 def batch_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.intake_summary(*_intake(spark, sf_dir))
+    """Counts over files that are listed; one that were taken twice would count twice."""
+    return intake.summary(_taken_in(spark, sf_dir))
 
 
-@query(f"SELECT o_orderkey AS image FROM orders WHERE {_FAILED}")
+@query(f"SELECT 'image=' || k AS image, k % 2 AS batch, CASE WHEN ok THEN 'processed' ELSE 'failed' END AS status, number AS extracted_id, kind AS id_type, number || '_id.txt' AS new_name, CASE WHEN NOT ok THEN 'No ID found in: image=' || k END AS error FROM ({_IMAGES})")
 def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.intake_failures(*_intake(spark, sf_dir))
+    """Every file's outcome: its number and new name, or what went wrong."""
+    return _taken_in(spark, sf_dir).select("image", "batch", "status", "extracted_id", "id_type", "new_name", "error")
 
 
 @query("SELECT o_orderkey, CAST(1 + (o_custkey % 2) + CAST(o_orderstatus = 'F' AS INT) AS INTEGER) AS filled FROM orders")

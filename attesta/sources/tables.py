@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tiff")
+#: How the contents of such files begin, in hexadecimal digits.
+SIGNATURES = ("89504E47", "FFD8FF", "424D", "49492A00", "4D4D002A")
 
 
 def registry(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -23,11 +26,17 @@ def registry_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int,
     return spark.read.format("jdbc").options(**options).load()
 
 
-def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
-    """Path, time and length of the image files of a folder; contents are never read."""
+def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGES, check: bool = False) -> DataFrame:
+    """Path, time and length of the image files of a folder, and whether they are ``readable``.
+
+    Contents are read only to ``check`` that they begin as images do; else all count as readable. Spark lists no
+    empty files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    begins = F.hex(F.substring("content", 1, 4))
+    readable = reduce(lambda a, b: a | b, (begins.startswith(s) for s in SIGNATURES)) if check else F.lit(True)
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    return files.where(kind.isin(*(s[1:] for s in suffixes))).select("path", "modificationTime", "length")
+    return files.where(kind.isin(*(s[1:] for s in suffixes))).select("path", "modificationTime", "length", readable.alias("readable"))
 
 
 def scratch(spark: SparkSession, label: str) -> str:
