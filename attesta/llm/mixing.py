@@ -2,15 +2,16 @@
 
 Each source gets a target in words; what the mix takes is dealt in blocks of ``block`` words. The
 blocks are apportioned by highest quotients (weight / 1, weight / 3, weight / 5, ...) three times: to
-sources by target, to a source's groups by size, to a group's shards by size. A shard is a hash slice
-of one source of about ``shard_words`` words, so a source that holds a third of the corpus has many.
+sources by target, to a source's groups by size, to a group's shards by size. A shard is a hash slice (of id
+and text) of one source of about ``shard_words`` words, so a source that holds a third of the corpus has many,
+and so has an id, or the lack of one, that very many rows share.
 A shard lays its documents end to end in a seeded order and cuts them into blocks; with a quota of
 ``q`` blocks out of ``n`` each block is taken ``q div n`` times, and ``q mod n`` of them, evenly spread
 from a seeded start, once more. How many words a document gives then has a closed form over its two
 ends, so no block is ever a row.
 
 Null texts have size 0 and give nothing; a null source is a source of its own, last in the order.
-Repeated ids are rows of their own. Ties in the seeded order are broken by id, then size. An empty
+Repeated ids are rows of their own. Ties in the seeded order are broken by id, text and size. An empty
 table gives an empty result, and a corpus without words gives targets of 0. Extra columns are ignored.
 """
 
@@ -74,8 +75,8 @@ def apportion(parties: DataFrame, within: list[str], order: list[str], share: st
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 250_000, group_shards: int = 512, seed: int = 7) -> DataFrame:
-    """One row for each document: id, ``source``, ``size``, ``source_size``, ``target``, ``shard``, ``taken``."""
-    sized = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sizes")
+    """One row for each document: id, ``source``, ``size``, ``source_size``, ``target``, ``shard``, ``text_hash``, ``taken``."""
+    sized = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")), "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     everything = Window.partitionBy(F.lit(0))
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = materialise(apportion(sources, [], ["source"], "target", "seats").withColumnRenamed("quota", "source_quota"), "sources")
 
     a, b = sized.alias("a"), sources.select("source", "shards", "source_size", "target", "source_quota").alias("b")
-    placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.id", "a.source", "a.size", "source_size", "target", "source_quota", F.pmod(F.xxhash64(F.lit(seed), "a.id"), "shards").alias("shard"))
+    placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.id", "a.source", "a.size", "a.text_hash", "source_size", "target", "source_quota", F.pmod(F.xxhash64(F.lit(seed), "a.id", "a.text_hash"), "shards").alias("shard"))
     placed = materialise(placed.withColumn("grp", F.floor(F.col("shard") / group_shards)), "placed")
     shards = materialise(placed.groupBy("source", "grp", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota")), "shards")
     groups = shards.groupBy("source", "grp").agg(F.sum("shard_size").alias("group_size"), F.first("source_quota").alias("source_quota"))
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     owned = shards.join(groups, F.col("source").eqNullSafe(F.col("gs")) & (F.col("grp") == F.col("gg"))).select("source", "grp", "shard", "shard_size", "group_quota")
     quotas = apportion(owned, ["source", "grp"], ["shard"], "shard_size", "group_quota").select(F.col("source").alias("qs"), F.col("shard").alias("qn"), "shard_size", "quota")
 
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = placed.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
     laid = laid.join(quotas, F.col("source").eqNullSafe(F.col("qs")) & (F.col("shard") == F.col("qn")))
     n = F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block)).cast("long")
@@ -104,20 +105,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return chosen(full) * block + (chosen(full + 1) - chosen(full)) * (at - full * block)
 
     taken = F.floor(F.col("quota") / F.col("_n")).cast("long") * F.col("size") + extra(F.col("end")) - extra(F.col("begin"))
-    return laid.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "shard", F.least(taken, (most * F.col("size")).cast("long")).alias("taken"))
+    return laid.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "shard", "text_hash", F.least(taken, (most * F.col("size")).cast("long")).alias("taken"))
 
 
 def copies(got: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
-    """``_id``, ``_key`` (of source and size), ``_times``: whole copies that meet each shard's taken words.
+    """``_id``, ``_key`` (of source and text), ``_times``: whole copies that meet each shard's taken words.
 
     Every document gets floor(taken / size) copies. What is left over is summed along the shard, long
     documents before short ones and in a seeded order among those of like length; a document that the sum
     lifts above its own seeded share of its size gets one more copy, whose words leave the sum. The sum
     stays within one document of like length, so short documents at the end settle what long ones left.
-    Rows that agree in id, source and size are decided as one.
+    Rows that agree in id, source and text are decided as one.
     """
-    key = F.xxhash64("source", "size")
-    alike = got.where("size > 0").groupBy(F.col(id_col).alias("_id"), "source", "shard", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"))
+    key = F.xxhash64("source", "text_hash")
+    alike = got.where("size > 0").groupBy(F.col(id_col).alias("_id"), "source", "shard", "size", "text_hash").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"))
     drawn = alike.select("source", "shard", "_id", key.alias("_key"), (F.col("n") * F.col("size")).alias("words"), "taken", F.xxhash64(F.lit(seed + 3), "_id", "_key").alias("place"), F.xxhash64(F.lit(seed + 4), "_id", "_key").alias("draw"))
 
     def run(shard: pa.Table) -> pa.Table:
@@ -141,6 +142,6 @@ def repeat_taken(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in as many whole copies as come to the words that the mix takes of each shard."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     times = small_side(materialise(copies(mix(docs, **options), id_col, options.get("seed", 7)), "times"))
-    key = F.xxhash64(F.col(source_col), words(F.col(text_col)))
+    key = F.xxhash64(F.col(source_col), F.xxhash64(text_col))
     held = docs.withColumn("_own", key).join(times, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
     return held.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_nth")).drop("_nth")
