@@ -81,6 +81,7 @@ class Models:
     keys: list[np.ndarray]  # by order from 1: sorted hashes
     probs: list[np.ndarray]  # by order: (keys, languages) log probabilities
     backs: list[np.ndarray]  # by order of the context from 1: (keys, languages) log back-off weights
+    strange: np.ndarray | None = None  # each language's log probability of a symbol that none has seen
     mean: float = 0.0
     variance: float = 1.0
     floor: float = 0.0
@@ -121,7 +122,7 @@ class Models:
     def _unseen(self, w: np.ndarray, n: int) -> np.ndarray:
         """The next shorter n-gram, times the context's back-off weight."""
         if n == 1:
-            return np.broadcast_to(self.probs[0].min(0) - 1.0, (len(w), len(self.languages)))
+            return np.broadcast_to(self.strange, (len(w), len(self.languages)))
         return self._rows(w[:, 1:], n - 1) + self._back(w[:, :-1], n - 1)
 
     def _hash_rows(self, w: np.ndarray) -> np.ndarray:
@@ -176,7 +177,8 @@ def estimate(languages: list[str], order: int, counted: list[tuple[np.ndarray, n
             kinds = (table > 0).sum(0)
             # Interpolated with an even share for every symbol known to any language, and one more.
             prob = np.maximum(table - discount, 0) / np.maximum(total, 1) + discount * kinds / np.maximum(total, 1) / (len(key) + 1)
-            prob = np.where(total > 0, np.maximum(prob, 1e-12), 1 / (len(key) + 1))
+            prob = np.where(total > 0, prob, 1 / (len(key) + 1))
+            model.strange = np.log(np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0) / (len(key) + 1))
         else:
             context = np.empty((len(key), n - 1), np.uint32)
             context[where] = rows[:, :-1]
@@ -233,17 +235,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counted = []
     for n in range(1, order + 1):
         part = totals[totals["n"] == n]
-        if not len(part):
-            return Models([], order, [], [], [])
+        if not len(part):  # no text is as long: the orders that exist make the models
+            break
         w = np.frombuffer(b"".join(part["g"]), "<u4").reshape(-1, order)[:, :n]
         counted.append((w, part["lang"].to_numpy(np.int64), part["c"].to_numpy(float)))
-    model = estimate(languages, order, counted)
+    if not counted:
+        return Models([], order, [], [], [])
+    model = estimate(languages, len(counted), counted)
     calibrate(model, sample, reject_sigmas)
     return model
 
 
 def calibrate(model: Models, sample: DataFrame, sigmas: float) -> None:
-    """Mean and spread of the sample's cross-entropies; the sample is bounded, so its losses are too."""
+    """Mean and spread of the sample's cross-entropies; the sample is bounded, so its losses are too.
+
+    The floor of the spread is that of the texts above the median length, or of the longest where none are above it.
+    """
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +264,9 @@ def calibrate(model: Models, sample: DataFrame, sigmas: float) -> None:
         model.mean = float(np.average(loss, weights=n))
         off = (loss - model.mean) ** 2
         model.variance = max(0.5, float(np.median(off * n) * 2.2))
-        model.floor = max(0.05**2, float(np.quantile(off[n > np.median(n)], 0.9)))
+        longer = n > np.median(n)
+        longer = longer if longer.any() else n == n.max()
+        model.floor = max(0.05**2, float(np.quantile(off[longer], 0.9)))
     model.sigmas = sigmas
 
 

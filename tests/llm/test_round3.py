@@ -284,3 +284,95 @@ def test_long_texts_and_many_texts_in_a_batch(spark):
 
 def test_runs_of_nothing(spark):
     assert periodic.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+# --- earlier operators ---------------------------------------------------------------------------------------
+
+
+def test_mixing_deals_rows_without_an_id(spark):
+    """Half of the ids are null, and a third of the rows share one id: shards stay as many as the words ask for."""
+    from attesta.llm import mixing
+
+    rows = [(None if i % 2 else 7 if i % 3 == 0 else i, f"w{i} " * (5 + i % 40), "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, shard_words=1500).collect()
+    words, shards = {}, {r.shard for r in got}
+    for r in got:
+        if r.doc_id is None:
+            words[r.shard] = words.get(r.shard, 0) + r.size
+    assert len(got) == 3000 and len(shards) >= 40 and len(words) >= 0.9 * len(shards) and max(words.values()) < 3000
+    kept = mixing.repeat_taken(df, shard_words=1500)
+    times = {r.text: r["count"] for r in kept.groupBy("text").count().collect()}
+    assert max(times.values()) <= 2 and abs(sum(len(t.split()) * n for t, n in times.items()) - got[0].target) <= 0.02 * got[0].target
+
+
+def plain_kneser_ney(text, order, discount=0.75):
+    """Probability of a symbol after a history, by the textbook; ``None`` stands for every unseen symbol."""
+    from collections import Counter
+
+    from attesta.llm import langid
+
+    s = langid.symbols(text).tolist()
+    full = [Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for n in range(1, order + 1)]
+    counts = [Counter(g[1:] for g in full[n]) for n in range(1, order)] + [full[-1]]
+    known = sorted(set(s))
+
+    def prob(history, symbol):
+        n = len(history) + 1
+        if n == 1:
+            total, kinds = sum(counts[0].values()), len(counts[0])
+            return max(counts[0][(symbol,)] - discount, 0) / total + discount * kinds / total / (len(known) + 1)
+        after = {g: c for g, c in counts[n - 1].items() if g[:-1] == tuple(history)}
+        lower = prob(history[1:], symbol)
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get((*history, symbol), 0) - discount, 0) / total + discount * len(after) / total * lower
+
+    return known, prob
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_against_the_textbook(order):
+    import itertools
+
+    import numpy as np
+
+    from attesta.llm import langid
+
+    text = "Abra cadabra, a barb! Brac"
+    s = langid.symbols(text)
+
+    def counted(n):
+        w, c = np.unique(np.lib.stride_tricks.sliding_window_view(s, n), axis=0, return_counts=True)
+        return w, np.zeros(len(w), np.int64), c.astype(float)
+
+    model = langid.estimate(["x"], order, [counted(n) for n in range(1, order + 1)])
+    known, prob = plain_kneser_ney(text, order)
+    unseen = ord("z")
+    histories = list(itertools.product([*known, unseen], repeat=order - 1))
+    for history in random.Random(1).sample(histories, min(60, len(histories))):
+        got = [float(np.exp(model._rows(np.array([[*history, c]], np.uint32), order)[0, 0])) for c in [*known, unseen]]
+        assert got == pytest.approx([prob(list(history), c) for c in [*known, unseen]], abs=1e-12)
+        assert sum(got) == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("texts", [["Hello there"], ["abcd", "efgh"], ["same text here"] * 5, ["a"], ["a", "b", "c"], ["1 2 3"], ["long text of many words", "x"]])
+def test_language_models_from_little(spark, texts):
+    """One text, equal lengths, repeated rows, texts below the order, texts without letters."""
+    from attesta.llm import langid
+
+    df = spark.createDataFrame([(i, t, "en" if i % 2 == 0 else "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1))
+    model = langid.train(df)
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].lang_pred == ("und" if not any(c.isalpha() for c in t) else got[i].lang_pred) and 0 <= got[i].score <= 1
+        assert got[i].rejected == (not any(c.isalpha() for c in t))
+
+
+def test_language_ties_go_to_the_first(spark):
+    from attesta.llm import langid
+
+    df = spark.createDataFrame([(1, "one text", "fr"), (2, "one text", "de")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, round(r.score, 9)) for r in langid.predict(df, langid.train(df)).collect()} == {("de", 0.5)}
