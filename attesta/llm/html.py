@@ -3,12 +3,13 @@
 Markup is stripped first: scripts, styles, forms and comments go, and so do elements that are marked as
 menus, headers, footers, sidebars, notices, adverts or reader comments, by tag, role, class or id. What
 is left is a list of lines, one for each block element. A line weighs as much as it has text outside
-links; where a page marks its article, lines inside weigh at least a third of ``SURGE`` and count their
-links, and lines outside weigh a sixty-fourth of their text. Over every ``WINDOW`` lines the weights are
-summed. The distribution surges where a line of weight has a window that comes to ``SURGE``; from there the
-text reaches back and forth to the dives, the lines without weight whose window falls below ``SURGE``. All
-lines between are text. The stretch that weighs most is the result, with every other one that holds lines of a
-marked article. A page whose distribution never surges is one stretch.
+links, if that is half of it at least; lines of a marked article weigh at least a third of ``SURGE`` and count
+their links. Over every ``WINDOW`` lines the weights are summed. The distribution surges where a line of weight has
+a window that comes to ``SURGE``; from there the text reaches back and forth to the dives, the lines without weight
+whose window falls below ``SURGE``. All lines between are text. Lines of an article and lines outside have
+distributions of their own, so a loose line beside an article does not join it. The stretch that weighs most is the
+result, wherever it stands, with every other one of a marked article. A page whose distribution never surges is
+one stretch.
 
 Tags are found in one walk over the page. A quote shields ``>`` only as an attribute's value, and no longer
 once a tag has turned out to be left open, so broken markup costs no more than sound markup.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-WINDOW, SURGE, OUTSIDE = 3, 80, 64
+WINDOW, SURGE = 3, 80
 _STOP, _NAME = re.compile("[>\"']"), re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MARKS = {"class", "id", "role", "style", "hidden", "aria-hidden"}
@@ -48,7 +49,14 @@ NOT_TEXT = frozenset(
     "disqus reply replies respond discussion related recommended share sharing social widget pagination pager login signup skip toolbar copyright disclaimer".split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-READERS = {"comment", "comments", "reply", "replies", "respond"}
+#: Such words on an article tell of readers' comments, or of another article.
+READERS = {"comment", "comments", "reply", "replies", "respond"} | {"teaser", "teasers", "related", "recommended", "promo", "promotion", "sponsored", "advert", "advertisement"}
+#: Words that on a heading, paragraph, item or row only tell where it stands.
+PLACES = {"header", "masthead", "topbar", "side", "rail", "foot"}
+#: Blocks that end where another of their group begins, and may hold blocks themselves.
+ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}} | {t: {t} for t in ("pre", "address", "figcaption", "summary", "caption", "center", "legend")}
+#: Blocks that end where any block begins.
+LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -64,7 +72,7 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             continue
         if name in ("class", "id"):
             found = set(re.split(r"[^a-z]+", _LAYOUT.sub(" ", value)))
-            if found & (READERS if tag == "article" else NOT_TEXT - {"header"} if in_article else NOT_TEXT):
+            if found & (READERS if tag == "article" else NOT_TEXT - PLACES if tag in LINES or tag in ITEMS else NOT_TEXT - {"header"} if in_article else NOT_TEXT):
                 return True
         elif name == "role" and value in ROLES or name == "hidden" and tag != "article" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -115,9 +123,10 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     """Text, length outside links, and whether it stands in a marked article, for every block."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open containers, and whether each is dropped
+    stack: list[tuple[str, bool]] = []  # open containers, and items that are dropped; and whether each is dropped
     opened: Counter[str] = Counter()
     dropped = articles = links = loose = 0
+    muted = False  # in a dropped heading or paragraph
     tags, at = Tags(html), 0
 
     def take(raw: str) -> None:
@@ -135,9 +144,20 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             parts.clear()
         loose = 0
 
+    def close(tag: str) -> None:
+        """Close everything down to the last open ``tag``."""
+        nonlocal dropped, articles
+        while stack:
+            t, bad = stack.pop()
+            opened[t] -= 1
+            dropped -= bad
+            articles -= t in ("article", "main")
+            if t == tag:
+                break
+
     while True:
         found = tags.after(at)
-        if not dropped and (end := found[0] if found else len(html)) > at:
+        if not dropped and not muted and (end := found[0] if found else len(html)) > at:
             take(html[at:end])
         if not found:
             break
@@ -147,8 +167,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         alone = attributes.endswith("/")
         if tag in RAW and not closes:
             if not alone:
-                close = re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I).search(html, at)
-                at = html.find(">", close.end()) + 1 or len(html) if close else len(html)
+                over = re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I).search(html, at)
+                at = html.find(">", over.end()) + 1 or len(html) if over else len(html)
             continue
         if tag == "br" or tag in ("td", "th"):
             parts.append(" ")
@@ -157,7 +177,25 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         if tag in BLOCKS:
             flush()
             links = links if tag in ("p", "li", "div", "span", "h1", "h2", "h3", "h4", "h5", "h6") and not closes else 0
-        if tag not in CONTAINERS or alone:
+            muted = False
+        if alone:
+            continue
+        if tag in ITEMS:
+            if not closes:
+                if stack and stack[-1][0] in ITEMS[tag]:  # only dropped items are on the stack
+                    close(stack[-1][0])
+                if attributes and not dropped and _unwanted(tag, attributes, articles > 0):
+                    flush()
+                    stack.append((tag, True))
+                    opened[tag] += 1
+                    dropped += 1
+            elif opened[tag] and stack[-1][0] == tag:
+                close(tag)
+            continue
+        if tag in LINES:
+            muted = bool(not closes and attributes and not dropped and _unwanted(tag, attributes, articles > 0))
+            continue
+        if tag not in CONTAINERS:
             continue
         if not closes:
             bad = _unwanted(tag, attributes, articles > 0)
@@ -168,24 +206,16 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             dropped += bad
             articles += tag in ("article", "main")
         elif opened[tag]:
-            while stack:
-                t, bad = stack.pop()
-                opened[t] -= 1
-                dropped -= bad
-                articles -= t in ("article", "main")
-                if t == tag:
-                    break
+            close(tag)
     flush()
     return out
 
 
 def weights(found: list[tuple[str, int, bool]]) -> list[int]:
-    """What each line weighs: its text outside links, or by where it stands if the page marks its article."""
+    """What each line weighs: all of its text in a marked article, else its text outside links."""
     solid = [len(text.replace(" ", "")) for text, _, _ in found]
-    if any(inside for _, _, inside in found):
-        out = [max(SURGE // WINDOW + 1, n) if inside else loose // OUTSIDE for n, (_, loose, inside) in zip(solid, found, strict=True)]
-        return [w if 8 * w >= SURGE else 0 for w in out]
-    return [loose if 2 * loose >= n and not text.startswith("\N{COPYRIGHT SIGN}") else 0 for n, (text, loose, _) in zip(solid, found, strict=True)]
+    apart = [loose if 2 * loose >= n and not text.startswith("\N{COPYRIGHT SIGN}") else 0 for n, (text, loose, _) in zip(solid, found, strict=True)]
+    return [max(SURGE // WINDOW + 1, n) if inside else w for n, w, (_, _, inside) in zip(solid, apart, found, strict=True)]
 
 
 def sums(weight: list[int]) -> list[int]:
@@ -217,7 +247,8 @@ def extract(html: str | None) -> str:
     """The main text: blocks between surge and dive, joined by empty lines."""
     found = lines(html or "")
     weight = weights(found)
-    spans = stretches(weight)
+    edges = [0, *(i for i in range(1, len(found)) if found[i][2] != found[i - 1][2]), len(found)]
+    spans = [(a + i, a + j) for a, b in zip(edges, edges[1:], strict=False) for i, j in stretches(weight[a:b])]
     best = max(spans, key=lambda s: (sum(weight[slice(*s)]), -s[0]), default=None)
     kept = [s for s in spans if s == best or any(inside for _, _, inside in found[slice(*s)])]
     return "\n\n".join(text for s in kept for text, _, _ in found[slice(*s)])

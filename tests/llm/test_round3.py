@@ -376,3 +376,49 @@ def test_language_ties_go_to_the_first(spark):
 
     df = spark.createDataFrame([(1, "one text", "fr"), (2, "one text", "de")], "doc_id long, text string, lang string")
     assert {(r.lang_pred, round(r.score, 9)) for r in langid.predict(df, langid.train(df)).collect()} == {("de", 0.5)}
+
+
+LONG = "A sentence that is long enough to count as text on its own, twice over. " * 2
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Hi.</p></article>" + "<div>" + "</div><div>".join(f"{i} {'text ' * 60}".strip() for i in range(20)) + "</div>", ["Hi.", *(f"{i} {'text ' * 60}".strip() for i in range(20))]),
+        (f'<article><p>{LONG}</p></article><div>Posted in news.</div><div class="x">{LONG[:90]}</div>', [LONG.strip()]),
+        (f'<article><p class="cookie-notice">We use cookies</p><p>{LONG}</p><h3 class="comments-title">Two replies</h3><ul><li class="advert">Buy<p>now</p><li>Point<li class=promo>Sale</ul><p>End.</p></article>', [LONG.strip(), "Point", "End."]),
+        (f'<p class="cookie-notice">We use cookies<p>{LONG}<h3 class="comments-title">Two replies</h3>', [LONG.strip()]),
+        (f'<main><article><h1 class="page-header">Head</h1><p>{LONG}</p></article></main><article class="teaser"><h2>Other</h2><p>{LONG}</p></article>', ["Head", LONG.strip()]),
+        (f'<article><table><tr class="ads"><td>Ad</td><td>More</td></tr><tr><td>One</td><td>two</td></tr></table><p>{LONG}</p></article>', ["One two", LONG.strip()]),
+        (f'<article><ul><li class="advert"><ul><li>inner</li></ul></li><li>kept</li></ul><p style="display:none">no</p><p>{LONG}</p></article>', ["kept", LONG.strip()]),
+    ],
+)
+def test_html_marks_and_outside_text(page, want):
+    from attesta.llm import html
+
+    assert html.extract(page) == "\n\n".join(want)
+
+
+def test_html_on_labelled_pages():
+    """Pages put together from labelled blocks: what is labelled as text, and only that, in page order."""
+    from attesta.llm import html
+
+    draw = random.Random(9)
+    marks = ['class="cookie-notice"', 'class="ad"', 'id="comments"', 'class="sidebar"', 'role="dialog"', 'class="share"', "hidden"]
+    for nth in range(400):
+        marked, blocks, want = draw.random() < 0.5, [], []
+        for k in range(draw.randint(1, 12)):
+            text = f"{nth}.{k} " + " ".join("word" * draw.randint(1, 3) for _ in range(draw.randint(20, 40))) + "."
+            tag = draw.choice(["p", "h2", "div", "ul", "blockquote", "pre"])
+            inner = f"<li>{text}</li>" if tag == "ul" else text
+            if draw.random() < 0.3:
+                mark = draw.choice(marks[:2] + marks[-1:] if tag in ("p", "h2", "pre") else marks)
+                blocks.append(f"<{tag} {mark}>{inner}</{tag}>")
+            else:
+                blocks.append(f"<{tag}>{inner}</{tag}>")
+                want.append(text)
+            if draw.random() < 0.2:
+                blocks.append(draw.choice(["<nav><a href=/>Home page of this</a></nav>", "<script>var x = '<p>no</p>'</script>", "<form>Your mail <input></form>", "<!-- <p>no</p> -->", "<aside>Aside</aside>"]))
+        around = ("<article>", "</article>") if marked else ("<div>", "</div>")
+        page = f"<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Menu</a></ul></nav>{around[0]}{''.join(blocks)}{around[1]}<footer>&copy; foot</footer></body></html>"
+        assert html.extract(page) == "\n\n".join(want)
