@@ -81,12 +81,18 @@ def components(scores: DataFrame, config: DataFrame, subject: str = "subject") -
     return leaves.unionByName(categories).unionByName(roll_up(categories, 2))
 
 
+def rounded(number: Column, places: int) -> Column:
+    """A number to so many places, halves up, as a decimal: what float sums leave below 1e-9 does not count."""
+    return F.round(number.cast("decimal(20,9)"), places)
+
+
 def decide(found: DataFrame, subject: str = "subject") -> DataFrame:
     """Decision, total, and the reasons of components that failed, by subject."""
+    one = lambda *names: [rounded(F.col(n), 1).cast("string") for n in names]
     reason = F.when(
         ~F.col("passed") & (F.col("level") == 0),
-        F.format_string("%s: score %.1f%% < threshold %.1f%% (got %.1f/%s pts, need %s)", "component", "score", "threshold", "points", "max", "min"),
-    ).when(~F.col("passed"), F.format_string("%s: %.1f/%s pts (min required: %s)", "component", "points", "max", "min"))
+        F.format_string("%s: score %s%% < threshold %s%% (got %s/%s pts, need %s)", "component", *one("score", "threshold", "points"), "max", "min"),
+    ).when(~F.col("passed"), F.format_string("%s: %s/%s pts (min required: %s)", "component", *one("points"), "max", "min"))
     root = F.col("component") == "ekyc"
     total, on = F.max(F.when(root, F.col("points"))), F.max(F.when(root, F.col("status")))
     per = found.groupBy(subject).agg(
@@ -108,10 +114,11 @@ def wide_log(found: DataFrame, subject: str = "subject") -> DataFrame:
 
 def result_document(decided: DataFrame, found: DataFrame, subject: str = "subject") -> DataFrame:
     """The decision with its rounded components as one JSON text."""
-    entry = F.struct(F.col("component"), F.struct(F.round("threshold", 2).alias("threshold"), F.round("score", 2).alias("score"), F.round("points", 2).alias("score_obtained"), "passed"))
+    two = lambda name: rounded(F.col(name), 2).cast("double")
+    entry = F.struct(F.col("component"), F.struct(two("threshold").alias("threshold"), two("score").alias("score"), two("points").alias("score_obtained"), "passed"))
     parts = found.groupBy(subject).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("components"))
     joined = decided.join(parts, subject)
-    return joined.select(subject, F.to_json(F.struct("decision", F.round("total_score", 2).alias("total_score"), "components", "reasons")).alias("document"))
+    return joined.select(subject, F.to_json(F.struct("decision", two("total_score").alias("total_score"), "components", "reasons")).alias("document"))
 
 
 def dynamic_config(defaults: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -53,22 +53,23 @@ def policy_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.decide(found).select("subject", "decision", F.round("total_score", 6).alias("total_score"), "max_possible", F.size("reasons").cast("long").alias("n_reasons"))
 
 
-@query(_COMPONENTS + """, r AS (SELECT subject, CASE WHEN NOT passed AND level = 0 THEN printf('%s: score %.1f%% < threshold %.1f%% (got %.1f/%.1f pts, need %.1f)', component, score, threshold, points, hi, lo) WHEN NOT passed THEN printf('%s: %.1f/%.1f pts (min required: %.1f)', component, points, hi, lo) END AS reason FROM allc)
-SELECT subject, CASE WHEN max(points) FILTER (component = 'ekyc') > 90 THEN 'APPROVED' WHEN max(points) FILTER (component = 'ekyc') >= 50 THEN 'MANUAL_REVIEW' ELSE 'REJECTED' END AS decision, round(max(points) FILTER (component = 'ekyc'), 6) AS total_score, true AS rounded,
-bool_or(passed) FILTER (component = 'face_matching') AS face_passed, count(*) AS n_components, any_value(reasons) AS reasons FROM allc LEFT JOIN (SELECT subject, string_agg(regexp_replace(reason, '[0-9.]+', '#', 'g'), '|' ORDER BY reason) AS reasons FROM r GROUP BY subject) USING (subject) GROUP BY subject""")
+_TO = lambda x, places: f"round(CAST({x} AS DECIMAL(20, 9)), {places})"
+_ONE = {x: _TO(x, 1) for x in ("score", "threshold", "points")}
+
+
+@query(_COMPONENTS + f""", r AS (SELECT subject, CASE WHEN NOT passed AND level = 0 THEN concat(component, ': score ', {_ONE['score']}, '% < threshold ', {_ONE['threshold']}, '% (got ', {_ONE['points']}, '/', hi, ' pts, need ', lo, ')')
+WHEN NOT passed THEN concat(component, ': ', {_ONE['points']}, '/', hi, ' pts (min required: ', lo, ')') END AS reason FROM allc)
+SELECT subject, CASE WHEN max(points) FILTER (component = 'ekyc') > 90 THEN 'APPROVED' WHEN max(points) FILTER (component = 'ekyc') >= 50 THEN 'MANUAL_REVIEW' ELSE 'REJECTED' END AS decision, CAST({_TO("max(points) FILTER (component = 'ekyc')", 2)} AS DOUBLE) AS total_score,
+CAST({_TO("max(score) FILTER (component = 'face_matching')", 2)} AS DOUBLE) AS face_score, CAST({_TO("max(points) FILTER (component = 'document_verify')", 2)} AS DOUBLE) AS document_points,
+bool_or(passed) FILTER (component = 'face_matching') AS face_passed, count(*) AS n_components, any_value(reasons) AS reasons FROM allc LEFT JOIN (SELECT subject, string_agg(reason, '|' ORDER BY reason) AS reasons FROM r GROUP BY subject) USING (subject) GROUP BY subject""")
 def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the result documents say, read back from their JSON. Halves are rounded by Java's rules there, so
-    rounded numbers are held against the exact ones, and reasons are compared without their numbers."""
+    """What the result documents say, read back from their JSON, reasons included."""
     found = policy.components(event_scores(spark, sf_dir), rules.policy_defaults(spark))
     part = "struct<threshold:double,score:double,score_obtained:double,passed:boolean>"
     read = F.from_json("document", f"decision string, total_score double, components map<string,{part}>, reasons array<string>")
-    decided = policy.decide(found)
-    d = policy.result_document(decided, found).select("subject", read.alias("d")).join(decided.select("subject", F.col("total_score").alias("exact")), "subject")
-    face = found.where("component = 'face_matching'").select("subject", F.col("score").alias("face_score"))
-    near = lambda a, b: F.abs(a - b) <= 0.005001
-    d = d.join(face, "subject").withColumn("rounded", near(F.col("d.total_score"), F.col("exact")) & near(F.col("d.components")["face_matching"]["score"], F.col("face_score")))
-    reasons = F.array_join(F.transform("d.reasons", lambda r: F.regexp_replace(r, "[0-9.]+", "#")), "|")
-    return d.select("subject", "d.decision", F.round("exact", 6).alias("total_score"), "rounded", F.col("d.components")["face_matching"]["passed"].alias("face_passed"), F.size("d.components").cast("long").alias("n_components"), F.nullif(reasons, F.lit("")).alias("reasons"))
+    d = policy.result_document(policy.decide(found), found).select("subject", read.alias("d"))
+    of = lambda component, field: F.col("d.components")[component][field]
+    return d.select("subject", "d.decision", "d.total_score", of("face_matching", "score").alias("face_score"), of("document_verify", "score_obtained").alias("document_points"), of("face_matching", "passed").alias("face_passed"), F.size("d.components").cast("long").alias("n_components"), F.nullif(F.array_join("d.reasons", "|"), F.lit("")).alias("reasons"))
 
 
 @query(_COMPONENTS + """SELECT subject, max(score) FILTER (component = 'document_verify') AS document_verify_score, max(score) FILTER (component = 'face_matching') AS face_matching_score,
