@@ -26,22 +26,40 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", last.alias("name"), pick(ARABIC, "c_custkey").alias("arabic"))
 
 
+#: A syllable for each digit: names that are as many as the table has rows.
+SYLLABLES = ["ba", "de", "ssi", "mmo", "lu", "ra", "ni", "ke", "tha", "zo"]
+_SPOKEN = lambda key: f"array_to_string(list_transform(string_split(CAST({key} AS VARCHAR), ''), lambda d: [{', '.join(repr(s) for s in SYLLABLES)}][CAST(d AS INT) + 1]), '')"
+#: Three neighbours share a first name; every twentieth has the commonest one, and every sixth its parts in the other order.
+_CITIZENS = f"""SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN own || ' ' || given ELSE given || ' ' || own END AS name, {_LIST(ARABIC, 'c_custkey')} AS arabic
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN 'Mohammed' ELSE {_SPOKEN('c_custkey // 3')} END AS given, {_SPOKEN('c_custkey * 7 % 10007 + 3 * c_custkey')} AS own FROM customer)"""
+
+
+def citizens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers under names that differ from row to row, so that work on distinct names grows with the table."""
+    k = F.col("c_custkey")
+    digit = lambda d: F.element_at(F.array(*map(F.lit, SYLLABLES)), d.cast("int") + 1)
+    spoken = lambda key: F.array_join(F.transform(F.filter(F.split(F.expr(key).cast("string"), ""), lambda d: d != ""), digit), "")
+    given, own = F.when(k % 20 == 0, "Mohammed").otherwise(spoken("c_custkey div 3")), spoken("c_custkey * 7 % 10007 + 3 * c_custkey")
+    named = F.when(k % 6 == 5, F.concat_ws(" ", own, given)).otherwise(F.concat_ws(" ", given, own))
+    return table(spark, sf_dir, "customer").select(k, named.alias("name"), pick(ARABIC, "c_custkey").alias("arabic"))
+
+
 _CODES = f"list_distinct(list_filter(list_transform({duck.tokens('n')}, lambda t: {duck.code('t')}), lambda c: c <> ''))"
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT c_custkey, {duck.english('name')} AS n, {duck.english("regexp_replace(name, 'mm', 'm', 'g')")} AS typed FROM ({_PEOPLE})),
+@query(f"""WITH RECURSIVE p AS (SELECT c_custkey, {duck.english('name')} AS n, {duck.english("regexp_replace(name, 'mm', 'm', 'g')")} AS typed FROM ({_CITIZENS})),
 r AS (SELECT n, min(c_custkey) AS registry_id, unnest({_CODES}) AS c FROM p WHERE n <> '' GROUP BY n), q AS (SELECT n, unnest({_CODES}) AS c FROM (SELECT DISTINCT typed AS n FROM p WHERE c_custkey % 10 = 0 AND typed <> '')),
 s AS (SELECT DISTINCT r.n AS a, q.n AS b FROM r JOIN q USING (c)), {duck.compare('x', 's', 'english')},
 k AS (SELECT b, score, tier, registry_id, row_number() OVER (PARTITION BY b ORDER BY score DESC, registry_id) AS nth FROM x JOIN (SELECT DISTINCT n, registry_id FROM r) ON n = a WHERE score >= 0.85)
 SELECT c_custkey AS query_id, registry_id, round(score, 6) AS score, tier FROM p JOIN k ON typed = b WHERE c_custkey % 10 = 0 AND nth = 1""")
 def screen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = people(spark, sf_dir)
+    p = citizens(spark, sf_dir)
     asked = p.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("query_id"), F.regexp_replace("name", "mm", "m").alias("name"))
     found = ops.screen(asked, p.select(F.col("c_custkey").alias("registry_id"), "name"))
     return found.withColumn("score", F.round("score", 6))
 
 
-_PAIRS = f"""SELECT c_custkey, nullif(arabic, '') AS ea, {_LIST(ARABIC, 'c_custkey + c_custkey % 3')} AS ta, CASE WHEN c_custkey % 2 = 0 THEN name END AS ee, regexp_replace(name, 'ss', 's', 'g') AS te, {duck.arabic_to_latin("coalesce(nullif(arabic, ''), '')")} AS latin FROM ({_PEOPLE})"""
+_PAIRS = f"""SELECT c_custkey, nullif(arabic, '') AS ea, {_LIST(ARABIC, 'c_custkey + c_custkey % 3')} AS ta, CASE WHEN c_custkey % 2 = 0 THEN name END AS ee, regexp_replace(name, 'ss', 's', 'g') AS te, {duck.arabic_to_latin("coalesce(nullif(arabic, ''), '')")} AS latin FROM ({_CITIZENS})"""
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT *, {duck.arabic("coalesce(ea, '')")} AS na, {duck.arabic('ta')} AS nt, {duck.english("coalesce(ee, '')")} AS ne, {duck.english('te')} AS nte, {duck.english('latin')} AS nl FROM ({_PAIRS})),
@@ -52,7 +70,7 @@ c AS (SELECT c_custkey, ar, en, CASE WHEN (ar IS NULL AND en IS NULL) OR cr > 0.
 m AS (SELECT c_custkey, (coalesce(ar, 0) + coalesce(en, 0) + coalesce(cr, 0)) / nullif((ar IS NOT NULL)::INT + (en IS NOT NULL)::INT + (cr IS NOT NULL)::INT, 0) AS mean FROM c)
 SELECT c_custkey, round(coalesce(mean, 0), 6) AS combined_score, round(coalesce(mean, 0) * 0.95, 6) AS final_score, CASE WHEN mean IS NULL THEN 'manual_review' WHEN mean * 0.95 >= 0.9 THEN 'pass' WHEN mean * 0.95 >= 0.7 THEN 'manual_review' ELSE 'reject' END AS decision FROM m""")
 def name_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = people(spark, sf_dir)
+    p = citizens(spark, sf_dir)
     pairs = p.select("c_custkey", F.nullif("arabic", F.lit("")).alias("extracted_ar"), pick(ARABIC, "c_custkey + c_custkey % 3").alias("typed_ar"), F.when(F.col("c_custkey") % 2 == 0, F.col("name")).alias("extracted_en"), F.regexp_replace("name", "ss", "s").alias("typed_en"), F.lit(0.95).alias("confidence"))
     return ops.validate(pairs).select("c_custkey", F.round("combined_score", 6).alias("combined_score"), F.round("final_score", 6).alias("final_score"), "decision")
 

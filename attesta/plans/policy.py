@@ -72,11 +72,18 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("subject", "d.decision", "d.total_score", of("face_matching", "score").alias("face_score"), of("document_verify", "score_obtained").alias("document_points"), of("face_matching", "passed").alias("face_passed"), F.size("d.components").cast("long").alias("n_components"), F.nullif(F.array_join("d.reasons", "|"), F.lit("")).alias("reasons"))
 
 
-@query(_COMPONENTS + """SELECT subject, max(score) FILTER (component = 'document_verify') AS document_verify_score, max(score) FILTER (component = 'face_matching') AS face_matching_score,
-max(lo) FILTER (component = 'id_number') AS id_number_min, bool_or(status) FILTER (component = 'gender') AS gender_status FROM allc GROUP BY subject""")
+_WIDE = ", ".join(
+    f"CAST(max(lo) FILTER (component = '{c}') AS DOUBLE) AS {c}_min, CAST(max(hi) FILTER (component = '{c}') AS DOUBLE) AS {c}_max, bool_or(status) FILTER (component = '{c}') AS {c}_status, "
+    f"round(CAST(max(threshold) FILTER (component = '{c}') AS DOUBLE), 6) AS {c}_threshold, round(CAST(max(score) FILTER (component = '{c}') AS DOUBLE), 6) AS {c}_score"
+    for c, *_ in rules.POLICY
+)
+
+
+@query(_COMPONENTS + f"SELECT subject, {_WIDE} FROM allc GROUP BY subject")
 def policy_wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = policy.wide_log(policy.components(event_scores(spark, sf_dir), rules.policy_defaults(spark)))
-    return wide.select("subject", "document_verify_score", "face_matching_score", "id_number_min", "gender_status")
+    """Five columns for each component."""
+    wide = policy.wide_log(policy.components(event_scores(spark, sf_dir), rules.policy_defaults(spark))).drop("log_id")
+    return wide.withColumns({c: F.round(c, 6) for c in wide.columns if c.endswith(("_threshold", "_score"))})
 
 
 @query("""SELECT 'ekyc' AS component, 0.0 AS min, CAST(max(c_custkey) AS DOUBLE) AS max, true AS status FROM customer""")

@@ -10,8 +10,9 @@ from attesta.operators import checks, extract
 from attesta.operators import verify as ops
 
 from . import duck
+from .names import _CITIZENS as CITIZENS_SQL
 from .names import _PEOPLE as PEOPLE_SQL
-from .names import people
+from .names import citizens, people
 from .registry import pick, query, table
 
 TYPES = ["Yemen National-ID", "passport", "yemen_id", "visa", " Yemen Passport "]
@@ -92,11 +93,11 @@ def field_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.field_lines(rows).select("c_custkey", "label")
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT c_custkey, {duck.english('name')} AS a, {duck.english("regexp_replace(name, 'a', 'e')")} AS b FROM ({PEOPLE_SQL})), {duck.ratio('r', 'p')}, {duck.jaro_winkler('j', 'p')}, {duck.compare('x', 'p', 'arabic')}
+@query(f"""WITH RECURSIVE p AS (SELECT c_custkey, {duck.english('name')} AS a, {duck.english("regexp_replace(name, 'a', 'e')")} AS b FROM ({CITIZENS_SQL})), {duck.ratio('r', 'p')}, {duck.jaro_winkler('j', 'p')}, {duck.compare('x', 'p', 'arabic')}
 SELECT c_custkey, round(r.ratio, 6) AS ratio, round(j.jw, 6) AS jaro_winkler, x.tier, round(x.score, 6) AS score FROM p JOIN r USING (a, b) JOIN j USING (a, b) JOIN x USING (a, b)""")
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarities as SQL functions."""
     similarity.register(spark)
-    p = people(spark, sf_dir).select("c_custkey", text.english_name(F.col("name")).alias("a"), text.english_name(F.regexp_replace(F.col("name"), "^([^a]*)a", "$1e")).alias("b"))
+    p = citizens(spark, sf_dir).select("c_custkey", text.english_name(F.col("name")).alias("a"), text.english_name(F.regexp_replace(F.col("name"), "^([^a]*)a", "$1e")).alias("b"))
     rows = p.selectExpr("c_custkey", "similarity_ratio(a, b) AS ratio", "jaro_winkler(a, b) AS jw", "name_compare(a, b) AS c")
     return rows.select("c_custkey", F.round("ratio", 6).alias("ratio"), F.round("jw", 6).alias("jaro_winkler"), "c.tier", F.round("c.score", 6).alias("score"))
