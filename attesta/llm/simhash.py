@@ -138,7 +138,7 @@ def shards_of(distinct: DataFrame, radius: int, leaf_rows: int, n: int) -> DataF
     placed = distinct.select("fp", F.inline(homes))
     # A leaf above the bound: its fingerprints agree in the band, so up to ``radius`` bits differ in the rest.
     large = placed.groupBy("band", "leaf").count().where(F.col("count") > leaf_rows).select(F.col("band").alias("_band"), F.col("leaf").alias("_leaf"))
-    large = F.broadcast(materialise(large, "large-leaves", 1))  # at most (radius + 1) * n / leaf_rows rows
+    large = small_side(materialise(large, "large-leaves", 1))
     once = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("inner")))
     again = F.lit(None).cast("array<struct<part:int,inner:bigint>>")
     for k, mask in enumerate(whole):
