@@ -35,9 +35,9 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry after all updates have come by."""
     state = scratch(spark, "state")
-    jobs.create_state(records.state(spark, sf_dir), state, ["document_number"])
+    jobs.create_state(records.state(spark, sf_dir), state, ["document_number"], ["document_id", "image", "transaction_id"])
     updates = records.updates_of(stream(spark, sf_dir, "orders"))
-    jobs.upsert_stream(updates, state, scratch(spark, "state-checkpoint"), "at", ["document_id", "image", "transaction_id"]).awaitTermination()
+    jobs.upsert_stream(updates, state, scratch(spark, "state-checkpoint"), "at").awaitTermination()
     return SnapshotTable(spark, state).read()
 
 

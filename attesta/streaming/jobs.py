@@ -18,20 +18,20 @@ def metrics_stream(requests: DataFrame, path: str, checkpoint: str, at: str = "t
     return out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def create_state(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+def create_state(rows: DataFrame, path: str, keys: list[str], keep_if_null: list[str], buckets: int = 64) -> None:
     """The table that an upsert stream keeps (see :mod:`attesta.streaming.snapshots`)."""
-    SnapshotTable(rows.sparkSession, path).create(rows, keys, buckets)
+    SnapshotTable(rows.sparkSession, path).create(rows, keys, keep_if_null, buckets)
 
 
-def upsert_stream(updates: DataFrame, state: str, checkpoint: str, order: str, keep_if_null: list[str]) -> StreamingQuery:
-    """Each micro-batch becomes one version of ``state``; it rewrites the buckets that it has keys of, and no others.
+def upsert_stream(updates: DataFrame, state: str, checkpoint: str, order: str) -> StreamingQuery:
+    """Each micro-batch becomes one version of ``state``.
 
     A batch that was stopped leaves the version before it; one that runs again is known by the table's ledger,
     under the stream's checkpoint, and changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        SnapshotTable(batch.sparkSession, state).upsert(batch, order, keep_if_null, writer=checkpoint, batch=number)
+        SnapshotTable(batch.sparkSession, state).upsert(batch, order, writer=checkpoint, batch=number)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

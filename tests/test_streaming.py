@@ -1,5 +1,7 @@
 """Streaming jobs over small files, driven until nothing is left."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def held(spark, state):
 
 
 def upserts(spark, tmp_path):
-    jobs.create_state(spark.createDataFrame(OLD, "id int, name string, image string"), str(tmp_path / "state"), ["id"], buckets=16)
+    jobs.create_state(spark.createDataFrame(OLD, "id int, name string, image string"), str(tmp_path / "state"), ["id"], ["image"], buckets=16)
     return stream(spark, spark.createDataFrame(UPDATES, "id int, name string, image string, at int"), str(tmp_path / "in"))
 
 
@@ -42,7 +44,7 @@ def test_upsert_stream(spark, tmp_path):
     state, source = str(tmp_path / "state"), upserts(spark, tmp_path)
     first = SnapshotTable(spark, state).manifest().folders
     for run in ("c", "again"):  # a new checkpoint sends the same batch once more
-        jobs.upsert_stream(source, state, str(tmp_path / run), "at", ["image"]).awaitTermination()
+        jobs.upsert_stream(source, state, str(tmp_path / run), "at").awaitTermination()
         assert held(spark, state) == MERGED
     now = SnapshotTable(spark, state).manifest()
     assert now.version == 2 and sum(now.folders.get(b) == f for b, f in first.items()) >= len(first) - 2
@@ -62,10 +64,10 @@ def test_a_stopped_batch_loses_nothing(spark, tmp_path, monkeypatch, stopped_at)
 
     monkeypatch.setattr(SnapshotTable, stopped_at, stop)
     with pytest.raises(Exception, match="stopped"):
-        jobs.upsert_stream(source, state, str(tmp_path / "c"), "at", ["image"]).awaitTermination()
+        jobs.upsert_stream(source, state, str(tmp_path / "c"), "at").awaitTermination()
     monkeypatch.undo()
     assert held(spark, state) == OLD
-    jobs.upsert_stream(source, state, str(tmp_path / "c"), "at", ["image"]).awaitTermination()
+    jobs.upsert_stream(source, state, str(tmp_path / "c"), "at").awaitTermination()
     assert held(spark, state) == MERGED
     table = SnapshotTable(spark, state)
     assert len(table.vacuum(keep=1)) == 1 and held(spark, state) == MERGED
@@ -76,21 +78,43 @@ def test_a_batch_that_is_in_is_left_out(spark, tmp_path):
     state, table = str(tmp_path / "state"), SnapshotTable(spark, str(tmp_path / "state"))
     upserts(spark, tmp_path)
     batch = lambda name: spark.createDataFrame([(1, name, None, 1)], "id int, name string, image string, at int")
-    assert table.upsert(batch("x"), "at", ["image"], "stream", 0)
-    assert table.upsert(batch("y"), "at", ["image"], "stream", 1)
-    assert not table.upsert(batch("x"), "at", ["image"], "stream", 0) and table.manifest().version == 2
+    assert table.upsert(batch("x"), "at", "stream", 0)
+    assert table.upsert(batch("y"), "at", "stream", 1)
+    assert not table.upsert(batch("x"), "at", "stream", 0) and table.manifest().version == 2
     assert (1, "y", "img") in held(spark, state)
-    assert table.upsert(batch("z"), "at", ["image"], "other stream", 0)
-    assert table.upsert(batch("z").limit(0), "at", ["image"], "other stream", 1) and table.manifest().version == 4
+    assert table.upsert(batch("z"), "at", "other stream", 0)
+    assert table.upsert(batch("z").limit(0), "at", "other stream", 1) and table.manifest().version == 4
+
+
+def test_deltas_fold_as_updates_one_after_another(spark, tmp_path):
+    """Many small batches, folded when read or when a bucket has too many, give what one upsert after another gives."""
+    draw, columns = random.Random(2), "id int, name string, image string"
+    state = SnapshotTable(spark, str(tmp_path / "state"))
+    state.create(spark.createDataFrame(OLD, columns), ["id"], ["image"], buckets=4)
+    want = {r[0]: list(r[1:]) for r in OLD}
+    for batch in range(7):
+        rows = [(draw.randrange(60), draw.choice([None, f"b{batch}.{k}"]), draw.choice([None, f"i{batch}"]), k) for k in range(6)]
+        assert state.upsert(spark.createDataFrame(rows, f"{columns}, at int"), "at", "w", batch, most_deltas=2)
+        for i, name, image, _ in {r[0]: r for r in rows}.values():
+            want[i] = [name, image or want.get(i, [None, None])[1]]
+        held_now = {r.id: [r.name, r.image] for r in state.read().collect()}
+        assert held_now == want and state.read().count() == len(want)
+    folders = state.manifest().folders.values()
+    assert 1 <= max(map(len, folders)) <= 3 and any(f[0].startswith("data/00000000000") and f[0] > "data/000000000001" for f in folders)
+    with pytest.raises(ValueError, match="name"):
+        state.upsert(spark.createDataFrame([(1, "x", 1)], "id int, image string, at int"), "at")
+    assert state.upsert(spark.createDataFrame([(1, "only", 1)], "id int, name string, at int"), "at")
+    want[1][0] = "only"  # columns that keep their value may be left out
+    assert {r.id: [r.name, r.image] for r in state.read().collect()} == want
 
 
 def test_two_writers_of_one_version(spark, tmp_path):
     upserts(spark, tmp_path)
     table = SnapshotTable(spark, str(tmp_path / "state"))
     now = table.manifest()
-    table._commit(Manifest(1, now.keys, now.buckets, now.schema, now.folders))
+    table._commit(Manifest(1, now.keys, now.buckets, now.schema, now.keep_if_null, now.folders))
     with pytest.raises(Conflict):
-        table._commit(Manifest(1, now.keys, now.buckets, now.schema, {}))
+        table._commit(Manifest(1, now.keys, now.buckets, now.schema))
     assert table.manifest().folders == now.folders
 
 
