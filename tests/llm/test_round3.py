@@ -422,3 +422,76 @@ def test_html_on_labelled_pages():
         around = ("<article>", "</article>") if marked else ("<div>", "</div>")
         page = f"<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Menu</a></ul></nav>{around[0]}{''.join(blocks)}{around[1]}<footer>&copy; foot</footer></body></html>"
         assert html.extract(page) == "\n\n".join(want)
+
+
+# --- near copies of the pipeline ------------------------------------------------------------------------------
+
+
+def edited_copies(draw, groups):
+    """Texts of one base each, edited in so many places: many of a group are not similar enough to each other."""
+    rows = []
+    for size, words, edits in groups:
+        base = [f"w{draw.randrange(4000)}" for _ in range(words)]
+        for _ in range(size):
+            text = list(base)
+            for at in draw.sample(range(words), draw.randint(0, edits)):
+                text[at] = f"e{draw.randrange(10**6)}" if draw.random() < 0.7 else "same"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_of_near_copies(spark, monkeypatch, seed):
+    """The classes of all pairs in the buckets' families, for a share of their comparisons."""
+    import itertools
+
+    from attesta.llm import nearcopies
+
+    draw = random.Random(seed)
+    rows = edited_copies(draw, [(260, 220, 9), (60, 90, 4), (20, 60, 6), (3, 7, 1)])
+    compared = []
+    real = nearcopies.verified
+    monkeypatch.setattr(nearcopies, "verified", lambda pairs, sets: compared.append(pairs.count()) or real(pairs, sets))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "family", "shingle", "held", "root", "n", "w", "hub")})
+    got = {r.id.id: r.component_id.id for r in nearcopies.near_copies(df).collect()}
+    sets = [set(nearcopies.shingles(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    assert {i: find(i) for i in range(len(rows))} == got
+    pairs = 260 * 259 // 2 + 60 * 59 // 2
+    assert len({*got.values()}) > 20 and sum(compared) < pairs / 4
+
+
+def test_family_links_are_those_of_all_pairs(spark):
+    """Any sets, not only copies: links of a family join just what similar pairs join."""
+    import itertools
+
+    import numpy as np
+
+    from attesta.llm import nearcopies
+
+    draw = random.Random(3)
+    sets = {}
+    for k in range(90):
+        base = [x + 1000 * (k % 3) for x in range(1, draw.choice([6, 12, 25]))]
+        sets[k] = sorted({x if draw.random() < 0.93 else draw.randrange(5000, 5040) for x in base})
+    members = spark.createDataFrame([(k, len(s), k, 0) for k, s in sets.items()], "node long, n long, root long, family long")
+    held = spark.createDataFrame([(k, np.array(s, np.uint64).tobytes()) for k, s in sets.items()], "node long, held binary")
+    links = {tuple(sorted((r.u, r.v))) for r in nearcopies.family_links(members, held).collect()}
+    similar = {(a, b) for a, b in itertools.combinations(sets, 2) if nearcopies.near(np.array(sets[a], np.uint64), np.array(sets[b], np.uint64))}
+
+    def classes(pairs):
+        root = {k: k for k in sets}
+        for a, b in sorted(pairs) * 90:
+            root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert links <= similar and classes(links) == classes(similar) and len(similar) > len(sets)
