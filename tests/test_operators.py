@@ -6,8 +6,6 @@ import os
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from attesta.functions import dates, mrz, phonetic, similarity, text
