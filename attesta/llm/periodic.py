@@ -23,7 +23,6 @@ ignored. A batch and the automaton of one text's stretch are what a task holds.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
