@@ -9,7 +9,7 @@ from attesta.operators import gazetteer, romanise
 from attesta.operators import names as ops
 
 from . import duck
-from .registry import pick, query, table
+from .registry import ORACLES, pick, query, table
 
 FIRST = ["Mohammed", "Muhammad", "Fatima", "Abdullah", "Khaled", "Yousef", "Sara", "Layla", "Hassan", "Nasser", "Omar"]
 LAST = ["Ali", "Alsqaf", "Al-Omari", "Saleh", "Thabit", "Qasim", "Zaid"]
@@ -98,14 +98,6 @@ def cross_script_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AR = "[" + ", ".join(f"'{a}'" for a in ARABIC) + "][CAST(c_custkey % 10 AS INT) + 1]"
 
 
-@query(f"""SELECT c_custkey, CASE {" ".join(f"WHEN a = '{k}' THEN '{v}'" for k, v in ENGLISH.items())} ELSE NULL END AS dictionary, CASE WHEN a = '' THEN 'empty' WHEN a IN ({", ".join(f"'{k}'" for k in ENGLISH)}, 'x') THEN 'dictionary' ELSE 'other' END AS method
-FROM (SELECT c_custkey, {_AR} AS a FROM customer)""")
-def romanise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = romanise.convert(people(spark, sf_dir), "c_custkey", "arabic")
-    method = F.when(F.col("method").isin("empty", "dictionary"), F.col("method")).otherwise("other")
-    return got.select("c_custkey", F.when(F.col("method") == "dictionary", F.col("english")).alias("dictionary"), method.alias("method"))
-
-
 @query(f"""WITH k AS (SELECT DISTINCT trim(arabic) AS t FROM ({_PEOPLE})), d(ar, en) AS {duck.values(list(gazetteer.NAMES.items()))}, sp AS (SELECT {duck.code('name', False)} AS c, min_by(name, ord) AS name FROM {duck.values(list(enumerate(gazetteer.SPELLINGS)))} AS v(ord, name) GROUP BY 1),
 r AS (SELECT t, en, CASE WHEN en IS NULL AND t <> '' THEN {duck.spoken('t')} END AS raw FROM k LEFT JOIN d ON ar = t),
 w AS (SELECT t, i, raw_words[i] AS word FROM (SELECT *, unnest(range(1, len(raw_words) + 1)) AS i FROM (SELECT t, {duck.tokens('raw')} AS raw_words FROM r WHERE raw <> ''))),
@@ -116,6 +108,12 @@ def romanised_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return romanise.convert(people(spark, sf_dir), "c_custkey", "arabic").select("c_custkey", "english", "method", "raw_phonetic")
 
 
+@query(f"SELECT c_custkey, CASE WHEN method = 'dictionary' THEN english END AS dictionary, method FROM ({ORACLES['romanised_letters']})")
+def romanise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = romanise.convert(people(spark, sf_dir), "c_custkey", "arabic")
+    return got.select("c_custkey", F.when(F.col("method") == "dictionary", F.col("english")).alias("dictionary"), "method")
+
+
 MEANINGS = {"محمد": "Mohammed", "نور": "Light", "جميلة سالم": " Beautiful"}
 
 
