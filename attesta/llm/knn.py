@@ -5,12 +5,13 @@ median splits of the widest dimension, a tight bounding box at every node. The b
 query is the sum over dimensions of the larger of q*low and q*high; nodes are visited best first until
 that bound falls below the k-th score so far. Equal bounds are followed, since a smaller id wins a tie.
 
-The trees are a table in the shared folder. Queries pass by them in blocks of at most about ``block_rows``,
-which are sent to all executors (the bound: ``block_rows`` vectors). A block first visits the trees that its
-queries live in; the k-th scores found there travel with it past all other trees, and within a task from
-tree to tree, where whole trees and branches below them are skipped. Vectors are shuffled once, to build the
-trees; afterwards at most ``k`` rows of each query and task are. The work is queries x rows at worst, which
-the contract fixes.
+Each query first visits the tree of its own shard, which gives it a k-th score. Then all queries, in blocks
+of about ``block_rows``, meet all other trees in one job over a grid: a cell holds a few trees (at most
+``cell_trees``) and streams a stripe of the blocks (at most ``stripe_blocks``) past them. The k-th scores of the
+home trees travel with the blocks, and within a cell on from tree to tree, where whole trees and branches below
+them are skipped. Nothing passes through the driver and nothing is broadcast: a block is shuffled once to each
+group of trees, a tree once to each stripe of blocks, and a cell that is lost is the work of one task. The
+work is queries x rows at worst, which the contract fixes.
 
 Null vectors and those with null, NaN or infinite components take no part. Every row is a candidate of its
 own, also where rows share an id, and each row with a query's id asks, except for rows of that id; the best
@@ -25,7 +26,6 @@ import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,9 @@ from .common import materialise, small_batches
 LEAF = 256
 #: Queries whose bounds a task works out together.
 SLICE = 2048
+#: A query's row and id, and what it found.
+FOUND = ["row", "query_id", "vec_id", "score"]
+SCHEMA = ", ".join(f"{c} long" for c in FOUND)
 
 
 class KDTree:
@@ -131,61 +134,87 @@ def in_blocks(asked: DataFrame) -> DataFrame:
     """The queries of each ``block`` and ``dim``, packed."""
 
     def run(t: pa.Table) -> pa.Table:
-        block, dim = t["block"][0].as_py(), t["dim"][0].as_py()
-        vectors = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        packed = Queries(t["row"].to_numpy(), t["vec_id"].to_numpy(), vectors, t["shard"].to_numpy(), np.full(len(t), -math.inf))
-        return pa.table({"block": pa.array([block], pa.int32()), "dim": pa.array([dim], pa.int32()), "queries": pa.array([pickle.dumps(packed)], pa.binary())})
+        packed = pickle.dumps(queries_of(t))
+        return pa.table({"block": t["block"][:1], "dim": t["dim"][:1], "queries": pa.array([packed], pa.binary())})
 
     return asked.groupBy("block", "dim").applyInArrow(run, "block int, dim int, queries binary")
 
 
-def visit(trees: DataFrame, held: dict[int, Queries], k: int, home: bool) -> DataFrame:
-    """``row`` and ``query_id`` of the query, ``vec_id``, ``score``: each task's best from home trees or all others."""
-    sent = trees.sparkSession.sparkContext.broadcast(held)
+def queries_of(t: pa.Table) -> Queries:
+    """Rows of one length as queries."""
+    vectors = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, t["dim"][0].as_py())
+    kth = t["kth"].fill_null(-math.inf).to_numpy() if "kth" in t.column_names else np.full(len(t), -math.inf)
+    return Queries(t["row"].to_numpy(), t["vec_id"].to_numpy(), vectors, t["shard"].to_numpy(), kth)
+
+
+def visit(trees: list[tuple[int, KDTree]], q: Queries, k: int, home: bool) -> pa.Table:
+    """Each query's best of its home tree, or of all trees but that one."""
+    best: dict[int, list[tuple[int, int]]] = {}
+    for shard, tree in trees:
+        mine = np.flatnonzero((q.homes == shard) == home)
+        exact = float(tree.largest) * float(np.abs(q.vectors).max(initial=1)) * q.vectors.shape[1] < 2**52
+        kind = np.float64 if exact else np.int64  # doubles are exact there, and fast
+        if tree.points.dtype != kind:
+            tree.points, tree.lows, tree.highs = (x.astype(kind) for x in (tree.points, tree.lows, tree.highs))
+        for at in range(0, len(mine), SLICE):
+            part = mine[at : at + SLICE]
+            vectors = q.vectors[part].astype(kind)
+            for i, v, bound in zip(part.tolist(), vectors, tree.bounds(vectors), strict=True):
+                tree.search(int(q.ids[i]), v, bound, k, q.kth[i], best.setdefault(i, []))
+    rows = [(int(q.rows[i]), int(q.ids[i]), -v, int(s)) for i, heap in best.items() for s, v in heap]
+    columns = zip(*rows, strict=True) if rows else [()] * len(FOUND)
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=FOUND)
+
+
+def from_home(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best that each query finds in the tree of its own shard."""
+
+    def run(tree: pa.Table, t: pa.Table) -> pa.Table:
+        if not len(t):
+            return pa.table([pa.array([], pa.int64())] * len(FOUND), names=FOUND)
+        return visit([(tree["shard"][0].as_py(), pickle.loads(tree["tree"][0].as_py()))], queries_of(t), k, True)
+
+    return trees.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInArrow(run, SCHEMA)
+
+
+def from_others(trees: DataFrame, blocks: DataFrame, k: int, groups: int, stripes: int) -> DataFrame:
+    """The best that each query finds in all other trees: one task for each group of trees and stripe of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        cell, held = None, {}
         for b in batches:
             for r in b.to_pylist():
-                dim, q = r["dim"], sent.value.get(r["dim"])
-                mine = np.flatnonzero((q.homes == r["shard"]) == home) if q else ()
-                if not len(mine):
-                    continue
-                tree: KDTree = pickle.loads(r["tree"])
-                exact = float(tree.largest) * float(np.abs(q.vectors).max(initial=1)) * dim < 2**52
-                if exact:  # then double arithmetic is exact, and fast
-                    tree.points, tree.lows, tree.highs = (x.astype(float) for x in (tree.points, tree.lows, tree.highs))
-                for at in range(0, len(mine), SLICE):
-                    part = mine[at : at + SLICE]
-                    vectors = q.vectors[part].astype(float) if exact else q.vectors[part]
-                    for i, v, bound in zip(part.tolist(), vectors, tree.bounds(vectors), strict=True):
-                        tree.search(int(q.ids[i]), v, bound, k, q.kth[i], best.setdefault((dim, i), []))
-        rows = [(int(sent.value[d].rows[i]), int(sent.value[d].ids[i]), -v, int(s)) for (d, i), heap in best.items() for s, v in heap]
-        for at in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + (1 << 16)], strict=True)], ["row", "query_id", "vec_id", "score"])
+                if r["cell"] != cell:
+                    cell, held = r["cell"], {}
+                if r["shard"] is not None:  # a cell's trees come before its blocks
+                    held.setdefault(r["dim"], []).append((r["shard"], pickle.loads(r["packed"])))
+                elif r["dim"] in held:
+                    yield from visit(held[r["dim"]], pickle.loads(r["packed"]), k, False).to_batches()
 
     small_batches(trees.sparkSession)
-    return trees.select("dim", "shard", "tree").mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = trees.select("dim", "shard", F.col("tree").alias("packed"), F.pmod("shard", F.lit(groups)).alias("group"), every(stripes).alias("stripe"))
+    right = blocks.select("dim", F.lit(None).cast("int").alias("shard"), F.col("queries").alias("packed"), every(groups).alias("group"), F.pmod("block", F.lit(stripes)).alias("stripe"))
+    cells = left.unionByName(right).select("dim", "shard", "packed", (F.col("group") * stripes + F.col("stripe")).cast("int").alias("cell"))
+    dealt = cells.repartitionById(groups * stripes, F.col("cell")).sortWithinPartitions("cell", F.col("shard").isNull())
+    return dealt.mapInArrow(run, SCHEMA)
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, shard_rows: int = 8192, block_rows: int = 65536) -> DataFrame:
+def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, shard_rows: int = 8192, block_rows: int = 2048, cell_trees: int = 16, stripe_blocks: int = 256) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows whose id is divisible by ``every``."""
     vectors = materialise(quantised(df, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
     shards = max(1, math.ceil(vectors.count() / shard_rows))
     vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     trees = materialise(build(vectors), "trees")
     asked = vectors.where(F.col("vec_id") % every == 0)
+    home = materialise(from_home(trees, asked, k), "home-trees")
+    known = home.groupBy("row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") == k).select("row", "kth")
+
+    # A small gallery has fewer trees a cell, so that all cores take part; the rows found are the same.
     blocks = max(1, math.ceil(asked.count() / block_rows))
-    asked = materialise(in_blocks(asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int"))), "queries")
-
-    found = [df.sparkSession.createDataFrame([], "row long, query_id long, vec_id long, score long")]
-    for block in range(blocks):
-        held = {r["dim"]: pickle.loads(r["queries"]) for r in asked.where(F.col("block") == block).collect()}
-        found.append(materialise(visit(trees, held, k, True), "home-trees"))
-        known = found[-1].groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).toPandas()
-        for q in held.values():  # at most as many as the block has queries
-            q.kth = known.set_index("row")["kth"].reindex(q.rows).fillna(-math.inf).to_numpy(float)
-        found.append(materialise(visit(trees, held, k, False), "other-trees"))
+    groups = max(math.ceil(shards / cell_trees), min(shards, df.sparkSession.sparkContext.defaultParallelism))
+    packed = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).cast("int")).join(known, "row", "left")
+    others = from_others(trees, in_blocks(packed), k, groups, math.ceil(blocks / stripe_blocks))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = home.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
