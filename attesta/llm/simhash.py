@@ -10,11 +10,13 @@ distance. In the band that agrees, the triangle bound |d(x,v) - d(y,v)| <= 0 hol
 both fingerprints walk to the same leaf; this is the boundary overlap, and it costs ``radius + 1`` rows
 for each distinct fingerprint whatever the depth. (One tree over all 64 bits with overlap 2 is exact as
 well, but distances gather so tightly about 32 that each level would copy half of the rows again.)
-A leaf is a shard. One that holds more than ``leaf_rows`` fingerprints, as a large group of near copies makes,
-is dealt once more in the same way by the bits outside its band: what lies within ``radius`` bits there agrees
-in one of ``radius + 1`` parts of them, and meets in a vantage-point tree of that part. Inside a shard another
-vantage point sorts the fingerprints, and a search compares with those whose distance lies within ``radius``
-of its own: the triangle bound again.
+A leaf is a shard. Shards that hold more than ``leaf_rows`` fingerprints, as a large group of near copies makes,
+are dealt again in the same way by the bits outside their bands, and again until none is too large: what lies within
+``radius`` bits there agrees in one of ``radius + 1`` parts of them, and meets in that part. The second deal takes
+two vantage points in each part; from the third on every bit dealt by is one, so that equal distances mean equal bits.
+With radius 2 the bits left over are 43, 29, 20, 14 and at last 10, so no shard of the last deal can hold more than
+1024 distinct fingerprints, whatever the data. Inside a shard another vantage point sorts the fingerprints, and a search
+compares with those whose distance lies within ``radius`` of its own: the triangle bound again.
 
 A shard returns a star for each of its components, never its pairs. The stars of all shards are joined
 to components by alternating large-star and small-star steps, written to the shared folder each round.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -84,11 +87,11 @@ def bands(radius: int, bits: list[int] | None = None) -> list[int]:
     return [_signed(sum(1 << b for b in bits[lo:hi])) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def leaf_of(fp: Column, mask: int, vantage: list[int]) -> Column:
+def leaf_of(fp: Column, mask: Column, vantage: list[int]) -> Column:
     """The leaf's number: the distances to the tree's vantage points, in base 65."""
     out = F.lit(0).cast("long")
     for v in vantage:
-        out = out * 65 + F.bit_count(fp.bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(mask)))
+        out = out * 65 + F.bit_count(fp.bitwiseXOR(F.lit(v)).bitwiseAND(mask))
     return out
 
 
@@ -128,25 +131,38 @@ def components_within(x: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def deeper(paths: dict[int, int], radius: int) -> list[tuple[int, int, int, int]]:
+    """``path``, ``child``, ``mask``, ``used``: the parts that each path's free bits are dealt by, and all bits dealt by since."""
+    rows = []
+    for path, used in paths.items():
+        for j, mask in enumerate(bands(radius, [b for b in range(64) if not used >> b & 1])):
+            rows.append((path, (path + 1) * (radius + 1) + j, mask, used | mask))
+    return rows
+
+
 def shards_of(distinct: DataFrame, radius: int, leaf_rows: int, n: int) -> DataFrame:
-    """``fp``, ``band``, ``leaf``, ``part``, ``inner``: the shards that each fingerprint goes to."""
+    """``fp``, ``path``, ``leaf``: the shards that each fingerprint goes to."""
     depth = min(10, max(1, math.ceil(math.log(max(1, n / leaf_rows), 6))))
     draw = random.Random(SEED)
-    tree = lambda mask, depth: leaf_of(F.col("fp"), mask, [draw.getrandbits(64) - (1 << 63) for _ in range(depth)])
-    whole = bands(radius)
-    homes = F.array(*(F.struct(F.lit(k).alias("band"), tree(mask, depth).alias("leaf")) for k, mask in enumerate(whole)))
-    placed = distinct.select("fp", F.inline(homes))
-    # A leaf above the bound: its fingerprints agree in the band, so up to ``radius`` bits differ in the rest.
-    large = placed.groupBy("band", "leaf").count().where(F.col("count") > leaf_rows).select(F.col("band").alias("_band"), F.col("leaf").alias("_leaf"))
-    large = small_side(materialise(large, "large-leaves", 1))
-    once = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("inner")))
-    again = F.lit(None).cast("array<struct<part:int,inner:bigint>>")
-    for k, mask in enumerate(whole):
-        rest = bands(radius, [b for b in range(64) if not mask >> b & 1])
-        parts = F.array(*(F.struct(F.lit(1 + j).alias("part"), tree(m, 2).alias("inner")) for j, m in enumerate(rest)))
-        again = F.when(F.col("band") == k, parts).otherwise(again)
-    marked = placed.join(large, (F.col("band") == F.col("_band")) & (F.col("leaf") == F.col("_leaf")), "left")
-    return marked.select("fp", "band", "leaf", F.inline(F.when(F.col("_band").isNull(), once).otherwise(again)))
+    points = lambda n: [draw.getrandbits(64) - (1 << 63) for _ in range(n)]
+    paths = dict(enumerate(bands(radius)))
+    homes = F.array(*(F.struct(F.lit(k).cast("long").alias("path"), leaf_of(F.col("fp"), F.lit(mask), points(depth)).alias("leaf")) for k, mask in paths.items()))
+    now, settled, again = distinct.select("fp", F.inline(homes)), [], 0
+    while True:
+        free = 64 - min(used.bit_count() if used >= 0 else (used + (1 << 64)).bit_count() for used in paths.values())
+        if free <= radius or again > 1 and 1 << free <= leaf_rows:  # equal bits leave too few others for a large shard
+            break
+        large = materialise(now.groupBy("path", "leaf").count().where(F.col("count") > leaf_rows).select("path", "leaf"), "large-leaves", (radius + 1) * n)
+        if not large.limit(1).count():
+            break
+        large = small_side(large)
+        settled.append(now.join(large, ["path", "leaf"], "left_anti").select("fp", "path", "leaf"))
+        parts = deeper(paths, radius)
+        children = F.broadcast(distinct.sparkSession.createDataFrame(parts, "path long, child long, mask long, used long"))  # a row for each path, whatever the data
+        leaf = F.xxhash64("leaf", leaf_of(F.col("fp"), F.col("mask"), points(2))) if not again else F.col("fp").bitwiseAND(F.col("used"))
+        now = now.join(large, ["path", "leaf"], "left_semi").join(children, "path").select("fp", F.col("child").alias("path"), leaf.alias("leaf"))
+        paths, again = {child: used for _, child, _, used in parts}, again + 1
+    return reduce(DataFrame.unionByName, settled, now)
 
 
 def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFrame:
@@ -159,7 +175,7 @@ def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFr
         return pd.DataFrame({"u": x[tied], "v": root[tied]})
 
     shards = shards_of(distinct, radius, leaf_rows, distinct.count())
-    return shards.groupBy("band", "leaf", "part", "inner").applyInPandas(link, "u long, v long").distinct()
+    return shards.groupBy("path", "leaf").applyInPandas(link, "u long, v long").distinct()
 
 
 def connected(edges: DataFrame, label: str = "stars", rows: int | None = None) -> DataFrame:

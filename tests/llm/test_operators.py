@@ -251,6 +251,22 @@ def test_links_are_exact(spark):
     assert [root.get(s, s) for s in signed] == want
 
 
+def test_shards_are_dealt_until_they_fit(spark):
+    """A large group of near copies: no shard stays above the bound, and the links are those of all pairs."""
+    draw = np.random.default_rng(11)
+    one = int(draw.integers(0, 1 << 63))
+    spread = [int(b) for b in draw.choice(64, 14, replace=False)]
+    near = {one ^ sum(1 << b for b in draw.choice(spread, draw.integers(0, 6), replace=False).tolist()) for _ in range(1500)}
+    fps = sorted(near | {int(v) for v in draw.integers(0, 1 << 63, 200)})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    sizes = [r["count"] for r in simhash.shards_of(df, 2, 128, len(fps)).groupBy("path", "leaf").count().collect()]
+    assert max(sizes) <= 128
+    root = {r.node: r.root for r in simhash.connected(simhash.stars(df, 2, leaf_rows=128)).collect()}
+    want = simhash.components_within(np.array(fps, np.uint64), 2).tolist()  # held against all pairs above
+    assert [root.get(s, s) for s in signed] == want
+
+
 def test_simhash_odd(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 8 and {r.component_id for r in got if r.fp == 0} == {1}
