@@ -15,7 +15,7 @@ work is queries x rows at worst, which the contract fixes.
 
 Null vectors and those with null, NaN or infinite components take no part. Every row is a candidate of its
 own, also where rows share an id, and each row with a query's id asks, except for rows of that id; the best
-of all of them are the id's result. Vectors of different length never meet. Ties go to the smaller id.
+of all of them are the id's result. Vectors of different length never meet. Scores must fit a long. Ties go to the smaller id.
 Empty tables give an empty result. Extra columns are ignored.
 """
 
@@ -37,6 +37,8 @@ from .common import materialise, small_batches
 LEAF = 256
 #: Queries whose bounds a task works out together.
 SLICE = 2048
+#: Stands for the k-th score of a query that has fewer than k. Whole numbers throughout: doubles round beyond 2^53.
+NO_SCORE = np.iinfo(np.int64).min
 #: A query's row and id, and what it found.
 FOUND = ["row", "query_id", "vec_id", "score"]
 SCHEMA = ", ".join(f"{c} long" for c in FOUND)
@@ -71,7 +73,7 @@ class KDTree:
         """The most any point of each node's box can score with each query."""
         return np.maximum(queries, 0) @ self.highs.T + np.minimum(queries, 0) @ self.lows.T
 
-    def search(self, query_id: int, q: np.ndarray, bound: np.ndarray, k: int, kth: float, best: list[tuple[int, int]]) -> None:
+    def search(self, query_id: int, q: np.ndarray, bound: np.ndarray, k: int, kth: int, best: list[tuple[int, int]]) -> None:
         """Put what scores no worse than ``kth`` into ``best``, a heap of at most ``k`` (score, -id)."""
         open_nodes = [(-bound[0], 0)]
         while open_nodes:
@@ -143,7 +145,7 @@ def in_blocks(asked: DataFrame) -> DataFrame:
 def queries_of(t: pa.Table) -> Queries:
     """Rows of one length as queries."""
     vectors = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, t["dim"][0].as_py())
-    kth = t["kth"].fill_null(-math.inf).to_numpy() if "kth" in t.column_names else np.full(len(t), -math.inf)
+    kth = t["kth"].fill_null(NO_SCORE).to_numpy() if "kth" in t.column_names else np.full(len(t), NO_SCORE)
     return Queries(t["row"].to_numpy(), t["vec_id"].to_numpy(), vectors, t["shard"].to_numpy(), kth)
 
 
@@ -160,7 +162,7 @@ def visit(trees: list[tuple[int, KDTree]], q: Queries, k: int, home: bool) -> pa
             part = mine[at : at + SLICE]
             vectors = q.vectors[part].astype(kind)
             for i, v, bound in zip(part.tolist(), vectors, tree.bounds(vectors), strict=True):
-                tree.search(int(q.ids[i]), v, bound, k, q.kth[i], best.setdefault(i, []))
+                tree.search(int(q.ids[i]), v, bound, k, int(q.kth[i]), best.setdefault(i, []))
     rows = [(int(q.rows[i]), int(q.ids[i]), -v, int(s)) for i, heap in best.items() for s, v in heap]
     columns = zip(*rows, strict=True) if rows else [()] * len(FOUND)
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=FOUND)
@@ -208,7 +210,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     trees = materialise(build(vectors), "trees")
     asked = vectors.where(F.col("vec_id") % every == 0)
     home = materialise(from_home(trees, asked, k), "home-trees")
-    known = home.groupBy("row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") == k).select("row", "kth")
+    known = home.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("row", "kth")
 
     # A small gallery has fewer trees a cell, so that all cores take part; the rows found are the same.
     blocks = max(1, math.ceil(asked.count() / block_rows))

@@ -448,6 +448,22 @@ def test_top_k_repeated_ids(spark):
         assert sorted(map(tuple, got)) == want and len(want) >= 5
 
 
+def test_top_k_grid(spark):
+    """Several stripes of blocks and groups of trees, vectors of two lengths and scores beyond doubles' whole numbers: held against all pairs."""
+    draw = np.random.default_rng(12)
+    rows = [(i, draw.integers(-9, 9, 3 + 2 * (i % 2)).astype(float).tolist()) for i in range(300)]
+    rows += [(300 + i, (draw.integers(-99, 99, 4) * 1e4).tolist()) for i in range(60)]
+    rows += [(350 + 50 * i, (draw.integers(-99, 99, 4) * 1e4).tolist()) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = []
+    for q, x in whole:
+        best = sorted((-int(x @ y), c) for c, y in whole if c != q and len(x) == len(y)) if q % 5 == 0 else []
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best[:5])]
+    got = knn.top_k(df, every=5, shard_rows=20, block_rows=6, cell_trees=1, stripe_blocks=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
 # 8 WARC
 def test_arc_versions():
     import io
