@@ -4,9 +4,12 @@ Two texts are near copies where the Jaccard similarity of their sets of five-wor
 ``WANTED``; the near copies' connected components are the classes. Words are what white space separates,
 ASCII letters lowered; a text of fewer words is one shingle, and texts without words are one class.
 
-Search.  A set's ``BANDS * ROWS`` smallest hashes under as many functions are cut into bands; sets that
-agree in a band meet in its bucket. Of two sets of similarity 0.8 all bands miss with a chance of 7e-5,
-of 0.85 with 1e-6. Whoever meets is compared by the whole sets, so no other text is ever linked.
+Search.  A set's SimHash fingerprint goes through the vantage-point shards of :mod:`.simhash`. All fingerprints
+within ``RADIUS`` bits meet there, and the links that the shards' searches follow are candidates; so are sets of equal
+fingerprints, each with the smallest. At a similarity of 0.8 most fingerprints differ in more bits than bands of 64
+can tell apart. Those sets meet by their ``BANDS * ROWS`` smallest hashes under as many functions, cut into
+bands; sets that agree in a band share its bucket. Of two sets of similarity 0.8 all bands miss with a chance of
+7e-5, of 0.85 with 1e-6. Whoever meets is compared by the whole sets, so no other text is ever linked.
 
 A large group of copies must not cost a comparison for each pair. A bucket's smallest set is compared with all
 others first. Buckets that this leaves in several components make up families: sets that share such a bucket, or
@@ -15,8 +18,8 @@ are joined by others that do. In a family all similar pairs are found, whether t
 Of each set only its difference ``D`` from the family's center matters, the shingles that more than half of the family
 have; the center need not be a set of its own. Two sets are near copies just where ``|D1| + |D2| - 2 |D1 & D2|`` is at
 most a ninth of both sizes (for 0.8). With ``w = |set| - 9 |D|`` that is ``18 |D1 & D2| >= -(w1 + w2)``. So every set whose
-``w`` and the family's largest ``w`` do not sum to less than zero is a near copy of that set: it is linked without a
-comparison. The others, the far ones, must share shingles of ``D`` with whatever they are similar to, and at least so many
+``w`` and the family's largest ``w`` do not sum to less than zero is a near copy of that set: it is compared with that
+set alone. The others, the far ones, must share shingles of ``D`` with whatever they are similar to, and at least so many
 that both must agree in one of their rarest ones, as many as the bound leaves over (prefix filtering). Only those
 pairs are compared. Edits that one copy alone has are its rarest shingles, so copies that were edited in
 different places do not meet, though they have most of their text in common.
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, small_side
 from .decontaminate import _mix, gram_hashes, word_hashes
-from .simhash import connected, drop_later, row_key
+from .simhash import connected, drop_later, majority, row_key, sources_within, stars
 
 WIDTH, BANDS, ROWS, SLICE = 5, 24, 5, 1 << 12
+#: Bits in which fingerprints that meet in a shard may differ.
+RADIUS = 3
 #: Sets of a family that meet its center in one part.
 PART = 1024
 #: Similarity of near copies, as a fraction of whole numbers.
@@ -71,18 +76,19 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``node`` (the set's hash), ``n`` (its size) and ``at`` (its buckets) of every row."""
+    """``id``, ``node`` (the set's hash), ``n`` (its size), ``at`` (its buckets) and ``fp`` (its fingerprint) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             at = [buckets(s).view(np.int64).tolist() if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(at, pa.list_(pa.int64()))], ["id", "node", "n", "at"])
+            fp = pa.array([majority(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(at, pa.list_(pa.int64())), fp], ["id", "node", "n", "at", "fp"])
 
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, node long, n long, at array<long>")
+    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, node long, n long, at array<long>, fp long")
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
@@ -189,26 +195,40 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     fits = F.least("n", "m") * WANTED[1] >= F.greatest("n", "m") * WANTED[0]
     met = x.join(y, (F.col("family") == F.col("family2")) & (F.col("shingle") == F.col("shingle2")) & (F.col("root") != F.col("root2")) & fits)
     pairs = met.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-    return near_hub.union(verified(pairs, sets))
+    return verified(near_hub.union(pairs), sets)
+
+
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """``first``, ``m`` (its size), ``node``, ``n`` of the sets whose fingerprints meet in the vantage-point shards."""
+    held = distinct.where("n > 0").select("node", "n", "fp")
+    prints = materialise(held.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("n", "node").alias("m")), "prints")
+    links = stars(prints.select("fp"), RADIUS, within=sources_within)
+    u = prints.select(F.col("fp").alias("u"), "first", "m")
+    v = prints.select(F.col("fp").alias("v"), F.col("first").alias("node"), F.col("m").alias("n"))
+    met = links.join(u, "u").join(v, "v").select("first", "m", "node", "n")
+    shared = small_side(prints.where("first < last").select("fp", "first", "m"))
+    equal = held.join(shared, "fp").where("node != first").select("first", "m", "node", "n")
+    return materialise(met.unionByName(equal), "print-pairs")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: ``id`` (a struct of :func:`row_key`) and ``component_id``, the class's smallest."""
     keyed = df.select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     marked = materialise(nodes(keyed, "id", "text"), "shingles")
-    distinct = materialise(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("at").alias("at")), "sets")
+    distinct = materialise(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("fp").alias("fp")), "sets")
+    prints = fingerprint_pairs(distinct)
     met = distinct.select("node", "n", F.explode("at").alias("bucket"))
     crowded = met.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select(F.col("bucket").alias("b"), "first")
     met = materialise(met.join(crowded, F.col("bucket") == F.col("b")).select("bucket", "first", "node", "n"), "buckets")
 
-    wanted = small_side(materialise(met.select("node").distinct().join(distinct.select("node", "least"), "node").select("node", F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_hash")), "compared"))
+    wanted = small_side(materialise(met.select("node").union(prints.select("first")).union(prints.select("node")).distinct().join(distinct.select("node", "least"), "node").select("node", F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_hash")), "compared"))
     texts = df.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     sets = materialise(shingle_sets(texts.join(wanted, F.col("own").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))), "shingle-sets")
 
     fits = F.least("n", "m") * WANTED[1] >= F.greatest("n", "m") * WANTED[0]
     size = distinct.select(F.col("node").alias("first"), F.col("n").alias("m"))
-    pairs = met.where("node != first").select("first", "node", "n").distinct().join(size, "first").where(fits)
-    links = materialise(verified(pairs.select(F.col("first").alias("u"), F.col("node").alias("v")), sets), "stars")
+    pairs = met.where("node != first").select("first", "node", "n").distinct().join(size, "first").unionByName(prints).where(fits)
+    links = materialise(verified(pairs.select(F.least("first", "node").alias("u"), F.greatest("first", "node").alias("v")).distinct(), sets), "stars")
 
     members = families(met, materialise(connected(links, "star-roots"), "star-rooted"))
     links = links.union(materialise(family_links(members, sets), "links"))

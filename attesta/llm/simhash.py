@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -56,11 +56,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit integer."""
     votes = np.zeros(64, np.int64)
-    for at in range(0, n, SLICE):
+    for at in range(0, len(hashes), SLICE):
         votes += np.unpackbits(hashes[at : at + SLICE].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n).view(np.int64)[0])
+    return int(np.packbits(votes * 2 > len(hashes)).view(np.int64)[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -95,12 +99,14 @@ def leaf_of(fp: Column, mask: Column, vantage: list[int]) -> Column:
     return out
 
 
-def components_within(x: np.ndarray, radius: int) -> np.ndarray:
-    """For distinct ``x`` (uint64): each one's smallest fingerprint within its component (as int64)."""
+def searched(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct ``x`` (uint64): each one's smallest fingerprint within its component, and the one within
+    ``radius`` that it was reached from, itself where the search began (both as int64)."""
     far = np.bitwise_count(x ^ x[0]).astype(np.int64)
     order = np.argsort(far, kind="stable")
     xs, far = x[order], far[order]
     signed, root = xs.view(np.int64), np.empty(len(xs), np.int64)
+    source = signed.copy()
     left, held = np.arange(len(xs)), xs  # those who wait, and a few who no longer do
     waits, place, gone = np.ones(len(xs), bool), np.arange(len(xs)), 0
     done = np.zeros(len(xs), bool)
@@ -123,12 +129,23 @@ def components_within(x: np.ndarray, radius: int) -> np.ndarray:
             if len(near):
                 waits[near] = False
                 done[left[near]] = True
+                source[left[near]] = signed[p]
                 gone += len(near)
                 members.extend(left[near].tolist())
         root[members] = signed[members].min()
-    out = np.empty_like(root)
-    out[order] = root
-    return out
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return root[back], source[back]
+
+
+def components_within(x: np.ndarray, radius: int) -> np.ndarray:
+    """Each one's smallest fingerprint within its component."""
+    return searched(x, radius)[0]
+
+
+def sources_within(x: np.ndarray, radius: int) -> np.ndarray:
+    """The fingerprint within ``radius`` that each one was reached from: links that span the components."""
+    return searched(x, radius)[1]
 
 
 def deeper(paths: dict[int, int], radius: int) -> list[tuple[int, int, int, int]]:
@@ -165,12 +182,15 @@ def shards_of(distinct: DataFrame, radius: int, leaf_rows: int, n: int) -> DataF
     return reduce(DataFrame.unionByName, settled, now)
 
 
-def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048) -> DataFrame:
-    """Edges (``u``, ``v``) that connect distinct fingerprints ``fp`` exactly as all links would."""
+def stars(distinct: DataFrame, radius: int = 2, leaf_rows: int = 2048, within: Callable[[np.ndarray, int], np.ndarray] = components_within) -> DataFrame:
+    """Edges (``u``, ``v``) that connect distinct fingerprints ``fp`` exactly as all links would.
+
+    With :func:`sources_within` each edge is a link itself.
+    """
 
     def link(shard: pd.DataFrame) -> pd.DataFrame:
         x = shard["fp"].to_numpy(np.int64)
-        root = components_within(x.view(np.uint64), radius)
+        root = within(x.view(np.uint64), radius)
         tied = x != root
         return pd.DataFrame({"u": x[tied], "v": root[tied]})
 

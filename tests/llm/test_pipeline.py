@@ -8,7 +8,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from attesta.llm import mixing, nearcopies
+from attesta.llm import mixing, nearcopies, simhash
+from attesta.llm.decontaminate import gram_hashes, word_hashes
 from attesta.llm.queries import tokenizer_path
 from tests.llm.test_operators import SF, plain_contamination
 
@@ -147,5 +148,44 @@ def test_a_chain_of_near_copies(spark):
     assert got == sorted({rows[i][0] for i in first})
 
 
+def without_a_shared_band(draw, n_words):
+    """A text and its copy with one word edited for each band: no band keeps its smallest hashes."""
+    words = [f"w{draw.randrange(10**6)}" for _ in range(n_words)]
+    base, edited = " ".join(words), list(words)
+    grams = gram_hashes(word_hashes(base, nearcopies._IS_WORD)[0], 5)
+    while True:
+        a, b = (nearcopies.buckets(nearcopies.shingles(t)) for t in (base, " ".join(edited)))
+        if not (a == b).any():
+            return base, " ".join(edited)
+        row = int(np.flatnonzero(a == b)[0]) * nearcopies.ROWS
+        least = ((grams ^ nearcopies._FLIP[row]) * nearcopies._ODD[row]).argmin()
+        edited[least + 2] = f"x{draw.randrange(10**6)}"
+
+
+def test_near_copies_meet_by_their_fingerprints(spark):
+    """Copies that share no band are linked through the vantage-point shards, and what is not similar stays apart."""
+    draw, rows = random.Random(6), []
+    while len(rows) < 6:
+        pair = without_a_shared_band(draw, 20_000)
+        a, b = (simhash.majority(nearcopies.shingles(t)) for t in pair)
+        if (a ^ b).bit_count() <= nearcopies.RADIUS:
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    first = plain_near_copies([t for _, t in rows])
+    assert first == [0, 0, 2, 2, 4, 4]
+    got = {r.id.id: r.component_id.id for r in nearcopies.near_copies(_wide(spark, rows)).collect()}
+    assert got == dict(enumerate(first))
+
+
+def test_sources_are_links_that_span():
+    draw = np.random.default_rng(5)
+    x = np.unique(draw.integers(0, 1 << 62, 40, np.uint64)[draw.integers(0, 40, 900)] ^ (np.uint64(1) << draw.integers(0, 64, 900, np.uint64)))
+    source, root = simhash.sources_within(x, 3), simhash.components_within(x, 3)
+    assert (np.bitwise_count(x ^ source.view(np.uint64)) <= 3).all() and (source != x.view(np.int64)).sum() == len(x) - len(set(root.tolist()))
+    at = source
+    for _ in range(len(x)):
+        at = source[np.searchsorted(x, at.view(np.uint64))]
+    assert len(set(zip(at.tolist(), root.tolist(), strict=True))) == len(set(root.tolist())) == len(set(at.tolist()))
+
+
 def _wide(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
