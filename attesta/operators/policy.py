@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ def components(scores: DataFrame, config: DataFrame, subject: str = "subject") -
     """One row for each subject and component: threshold, score (percent), points, passed.
 
     ``scores`` is long: subject, ``score_key``, ``raw`` (0 to 1). Missing scores are 0; disabled
-    components give no points and pass. The tree has a fixed depth, so two group-bys roll it up.
+    components give no points and pass. The tree has a fixed depth, so two group-bys roll it up. Points are
+    added in the tree's order, whatever the order of rows: a total on a limit must not hang on a sum's last bit.
     """
     dim = F.broadcast(rules.policy_tree(scores.sparkSession).join(config, "component"))
     subjects = scores.select(subject).distinct()
@@ -66,7 +69,8 @@ def components(scores: DataFrame, config: DataFrame, subject: str = "subject") -
     )
 
     def roll_up(children: DataFrame, level: int) -> DataFrame:
-        sums = children.groupBy(subject, F.col("parent").alias("component")).agg(F.sum("points").alias("given"))
+        each = [F.coalesce(F.sum(F.when(F.col("component") == r[0], F.col("points"))), F.lit(0.0)) for r in rules.POLICY if r[3] == level - 1]
+        sums = children.groupBy(subject, F.col("parent").alias("component")).agg(reduce(lambda a, b: a + b, each).alias("given"))
         nodes = nodes_of(level).join(sums, [subject, "component"], "left")
         given = F.least(F.coalesce("given", F.lit(0.0)), F.col("max"))
         return nodes.select(
