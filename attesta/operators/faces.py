@@ -10,8 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.sources.tables import materialise
+
 #: Gallery rows of a shard and queries of a block, of the exact search.
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+SHARD_ROWS, BLOCK_ROWS = 4096, 4096
+#: Rows of a side that a task of the exact search meets, and rows scored at once.
+TASK_ROWS, ROWS_AT_ONCE = 16384, 512
+#: Candidates scored at once, one by one.
+PAIRS_AT_ONCE = 16384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,60 +65,114 @@ def _mapped(cos: np.ndarray) -> np.ndarray:
     return np.round(np.clip((cos + 1) / 2, 0, 1), 12)
 
 
-def _packed(rows: DataFrame, deal: Column, name: str) -> DataFrame:
-    """Rows gathered to a bounded number a group: ``name``, ``ids`` and ``vectors``."""
-    each = F.collect_list(F.struct("id", F.col("vector").cast("array<double>").alias("vector")))
-    return rows.groupBy(deal.alias(name)).agg(each.alias("_rows")).select(name, F.col("_rows.id").alias(f"{name}_ids"), F.col("_rows.vector").alias(f"{name}_vectors"))
+def _spread(rows: DataFrame, each: int) -> DataFrame:
+    """``id`` and ``vector`` of the rows with a vector, dealt evenly to partitions of about ``each`` rows."""
+    held = rows.where("vector IS NOT NULL").select("id", "vector")
+    return held.repartition(max(1, math.ceil(held.count() / each)))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``most``, the last one shorter."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            held.append(b.slice(0, most - n))
+            n += held[-1].num_rows
+            b = b.slice(held[-1].num_rows)
+            if n == most:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _packed(rows: DataFrame, name: str, each: int) -> DataFrame:
+    """Rows gathered to packs of at most ``each``: ``name_ids``, ascending, and ``name_vectors``, the unit vectors' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches, each):
+            ids = b.column(0).to_numpy()
+            order = np.argsort(ids, kind="stable")
+            vectors = _unit(b.column(1), b.num_rows)[order]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[order]], pa.list_(pa.int64())), pa.array([vectors.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_vectors"])
+
+    each_task = max(each, TASK_ROWS // each * each)
+    held = _spread(rows.select(F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("vector")), each_task)
+    return materialise(held.mapInArrow(run, f"{name}_ids array<long>, {name}_vectors binary"), name)
+
+
+#: Rows, columns and scores of the pairs to keep, of queries (ids and unit vectors) and gallery rows.
+Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _grid(queries: DataFrame, gallery: DataFrame, choose: Callable[[np.ndarray], np.ndarray], shard_rows: int, block_rows: int) -> DataFrame:
-    """Scores of a block of queries and a shard of the gallery, for all of both: (query_id, vec_id, score) of those that
-    ``choose`` marks in a matrix of scores (a query a row, ids ascending; -1 for the query itself)."""
-    queries, gallery = (df.where("vector IS NOT NULL") for df in (queries, gallery))
-    shards, blocks = (max(1, math.ceil(df.count() / n)) for df, n in ((gallery, shard_rows), (queries, block_rows)))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    g = _packed(gallery, dealt(shards), "shard")
-    q = _packed(queries, dealt(blocks), "block").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+def _grid(queries: DataFrame, gallery: DataFrame, find: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Found], shard_rows: int, block_rows: int) -> DataFrame:
+    """What ``find`` keeps, (query_id, vec_id, score), of all blocks of queries and all shards of the gallery.
+
+    Both sides are packed and stored once, and their product is read from there: a task reads a part of either side and
+    takes their packs pair by pair. No copy is written for a pair, so disk grows with the rows, only time with the pairs.
+    """
+    q, g = _packed(queries, "block", block_rows), _packed(gallery, "shard", shard_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids, other = (b.column(c).slice(i, 1).flatten().to_numpy() for c in ("block_ids", "shard_ids"))
-                asked, held = _unit(b.column("block_vectors").slice(i, 1).flatten(), len(ids)), _unit(b.column("shard_vectors").slice(i, 1).flatten(), len(other))
-                order = np.argsort(other, kind="stable")
-                other, held = other[order], held[order]
-                # Zero vectors score 0, not the half that a cosine of 0 is moved to.
-                score = np.where(asked.any(1)[:, None] & held.any(1)[None, :], _mapped(asked @ held.T), 0.0)
-                score[ids[:, None] == other[None, :]] = -1.0
-                row, column = np.nonzero(choose(score) & (score >= 0))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(other[column]), pa.array(score[row, column])], ["query_id", "vec_id", "score"])
+                ids, other = (b.column(c)[i].values.to_numpy() for c in ("block_ids", "shard_ids"))
+                asked, held = (np.frombuffer(b.column(c)[i].as_buffer(), np.float64).reshape(n, -1) for c, n in (("block_vectors", len(ids)), ("shard_vectors", len(other))))
+                for row, column, score in find(ids, asked, other, held):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(other[column]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    met = q.join(g, "shard").select("block_ids", "block_vectors", "shard_ids", "shard_vectors")
-    return met.mapInArrow(run, "query_id long, vec_id long, score double")
+    return q.crossJoin(g).mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def top_k(queries: DataFrame, gallery: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` best gallery rows for each query, exactly: (query_id, vec_id, score, rank).
 
-    Both have (id, vector). The gallery is dealt by the ids' hash to shards of about ``shard_rows``, so their number
-    follows its size; queries are dealt to blocks. Every block meets every shard once, in one matrix product,
-    and only each shard's ``k`` best go on to the final ranking. Ties go to the smaller id.
-    Null vectors take no part; a vector without length scores 0 against all.
+    Both have (id, vector). The gallery is packed to shards of at most ``shard_rows``, queries to blocks. Every block
+    meets every shard once, in matrix products, and only each shard's ``k`` best go on to the final ranking.
+    Ties go to the smaller id. Null vectors take no part; a vector without length scores 0 against all.
     """
 
-    def best(score: np.ndarray) -> np.ndarray:
-        out = np.zeros(score.shape, bool)
-        np.put_along_axis(out, np.argsort(-score, axis=1, kind="stable")[:, :k], True, 1)
-        return out
+    def best(ids: np.ndarray, asked: np.ndarray, other: np.ndarray, held: np.ndarray) -> Found:
+        for at in range(0, len(ids), ROWS_AT_ONCE):
+            some = asked[at : at + ROWS_AT_ONCE]
+            # Zero vectors score 0, not the half that a cosine of 0 is moved to.
+            score = np.where(some.any(1)[:, None] & held.any(1)[None, :], _mapped(some @ held.T), 0.0)
+            score[ids[at : at + ROWS_AT_ONCE, None] == other[None, :]] = -1.0
+            out = np.zeros(score.shape, bool)
+            np.put_along_axis(out, np.argsort(-score, axis=1, kind="stable")[:, :k], True, 1)
+            row, column = np.nonzero(out & (score >= 0))
+            yield row + at, column, score[row, column]
 
     order = [F.col("score").desc(), F.col("vec_id")]
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return _grid(queries, gallery, best, shard_rows, block_rows).withColumn("rank", nth).where(F.col("rank") <= k)
 
 
+def _near(asked: np.ndarray, held: np.ndarray, at_least: float) -> Found:
+    """All pairs of unit vectors of mapped cosine ``at_least``: a product in single precision, with a margin for its
+    error, chooses those that are scored in double."""
+    limit = np.float32(2 * at_least - 1 - 1e-6 - 2e-7 * asked.shape[1])
+    some, every = asked.any(1), held.any(1)
+    a, b = asked.astype(np.float32), np.ascontiguousarray(held.T, np.float32)
+    for at in range(0, len(a), ROWS_AT_ONCE):
+        hits = np.flatnonzero(a[at : at + ROWS_AT_ONCE] @ b >= limit)
+        for i in range(0, len(hits), PAIRS_AT_ONCE):
+            row, column = np.divmod(hits[i : i + PAIRS_AT_ONCE], len(held))
+            row += at
+            score = np.where(some[row] & every[column], _mapped(np.einsum("ij,ij->i", asked[row], held[column])), 0.0)
+            kept = score >= at_least
+            yield row[kept], column[kept], score[kept]
+
+
 def similar_exact(probes: DataFrame, gallery: DataFrame, at_least: float = 0.85, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs of a probe and a gallery row of mapped cosine ``at_least``: (query_id, vec_id, score)."""
-    return _grid(probes, gallery, lambda score: score >= at_least, shard_rows, block_rows)
+
+    def find(ids: np.ndarray, asked: np.ndarray, other: np.ndarray, held: np.ndarray) -> Found:
+        for row, column, score in _near(asked, held, at_least):
+            apart = ids[row] != other[column]
+            yield row[apart], column[apart], score[apart]
+
+    return _grid(probes, gallery, find, shard_rows, block_rows)
 
 
 def plan_of(rows: int, probes: int, at_least: float, recall: float) -> tuple[int, int]:

@@ -1,12 +1,13 @@
-"""Policy totals on a limit."""
+"""Policy totals on a limit; what searches of galleries write, and groups of like faces."""
 
 import random
 from functools import reduce
 from operator import add
 
+import numpy as np
 import pytest
 
-from attesta.operators import policy, rules
+from attesta.operators import faces, policy, rules
 
 LEAVES = {r[1]: (r[2], r[5]) for r in rules.POLICY if r[1] and r[6]}
 CAPS = {r[0]: r[5] for r in rules.POLICY if r[3] == 1}
@@ -43,3 +44,54 @@ def test_points_are_added_in_the_trees_order(spark, parts):
         assert got[i, "ekyc"].points == total
         assert {c: got[i, c].points for c in given} == given
         assert got[i, "document_verify"].passed == (given["document_verify"] >= 30)
+
+
+def shuffled(spark, run):
+    """What ``run`` returns, and the bytes that its stages wrote for others."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    of = lambda found: {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+    before = of(stages())
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, sum(n for k, n in of(stages()).items() if k not in before)
+
+
+@pytest.fixture
+def large(spark):
+    """Tables are joined as large ones are: none is sent to all executors."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def rows_of(spark, ids, vectors, parts):
+    return spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "id long, vector array<double>").repartition(parts)
+
+
+def all_pairs(ids, asked, other, held, at_least):
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (asked, held))
+    score = np.round((a @ b.T + 1) / 2, 12)
+    return {(int(ids[i]), int(other[j])): score[i, j] for i, j in zip(*np.nonzero(score >= at_least), strict=True) if ids[i] != other[j]}
+
+
+def test_exact_search_writes_no_copies(large):
+    """Forty shards and forty blocks: each vector is shuffled once, not once for each shard."""
+    draw = np.random.default_rng(3)
+    held = draw.standard_normal((2000, 24))
+    asked = held + 0.9 * draw.standard_normal(held.shape)
+    ids, other = np.arange(1000, 3000), np.arange(2000)
+    probes, gallery = rows_of(large, ids, asked, 3), rows_of(large, other, held, 4)
+    got, written = shuffled(large, lambda: faces.similar_exact(probes, gallery, 0.8, shard_rows=50, block_rows=50).collect())
+    want = all_pairs(ids, asked, other, held, 0.8)
+    assert len(want) > 1000 and len(got) == len(want) and {(r.query_id, r.vec_id): r.score for r in got} == pytest.approx(want, abs=1e-11)
+    assert written < 8 * (asked.nbytes + held.nbytes)
+
+
+def test_exact_search_by_any_limit(spark):
+    """Limits at which all pairs or none are kept; vectors without a length score 0; a row does not find itself."""
+    vectors = np.array([[1.0, 0.0], [-1.0, 0.0], [0.6, 0.8], [0.0, 0.0]])
+    rows = rows_of(spark, range(4), vectors, 2)
+    found = {limit: {(r.query_id, r.vec_id): r.score for r in faces.similar_exact(rows, rows, limit).collect()} for limit in (0.0, 0.5, 0.8, 1.0)}
+    assert len(found[0.0]) == 12 and found[0.0][0, 1] == found[0.0][0, 3] == 0.0
+    assert found[0.5] == found[0.8] == {(0, 2): 0.8, (2, 0): 0.8} and not found[1.0]
