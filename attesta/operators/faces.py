@@ -14,10 +14,12 @@ from attesta.sources.tables import materialise
 
 #: Gallery rows of a shard and queries of a block, of the exact search.
 SHARD_ROWS, BLOCK_ROWS = 4096, 4096
-#: Rows of a side that a task of the exact search meets, and rows scored at once.
-TASK_ROWS, ROWS_AT_ONCE = 16384, 512
-#: Candidates scored at once, one by one.
-PAIRS_AT_ONCE = 16384
+#: Rows of a side that a task of the exact search meets, rows of either side of a bucket that meet in one task, and rows scored at once.
+TASK_ROWS, MEET_ROWS, ROWS_AT_ONCE = 16384, 16384, 512
+#: Candidates scored at once, one by one; vectors of a partition of buckets, about.
+PAIRS_AT_ONCE, ROWS_A_PART = 16384, 65536
+#: How many scored pairs a row counts for that is written to a bucket and read (set, not measured).
+PAIRS_A_ROW = 2400
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -178,56 +180,106 @@ def similar_exact(probes: DataFrame, gallery: DataFrame, at_least: float = 0.85,
 def plan_of(rows: int, probes: int, at_least: float, recall: float) -> tuple[int, int]:
     """Signature bits and tables for a gallery of so many rows and so many probes.
 
-    Two vectors at the angle that ``at_least`` stands for agree in a random bit with chance ``p``; a table, asked for
-    the signature and all that differ from it in one bit, misses them with the chance of two bits or more, and
-    tables are added until all miss with ``1 - recall`` at most. Pairs above the limit are missed less often.
-    Of all numbers of bits that with the fewest rows is taken: signatures of both sides, and
-    unrelated pairs that meet by chance.
+    Two vectors at the angle that ``at_least`` stands for agree in a random bit with chance ``p``; a table misses them
+    unless they agree in all its bits, and tables are added until all miss with ``1 - recall`` at most. Pairs above the
+    limit are missed less often. Of all numbers of bits that with the least work is taken: vectors of both sides go to a
+    bucket of each table, and those of a bucket are scored, nearly all of them unrelated and there by chance.
     """
     p = 1 - math.acos(min(1.0, max(-1.0, 2 * at_least - 1))) / math.pi
     plans = []
     for bits in range(1, 41):
-        hit = min(1.0, p**bits + bits * p ** (bits - 1) * (1 - p))
+        hit = min(1.0, p**bits)
         tables = 1 if hit == 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
-        plans.append((tables * (rows + probes * (bits + 1) * (1 + rows / 2**bits)), bits, tables))
+        plans.append((tables * ((rows + probes) * PAIRS_A_ROW + rows * probes / 2**bits), bits, tables))
     return min(plans)[1:]
 
 
-def signatures(rows: DataFrame, bits: int, tables: int, probes: bool, seed: int = 17) -> DataFrame:
-    """``id`` and ``bucket`` (of every table) of each vector with a length: the signs of ``bits`` random projections a
-    table. ``probes`` adds the buckets that differ in one bit."""
+def _codes(vectors: np.ndarray, bits: int, tables: int, seed: int = 17) -> np.ndarray:
+    """The bucket of every table (a vector a row): the signs of ``bits`` random projections a table."""
+    planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], tables * bits))
+    signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
+    return (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+
+
+def bucket_sizes(rows: DataFrame, bits: int, tables: int) -> DataFrame:
+    """``bucket`` and ``n``, its rows with a length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches, TASK_ROWS):
+            vectors = _unit(b.column(0), b.num_rows)
+            code, n = np.unique(_codes(vectors[vectors.any(1)], bits, tables), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    return rows.select(F.col("vector").cast("array<double>")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def bucket_packs(rows: DataFrame, bits: int, tables: int) -> DataFrame:
+    """Rows with a length, once for each table: packs of ``bucket``, ``ids`` and ``vectors``, their bytes (of singles
+    if ``single``), of the rows of a task that share the bucket."""
+    single = rows.schema["vector"].dataType.elementType.simpleString() == "float"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches, TASK_ROWS):
             vectors = _unit(b.column(1), b.num_rows)
             some = np.flatnonzero(vectors.any(1))
-            planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], tables * bits)) if len(some) else np.zeros((vectors.shape[1], tables * bits))
-            signs = (vectors[some] @ planes > 0).reshape(len(some), tables, bits)
-            code = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
-            code = code[:, :, None] ^ np.append(0, 1 << np.arange(bits) if probes else []).astype(np.int64)
-            ids = b.column(0).take(pa.array(np.repeat(some, code.shape[1] * code.shape[2])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(code.reshape(-1).astype(np.int64))], ["id", "bucket"])
+            raw = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for code in _codes(vectors[some], bits, tables).T:
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+                packs = np.split(some[order], starts[1:]) if len(some) else []
+                ids = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), b.column(0).take(pa.array(some[order])))
+                yield pa.RecordBatch.from_arrays([pa.array(code[order][starts], pa.int64()), ids, pa.array([raw[x].tobytes() for x in packs], pa.binary())], ["bucket", "ids", "vectors"])
 
-    held = rows.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>"))
-    return held.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bucket long")
+    held = rows.select("id", "vector" if single else F.col("vector").cast("array<double>").alias("vector"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return held.mapInArrow(run, f"bucket long, ids array<{kind}>, vectors binary").withColumn("single", F.lit(single))
 
 
-def similar(probes: DataFrame, gallery: DataFrame, at_least: float = 0.85, recall: float = 0.95) -> DataFrame:
+def similar(probes: DataFrame, gallery: DataFrame, at_least: float = 0.85, recall: float = 0.95, meet_rows: int = MEET_ROWS) -> DataFrame:
     """Pairs of a probe and a gallery row of mapped cosine ``at_least``: (query_id, vec_id, score).
 
     A similarity join by random-projection buckets: only rows that share a bucket of some table meet, and every
     met pair is scored exactly, so all returned pairs are right; a pair at the limit is found with a chance of
-    ``recall`` or more (see :func:`plan_of`). Signatures alone are shuffled to buckets; vectors join the
-    distinct pairs. Buckets that many rows share, as repeated faces make, are left to Spark's skew
-    handling, since nearly all of their pairs are results. :func:`similar_exact` is the exact way.
+    ``recall`` or more (see :func:`plan_of`). Vectors are shuffled to their buckets, one for each table, and scored there in
+    matrix products: what is written are rows and results, never the pairs that meet. A bucket of more than about
+    ``meet_rows`` of a side, as repeated faces make, is dealt to a grid of tasks. :func:`similar_exact` is the exact way.
     """
-    bits, tables = plan_of(gallery.count(), probes.count(), at_least, recall)
-    asked = signatures(probes, bits, tables, probes=True).withColumnRenamed("id", "query_id")
-    held = signatures(gallery, bits, tables, probes=False).withColumnRenamed("id", "vec_id")
-    met = asked.join(held, "bucket").where("query_id <> vec_id").select("query_id", "vec_id").distinct()
-    a, b = probes.select(F.col("id").alias("query_id"), F.col("vector").alias("_a")), gallery.select(F.col("id").alias("vec_id"), F.col("vector").alias("_b"))
-    scored = met.join(a, "query_id").join(b, "vec_id").select("query_id", "vec_id", F.round(cosine(F.col("_a"), F.col("_b")), 12).alias("score"))
-    return scored.where(F.col("score") >= at_least)
+    p, g = (materialise(_spread(df, TASK_ROWS), name) for df, name in ((probes, "probes"), (gallery, "gallery")))
+    rows, asking = g.count(), p.count()
+    bits, tables = plan_of(rows, asking, at_least, recall)
+    parts = lambda n: F.ceil(F.col(n) / meet_rows)
+    sizes = bucket_sizes(p, bits, tables).withColumnRenamed("n", "_asked").join(bucket_sizes(g, bits, tables).withColumnRenamed("n", "_held"), "bucket")
+    large = F.broadcast(sizes.where((F.col("_asked") > meet_rows) | (F.col("_held") > meet_rows)).select("bucket", parts("_asked").alias("_rows"), parts("_held").alias("_columns")))
+
+    def dealt(packs: DataFrame, own: str, other: str) -> DataFrame:
+        """Each pack to one line of its bucket's grid, and to all places of that line."""
+        line = F.coalesce(F.pmod(F.xxhash64("ids"), F.col(own)), F.lit(0).cast("long"))
+        place = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(other), F.lit(1).cast("long")) - 1))
+        return packs.join(large, "bucket", "left").withColumn(f"{own}_at", line).withColumn(f"{other}_at", place)
+
+    asked = dealt(bucket_packs(p, bits, tables), "_rows", "_columns").withColumnRenamed("ids", "_query_ids")
+    held = dealt(bucket_packs(g, bits, tables), "_columns", "_rows").withColumnRenamed("ids", "_vec_ids")
+
+    def unpacked(packs: pa.Table, ids: str) -> tuple[pa.Array, np.ndarray]:
+        packs = packs.filter(packs.column(ids).is_valid())
+        keys = pa.concat_arrays([x.flatten() for x in packs.column(ids).chunks])
+        raw = [np.frombuffer(v.as_buffer(), np.float32 if s else np.float64) for v, s in zip(packs.column("vectors"), packs.column("single").to_pylist(), strict=True)]
+        x = np.concatenate(raw, dtype=np.float64).reshape(len(keys), -1)
+        return keys, x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = pa.Table.from_batches(batches)
+        if not 0 < packs.column("_vec_ids").null_count < packs.num_rows:
+            return
+        (ids, a), (other, b) = (unpacked(packs, c) for c in ("_query_ids", "_vec_ids"))
+        for row, column, score in _near(a, b, at_least):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), other.take(pa.array(column)), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    kinds = ", ".join(f"{name} {df.schema['id'].dataType.simpleString()}" for name, df in (("query_id", probes), ("vec_id", gallery)))
+    together = asked.unionByName(held, allowMissingColumns=True).select("bucket", "_rows_at", "_columns_at", "_query_ids", "_vec_ids", "vectors", "single")
+    key = ("bucket", "_rows_at", "_columns_at")
+    met = together.repartition(math.ceil((tables * (rows + asking) + 1) / ROWS_A_PART), *key).groupBy(*key).applyInArrow(meet, f"{kinds}, score double")
+    return met.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
 def largest_faces(boxes: DataFrame, key: str) -> DataFrame:

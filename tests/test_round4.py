@@ -95,3 +95,31 @@ def test_exact_search_by_any_limit(spark):
     found = {limit: {(r.query_id, r.vec_id): r.score for r in faces.similar_exact(rows, rows, limit).collect()} for limit in (0.0, 0.5, 0.8, 1.0)}
     assert len(found[0.0]) == 12 and found[0.0][0, 1] == found[0.0][0, 3] == 0.0
     assert found[0.5] == found[0.8] == {(0, 2): 0.8, (2, 0): 0.8} and not found[1.0]
+
+
+def test_bucketed_join_writes_rows_and_results(large):
+    """Pairs that meet in a bucket by chance are never written: about a row for each table, and what is found."""
+    draw = np.random.default_rng(4)
+    held = draw.standard_normal((2500, 16))
+    asked = held[:2000] + 0.6 * draw.standard_normal((2000, 16))
+    ids, other = np.arange(10_000, 12_000), np.arange(2500)
+    probes, gallery = rows_of(large, ids, asked, 3), rows_of(large, other, held, 4)
+    got, written = shuffled(large, lambda: faces.similar(probes, gallery, 0.85, 0.95).collect())
+    want = all_pairs(ids, asked, other, held, 0.85)
+    found = {(r.query_id, r.vec_id): r.score for r in got}
+    assert len(found) == len(got) and set(found) <= set(want) and len(found) >= 0.95 * len(want) > 1000
+    assert found == pytest.approx({k: want[k] for k in found}, abs=1e-11)
+    tables = faces.plan_of(2500, 2000, 0.85, 0.95)[1]
+    assert written < (tables + 4) * 1.5 * (asked.nbytes + held.nbytes) + 100 * len(found)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_full_buckets_are_dealt(spark, kind):
+    """A group of like faces, many times what meets in a task, loses no pair; rows do not find themselves."""
+    draw = np.random.default_rng(6)
+    held = np.concatenate([draw.standard_normal((300, 12)), 0.02 * draw.standard_normal((400, 12)) + draw.standard_normal(12), np.zeros((1, 12))]).astype(np.float32)
+    rows = rows_of(spark, range(701), held, 5)
+    gallery = rows.selectExpr("id", f"CAST(vector AS array<{kind}>) AS vector").unionByName(spark.createDataFrame([(800, None)], "id long, vector array<double>").selectExpr("id", f"CAST(vector AS array<{kind}>) AS vector"))
+    want = all_pairs(np.arange(700), held[:700].astype(float), np.arange(700), held[:700].astype(float), 0.95)
+    got = {meet: {(r.query_id, r.vec_id): r.score for r in faces.similar(rows.where("id < 700"), gallery, 0.95, 0.999_999, meet_rows=meet).collect()} for meet in (30, 16384)}
+    assert got[30] == got[16384] and set(got[30]) == set(want) and len(want) >= 400 * 399
